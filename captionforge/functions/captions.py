@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,31 +95,56 @@ def capitalize(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _guarded(text: Column, rewrite, upper: bool = False) -> Column:
+    """Apply ``rewrite(text, openings)`` to each run of openings that share their first two words.
+
+    A text without those words cannot contain any opening of the run, so most texts are
+    scanned once per run instead of once per opening.
+    """
+    cased = [(_upper_first(o), _upper_first(r)) if upper else (o, r) for o, r in OPENINGS]
+
+    def guard(start: str, openings: list):
+        return lambda t: F.when(F.contains(t, F.lit(start)), rewrite(t, openings)).otherwise(t)
+
+    for start, run in groupby(cased, key=lambda pair: " ".join(pair[0].split()[:2]) + " "):
+        text = let(text, guard(start, list(run)))
+    return text
+
+
 def strip_openings_all(text: Column) -> Column:
     """Replace every occurrence of each lower-case opening, in list order."""
-    for opening, replacement in OPENINGS:
-        text = F.replace(text, F.lit(opening), F.lit(replacement))
-    return text
+
+    def rewrite(t: Column, openings) -> Column:
+        for opening, replacement in openings:
+            t = F.replace(t, F.lit(opening), F.lit(replacement))
+        return t
+
+    return _guarded(text, rewrite)
 
 
 def strip_openings_fold(text: Column) -> Column:
     """For each capitalised opening the text contains: replace the first occurrence, then
     capitalise the whole text (so later openings can match only at its start).
 
-    A fold over the opening list, because a chain of conditionals would repeat its input at
+    A fold over the openings, because a chain of conditionals would repeat its input at
     every level and the plan would grow exponentially.
     """
-    openings = F.array(*[
-        F.struct(F.lit(_upper_first(o)).alias("o"), F.lit(_upper_first(r)).alias("r")) for o, r in OPENINGS
-    ])
 
     def step(acc: Column, item: Column) -> Column:
         opening, replacement = item["o"], item["r"]
         replaced = F.overlay(acc, replacement, F.position(opening, acc), F.length(opening))
-        # the one-element transform binds the replaced text once
-        return F.when(F.contains(acc, opening), F.get(F.transform(F.array(replaced), capitalize), 0)).otherwise(acc)
+        return F.when(F.contains(acc, opening), let(replaced, capitalize)).otherwise(acc)
+
+    def rewrite(t: Column, openings) -> Column:
+        pairs = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(r).alias("r")) for o, r in openings])
+        return F.aggregate(pairs, t, step)
 
-    return trim_text(F.aggregate(openings, text, step))
+    return trim_text(_guarded(text, rewrite, upper=True))
 
 
 def caption_repeats(text: Column) -> Column:
@@ -166,7 +193,7 @@ def clean_text(text: Column, seed: int, *key) -> Column:
         cut = F.right(t, F.lit(1)).isin(".", ",", "!", "?") & (hash_uniform(seed, *key, "mark") < 0.5)
         return F.when(cut, trim_text(F.substr(t, F.lit(1), F.length(t) - 1))).otherwise(t)
 
-    return F.coalesce(F.get(F.transform(F.array(stripped), drop_mark), 0), F.lit(""))
+    return F.coalesce(let(stripped, drop_mark), F.lit(""))
 
 
 def synonyms(names: Column) -> Column:
