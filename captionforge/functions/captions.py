@@ -158,10 +158,12 @@ def caption_repeats(text: Column) -> Column:
 
 def caption_reject(text: Column) -> Column:
     """Null for captions that repeat a reject phrase too often or have under three distinct words."""
-    bad = (caption_repeats(text) > MAX_REJECT_PHRASES) | (
-        F.size(F.array_distinct(words(text))) < MIN_DISTINCT_TOKENS
-    )
-    return F.when(~bad, text)
+
+    def judge(t: Column) -> Column:
+        few_words = F.size(F.array_distinct(words(t))) < MIN_DISTINCT_TOKENS
+        return F.when(~((caption_repeats(t) > MAX_REJECT_PHRASES) | few_words), t)
+
+    return let(text, judge)
 
 
 def _fill(template: str, text: Column) -> Column:

@@ -30,14 +30,43 @@ def class_mean(df: DataFrame, label: str, vector: str) -> DataFrame:
     return long.groupBy(label, "i").agg(F.count("x").alias("n"), F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def _chunked(df: DataFrame, label: str, key: list[str], rows_per_chunk: int) -> DataFrame:
-    """Add ``__chunk``: a class is cut into chunks of bounded size by the hash of the row key."""
+def _chunked(df: DataFrame, label: str, key: list[str], rows_per_chunk: int) -> tuple[DataFrame, int]:
+    """Add ``__chunk``: a class is cut into chunks of bounded size by the hash of the row key.
+
+    Also returns the largest number of chunks of any class.
+    """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     chunks = materialize(counts.select(
         F.col(label).alias("__label"), F.ceil(F.col("__n") / rows_per_chunk).alias("__chunks")), "chunks")
+    most = chunks.agg(F.max("__chunks")).first()[0] or 1
     salted = df.join(chunks, F.col(label).eqNullSafe(F.col("__label")))
     pick = F.floor(hash_uniform("chunk", *map(F.col, key)) * F.col("__chunks")).cast("int")
-    return salted.withColumn("__chunk", pick).drop("__label", "__chunks")
+    return salted.withColumn("__chunk", pick).drop("__label", "__chunks"), most
+
+
+def _runs(keys: pd.DataFrame) -> np.ndarray:
+    """Start offsets of the runs of equal rows."""
+    codes = keys.apply(lambda c: pd.factorize(c, use_na_sentinel=False)[0]).to_numpy()
+    return np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]).any(axis=1)])
+
+
+def _merge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add up rows of equal (class, matrix row), which arrive next to each other."""
+    carry = None
+    for batch in batches:
+        if batch.empty:
+            continue
+        rows = batch if carry is None else pd.concat([carry, batch], ignore_index=True)
+        starts = _runs(rows[["__label", "i"]])
+        out = rows.iloc[starts][["__label", "i"]].reset_index(drop=True)
+        out["n"] = np.add.reduceat(rows["n"].to_numpy(), starts)
+        out["total"] = np.add.reduceat(rows["total"].to_numpy(), starts)
+        out["cross"] = list(np.add.reduceat(np.stack(rows["cross"].to_numpy()), starts, axis=0))
+        # the last run may go on in the next batch
+        yield out.iloc[:-1]
+        carry = out.iloc[-1:]
+    if carry is not None:
+        yield carry
 
 
 def class_moments(df: DataFrame, label: str, vector: str, key: list[str], shift: list[float],
@@ -54,39 +83,42 @@ def class_moments(df: DataFrame, label: str, vector: str, key: list[str], shift:
     schema = f"__label {df.schema[label].dataType.simpleString()}, i int, n long, total double, cross array<double>"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}
-
-        def flush(key) -> pd.DataFrame:
-            n, total, cross = state.pop(key)
-            return pd.DataFrame({"__label": key[0], "i": np.arange(width, dtype="int32"), "n": n,
+        def rows_of(key, n, total, cross) -> pd.DataFrame:
+            return pd.DataFrame({"__label": [key[0]] * width, "i": np.arange(width, dtype="int32"), "n": n,
                                  "total": total, "cross": list(cross)})
 
+        open_key, open_sums = None, None
         for batch in batches:
-            for group, rows in batch.groupby(["__label", "__chunk"], sort=False, dropna=False):
-                x = np.stack(rows["__v"].to_numpy()).astype(np.float64) - centre
-                old = state.get(group, (0, 0.0, 0.0))
-                state[group] = (old[0] + len(x), old[1] + x.sum(axis=0), old[2] + x.T @ x)
-                # rows arrive sorted by class and chunk: earlier groups are complete
-                for done in [g for g in state if g != group]:
-                    yield flush(done)
-        for last in list(state):
-            yield flush(last)
-
-    chunked = _chunked(df.select(F.col(label), F.col(vector).alias("__v"), *[k for k in key if k != label]),
-                       label, key, rows_per_chunk)
+            if batch.empty:
+                continue
+            x = np.stack(batch["__v"].to_numpy()).astype(np.float64) - centre
+            starts = _runs(batch[["__label", "__chunk"]])
+            for lo, hi in zip(starts, np.r_[starts[1:], len(batch)]):
+                # rows arrive sorted by class and chunk, so a new key closes the one before
+                group = (batch["__label"].iloc[lo], batch["__chunk"].iloc[lo])
+                part = x[lo:hi]
+                sums = [hi - lo, part.sum(axis=0), part.T @ part]
+                if open_sums is not None and _same(group, open_key):
+                    open_sums = [a + b for a, b in zip(open_sums, sums)]
+                    continue
+                if open_sums is not None:
+                    yield rows_of(open_key, *open_sums)
+                open_key, open_sums = group, sums
+        if open_sums is not None:
+            yield rows_of(open_key, *open_sums)
+
+    chunked, most = _chunked(df.select(F.col(label), F.col(vector).alias("__v"), *[k for k in key if k != label]),
+                             label, key, rows_per_chunk)
     ordered = chunked.select(F.col(label).alias("__label"), "__chunk", "__v").repartition(
         "__label", "__chunk").sortWithinPartitions("__label", "__chunk")
     partials = ordered.mapInPandas(partial, schema)
+    if most > 1:
+        partials = partials.repartition("__label", "i").sortWithinPartitions("__label", "i").mapInPandas(_merge_rows, schema)
+    return partials.withColumnRenamed("__label", label)
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[:1].copy()
-        first["n"] = rows["n"].sum()
-        first["total"] = rows["total"].sum()
-        first["cross"] = [np.sum(np.stack(rows["cross"].to_numpy()), axis=0)]
-        return first
 
-    merged = partials.groupBy("__label", "i").applyInPandas(add, schema)
-    return merged.withColumnRenamed("__label", label)
+def _same(a: tuple, b: tuple) -> bool:
+    return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
 
 
 def pooled_mean(df: DataFrame, vector: str) -> list[float]:
