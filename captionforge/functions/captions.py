@@ -85,11 +85,6 @@ def trim_text(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def words(text: Column) -> Column:
-    """Whitespace-separated tokens; one empty token for blank text."""
-    return F.split(trim_text(text), f"[{WHITESPACE}]+")
-
-
 def capitalize(text: Column) -> Column:
     """First character upper, the rest lower."""
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
@@ -151,17 +146,32 @@ def caption_repeats(text: Column) -> Column:
     """Non-overlapping occurrences of the reject phrases, summed."""
     total = F.lit(0).cast("long")
     for phrase in REJECT_PHRASES:
-        removed = F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))
+        # the phrases are ASCII, so bytes count as characters and no text is decoded
+        removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(phrase), F.lit("")))
         total = total + F.floor(removed / len(phrase))
     return total
 
 
+def _distinct_words_pattern(count: int) -> str:
+    """A pattern matching texts with at least ``count`` distinct words.
+
+    Each step skips repeats of the words captured so far and captures the next new one, so an
+    ordinary text is decided by its first few words. Possessive quantifiers keep it linear.
+    """
+    space, word = f"[{WHITESPACE}]", f"[^{WHITESPACE}]"
+    pattern = rf"\A{space}*+({word}++)"
+    for known in range(1, count):
+        seen = "|".join(rf"\{i}" for i in range(1, known + 1))
+        pattern += rf"{space}++(?:(?:{seen}){space}++)*+(?!(?:{seen})\z)({word}++)"
+    return pattern
+
+
 def caption_reject(text: Column) -> Column:
     """Null for captions that repeat a reject phrase too often or have under three distinct words."""
 
     def judge(t: Column) -> Column:
-        few_words = F.size(F.array_distinct(words(t))) < MIN_DISTINCT_TOKENS
-        return F.when(~((caption_repeats(t) > MAX_REJECT_PHRASES) | few_words), t)
+        enough_words = F.rlike(t, F.lit(_distinct_words_pattern(MIN_DISTINCT_TOKENS)))
+        return F.when(enough_words & (caption_repeats(t) <= MAX_REJECT_PHRASES), t)
 
     return let(text, judge)
 

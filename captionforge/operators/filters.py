@@ -24,6 +24,14 @@ def dropna_subset(df: DataFrame, names: list[str]) -> DataFrame:
     return df.dropna(subset=names)
 
 
+def keep_not_null(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add ``value`` as a column and drop the rows where it is null, computing it once.
+
+    A plain filter would be pushed below the projection and compute the value a second time.
+    """
+    return df.withColumn(name, F.explode(F.array_compact(F.array(value))))
+
+
 def long_enough(*captions: Column) -> Column:
     keep = F.lit(True)
     for c in captions:

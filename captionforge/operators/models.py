@@ -6,7 +6,8 @@ batch. Everything around the model stays in column expressions.
 
 from __future__ import annotations
 
-import hashlib
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -23,6 +24,7 @@ from captionforge.functions.captions import (
 )
 from captionforge.functions.shapes import phase_dims
 from captionforge.functions.vectors import pad_concat
+from captionforge.operators.filters import keep_not_null
 
 BatchModel = Callable[[pd.DataFrame], pd.Series]
 ModelFactory = Callable[[], BatchModel]
@@ -52,8 +54,7 @@ def recaption(rows: DataFrame, hint: str, image: str, long_model: ModelFactory,
     """
     prompted = rows.withColumn("__raw", model_column(
         long_model, "string", F.col(image).alias("image"), long_caption_prompt(F.col(hint)).alias("prompt")))
-    judged = prompted.withColumn(long_name, caption_reject(strip_openings_fold(F.col("__raw")))).drop("__raw")
-    kept = judged.dropna(subset=[long_name])
+    kept = keep_not_null(prompted, long_name, caption_reject(strip_openings_fold(F.col("__raw")))).drop("__raw")
     return kept.withColumn(short_name, model_column(
         short_model, "string", short_caption_prompt(F.col(long_name)).alias("prompt")))
 
@@ -140,8 +141,8 @@ def hashed_words(width: int) -> ModelFactory:
     def factory() -> BatchModel:
         def encode(text: str | None) -> np.ndarray:
             v = np.zeros(width)
-            for word in (text or "").split():
-                v[int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % width] += 1.0
+            for word, n in Counter((text or "").split()).items():
+                v[zlib.crc32(word.encode()) % width] += n
             norm = np.linalg.norm(v)
             return v / norm if norm else v
 

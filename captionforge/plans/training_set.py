@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionforge.functions.captions import bucket_string, capitalize, strip_openings_all
+from captionforge.functions.captions import bucket_string, capitalize, let, strip_openings_all
 from captionforge.functions.shapes import is_high_resolution, phase_dims
 from captionforge.operators.buckets import bucket_stats
-from captionforge.operators.filters import long_enough
+from captionforge.operators.filters import keep_not_null, long_enough
 
 
 def clean_captions(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: capitalize(strip_openings_all(F.col(n))) for n in names})
 
 
+def clean_and_keep(df: DataFrame, names: list[str]) -> DataFrame:
+    """Clean the captions and keep the rows where all of them are still long enough."""
+    cleaned = F.struct(*[capitalize(strip_openings_all(F.col(n))).alias(n) for n in names])
+    judged = let(cleaned, lambda c: F.when(long_enough(*[c[n] for n in names]), c))
+    return keep_not_null(df, "__captions", judged).withColumns(
+        {n: F.col(f"__captions.{n}") for n in names}).drop("__captions")
+
+
 def assign_buckets(df: DataFrame, first: str, second: str) -> DataFrame:
     """Add height, width, aspect_ratio and bucket_size; rows that cannot be resized are dropped."""
     shaped = df.withColumn("__dims", phase_dims(F.col(first), F.col(second))).where(F.col("__dims").isNotNull())
@@ -30,8 +38,7 @@ def build(df: DataFrame, first: str, second: str, long: str = "recaption", short
     The shape filter runs first: it needs two narrow columns, the caption steps rewrite text.
     """
     kept = df.where(is_high_resolution(F.col(first), F.col(second)))
-    cleaned = clean_captions(kept, [long, short]).where(long_enough(F.col(long), F.col(short)))
-    return assign_buckets(cleaned, first, second)
+    return assign_buckets(clean_and_keep(kept, [long, short]), first, second)
 
 
 def rows_per_bucket(df: DataFrame) -> DataFrame:

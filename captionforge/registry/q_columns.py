@@ -127,9 +127,8 @@ def _cleaned(spark, sf_dir):
 
 @query("filter_short_caption", f"SELECT doc_id, long AS recaption, short AS recaption_short FROM ({_CLEAN}) WHERE length(long) >= 10 AND length(short) >= 10")
 def filter_short_caption(spark, sf_dir):
-    rows = _cleaned(spark, sf_dir)
-    return rows.where(filters.long_enough(F.col("recaption"), F.col("recaption_short"))).select(
-        "doc_id", "recaption", "recaption_short")
+    rows = training_set.clean_and_keep(captioned(spark, sf_dir), ["recaption", "recaption_short"])
+    return rows.select("doc_id", "recaption", "recaption_short")
 
 
 @query("filter_status", "SELECT event_id, status FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed_to_download' ELSE 'success' END AS status FROM events) WHERE status = 'success'")
