@@ -34,16 +34,22 @@ def sort(df: DataFrame, names: list[str], reverse: bool | list[bool] = False, nu
     return df.orderBy(*sort_columns(names, reverse, null_placement))
 
 
-def shuffle_keys(key: list[str], seed: int) -> list[Column]:
-    """Sort keys of the seeded permutation; the row key breaks ties."""
-    return [hash_uniform(seed, *map(F.col, key)), *map(F.col, key)]
+_DRAW = "__draw"
+
+
+def with_draw(df: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """Add the seeded draw of each row key; sorting by (draw, key) is the seeded permutation.
+
+    A column of its own, because a sort evaluates an expression again in every comparison.
+    """
+    return df.withColumn(_DRAW, hash_uniform(seed, *map(F.col, key)))
 
 
 def shuffle(df: DataFrame, key: list[str], seed: int, name: str | None = None) -> DataFrame:
     """Rows in seeded random order; with ``name``, their place in it as a column."""
-    if name:
-        return with_row_index(df, shuffle_keys(key, seed), name)
-    return df.orderBy(*shuffle_keys(key, seed))
+    drawn = with_draw(df, key, seed)
+    placed = with_row_index(drawn, [_DRAW, *key], name) if name else drawn.orderBy(_DRAW, *key)
+    return placed.drop(_DRAW)
 
 
 def split_sizes(n: int, test_size: float | int | None = None, train_size: float | int | None = None) -> tuple[int, int]:
@@ -71,8 +77,10 @@ def split_sizes(n: int, test_size: float | int | None = None, train_size: float
 def train_test_split(df: DataFrame, key: list[str], test_size=None, train_size=None, shuffle: bool = True,
                      seed: int = 0, name: str = "split") -> DataFrame:
     """Rows labelled ``train`` or ``test`` in exact counts; surplus rows are dropped."""
-    order = shuffle_keys(key, seed) if shuffle else key
-    indexed = with_row_index(df, order, "__idx")
+    if shuffle:
+        indexed = with_row_index(with_draw(df, key, seed), [_DRAW, *key], "__idx").drop(_DRAW)
+    else:
+        indexed = with_row_index(df, key, "__idx")
     n_train, n_test = split_sizes(indexed.count(), test_size, train_size)
     first, first_n, second = ("test", n_test, "train") if shuffle else ("train", n_train, "test")
     return (
@@ -99,7 +107,7 @@ def _quota(counts: DataFrame, label: str, weight: str, total: int, wanted: int,
 def train_test_split_stratified(df: DataFrame, label: str, key: list[str], test_size=None, train_size=None,
                                 seed: int = 0, name: str = "split") -> DataFrame:
     """Exact split that keeps the class shares; every class needs two members."""
-    placed = with_group_index(df, [label], shuffle_keys(key, seed), "__pos")
+    placed = with_group_index(with_draw(df, key, seed), [label], [_DRAW, *key], "__pos").drop(_DRAW)
     counts = materialize(placed.groupBy(label).agg(F.count(F.lit(1)).alias("__n")), "classes")
     n, smallest = counts.agg(F.sum("__n"), F.min("__n")).first()
     if smallest < 2:

@@ -106,25 +106,30 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, text:
                 query_text: str) -> DataFrame:
     """(query, doc, score, rank): BM25 top k over whole texts.
 
-    Documents are reduced to the terms some query uses before anything is shuffled, and
-    term counts are pre-aggregated, so a frequent word costs one row per document.
+    Documents are reduced to the terms some query uses before anything is shuffled, and the
+    term counts are laid out by document, so the scores of a document are summed where its
+    counts are and a frequent word costs one row per document.
     """
-    terms = queries.select(query_id, F.explode(F.array_distinct(analyse(F.col(query_text)))).alias("term"))
-    vocabulary = terms.select("term").distinct()
+    asked = queries.select(query_id, F.explode(F.array_distinct(analyse(F.col(query_text)))).alias("term"))
+    # written, because generated ids must not change between the two uses
+    vocabulary = materialize(
+        asked.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "vocabulary")
     tokens = docs.select(doc_id, analyse(F.col(text)).alias("__tokens"))
     sizes = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__tokens")).alias("mean_len")).first()
     n_docs, mean_len = sizes["n"], sizes["mean_len"]
     # written once: read for the document frequencies and again for the scores
     postings = materialize(
         tokens.select(doc_id, F.size("__tokens").alias("len"), F.explode("__tokens").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy(doc_id, "term").agg(F.first("len").alias("len"), F.count(F.lit(1)).alias("tf")),
+        .join(vocabulary, "term").select(doc_id, "len", "term_id")
+        .repartition(doc_id)
+        .groupBy(doc_id, "term_id").agg(F.first("len").alias("len"), F.count(F.lit(1)).alias("tf")),
         "postings",
     )
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "term").select(query_id, "term", idf.alias("idf"))
+    weighted = materialize(
+        asked.join(vocabulary, "term").join(df, "term_id").select(query_id, "term_id", idf.alias("idf")), "weights")
     tf = F.col("tf").cast("double")
     score = F.col("idf") * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("len") / F.lit(mean_len)))
-    scored = postings.join(weighted, "term").groupBy(query_id, doc_id).agg(F.round(F.sum(score), 6).alias("score"))
+    scored = postings.join(weighted, "term_id").groupBy(query_id, doc_id).agg(F.round(F.sum(score), 6).alias("score"))
     return _top_k(scored, query_id, k, [F.col("score").desc(), doc_id])
