@@ -10,7 +10,7 @@ from captionforge.plans import feed
 from captionforge.registry import query, sqltext as S, table
 from captionforge.registry.inputs import BUCKETED, CAPTIONED, bucketed, captioned
 
-BATCH = 32
+BATCH = 16
 _STATS = f"SELECT bucket_size, count(*) AS n FROM ({BUCKETED}) GROUP BY bucket_size"
 
 
