@@ -5,9 +5,12 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from captionforge.functions.shapes import gif_size, png_size
+
 _JPEG_FRAMES = {0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF}
 
 
@@ -32,9 +35,24 @@ def header_size(data: bytes | None) -> tuple[int | None, int | None]:
 
 
 _SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
+HEADER_BYTES = 1 << 17
 
 
 @F.pandas_udf(_SIZE)
-def image_size(content: pd.Series) -> pd.DataFrame:
+def _parsed_size(content: pd.Series) -> pd.DataFrame:
     sizes = pd.DataFrame([header_size(c) for c in content], columns=["width", "height"])
     return sizes.astype("Int32")
+
+
+def image_size(content: Column) -> Column:
+    """struct(width, height) of a PNG, GIF or JPEG, null when unreadable.
+
+    PNG and GIF keep their size at a fixed offset and are read in the JVM. Of a JPEG the start
+    goes to Python, and the whole body only when the frame header lies beyond it.
+    """
+    is_jpeg = F.hex(F.substring(content, 1, 2)) == "FFD8"
+    start = F.when(is_jpeg, F.substring(content, 1, HEADER_BYTES))
+    early = _parsed_size(start)
+    late = _parsed_size(F.when(is_jpeg & early["width"].isNull(), content))
+    jpeg = F.when(early["width"].isNotNull(), early).when(late["width"].isNotNull(), late)
+    return F.coalesce(png_size(content), gif_size(content), jpeg)

@@ -91,6 +91,16 @@ def png_size(content: Column) -> Column:
     return F.when(is_png, F.struct(field(17).alias("width"), field(21).alias("height")))
 
 
+def gif_size(content: Column) -> Column:
+    """struct(width, height) read from a GIF header, null for other bytes."""
+    def field(at: int) -> Column:
+        low, high = (F.conv(F.hex(F.substring(content, p, 1)), 16, 10).cast("int") for p in (at, at + 1))
+        return high * 256 + low
+
+    is_gif = F.hex(F.substring(content, 1, 6)).isin("474946383761", "474946383961")
+    return F.when(is_gif, F.struct(field(7).alias("width"), field(9).alias("height")))
+
+
 def compat_probe(size: Column) -> Column:
     """struct(height, width, aspect_ratio) with the swapped names the build scripts store."""
     return F.when(

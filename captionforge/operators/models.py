@@ -32,31 +32,41 @@ ModelFactory = Callable[[], BatchModel]
 # Http statuses that are not worth another attempt, and the attempt limit.
 GIVE_UP_STATUSES = [400, 401, 402, 403, 404]
 MAX_RETRIES = 5
+# Images per caption model call, urls per download task.
+CAPTION_BATCH = 64
+URLS_PER_TASK = 10000
 
 
-def model_column(factory: ModelFactory, return_type: str, *inputs: Column) -> Column:
-    """Apply a batch model to columns; row-aligned by construction."""
+def model_column(factory: ModelFactory, return_type: str, *inputs: Column, batch_size: int | None = None) -> Column:
+    """Apply a batch model to columns; row-aligned by construction.
+
+    ``batch_size`` bounds what the model sees at once, whatever the size of the Arrow batches.
+    """
 
     @F.pandas_udf(return_type)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         model = factory()
         for batch in batches:
-            yield model(batch)
+            size = batch_size or max(len(batch), 1)
+            pieces = [model(batch.iloc[lo:lo + size].reset_index(drop=True)) for lo in range(0, len(batch), size)]
+            yield pd.concat(pieces, ignore_index=True) if pieces else pd.Series([], dtype=object)
 
     return run(F.struct(*inputs))
 
 
 def recaption(rows: DataFrame, hint: str, image: str, long_model: ModelFactory, short_model: ModelFactory,
-              long_name: str = "recaption", short_name: str = "recaption_short") -> DataFrame:
+              long_name: str = "recaption", short_name: str = "recaption_short",
+              batch_size: int = CAPTION_BATCH) -> DataFrame:
     """Long caption from image and hint, cleaned and judged, then a short caption of it.
 
     Rows whose long caption is rejected are dropped before the short model runs.
     """
     prompted = rows.withColumn("__raw", model_column(
-        long_model, "string", F.col(image).alias("image"), long_caption_prompt(F.col(hint)).alias("prompt")))
+        long_model, "string", F.col(image).alias("image"), long_caption_prompt(F.col(hint)).alias("prompt"),
+        batch_size=batch_size))
     kept = keep_not_null(prompted, long_name, caption_reject(strip_openings_fold(F.col("__raw")))).drop("__raw")
     return kept.withColumn(short_name, model_column(
-        short_model, "string", short_caption_prompt(F.col(long_name)).alias("prompt")))
+        short_model, "string", short_caption_prompt(F.col(long_name)).alias("prompt"), batch_size=batch_size))
 
 
 def encode_text(rows: DataFrame, text: str, wide: ModelFactory, narrow: ModelFactory, pooled: ModelFactory) -> DataFrame:
@@ -94,11 +104,12 @@ def fetch_triage(status: Column, attempt: Column) -> Column:
 
 
 def fetch(rows: DataFrame, url: str, fetcher: Callable[[], Callable[[str, int], tuple[int | None, bytes | None]]],
-          threads: int = 16, content: str = "content") -> DataFrame:
+          threads: int = 16, content: str = "content", urls_per_task: int = URLS_PER_TASK) -> DataFrame:
     """Download every url; ``fetcher()`` returns ``get(url, attempt) -> (status, bytes)``.
 
     Adds the content, the last status and the number of attempts; failed rows have null
-    content. Downloads overlap in threads inside a task, and only urls travel to Python.
+    content. Url rows are small, so a file of them would be one long task: they are spread to
+    ``urls_per_task`` each, and downloads overlap in threads inside a task.
     """
     out = rows.schema.simpleString()[len("struct<"):-1]
     schema = f"{out}, {content} binary, status int, attempts int"
@@ -125,7 +136,8 @@ def fetch(rows: DataFrame, url: str, fetcher: Callable[[], Callable[[str, int],
                 yield batch.assign(**{content: list(bodies), "status": pd.array(statuses, dtype="Int32"),
                                       "attempts": pd.array(attempts, dtype="Int32")})
 
-    return rows.mapInPandas(run, schema)
+    tasks = -(-rows.count() // urls_per_task) or 1
+    return rows.repartition(tasks).mapInPandas(run, schema)
 
 
 def split_fetched(fetched: DataFrame, key: str, content: str = "content") -> tuple[DataFrame, DataFrame]:

@@ -9,8 +9,6 @@ all rows is spread over as many tasks as any other rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,9 +130,14 @@ def skip(df: DataFrame, order_by: list, n: int) -> DataFrame:
     return with_row_index(df, order_by, "__idx").where(F.col("__idx") >= n).drop("__idx")
 
 
+TOP_N_ROWS = 10000  # up to here a top-n keeps n rows per task and on the driver
+
+
 def take(df: DataFrame, order_by: list, n: int) -> DataFrame:
-    """First ``n`` rows; Spark runs this as a top-n, not a full sort."""
-    return df.orderBy(*_columns(order_by)).limit(n)
+    """First ``n`` rows: a top-n when that is small, otherwise by position."""
+    if n <= TOP_N_ROWS:
+        return df.orderBy(*_columns(order_by)).limit(n)
+    return with_row_index(df, order_by, "__idx").where(F.col("__idx") < n).drop("__idx")
 
 
 def getitem(df: DataFrame, order_by: list, key) -> DataFrame:
@@ -192,7 +195,3 @@ def flatten_indices(df: DataFrame) -> DataFrame:
 def rows_per_file(row_idx: Column, rows: int) -> Column:
     """File number for a fixed count of rows per file."""
     return F.floor(row_idx / rows)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -13,6 +13,8 @@ from captionforge.operators.positions import with_row_index
 from captionforge.session import materialize, scratch_path
 
 QUERY_BLOCK_BYTES = 32 << 20  # vectors of one query block, as doubles, sent to every task
+SCORE_CELLS = 1 << 22  # query x base scores a task holds at once
+SCORE_PAIRS = 1 << 14  # candidate pairs scored exactly at once
 K1, B = 1.2, 0.75  # BM25 constants of the standard similarity
 
 
@@ -22,38 +24,60 @@ def _top_k(scored: DataFrame, query_id: str, k: int, order: list, rank: str = "r
     return scored.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= k)
 
 
+def _best(found: pd.DataFrame, k: int, smallest: bool) -> pd.DataFrame:
+    """k best candidates per query; equal scores go to the smaller id, whatever the layout."""
+    ordered = found.sort_values(["q", "score", "id"], ascending=[True, smallest, True])
+    return ordered.groupby("q", sort=False).head(k)
+
+
 def _search_block(base: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str, out_schema: str,
                   query_id: str, base_id: str) -> DataFrame:
     """Per-task top k of the base vectors for every query of one block."""
-    shared = base.sparkSession.sparkContext.broadcast((ids, matrix, (matrix**2).sum(axis=1)))
+    shared = base.sparkSession.sparkContext.broadcast((ids, matrix))
+    smallest = metric == "l2"
+
+    def candidates(x: np.ndarray, q: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that can still be among the k best, by a matrix product.
+
+        Squared distances from a product carry rounding error; pairs within a margin far
+        above it are kept, and scored exactly afterwards.
+        """
+        if smallest:
+            squares = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :]
+            cost, margin = squares - 2.0 * (q @ x.T), 1e-9 * squares.max()
+            limit = worst**2
+        else:
+            cost = -(q @ x.T)
+            margin, limit = 1e-9 * np.abs(cost).max(initial=0.0), -worst
+        if x.shape[0] > k:
+            limit = np.minimum(limit, np.partition(cost, k - 1, axis=1)[:, k - 1])
+        return np.nonzero(cost <= limit[:, None] + margin)
 
     def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q, _ = shared.value
-        best_d = np.empty((len(q_ids), 0))
-        best_i = np.empty((len(q_ids), 0), dtype=object)
+        q_ids, q = shared.value
+        step = max(SCORE_CELLS // len(q), 1)
+        worst = np.full(len(q), np.inf if smallest else -np.inf)
+        best = None
         for batch in batches:
             if batch.empty:
                 continue
-            x = np.stack(batch["__v"].to_numpy()).astype(np.float64)
-            if metric == "l2":
-                # one query at a time: exact differences, a batch-sized buffer
-                d = np.stack([np.sqrt(((x - row) ** 2).sum(axis=1)) for row in q])
-            else:
-                d = -(q @ x.T)
-            names = np.broadcast_to(batch[base_id].to_numpy(), d.shape)
-            best_d = np.concatenate([best_d, d], axis=1)
-            best_i = np.concatenate([best_i, names], axis=1)
-            if best_d.shape[1] > k:
-                # order by distance, then id, so ties do not depend on the layout
-                keep = np.stack([np.lexsort((i, row))[:k] for i, row in zip(best_i, best_d)])
-                best_d = np.take_along_axis(best_d, keep, axis=1)
-                best_i = np.take_along_axis(best_i, keep, axis=1)
-        if best_d.size:
-            sign = 1.0 if metric == "l2" else -1.0
-            yield pd.DataFrame({
-                query_id: np.repeat(q_ids, best_d.shape[1]),
-                base_id: best_i.ravel(), "score": sign * best_d.ravel(),
-            })
+            names, vectors = batch[base_id].to_numpy(), np.stack(batch["__v"].to_numpy()).astype(np.float64)
+            for start in range(0, len(batch), step):
+                x = vectors[start:start + step]
+                qi, xi = candidates(x, q, worst)
+                score = np.empty(len(qi))
+                for lo in range(0, len(qi), SCORE_PAIRS):
+                    part = slice(lo, lo + SCORE_PAIRS)
+                    a, b = x[xi[part]], q[qi[part]]
+                    score[part] = np.sqrt(((a - b) ** 2).sum(axis=1)) if smallest else (a * b).sum(axis=1)
+                found = pd.DataFrame({"q": qi, "id": names[start:start + step][xi], "score": score})
+                best = _best(found if best is None else pd.concat([best, found]), k, smallest)
+                full = best.groupby("q")["score"].agg(["size", "max" if smallest else "min"])
+                full = full[full["size"] == k]
+                worst[full.index] = full.iloc[:, 1]
+        if best is not None:
+            yield pd.DataFrame({query_id: q_ids[best["q"].to_numpy()], base_id: best["id"].to_numpy(),
+                                "score": best["score"].to_numpy()})
 
     return base.mapInPandas(best_of, out_schema)
 

@@ -122,8 +122,20 @@ def _same(a: tuple, b: tuple) -> bool:
 
 
 def pooled_mean(df: DataFrame, vector: str) -> list[float]:
-    """Mean over all vectors: one number per dimension on the driver."""
-    rows = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect()
+    """Mean over all vectors: one partial sum per task, one number per dimension on the driver."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = 0, None
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["v"].to_numpy()).astype(np.float64)
+                n, total = n + len(x), x.sum(axis=0) + (0.0 if total is None else total)
+        if n:
+            yield pd.DataFrame({"n": [n], "total": [total]})
+
+    sums = df.select(F.col(vector).alias("v")).mapInPandas(partial, "n long, total array<double>")
+    rows = sums.select("n", F.posexplode("total").alias("i", "x")).groupBy("i").agg(
+        (F.sum("x") / F.sum("n")).alias("m")).collect()
     return [r["m"] for r in sorted(rows, key=lambda r: r["i"])]
 
 

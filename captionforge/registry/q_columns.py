@@ -169,9 +169,14 @@ def image_probe(spark, sf_dir):
 
 @query("image_probe_headers", f"SELECT doc_id, w AS width, h AS height FROM ({S.dims()})")
 def image_probe_headers(spark, sf_dir):
-    swap = lambda c: F.concat(F.substring(F.lpad(F.hex(F.col(c)), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(F.col(c)), 4, "0"), 1, 2))
-    gif = F.unhex(F.concat(F.hex(F.lit("GIF89a")), swap("w"), swap("h")))
-    return captioned(spark, sf_dir).select("doc_id", images.image_size(gif).alias("s")).select("doc_id", "s.width", "s.height")
+    """GIF headers for wide images, JPEG headers for the others."""
+    big = lambda c: F.lpad(F.hex(F.col(c)), 4, "0")
+    little = lambda c: F.concat(F.substring(big(c), 3, 2), F.substring(big(c), 1, 2))
+    gif = F.concat(F.hex(F.lit("GIF89a")), little("w"), little("h"))
+    jpeg = F.concat(F.lit("FFD8FFE000044A46FFC0000B08"), big("h"), big("w"))
+    body = F.unhex(F.when(F.col("w") > F.col("h"), gif).otherwise(jpeg))
+    sized = captioned(spark, sf_dir).select("doc_id", body.alias("image")).select("doc_id", images.image_size(F.col("image")).alias("s"))
+    return sized.select("doc_id", "s.width", "s.height")
 
 
 _PHASE = S.phase(f"({S.dims()})")

@@ -100,8 +100,9 @@ def save_sharded(df: DataFrame, order_by: list, path: str, num_shards: int | Non
                  max_shard_size: int | str | None = None, num_proc: int | None = None) -> DataFrame:
     """Save contiguous shards under ``path/data/shard=data-00000-of-00008/`` and return the manifest.
 
-    Each shard is written by one task, in row order; shards are bounded by the size rule, so a
-    task is too. The manifest, (shard, n_rows, n_bytes), is saved as ``path/manifest``.
+    The sorted rows already lie in slices of consecutive positions, so a task holds a shard
+    or a piece of one and rows are not shuffled again; ``row_idx`` gives the order inside a shard.
+    The manifest, (shard, n_rows, n_bytes), is saved as ``path/manifest``.
     """
     columns = df.columns
     indexed = with_row_index(df, order_by, "__idx").withColumn("__bytes", row_bytes(df.schema))
@@ -110,8 +111,7 @@ def save_sharded(df: DataFrame, order_by: list, path: str, num_shards: int | Non
     number = shard_of(F.col("__idx"), total["n"], shards)
     named = indexed.withColumn("shard", shard_file_name("data", number, F.lit(shards)))
     (
-        named.repartition(shards, "shard").sortWithinPartitions("shard", "__idx")
-        .select("shard", F.col("__idx").alias("row_idx"), *columns)
+        named.select("shard", F.col("__idx").alias("row_idx"), *columns).sortWithinPartitions("shard", "row_idx")
         .write.mode("errorifexists").partitionBy("shard").parquet(f"{path}/data")
     )
     manifest = named.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("__bytes").alias("n_bytes"))

@@ -49,9 +49,10 @@ def test_image_headers(spark):
     gif = b"GIF89a" + struct.pack("<HH", 33, 44)
     jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"JF" + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, 480, 640) + b"\x03"
     assert header_size(jpeg) == (640, 480) and header_size(gif) == (33, 44)
-    df = spark.createDataFrame([(0, png), (1, gif), (2, jpeg), (3, b"junk"), (4, None)], "i int, b binary")
-    rows = df.orderBy("i").select(shapes.png_size(F.col("b")).alias("p"), image_size("b").alias("s")).collect()
-    assert [tuple(r["p"]) if r["p"] else None for r in rows] == [(1024, 768), None, None, None, None]
-    assert [tuple(r["s"]) for r in rows] == [(1024, 768), (33, 44), (640, 480), (None, None), (None, None)]
+    padded = b"\xff\xd8" + (b"\xff\xe1" + struct.pack(">H", 65535) + b"x" * 65533) * 3 + jpeg[8:]
+    df = spark.createDataFrame([(0, png), (1, gif), (2, jpeg), (3, b"junk"), (4, None), (5, padded)], "i int, b binary")
+    rows = df.orderBy("i").select(shapes.png_size(F.col("b")).alias("p"), image_size(F.col("b")).alias("s")).collect()
+    assert [tuple(r["p"]) if r["p"] else None for r in rows] == [(1024, 768), None, None, None, None, None]
+    assert [tuple(r["s"]) if r["s"] else None for r in rows] == [(1024, 768), (33, 44), (640, 480), None, None, (640, 480)]
     probed = spark.createDataFrame([(png,)], "b binary").select(shapes.compat_probe(shapes.png_size(F.col("b"))).alias("c")).first()["c"]
     assert (probed["height"], probed["width"], probed["aspect_ratio"]) == (1024, 768, 0.75)
