@@ -6,7 +6,7 @@ batch. Everything around the model stays in column expressions.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -154,7 +154,7 @@ def hashed_words(width: int) -> ModelFactory:
         def encode(text: str | None) -> np.ndarray:
             v = np.zeros(width)
             for word, n in Counter((text or "").split()).items():
-                v[zlib.crc32(word.encode()) % width] += n
+                v[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % width] += n
             norm = np.linalg.norm(v)
             return v / norm if norm else v
 

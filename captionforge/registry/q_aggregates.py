@@ -41,6 +41,16 @@ def frechet_distance(spark, sf_dir):
     return distance.withColumn("distance", F.round("distance", 3))
 
 
+@query("frechet_distance_affine", f"""WITH m AS (SELECT label, i, avg(x) AS mu, var_samp(x) AS var FROM ({_LONG}) GROUP BY label, i)
+  SELECT label, round(sum((mu - (0.5 * mu + 0.1)) ** 2) + 0.25 * sum(var), 4) AS distance FROM m GROUP BY label""")
+def frechet_distance_affine(spark, sf_dir):
+    """Against 0.5 x + 0.1, where the distance has a closed form: sqrt(S * 0.25 S) = 0.5 S."""
+    real = table(spark, sf_dir, "embeddings")
+    moved = real.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * 0.5 + 0.1))
+    distance = evaluation.frechet_per_class(real, moved, "label", "embedding", ["vec_id"])
+    return distance.withColumn("distance", F.round("distance", 4))
+
+
 _STEPS = "SELECT event_type, event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS step FROM events"
 
 

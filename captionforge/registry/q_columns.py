@@ -104,6 +104,15 @@ def filter_(spark, sf_dir):
     return filters.filter_rows(docs, (F.col("n_chars") > 500) & (F.col("lang") != "de")).select("doc_id", "lang")
 
 
+@query("filter_with_index", """SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS i FROM documents)
+  WHERE i >= (SELECT count(*) // 4 FROM documents)""")
+def filter_with_index(spark, sf_dir):
+    """All but the shortest quarter of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    cut = docs.count() // 4
+    return filters.filter_with_index(docs, ["n_chars", "doc_id"], lambda i: i >= cut).select("doc_id", "lang")
+
+
 @query("dropna_subset", f"""SELECT doc_id, class FROM (SELECT doc_id, class, CASE WHEN h > 512 THEN h END AS height, CASE WHEN w > 700 THEN w END AS width FROM ({CAPTIONED}))
   WHERE height IS NOT NULL AND width IS NOT NULL""")
 def dropna_subset(spark, sf_dir):

@@ -63,13 +63,23 @@ def recaption_job(spark, sf_dir):
     return done.select("doc_id", "recaption", "recaption_short")
 
 
-@query("encode_text_job")
+def _encoder(part: str, width: int, offset: int) -> str:
+    """Hashed-word counts over their Euclidean norm, as (doc_id, part, i, x) rows."""
+    return f"""SELECT doc_id, '{part}' AS part, k + {offset} AS i, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM
+      (SELECT doc_id, CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT) % {width} AS k, count(*)::DOUBLE AS n FROM w GROUP BY ALL)"""
+
+
+@query("encode_text_job", f"""WITH w AS MATERIALIZED (SELECT doc_id, word FROM (SELECT doc_id, unnest({S.words('text')}) AS word FROM documents) WHERE word <> ''),
+  e AS ({_encoder('states', 24, 0)} UNION ALL {_encoder('states', 16, 24)} UNION ALL {_encoder('pooled', 8, 0)})
+  SELECT doc_id, part, CAST(r.i AS INTEGER) AS i, round(coalesce(e.x, 0), 6) AS x
+  FROM (SELECT doc_id, 'states' AS part, i FROM documents, range(48) g(i) UNION ALL SELECT doc_id, 'pooled', i FROM documents, range(8) g(i)) r LEFT JOIN e USING (doc_id, part, i)""")
 def encode_text_job(spark, sf_dir):
-    """Hashed-word stand-ins for the three encoders over whole texts; checked against numpy in the tests."""
+    """Hashed-word stand-ins for the three encoders over whole texts, one row per vector element."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = models.encode_text(docs, "text", models.hashed_words(24), models.hashed_words(16), models.hashed_words(8))
-    return coded.select("doc_id", F.size("text_states").alias("width"), F.transform("text_states", lambda x: F.round(x, 6)).alias("states"),
-                        F.transform("text_pooled", lambda x: F.round(x, 6)).alias("pooled"))
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"text_{p}").alias("v")) for p in ("states", "pooled")])
+    rows = coded.select("doc_id", F.inline(parts)).select("doc_id", "part", F.posexplode("v").alias("i", "x"))
+    return rows.withColumn("x", F.round("x", 6))
 
 
 def _byte_shares(batch: pd.DataFrame) -> pd.Series:
@@ -81,7 +91,10 @@ def _byte_shares(batch: pd.DataFrame) -> pd.Series:
     return batch["image"].map(shares)
 
 
-@query("feature_job")
+@query("feature_job", """WITH h AS (SELECT page_id, hex(encode(html)) AS h FROM pages),
+  d AS (SELECT page_id, length(h) // 2 AS n, substr(h, p + 1, 1) AS digit FROM (SELECT page_id, h, unnest(range(0, length(h), 2)) AS p FROM h)),
+  c AS (SELECT page_id, CAST('0x' || digit AS INTEGER) AS i, count(*) / any_value(n) AS x FROM d GROUP BY page_id, digit)
+  SELECT page_id, CAST(g.i AS INTEGER) AS i, round(coalesce(x, 0), 6) AS x FROM pages CROSS JOIN range(16) g(i) LEFT JOIN c USING (page_id, i)""")
 def feature_job(spark, sf_dir):
     """Classifier features of every page body, one row per feature."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("body"))

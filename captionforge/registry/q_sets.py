@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from captionforge.operators import combine as K
+from captionforge.functions.rand import hash_uniform
+from captionforge.operators import combine as K, splits
 from captionforge.registry import query, sqltext as S, table
 
 
@@ -68,12 +69,31 @@ def interleave_prob_all(spark, sf_dir):
     return K.interleave_prob(_rows(spark, sf_dir), "ds", ["doc_id"], _P, 37, all_exhausted=True)
 
 
-@query("per_split", f"""SELECT split, doc_id, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS split_idx
-  FROM (SELECT doc_id, CASE WHEN {S.uniform(2, 'doc_id')} < 0.3 THEN 'test' ELSE 'train' END AS split FROM documents)""")
-def per_split(spark, sf_dir):
-    from captionforge.functions.rand import hash_uniform
-    from captionforge.operators.positions import with_group_index
+_SPLIT = f"(SELECT doc_id, lang, CASE WHEN {S.uniform(2, 'doc_id')} < 0.3 THEN 'test' ELSE 'train' END AS split FROM documents)"
+
 
+def _split(spark, sf_dir):
     split = F.when(hash_uniform(2, F.col("doc_id")) < 0.3, "test").otherwise("train")
-    rows = table(spark, sf_dir, "documents").select("doc_id", split.alias("split"))
-    return with_group_index(rows, ["split"], ["doc_id"], "split_idx")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", split.alias("split"))
+
+
+@query("per_split", f"SELECT split, doc_id, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS split_idx FROM {_SPLIT}")
+def per_split(spark, sf_dir):
+    return splits.index_per_split(_split(spark, sf_dir), ["doc_id"], "split_idx").select("split", "doc_id", "split_idx")
+
+
+@query("per_split_shuffle", f"SELECT split, doc_id, row_number() OVER (PARTITION BY split ORDER BY {S.uniform(6, 'doc_id')}, doc_id) - 1 AS shuffled_idx FROM {_SPLIT}")
+def per_split_shuffle(spark, sf_dir):
+    return splits.shuffle_per_split(_split(spark, sf_dir), ["doc_id"], 6).select("split", "doc_id", "shuffled_idx")
+
+
+@query("per_split_shards", f"""SELECT split, doc_id, CAST(CASE WHEN i < m * (d + 1) THEN i // (d + 1) ELSE m + (i - m * (d + 1)) // greatest(d, 1) END AS BIGINT) AS shard
+  FROM (SELECT split, doc_id, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY split) // 3 AS d,
+  count(*) OVER (PARTITION BY split) % 3 AS m FROM {_SPLIT})""")
+def per_split_shards(spark, sf_dir):
+    return splits.shard_per_split(_split(spark, sf_dir), ["doc_id"], 3).select("split", "doc_id", "shard")
+
+
+@query("per_split_unique", f"SELECT split, lang, min(doc_id) AS first_seen FROM {_SPLIT} GROUP BY split, lang")
+def per_split_unique(spark, sf_dir):
+    return splits.unique_per_split(_split(spark, sf_dir), "lang", "doc_id")

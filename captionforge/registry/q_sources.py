@@ -147,7 +147,13 @@ def sink_sharded(spark, sf_dir):
     return manifest.select("shard", "n_rows")
 
 
-@query("sink_sharded_by_size")
+_BYTES = "8 + strlen(text) + 4 + strlen(lang) + 4 + strlen(source) + 4 + 8"
+
+
+@query("sink_sharded_by_size", f"""WITH t AS (SELECT count(*) AS n, CAST(trunc(sum({_BYTES}) / 200000) AS BIGINT) + 1 AS s FROM documents),
+  r AS (SELECT {_BYTES} AS b, row_number() OVER (ORDER BY doc_id) - 1 AS i, n // s AS d, n % s AS m, s FROM documents, t)
+  SELECT printf('data-%05d-of-%05d', CASE WHEN i < m * (d + 1) THEN i // (d + 1) ELSE m + (i - m * (d + 1)) // d END, s) AS shard,
+  count(*) AS n_rows, CAST(sum(b) AS BIGINT) AS n_bytes FROM r GROUP BY 1""")
 def sink_sharded_by_size(spark, sf_dir):
     """Shards of at most 200 kB of whole documents, with their sizes."""
     docs = table(spark, sf_dir, "documents")
