@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionforge.functions.rand import hash_uniform
-from captionforge.operators.positions import with_group_index, with_row_index
+from captionforge.operators.positions import keys_at, sorts_before, with_group_index, with_row_index
 from captionforge.session import materialize
 
 
@@ -76,17 +76,25 @@ def split_sizes(n: int, test_size: float | int | None = None, train_size: float
 
 def train_test_split(df: DataFrame, key: list[str], test_size=None, train_size=None, shuffle: bool = True,
                      seed: int = 0, name: str = "split") -> DataFrame:
-    """Rows labelled ``train`` or ``test`` in exact counts; surplus rows are dropped."""
-    if shuffle:
-        indexed = with_row_index(with_draw(df, key, seed), [_DRAW, *key], "__idx").drop(_DRAW)
-    else:
-        indexed = with_row_index(df, key, "__idx")
-    n_train, n_test = split_sizes(indexed.count(), test_size, train_size)
-    first, first_n, second = ("test", n_test, "train") if shuffle else ("train", n_train, "test")
+    """Rows labelled ``train`` or ``test`` in exact counts; surplus rows are dropped.
+
+    Only keys are sorted, to find where the splits end; the rows themselves are labelled in
+    place, by comparison with those keys.
+    """
+    drawn = with_draw(df, key, seed) if shuffle else df
+    order = [_DRAW, *key] if shuffle else list(key)
+    first, second = ("test", "train") if shuffle else ("train", "test")
+
+    def ends(total: int) -> tuple[int, int]:
+        n_train, n_test = split_sizes(total, test_size, train_size)
+        return n_test if shuffle else n_train, n_train + n_test
+
+    total, keys = keys_at(drawn, order, ends)
+    border, end = ends(total)
     return (
-        indexed.where(F.col("__idx") < n_train + n_test)
-        .withColumn(name, F.when(F.col("__idx") < first_n, first).otherwise(second))
-        .drop("__idx")
+        drawn.where(sorts_before(drawn, order, keys.get(end)))
+        .withColumn(name, F.when(sorts_before(drawn, order, keys.get(border)), first).otherwise(second))
+        .select(*df.columns, name)
     )
 
 
@@ -106,8 +114,14 @@ def _quota(counts: DataFrame, label: str, weight: str, total: int, wanted: int,
 
 def train_test_split_stratified(df: DataFrame, label: str, key: list[str], test_size=None, train_size=None,
                                 seed: int = 0, name: str = "split") -> DataFrame:
-    """Exact split that keeps the class shares; every class needs two members."""
-    placed = with_group_index(with_draw(df, key, seed), [label], [_DRAW, *key], "__pos").drop(_DRAW)
+    """Exact split that keeps the class shares; every class needs two members.
+
+    Only (label, draw, key) is sorted. Each class's two borders, one small row, then label the
+    rows in place.
+    """
+    drawn = with_draw(df, key, seed)
+    order = [_DRAW, *[k for k in key if k != label]]
+    placed = with_group_index(drawn.select(label, *order), [label], order, "__pos")
     counts = materialize(placed.groupBy(label).agg(F.count(F.lit(1)).alias("__n")), "classes")
     n, smallest = counts.agg(F.sum("__n"), F.min("__n")).first()
     if smallest < 2:
@@ -116,11 +130,20 @@ def train_test_split_stratified(df: DataFrame, label: str, key: list[str], test_
     quotas = _quota(counts, label, "__n", n, n_test, "__test")
     left = quotas.withColumn("__left", F.col("__n") - F.col("__test"))
     quotas = _quota(left, label, "__left", n - n_test, n_train, "__train")
-    quotas = materialize(quotas.select(F.col(label).alias("__label"), "__test", "__train"), "quotas")
-    pos = F.col("__pos")
+    quotas = materialize(quotas.select(
+        F.col(label).alias("__label"), F.col("__test"), (F.col("__test") + F.col("__train")).alias("__end")), "quotas")
+    place = F.struct(*order)
+    at = lambda border: F.max(F.when(F.col("__pos") == F.col(border), place))
+    # a class whose border lies past its last row has no row there: null means no limit
+    borders = (
+        quotas.join(placed, F.col(label).eqNullSafe(F.col("__label"))
+                    & ((F.col("__pos") == F.col("__test")) | (F.col("__pos") == F.col("__end"))), "left")
+        .groupBy("__label").agg(at("__test").alias("__test_key"), at("__end").alias("__end_key"))
+    )
+    before = lambda border: F.col(border).isNull() | (place < F.col(border))
     return (
-        placed.join(quotas, F.col(label).eqNullSafe(F.col("__label")))
-        .where(pos < F.col("__test") + F.col("__train"))
-        .withColumn(name, F.when(pos < F.col("__test"), "test").otherwise("train"))
-        .drop("__pos", "__label", "__test", "__train")
+        drawn.join(materialize(borders, "borders"), F.col(label).eqNullSafe(F.col("__label")))
+        .where(before("__end_key"))
+        .withColumn(name, F.when(before("__test_key"), "test").otherwise("train"))
+        .select(*df.columns, name)
     )

@@ -1,7 +1,7 @@
 """Row positions, and the operators defined by them.
 
 A DataFrame has no order, so every positional operator takes ``order_by``, a list of
-columns that together identify a row. Positions come from one distributed sort: range
+columns that together identify a row; a plain name sorts ascending, nulls first. Positions come from one distributed sort: range
 partitions hold consecutive slices, so position = rows in earlier slices + offset inside the
 slice. No slice depends on the number of distinct groups, so a group holding a third of
 all rows is spread over as many tasks as any other rows.
@@ -9,7 +9,7 @@ all rows is spread over as many tasks as any other rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from captionforge.session import materialize
@@ -33,7 +33,11 @@ def _sorted_slices(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx") -> DataFrame:
-    """Append the dense 0-based position of each row in ``order_by`` order."""
+    """Append the dense 0-based position of each row in ``order_by`` order.
+
+    All columns of ``df`` are sorted and written once: number the key columns and join wide ones
+    afterwards where few rows need them.
+    """
     slices = _sorted_slices(df, _columns(order_by))
     # One row per slice, so the unpartitioned window sees at most as many rows as the
     # sort had partitions.
@@ -76,6 +80,46 @@ def with_group_index(df: DataFrame, group_by: list[str], order_by: list, name: s
     return out.drop(_SLICE, _OFFSET, _BASE, "__run_slice", *[f"__run_{g}" for g in group_by])
 
 
+def keys_at(df: DataFrame, order_by: list[str], positions) -> tuple[int, dict[int, Row]]:
+    """Row count, and the sort keys of the rows at a few positions.
+
+    Only the key columns are sorted. Comparing other columns' rows with these keys then selects by
+    position without moving them.
+    """
+    keys = with_row_index(df.select(*order_by), order_by, "__idx")
+    total = keys.count()
+    wanted = {p for p in (positions(total) if callable(positions) else positions) if 0 <= p < total}
+    found = keys.where(F.col("__idx").isin(sorted(wanted))).collect() if wanted else []
+    return total, {r["__idx"]: r for r in found}
+
+
+def sorts_before(df: DataFrame, order_by: list[str], row: Row | None) -> Column:
+    """True for rows that sort before ``row``; all rows do when it is None (past the end).
+
+    The condition on the first key alone is implied, and is one the file scan can use.
+    """
+    if row is None:
+        return F.lit(True)
+    values = [F.lit(row[c]).cast(df.schema[c].dataType) for c in order_by]
+    first = F.col(order_by[0])
+    if len(order_by) == 1:
+        return first.isNull() | (first < values[0]) if row[order_by[0]] is not None else F.lit(False)
+    whole = F.struct(*order_by) < F.struct(*[v.alias(c) for c, v in zip(order_by, values)])
+    return whole if row[order_by[0]] is None else (first.isNull() | (first <= values[0])) & whole
+
+
+def _slice_rows(df: DataFrame, order_by: list, bounds) -> DataFrame:
+    """Rows at positions [start, stop), where ``bounds(total)`` gives the two."""
+    if all(isinstance(c, str) for c in order_by):
+        total, keys = keys_at(df, order_by, bounds)
+        start, stop = bounds(total)
+        low = sorts_before(df, order_by, keys.get(start)) if 0 < start else F.lit(False)
+        return df.where(~low & sorts_before(df, order_by, keys.get(stop))) if start < stop else df.limit(0)
+    indexed = with_row_index(df, order_by, "__idx")
+    start, stop = bounds(indexed.count())
+    return indexed.where((F.col("__idx") >= start) & (F.col("__idx") < stop)).drop("__idx")
+
+
 def shard_of(row_idx: Column, total: Column | int, shards: int) -> Column:
     """Contiguous shard number: the first ``total % shards`` shards get one row more."""
     total = total if isinstance(total, Column) else F.lit(total)
@@ -102,8 +146,15 @@ def shard(df: DataFrame, order_by: list, num_shards: int, index: int, contiguous
     """The rows of one shard."""
     if not 0 <= index < num_shards:
         raise ValueError("index should be in [0, num_shards-1]")
-    cut = shard_contiguous if contiguous else shard_strided
-    return cut(df, order_by, num_shards, "__shard").where(F.col("__shard") == index).drop("__shard")
+    if not contiguous:
+        return shard_strided(df, order_by, num_shards, "__shard").where(F.col("__shard") == index).drop("__shard")
+
+    def bounds(total: int) -> tuple[int, int]:
+        div, mod = divmod(total, num_shards)
+        start = div * index + min(index, mod)
+        return start, start + div + (index < mod)
+
+    return _slice_rows(df, order_by, bounds)
 
 
 def split_by_node(df: DataFrame, order_by: list, rank: int, world_size: int) -> DataFrame:
@@ -127,7 +178,7 @@ def select_indices(df: DataFrame, order_by: list, indices: DataFrame, index_col:
 
 
 def skip(df: DataFrame, order_by: list, n: int) -> DataFrame:
-    return with_row_index(df, order_by, "__idx").where(F.col("__idx") >= n).drop("__idx")
+    return _slice_rows(df, order_by, lambda total: (min(n, total), total))
 
 
 TOP_N_ROWS = 10000  # up to here a top-n keeps n rows per task and on the driver
@@ -137,7 +188,7 @@ def take(df: DataFrame, order_by: list, n: int) -> DataFrame:
     """First ``n`` rows: a top-n when that is small, otherwise by position."""
     if n <= TOP_N_ROWS:
         return df.orderBy(*_columns(order_by)).limit(n)
-    return with_row_index(df, order_by, "__idx").where(F.col("__idx") < n).drop("__idx")
+    return _slice_rows(df, order_by, lambda total: (0, min(n, total)))
 
 
 def getitem(df: DataFrame, order_by: list, key) -> DataFrame:
@@ -146,6 +197,8 @@ def getitem(df: DataFrame, order_by: list, key) -> DataFrame:
         if key not in df.columns:
             raise KeyError(key)
         return df.select(key)
+    if isinstance(key, slice) and key.step in (None, 1):
+        return _slice_rows(df, order_by, lambda total: key.indices(total)[:2])
     if isinstance(key, slice):
         indexed = with_row_index(df, order_by, "__idx")
         start, stop, step = key.indices(indexed.count())

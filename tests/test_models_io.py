@@ -218,3 +218,39 @@ def test_stream_shuffle_orders_each_micro_batch(spark, tmp_path):
     assert len({r["epoch"] for r in rows}) == 4 and [r["id"] for r in rows] != list(range(400))
     with pytest.raises(ValueError, match="more shards"):
         streams.stage_shards(spark.range(3), ["id"], 4, src + "x")
+
+
+def test_download_resumes(spark, tmp_path):
+    from captionforge.plans.acquire import download, downloaded
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def fetcher():
+        def get(url, attempt):
+            calls.add(1)
+            return (404, None) if url.endswith("3") else (200, url.encode())
+        return get
+
+    urls = spark.createDataFrame([(i, f"u{i}") for i in range(20)], "id long, url string")
+    out = str(tmp_path / "dl")
+    download(urls.where("id < 12"), "id", "url", out, fetcher, urls_per_task=5)
+    download(urls, "id", "url", out, fetcher, urls_per_task=5)
+    assert calls.value == 20
+    images, failed = downloaded(spark, out, "id")
+    assert images.count() == 18 and images.columns == ["id", "url", "content"]
+    assert sorted(r["id"] for r in failed.collect()) == [3, 13]
+
+
+def test_scratch_folder_is_the_named_one(tmp_path):
+    from types import SimpleNamespace
+
+    from captionforge.session import scratch_path, scratch_root
+
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://shared/cp/"))
+    assert scratch_root(named) == "hdfs://shared/cp"
+    assert scratch_path(named, "slices").startswith("hdfs://shared/cp/slices-")
+    cluster = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(cluster)

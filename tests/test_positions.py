@@ -161,3 +161,37 @@ def test_random_sort_flags(spark):
     assert got == [r[0] for r in sorted(rows, key=key)]
     with pytest.raises(ValueError):
         O.sort(df, ["a"], [True, False])
+
+
+def test_slices_by_key_comparison(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 2, 3]), rng.choice([None, "a", "b"]), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b string, i long")
+    ordered = [r[2] for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "", r[2]))]
+    got = lambda d: sorted(r["i"] for r in d.collect())
+    names = ["a", "b", "i"]
+    for start in (0, 1, 30, 77, 150, 199, 200, 500):
+        assert got(P.skip(df, names, start)) == sorted(ordered[start:])
+        assert got(P.getitem(df, names, slice(start, start + 25))) == sorted(ordered[start:start + 25])
+    assert got(P.shard(df, names, 7, 3)) == sorted(ordered[87:116])
+    assert got(P.skip(df, [F.col("i").desc()], 150)) == list(range(50))
+
+
+def test_large_take(spark, monkeypatch):
+    monkeypatch.setattr(P, "TOP_N_ROWS", 5)
+    assert sorted(r["id"] for r in P.take(spark.range(50), ["id"], 20).collect()) == list(range(20))
+    assert P.take(spark.range(50), ["id"], 80).count() == 50
+
+
+def test_slice_is_pushed_to_the_scan(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = P.skip(docs, ["doc_id"], 25)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(IsNull(doc_id),GreaterThanOrEqual(doc_id,25))" in plan or "GreaterThanOrEqual(doc_id,25)" in plan
+
+
+def test_split_keeps_every_row_once(spark):
+    df = spark.range(103).withColumn("k", F.col("id") % 2)
+    rows = O.train_test_split(df, ["id"], test_size=0.25, seed=4).collect()
+    assert Counter(r["split"] for r in rows) == {"test": 26, "train": 77} and len({r["id"] for r in rows}) == 103
+    ordered = O.train_test_split(df, ["id"], test_size=3, train_size=50, shuffle=False)
+    assert sorted((r["id"], r["split"]) for r in ordered.collect()) == [(i, "train") for i in range(50)] + [(i, "test") for i in range(50, 53)]
