@@ -85,16 +85,16 @@ def trim_text(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def capitalize(text: Column) -> Column:
-    """First character upper, the rest lower."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once however often the body uses it."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def capitalize(text: Column) -> Column:
+    """First character upper, the rest lower."""
+    return let(text, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substr(t, F.lit(2)))))
+
+
 def _guarded(text: Column, rewrite, upper: bool = False) -> Column:
     """Apply ``rewrite(text, openings)`` to each run of openings that share their first two words.
 
@@ -133,7 +133,7 @@ def strip_openings_fold(text: Column) -> Column:
     def step(acc: Column, item: Column) -> Column:
         opening, replacement = item["o"], item["r"]
         replaced = F.overlay(acc, replacement, F.position(opening, acc), F.length(opening))
-        return F.when(F.contains(acc, opening), let(replaced, capitalize)).otherwise(acc)
+        return F.when(F.contains(acc, opening), capitalize(replaced)).otherwise(acc)
 
     def rewrite(t: Column, openings) -> Column:
         pairs = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(r).alias("r")) for o, r in openings])

@@ -27,9 +27,10 @@ def dropna_subset(df: DataFrame, names: list[str]) -> DataFrame:
 def keep_not_null(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add ``value`` as a column and drop the rows where it is null, computing it once.
 
-    A plain filter would be pushed below the projection and compute the value a second time.
+    A filter on a projected column is pushed below the projection and computes the value again;
+    it cannot pass the one-row generator. (``explode`` would infer such a filter itself.)
     """
-    return df.withColumn(name, F.explode(F.array_compact(F.array(value))))
+    return df.withColumn(name, F.explode_outer(F.array(value))).where(F.col(name).isNotNull())
 
 
 def long_enough(*captions: Column) -> Column:
