@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from captionforge.functions.captions import stem_prefix, trim_text
 from captionforge.operators.positions import with_row_index
 
+# Fixed value: the class of rows whose captions come from a side table.
+MERGED_CLASS = "CC12M"
+
 
 def last_per_key(side: DataFrame, key: str, order: Column | str) -> DataFrame:
     """One row per key, the last in ``order``, as when rows are loaded into a dictionary.
@@ -44,7 +47,7 @@ def join_recaption(rows: DataFrame, side: DataFrame, order: str, row_id: str = "
         "missed": F.col("__main").isNull(),
         "recaption": recaption,
         "recaption_short": trim_text(F.coalesce(F.col("__short"), recaption)),
-        "class": F.lit("CC12M"),
+        "class": F.lit(MERGED_CLASS),
     }).drop("__key", "__main", "__short", fallback)
 
 

@@ -121,9 +121,12 @@ def knn_search(base: DataFrame, queries: DataFrame, k: int, base_id: str, base_v
     return spark.read.parquet(path)
 
 
+WORD = r"[\p{L}\p{N}]+"
+
+
 def analyse(text):
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def text_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, text: str, query_id: str,
@@ -139,7 +142,8 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, text:
     vocabulary = materialize(
         asked.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "vocabulary")
     tokens = docs.select(doc_id, analyse(F.col(text)).alias("__tokens"))
-    sizes = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__tokens")).alias("mean_len")).first()
+    words = F.regexp_count(F.lower(F.col(text)), F.lit(WORD))
+    sizes = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(words).alias("mean_len")).first()
     n_docs, mean_len = sizes["n"], sizes["mean_len"]
     # written once: read for the document frequencies and again for the scores
     postings = materialize(

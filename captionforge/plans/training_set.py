@@ -9,6 +9,19 @@ from captionforge.functions.captions import bucket_string, capitalize, let, stri
 from captionforge.functions.shapes import is_high_resolution, phase_dims
 from captionforge.operators.buckets import bucket_stats
 from captionforge.operators.filters import keep_not_null, long_enough
+from captionforge.operators.lookups import join_recaption, join_recaption_misses
+
+
+def merge_captions(raw: DataFrame, side: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """(training rows, error ledger) from raw rows and a caption side table.
+
+    Raw rows have ``id``, ``image`` (struct with ``bytes``) and ``conversations``; the ledger lists
+    the ids that had no caption.
+    """
+    narrow = raw.select("id", F.col("image.bytes").alias("image"), "conversations")
+    merged = join_recaption(narrow, side, order)
+    rows = merged.select("id", "image", "recaption", "recaption_short", "class")
+    return rows, join_recaption_misses(raw.select("id"), side)
 
 
 def clean_captions(df: DataFrame, names: list[str]) -> DataFrame:

@@ -84,6 +84,14 @@ def batch_drop_last(spark, sf_dir):
     return P.batch(_docs(spark, sf_dir), ["doc_id"], 32, drop_last=True).select("batch_id", F.concat_ws(",", "lang").alias("langs"))
 
 
+@query("iter", "SELECT i // 1000 AS batch_id, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total FROM (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) GROUP BY i // 1000")
+def iter_batches(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    total = F.aggregate("o_totalprice", F.lit(0.0), lambda a, x: a + x)
+    return P.batch(orders, ["o_orderkey"], 1000).select(
+        "batch_id", F.size("o_orderkey").cast("long").alias("n_rows"), F.round(total, 2).alias("total"))
+
+
 @query("sub_batch", "SELECT o_orderkey, i // 840 AS batch_id, (i % 840) // 140 AS piece FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)")
 def sub_batch(spark, sf_dir):
     rows = P.with_row_index(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])

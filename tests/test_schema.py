@@ -123,3 +123,16 @@ def test_zip_and_add_column(spark, df):
     assert sorted((r["id"], r["w"]) for r in L.add_column(df, ["id"], "w", other, ["k"]).collect()) == [(1, 10), (2, 20), (3, 30)]
     with pytest.raises(ValueError, match="exists"):
         L.add_column(df, ["id"], "name", other, ["k"])
+
+
+def test_merge_captions(spark):
+    from captionforge.plans.training_set import merge_captions
+
+    raw = spark.createDataFrame(
+        [("1", (bytearray(b"a"), "p"), talk("q", "alt")), ("2", (bytearray(b"b"), "p"), talk("q", " alt 2 "))],
+        "id string, image struct<bytes: binary, path: string>, conversations array<struct<from: string, value: string>>")
+    side = spark.createDataFrame([(0, "1", "long", "short")], "n long, key string, caption_llava string, caption_llava_short string")
+    rows, missed = merge_captions(raw, side, "n")
+    assert rows.columns == ["id", "image", "recaption", "recaption_short", "class"]
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", b"a", "short", "long", "CC12M"), ("2", b"b", "alt 2", "alt 2", "CC12M")]
+    assert [r["id"] for r in missed.collect()] == ["2"]
