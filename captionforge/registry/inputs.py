@@ -70,3 +70,12 @@ def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUCKETED = """SELECT o_orderkey AS row_idx, CAST(256 + 128 * CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS VARCHAR)
   || 'x' || CAST(256 + 128 * instr('FOP', o_orderstatus) AS VARCHAR) AS bucket_size FROM orders"""
+
+
+def first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as one row each, with an array of the two turns the caption lookup reads.
+
+    Two conditional maxima, so a conversation of any length is pre-aggregated to one row per task.
+    """
+    turn = lambda n: F.max(F.when(F.col("turn") == n, F.struct(F.col("role").alias("from"), F.col("text").alias("value"))))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array(turn(0), turn(1)).alias("conversations"))

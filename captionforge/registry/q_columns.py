@@ -10,7 +10,7 @@ from captionforge.functions import images, shapes
 from captionforge.operators import filters, schema
 from captionforge.plans import training_set
 from captionforge.registry import query, sqltext as S, table
-from captionforge.registry.inputs import CAPTIONED, GENERATED, captioned, generated
+from captionforge.registry.inputs import CAPTIONED, GENERATED, captioned, first_turns, generated
 
 
 @query("select_columns", "SELECT doc_id, lang FROM documents")
@@ -62,11 +62,9 @@ def const_column(spark, sf_dir):
 @query("struct_field", """SELECT conv_id, max(CASE WHEN turn = 1 THEN text END) AS second_value,
   max(CASE WHEN turn = 0 THEN role END) AS first_role FROM conversations GROUP BY conv_id""")
 def struct_field(spark, sf_dir):
-    # turns of one conversation are a short list by nature, as in the source schema
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("conversations"))
-    return talks.select("conv_id", F.get("conversations", 1)["text"].alias("second_value"),
-                        F.get("conversations", 0)["role"].alias("first_role"))
+    talks = first_turns(spark, sf_dir)
+    return talks.select("conv_id", F.get("conversations", 1)["value"].alias("second_value"),
+                        F.get("conversations", 0)["from"].alias("first_role"))
 
 
 @query("class_encode", """SELECT doc_id, c.class_id AS lang FROM documents JOIN

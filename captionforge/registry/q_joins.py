@@ -6,15 +6,14 @@ from pyspark.sql import functions as F
 
 from captionforge.operators import lookups as L
 from captionforge.registry import query, sqltext as S, table
+from captionforge.registry.inputs import first_turns
 
 # conversations become one row per conv_id with its turns; documents are the caption side table:
 # the key is the doc_id with its last digit dropped, so keys repeat and the last document wins.
 
 
 def _talks(spark, sf_dir):
-    # turns of one conversation are a short list by nature
-    turns = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("from"), F.col("text").alias("value"))))
-    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(turns.alias("conversations"))
+    return first_turns(spark, sf_dir).withColumnRenamed("conv_id", "id")
 
 
 def _captions(spark, sf_dir):

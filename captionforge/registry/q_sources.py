@@ -54,10 +54,11 @@ def src_jsonl(spark, sf_dir):
 @query("src_json_field", "SELECT conv_id, turn, text FROM conversations")
 def src_json_field(spark, sf_dir):
     path = scratch_path(spark, "jsonfield")
-    # one JSON document per conversation; its turns are the rows under "data"
-    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+    # JSON documents with fifty rows each under "data"
+    rows = with_row_index(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    documents = rows.groupBy(rows_per_file(F.col("row_idx"), 50)).agg(
         F.collect_list(F.struct("conv_id", "turn", "text")).alias("data"))
-    talks.select("data").write.json(path)
+    documents.select("data").write.json(path)
     return R.read_jsonl(spark, path, "data array<struct<conv_id: bigint, turn: bigint, text: string>>").select(F.inline("data"))
 
 
