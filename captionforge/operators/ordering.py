@@ -35,6 +35,7 @@ def sort(df: DataFrame, names: list[str], reverse: bool | list[bool] = False, nu
 
 
 _DRAW = "__draw"
+DRAW_BINS = 4096  # also the number of counts the driver sees
 
 
 def with_draw(df: DataFrame, key: list[str], seed: int) -> DataFrame:
@@ -74,12 +75,34 @@ def split_sizes(n: int, test_size: float | int | None = None, train_size: float
     return n_train, n_test
 
 
+def _permutation_keys(drawn: DataFrame, order: list[str], positions) -> tuple[int, dict]:
+    """``keys_at`` for the seeded permutation, without sorting all keys.
+
+    Draws are uniform, so counting them in equal bins tells which bin holds a position; only that
+    bin's keys, a ``DRAW_BINS``-th of all, are sorted.
+    """
+    bin_of = F.floor(F.col(_DRAW) * DRAW_BINS)
+    counts = {r["bin"]: r["count"] for r in drawn.groupBy(bin_of.alias("bin")).count().collect()}
+    total, found = sum(counts.values()), {}
+    start = 0
+    wanted = sorted({p for p in positions(total) if 0 <= p < total})
+    for number in sorted(counts):
+        inside = [p for p in wanted if start <= p < start + counts[number]]
+        if inside:
+            # written first: a sort reads its input twice
+            small = materialize(drawn.where(bin_of == number).select(*order), "bin")
+            _, rows = keys_at(small, order, [p - start for p in inside])
+            found.update({start + offset: row for offset, row in rows.items()})
+        start += counts[number]
+    return total, found
+
+
 def train_test_split(df: DataFrame, key: list[str], test_size=None, train_size=None, shuffle: bool = True,
                      seed: int = 0, name: str = "split") -> DataFrame:
     """Rows labelled ``train`` or ``test`` in exact counts; surplus rows are dropped.
 
-    Only keys are sorted, to find where the splits end; the rows themselves are labelled in
-    place, by comparison with those keys.
+    Only keys are looked at to find where the splits end; the rows themselves are labelled in
+    place, by comparison with those keys, and are not moved.
     """
     drawn = with_draw(df, key, seed) if shuffle else df
     order = [_DRAW, *key] if shuffle else list(key)
@@ -89,7 +112,7 @@ def train_test_split(df: DataFrame, key: list[str], test_size=None, train_size=N
         n_train, n_test = split_sizes(total, test_size, train_size)
         return n_test if shuffle else n_train, n_train + n_test
 
-    total, keys = keys_at(drawn, order, ends)
+    total, keys = (_permutation_keys if shuffle else keys_at)(drawn, order, ends)
     border, end = ends(total)
     return (
         drawn.where(sorts_before(drawn, order, keys.get(end)))
