@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionforge.llm import decontam
+from captionforge.llm import decontam, jaccard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("scan.n_words"), F.col("scan.n_hit"), F.size("scan.items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "scan.items"), 256).alias("items_sha256"),
         decontam.is_contaminated().alias("contaminated"))
+
+
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "copies", "n_links", "n_linked_texts")
