@@ -11,14 +11,14 @@ from captionforge.session import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node the node sees."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of these."""
     down = edges.where("a > b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -38,10 +38,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     # one direction, so that the digest can tell when nothing moves
+    # and minima are written, so that each join has exchanges of its own, which skew handling can split
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _digest(edges)
     while before[0]:
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        edges = materialize(_small_star(materialize(_large_star(edges), "stars")), "stars")
         now = _digest(edges)
         if now == before:
             break

@@ -40,6 +40,10 @@ SAMPLED = 48        # sampled tokens of a record
 BINS = 64
 BUCKET = 128
 DEPTH = 6
+# A record leaves its bucket when it is as close as PIVOT_TAKES to the pivot. By the triangle inequality of the
+# Jaccard distance its partners at 0.8 then resemble the pivot by about 0.55 or more, and are linked to it.
+PIVOT_TAKES = 0.75
+PIVOT_LINK = 0.25
 BLOCK_RECORDS = 1024
 BLOCK_TOKENS = 1 << 19
 
@@ -209,8 +213,7 @@ def _bucket_links(threshold: float):
 
 def _estimates(one: pa.Array, other: pa.Array) -> pa.Array:
     grid = lambda x: np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, BINS)
-    estimate, used = _alike(grid(one), grid(other))
-    return pa.StructArray.from_arrays([pa.array(estimate, pa.float64()), pa.array(used, pa.int32())], ["estimate", "used"])
+    return pa.array(_alike(grid(one), grid(other))[0], pa.float64())
 
 
 def _forest(buckets: DataFrame, by: list[str], threshold: float) -> DataFrame:
@@ -224,28 +227,30 @@ def candidate_links(records: DataFrame, threshold: float = THRESHOLD, recall: fl
     choose, go_on = _children(BRANCH), _children(DEEPER)
     starts = [choose(F.lit(1_000_003 * (run + 1)).cast("long"), "size", "tokens") for run in range(runs_for(recall, threshold))]
     at = records.select("skey", "size", "sketch", F.explode(F.concat(*starts)).alias("path"))
-    for depth in range(DEPTH + 1):
-        at = at if depth else materialize(at, "paths")
+    at = materialize(at.withColumn("depth", F.lit(0)), "paths")
+    while True:
         counts = at.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         at = materialize(at.join(counts, "path"), "shared")
         links.append(materialize(_forest(at.where(f"n <= {BUCKET}"), ["path"], threshold), "links"))
         large = at.where(f"n > {BUCKET}")
-        pivots = large.groupBy("path").agg(F.min(F.struct("skey", "size", "sketch")).alias("pivot"))
-        compared = materialize(large.drop("n").join(pivots, "path").withColumn("as", F.arrow_udf(_estimates, "struct<estimate:double,used:int>")("sketch", "pivot.sketch")), "pivots")
-        ratio = F.least("size", "pivot.size") >= threshold * F.greatest("size", "pivot.size")
-        margin = F.col("as.estimate") >= threshold - 5 * F.sqrt(threshold * (1 - threshold) / F.col("as.used"))
-        links.append(compared.where(ratio & margin).select(F.col("skey").alias("a"), F.col("pivot.skey").alias("b")))
-        rest = compared.where("as.estimate < 0.9").select("path", "skey", "size", "sketch")
-        if rest.isEmpty():
+        # every path has a pivot of its own
+        pivots = materialize(large.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "skey").alias("h"), "skey", "sketch")).alias("pivot")), "pivots")
+        alike = F.arrow_udf(_estimates, "double")("sketch", "pivot.sketch")
+        compared = materialize(large.join(pivots, "path").withColumn("alike", alike), "compared")
+        links.append(compared.where(F.col("alike") >= PIVOT_LINK).select(F.col("skey").alias("a"), F.col("pivot.skey").alias("b")))
+        left = compared.where(F.col("alike") < PIVOT_TAKES).select("path", "depth", "n", "skey", "size", "sketch")
+        if left.isEmpty():
             break
-        if depth == DEPTH:
-            links.append(_blocks(rest, threshold))
-            break
-        counts = rest.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-        rest = materialize(rest.join(counts, "path"), "rest")
-        links.append(_forest(rest.where(f"n > 1 and n <= {BUCKET}"), ["path"], threshold))
-        going = rest.where(f"n > {BUCKET}").drop("n").join(records.select("skey", "tokens"), "skey")
-        at = materialize(going.select("skey", "size", "sketch", F.explode(go_on("path", "size", "tokens")).alias("path")), "paths")
+        now = left.groupBy("path").agg(F.count(F.lit(1)).alias("m"))
+        left = materialize(left.join(now, "path"), "left")
+        # a bucket that its pivot has thinned out goes on with another one, else it is split on a further token
+        links.append(materialize(_forest(left.where(f"m > 1 and m <= {BUCKET}"), ["path"], threshold), "links"))
+        left = left.where(f"m > {BUCKET}")
+        again = left.where("4 * m <= 3 * n").select("skey", "size", "sketch", F.xxhash64("path").alias("path"), "depth")
+        links.append(_blocks(left.where(f"4 * m > 3 * n and depth >= {DEPTH}"), threshold))
+        split = left.where(f"4 * m > 3 * n and depth < {DEPTH}").join(records.select("skey", "tokens"), "skey")
+        split = split.select("skey", "size", "sketch", F.explode(go_on("path", "size", "tokens")).alias("path"), (F.col("depth") + 1).alias("depth"))
+        at = materialize(again.union(split), "paths")
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
@@ -302,8 +307,7 @@ def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, {}
         for batch in batches:
-            rows = batch.to_pydict()
-            # neighbouring batches of a group are put together by their keys
+            rows = batch.select(["cluster", "lo", "hi", "skey", "own", "copies"]).to_pydict()
             for base, sets in shingle_sets(batch.column(batch.schema.get_field_index("text"))):
                 for r, tokens in enumerate(sets, base):
                     here = (rows["cluster"][r], rows["lo"][r], rows["hi"][r])
@@ -333,7 +337,9 @@ def verified_links(docs: DataFrame, records: DataFrame, clusters: DataFrame, thr
     spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "skey", "own", "copies", "text")
     # a task holds the groups it was dealt one after the other
-    dealt = spread.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    # the work is in the sets, not in the bytes that adaptive execution would deal by
+    total = members.agg(F.sum("size")).first()[0] or 0
+    dealt = spread.repartition(int(total // BLOCK_TOKENS) + 1, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
     return dealt.mapInArrow(_compare(threshold), "a binary, b binary, docs bigint, texts bigint")
 
 
