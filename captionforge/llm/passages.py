@@ -9,6 +9,8 @@
 3. Chains fetch their words as tiles, one row per tile however many chains ask for it, are extended at
    both ends and aligned between blocks. A chain of at least ``MIN_WORDS`` words and
    ``IDENTITY`` equal words is a repeated passage of the later document; the first keeps its text.
+   A document's best chains are aligned first, and the others only where no found passage covers them, so
+   near copies, whose seeds lead to many earlier copies, are not aligned with each of these.
 
 Defined cases: null and empty texts have no passage; rows equal in id and text are one document (each gets
 the same spans); a null id sorts first; an empty table has no passages; further columns stay as they are.
@@ -34,6 +36,7 @@ MIN_WORDS = 50
 IDENTITY = 0.8
 GAP_COST = 0.125   # words of score lost for each word of gap, both documents together
 FLANK = 64         # words that an end may be extended
+MAX_GAP = 64       # words between neighbouring blocks of a chain, in either document
 X_DROP = 12        # an extension stops so far below its best score
 TILE = 256
 
@@ -198,6 +201,9 @@ def chains_of(d: np.ndarray, r: np.ndarray, n: np.ndarray, gap_cost: float = GAP
     for i in sorted(range(len(d)), key=lambda i: -score[i]):
         chain = []
         while i >= 0 and not used[i]:
+            if chain and max(d[chain[-1]] - d[i] - n[i], r[chain[-1]] - r[i] - n[i]) > MAX_GAP:
+                out.append(chain[::-1])
+                chain = []
             used[i] = True
             chain.append(i)
             i = before[i]
@@ -206,43 +212,78 @@ def chains_of(d: np.ndarray, r: np.ndarray, n: np.ndarray, gap_cost: float = GAP
     return out
 
 
+def first_wave(intervals: list[tuple[int, int, int]]) -> list[bool]:
+    """Of a document's chains (start, end, score), the best ones that do not lie half or more in better ones."""
+    taken: list[tuple[int, int]] = []  # disjoint, sorted
+    out = [False] * len(intervals)
+    for i in sorted(range(len(intervals)), key=lambda i: (-intervals[i][2], i)):
+        lo, hi, _ = intervals[i]
+        at = bisect_left(taken, (lo, lo))
+        at -= at > 0 and taken[at - 1][1] > lo
+        upto, inside = at, 0
+        while upto < len(taken) and taken[upto][0] < hi:
+            inside += min(hi, taken[upto][1]) - max(lo, taken[upto][0])
+            upto += 1
+        if 2 * inside < hi - lo:
+            out[i] = True
+            near = [(lo, hi), *taken[at:upto]]
+            taken[at:upto] = [(min(a for a, _ in near), max(b for _, b in near))]
+    return out
+
+
 _CHAIN = pa.schema([("doc_id", pa.int64()), ("salt", pa.int32()), ("r_doc", pa.int64()), ("r_salt", pa.int32()),
-                    ("blocks", pa.list_(pa.struct([("d", pa.int32()), ("r", pa.int32()), ("n", pa.int32())])))])
+                    ("blocks", pa.list_(pa.struct([("d", pa.int32()), ("r", pa.int32()), ("n", pa.int32())]))), ("best", pa.bool_())])
+
+
+def _changes(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    """Rows that differ from the row before in one of the columns, nulls being equal."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    for name in names:
+        column = table.column(name).combine_chunks()
+        value, null = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+        new[1:] |= (value[1:] != value[:-1]) | (null[1:] != null[:-1])
+    return new
 
 
 def _chain(kmer: int, window: int):
-    """Matches sorted by (document, other document) to chains; a pair of documents is held at a time."""
+    """Matches sorted by (document, other document) to chains; the matches of one document are held at a time."""
+
+    def finish(table: pa.Table) -> pa.RecordBatch:
+        pos, other = table.column("pos").to_numpy().astype(np.int64), table.column("r_pos").to_numpy().astype(np.int64)
+        doc = _changes(table, ("doc_id", "salt"))
+        pair = np.flatnonzero(doc | _changes(table, ("r_doc", "r_salt"))).tolist()
+        keys, blocks, best, own = [], [], [], []
+
+        def close() -> None:
+            best.extend(first_wave(own))
+            own.clear()
+
+        for lo, hi in zip([0, *pair], [*pair, table.num_rows]):
+            if doc[lo]:
+                close()
+            d, r, n = merge_diagonals(pos[lo:hi], other[lo:hi], kmer, kmer + window)
+            for chain in chains_of(d, r, n) if len(d) > 1 else [[0]]:
+                keys.append(lo)
+                blocks.append([{"d": int(d[i]), "r": int(r[i]), "n": int(n[i])} for i in chain])
+                own.append((int(d[chain[0]]), int(d[chain[-1]] + n[chain[-1]]), int(n[chain].sum())))
+        close()
+        names = table.select(["doc_id", "salt", "r_doc", "r_salt"]).take(pa.array(keys, pa.int64())).combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [*(names.column(i).combine_chunks() for i in range(4)), pa.array(blocks, _CHAIN.field(4).type), pa.array(best)], schema=_CHAIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-
-        def finish(table: pa.Table, upto: list[int]) -> pa.RecordBatch:
-            pos, other = table.column("pos").to_numpy(), table.column("r_pos").to_numpy()
-            keys, blocks = [], []
-            for lo, hi in zip(upto, upto[1:]):
-                d, r, n = merge_diagonals(pos[lo:hi].astype(np.int64), other[lo:hi].astype(np.int64), kmer, kmer + window)
-                for chain in chains_of(d, r, n) if len(d) > 1 else [[0]]:
-                    keys.append(lo)
-                    blocks.append([{"d": int(d[i]), "r": int(r[i]), "n": int(n[i])} for i in chain])
-            names = table.select(["doc_id", "salt", "r_doc", "r_salt"]).take(pa.array(keys, pa.int64())).combine_chunks()
-            columns = [names.column(i).combine_chunks() if names.num_rows else pa.array([], _CHAIN.field(i).type) for i in range(4)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(blocks, _CHAIN.field(4).type)], schema=_CHAIN)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
-            new = np.zeros(table.num_rows, dtype=bool)
-            for name in ("doc_id", "salt", "r_doc", "r_salt"):
-                column = table.column(name).combine_chunks()
-                value, null = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
-                new[1:] |= (value[1:] != value[:-1]) | (null[1:] != null[:-1])
-            cuts = [0, *np.flatnonzero(new).tolist()]
-            if len(cuts) > 1:
-                yield finish(table, cuts)
-            rest = table.slice(cuts[-1])
+            cuts = np.flatnonzero(_changes(table, ("doc_id", "salt")))
+            if len(cuts):
+                yield finish(table.slice(0, int(cuts[-1])))
+                table = table.slice(int(cuts[-1]))
+            rest = table
         if rest is not None:
-            yield finish(rest.combine_chunks(), [0, rest.num_rows])
+            yield finish(rest)
 
     return run
 
@@ -358,10 +399,37 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     across = firsts.repartition("h").sortWithinPartitions("h", "doc_id", "salt", "pos").mapInArrow(_match_firsts, _MATCH)
     # the first row of a seed may be a later place of the same document
     matches = seeds.where("h is null").drop("h").union(across.where(~_same_doc("doc_id", "salt", "r_doc", "r_salt")))
-    order = [*_KEY, "r_doc", "r_salt", "pos", "r_pos"]
-    chains = matches.repartition(*_KEY, "r_doc").sortWithinPartitions(*order).mapInArrow(
-        _chain(kmer, window), "doc_id bigint, salt int, r_doc bigint, r_salt int, blocks array<struct<d:int,r:int,n:int>>")
+    dealt = matches.repartition(*_KEY).sortWithinPartitions(*_KEY, "r_doc", "r_salt", "pos", "r_pos")
+    chains = dealt.mapInArrow(
+        _chain(kmer, window), "doc_id bigint, salt int, r_doc bigint, r_salt int, blocks array<struct<d:int,r:int,n:int>>, best boolean")
     chains = materialize(chains.withColumn("cid", F.monotonically_increasing_id()), "chains")
+    wanted = _pieces(chains).groupBy("doc_id", "salt", "tile").agg(F.lit(1)).groupBy("doc_id", "salt").agg(F.collect_list("tile").alias("tiles"))
+    wanted = wanted.select(F.col("doc_id").alias("w_doc"), F.col("salt").alias("w_salt"), "tiles")
+    held = docs.join(wanted, _same_doc("doc_id", "salt", "w_doc", "w_salt"))
+    cut = F.arrow_udf(_tile_words, "array<struct<tile:int,words:string>>")
+    held = held.select("w_doc", "w_salt", F.explode(cut("text", "tiles")).alias("t")).select(
+        "w_doc", "w_salt", F.col("t.tile").alias("w_tile"), F.col("t.words").alias("words"))
+    held = materialize(held, "tiles").dropDuplicates(["w_doc", "w_salt", "w_tile"])
+
+    def aligned(some: DataFrame) -> DataFrame:
+        pieces = _pieces(some)
+        filled = pieces.join(held, _same_doc("doc_id", "salt", "w_doc", "w_salt") & (F.col("tile") == F.col("w_tile")))
+        filled = filled.select("cid", "side", "tile", "words").join(some, "cid")
+        dealt = filled.repartition("cid").sortWithinPartitions("cid", "side", "tile")
+        return dealt.mapInArrow(_align_all(min_words, identity), _PASSAGE_DDL)
+
+    found = materialize(aligned(chains.where("best")), "passages")
+    spans = found.groupBy(*_KEY).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
+    spans = spans.withColumnsRenamed({"doc_id": "s_doc", "salt": "s_salt"})
+    first, last = F.col("blocks")[0], F.element_at("blocks", -1)
+    covered = F.exists("spans", lambda s: (s["start_word"] <= first["d"]) & (last["d"] + last["n"] <= s["start_word"] + s["n_words"]))
+    others = chains.where("not best").join(spans, _same_doc("doc_id", "salt", "s_doc", "s_salt"), "left")
+    others = materialize(others.where(F.col("spans").isNull() | ~covered).select(chains.columns), "others")
+    return found.union(aligned(others))
+
+
+def _pieces(chains: DataFrame) -> DataFrame:
+    """(cid, side, doc_id, salt, tile): what a chain needs of its document (side 0) and of the other one."""
 
     def tiles(start: Column, end: Column) -> Column:
         return F.explode(F.sequence(F.floor(F.greatest(F.lit(0), start - FLANK) / TILE).cast("int"), F.floor((end + FLANK) / TILE).cast("int")))
@@ -370,18 +438,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = chains.select("cid", F.lit(0).alias("side"), "doc_id", "salt", tiles(first["d"], last["d"] + last["n"]).alias("tile"))
     other = chains.select("cid", F.lit(1).alias("side"), F.col("r_doc").alias("doc_id"), F.col("r_salt").alias("salt"),
                           tiles(first["r"], last["r"] + last["n"]).alias("tile"))
-    pieces = own.union(other)
-    wanted = pieces.groupBy("doc_id", "salt", "tile").agg(F.lit(1)).groupBy("doc_id", "salt").agg(F.collect_list("tile").alias("tiles"))
-    wanted = wanted.select(F.col("doc_id").alias("w_doc"), F.col("salt").alias("w_salt"), "tiles")
-    held = docs.join(wanted, _same_doc("doc_id", "salt", "w_doc", "w_salt"))
-    cut = F.arrow_udf(_tile_words, "array<struct<tile:int,words:string>>")
-    held = held.select("w_doc", "w_salt", F.explode(cut("text", "tiles")).alias("t")).select(
-        "w_doc", "w_salt", F.col("t.tile").alias("w_tile"), F.col("t.words").alias("words"))
-    held = materialize(held, "tiles").dropDuplicates(["w_doc", "w_salt", "w_tile"])
-    filled = pieces.join(held, _same_doc("doc_id", "salt", "w_doc", "w_salt") & (F.col("tile") == F.col("w_tile")))
-    filled = filled.select("cid", "side", "tile", "words").join(chains, "cid")
-    dealt = filled.repartition("cid").sortWithinPartitions("cid", "side", "tile")
-    return dealt.mapInArrow(_align_all(min_words, identity), _PASSAGE_DDL)
+    return own.union(other)
 
 
 def _cut_words(texts: pa.Array, spans: pa.Array) -> pa.Array:
