@@ -231,8 +231,10 @@ def first_wave(intervals: list[tuple[int, int, int]]) -> list[bool]:
     return out
 
 
-_CHAIN = pa.schema([("doc_id", pa.int64()), ("salt", pa.int32()), ("r_doc", pa.int64()), ("r_salt", pa.int32()),
-                    ("blocks", pa.list_(pa.struct([("d", pa.int32()), ("r", pa.int32()), ("n", pa.int32())]))), ("best", pa.bool_())])
+_BLOCKS = pa.list_(pa.struct([("d", pa.int32()), ("r", pa.int32()), ("n", pa.int32())]))
+_CHAIN = pa.schema([("doc_id", pa.int64()), ("salt", pa.int32()), ("chains", pa.list_(pa.struct(
+    [("r_doc", pa.int64()), ("r_salt", pa.int32()), ("blocks", _BLOCKS), ("best", pa.bool_())])))])
+_CHAIN_DDL = "doc_id bigint, salt int, chains array<struct<r_doc:bigint,r_salt:int,blocks:array<struct<d:int,r:int,n:int>>,best:boolean>>"
 
 
 def _changes(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
@@ -246,30 +248,34 @@ def _changes(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
 
 
 def _chain(kmer: int, window: int):
-    """Matches sorted by (document, other document) to chains; the matches of one document are held at a time."""
+    """Matches sorted by (document, other document) to one row of chains per document, whose matches are held at a time."""
 
     def finish(table: pa.Table) -> pa.RecordBatch:
         pos, other = table.column("pos").to_numpy().astype(np.int64), table.column("r_pos").to_numpy().astype(np.int64)
         doc = _changes(table, ("doc_id", "salt"))
         pair = np.flatnonzero(doc | _changes(table, ("r_doc", "r_salt"))).tolist()
-        keys, blocks, best, own = [], [], [], []
+        others = table.select(["r_doc", "r_salt"]).take(pa.array([0, *pair])).to_pylist()
+        heads, out, own, spans = [], [], [], []
 
         def close() -> None:
-            best.extend(first_wave(own))
+            for chain, best in zip(own, first_wave(spans)):
+                chain["best"] = best
+            out.append(list(own))
             own.clear()
+            spans.clear()
 
-        for lo, hi in zip([0, *pair], [*pair, table.num_rows]):
+        for other_doc, lo, hi in zip(others, [0, *pair], [*pair, table.num_rows]):
             if doc[lo]:
                 close()
+            if not own:
+                heads.append(lo)
             d, r, n = merge_diagonals(pos[lo:hi], other[lo:hi], kmer, kmer + window)
             for chain in chains_of(d, r, n) if len(d) > 1 else [[0]]:
-                keys.append(lo)
-                blocks.append([{"d": int(d[i]), "r": int(r[i]), "n": int(n[i])} for i in chain])
-                own.append((int(d[chain[0]]), int(d[chain[-1]] + n[chain[-1]]), int(n[chain].sum())))
+                own.append(other_doc | {"blocks": [{"d": int(d[i]), "r": int(r[i]), "n": int(n[i])} for i in chain]})
+                spans.append((int(d[chain[0]]), int(d[chain[-1]] + n[chain[-1]]), int(n[chain].sum())))
         close()
-        names = table.select(["doc_id", "salt", "r_doc", "r_salt"]).take(pa.array(keys, pa.int64())).combine_chunks()
-        return pa.RecordBatch.from_arrays(
-            [*(names.column(i).combine_chunks() for i in range(4)), pa.array(blocks, _CHAIN.field(4).type), pa.array(best)], schema=_CHAIN)
+        names = table.select(["doc_id", "salt"]).take(pa.array(heads, pa.int64())).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(names.column(i).combine_chunks() for i in range(2)), pa.array(out, _CHAIN.field(2).type)], schema=_CHAIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -400,32 +406,38 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # the first row of a seed may be a later place of the same document
     matches = seeds.where("h is null").drop("h").union(across.where(~_same_doc("doc_id", "salt", "r_doc", "r_salt")))
     dealt = matches.repartition(*_KEY).sortWithinPartitions(*_KEY, "r_doc", "r_salt", "pos", "r_pos")
-    chains = dealt.mapInArrow(
-        _chain(kmer, window), "doc_id bigint, salt int, r_doc bigint, r_salt int, blocks array<struct<d:int,r:int,n:int>>, best boolean")
-    chains = materialize(chains.withColumn("cid", F.monotonically_increasing_id()), "chains")
-    wanted = _pieces(chains).groupBy("doc_id", "salt", "tile").agg(F.lit(1)).groupBy("doc_id", "salt").agg(F.collect_list("tile").alias("tiles"))
-    wanted = wanted.select(F.col("doc_id").alias("w_doc"), F.col("salt").alias("w_salt"), "tiles")
-    held = docs.join(wanted, _same_doc("doc_id", "salt", "w_doc", "w_salt"))
-    cut = F.arrow_udf(_tile_words, "array<struct<tile:int,words:string>>")
-    held = held.select("w_doc", "w_salt", F.explode(cut("text", "tiles")).alias("t")).select(
-        "w_doc", "w_salt", F.col("t.tile").alias("w_tile"), F.col("t.words").alias("words"))
-    held = materialize(held, "tiles").dropDuplicates(["w_doc", "w_salt", "w_tile"])
+    chains = materialize(dealt.mapInArrow(_chain(kmer, window), _CHAIN_DDL), "chains")
 
     def aligned(some: DataFrame) -> DataFrame:
-        pieces = _pieces(some)
+        single = some.select(*_KEY, F.explode("chains").alias("c")).select(*_KEY, "c.r_doc", "c.r_salt", "c.blocks")
+        single = materialize(single.withColumn("cid", F.monotonically_increasing_id()), "single")
+        pieces = _pieces(single)
+        wanted = pieces.groupBy("doc_id", "salt", "tile").agg(F.lit(1)).groupBy("doc_id", "salt").agg(F.collect_list("tile").alias("tiles"))
+        wanted = materialize(wanted.select(F.col("doc_id").alias("w_doc"), F.col("salt").alias("w_salt"), "tiles"), "wanted")
+        held = docs.join(wanted, _same_doc("doc_id", "salt", "w_doc", "w_salt"))
+        cut = F.arrow_udf(_tile_words, "array<struct<tile:int,words:string>>")
+        held = held.select("w_doc", "w_salt", F.explode(cut("text", "tiles")).alias("t")).select(
+            "w_doc", "w_salt", F.col("t.tile").alias("w_tile"), F.col("t.words").alias("words"))
+        # rows equal in id and text give the same tiles
+        held = materialize(held, "tiles").dropDuplicates(["w_doc", "w_salt", "w_tile"])
         filled = pieces.join(held, _same_doc("doc_id", "salt", "w_doc", "w_salt") & (F.col("tile") == F.col("w_tile")))
-        filled = filled.select("cid", "side", "tile", "words").join(some, "cid")
+        filled = filled.select("cid", "side", "tile", "words").join(single, "cid")
         dealt = filled.repartition("cid").sortWithinPartitions("cid", "side", "tile")
         return dealt.mapInArrow(_align_all(min_words, identity), _PASSAGE_DDL)
 
-    found = materialize(aligned(chains.where("best")), "passages")
+    found = materialize(aligned(chains.withColumn("chains", F.filter("chains", lambda c: c["best"]))), "passages")
     spans = found.groupBy(*_KEY).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
     spans = spans.withColumnsRenamed({"doc_id": "s_doc", "salt": "s_salt"})
-    first, last = F.col("blocks")[0], F.element_at("blocks", -1)
-    covered = F.exists("spans", lambda s: (s["start_word"] <= first["d"]) & (last["d"] + last["n"] <= s["start_word"] + s["n_words"]))
-    others = chains.where("not best").join(spans, _same_doc("doc_id", "salt", "s_doc", "s_salt"), "left")
-    others = materialize(others.where(F.col("spans").isNull() | ~covered).select(chains.columns), "others")
-    return found.union(aligned(others))
+
+    def open_still(c: Column) -> Column:
+        first, last = c["blocks"][0], F.element_at(c["blocks"], -1)
+        return ~c["best"] & ~F.exists("spans", lambda s: (s["start_word"] <= first["d"]) & (
+            last["d"] + last["n"] <= s["start_word"] + s["n_words"]))
+
+    more = chains.join(spans, _same_doc("doc_id", "salt", "s_doc", "s_salt"), "left")
+    more = more.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start_word:int,n_words:int>>")))
+    more = materialize(more.withColumn("chains", F.filter("chains", open_still)).where(F.size("chains") > 0).select(*_KEY, "chains"), "others")
+    return found.union(aligned(more))
 
 
 def _pieces(chains: DataFrame) -> DataFrame:
