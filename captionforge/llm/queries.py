@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionforge.llm import decontam, jaccard, packing, passages, quality
+from captionforge.llm import decontam, jaccard, packing, passages, quality, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,44 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+_SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+@query("op8_quality_rules", f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {_SPLIT} AS w FROM documents),
+places AS (SELECT doc_id, i, w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2] AS phrase
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, phrase) AS c FROM places) WHERE c > 1),
+repeats AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM twice) GROUP BY 1),
+base AS (SELECT d.doc_id, text, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines,
+  string_split(text, chr(10)) AS lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+  length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS upper,
+  length(regexp_replace(text, '[^!]+', '', 'g')) AS marks
+  FROM docs d LEFT JOIN repeats r ON r.doc_id = d.doc_id),
+judged AS (SELECT *, CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR n_symbols * 2 > n_words OR upper * 10 > letters * 6
+    OR letters * 2 < length(text) OR n_dup_lines * 10 > len(lines) * 3 OR marks * 5 > n_words
+    OR len(list_filter(lines, lambda x: suffix(x, '...'))) * 10 > len(lines) * 3
+    OR len(list_filter(w, lambda x: length(x) > 1000)) > 0) AS kept
+FROM judged
+""")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    order = rules.cascade(docs)
+    text = rules.body()
+    split = rules.with_words(docs)
+    w = F.col(rules.WORDS)
+    base = split.select(
+        "doc_id", "text", rules.WORDS, rules.n_words(w).alias("n_words"), rules.word_chars(w).alias("word_chars"),
+        rules.n_symbols(text).alias("n_symbols"), rules.n_dup_lines(text).alias("n_dup_lines"),
+        rules.n_repeat_words(rules.windows(w)).alias("n_repeat_words"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    judged = base.withColumn("base_failed", failed).withColumn(
+        "kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(rules.first_rejection(order).isNull()))
+    return judged.drop("text", rules.WORDS)
