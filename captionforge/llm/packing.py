@@ -28,15 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from captionforge.llm.text import worker_cache
+from captionforge.llm.text import LOWER, text_bytes, word_hashes, worker_cache
 from captionforge.session import materialize
 
 SEQUENCE = 2048
 GRID = 8
 END_ID = 1
 GAP = 1e-3          # the linear program stops this close to its bound
-CACHED_WORDS = 400_000
-BATCH_CHARS = 1 << 20
+CACHED_WORDS = 2_000_000
+GROUP_BYTES = 2 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -45,51 +45,100 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_SPACE, _LETTER, _MARK, _OTHER = 0, 1, 2, 3
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[9, 10, 13, 32]] = _SPACE
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _MARK
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, each distinct word encoded once.
 
-    No token crosses a space or a line break, so the ids of a text are those of its words. Words
-    are kept up to ``CACHED_WORDS``; then the table starts anew.
+    The tokenizer cuts a text into runs of letters, single digits and runs of other characters before it looks
+    for tokens, so the ids of a text are those of its words one after the other. Words end at a
+    space, tab or line break and between an ASCII letter and an ASCII mark other than an apostrophe; all
+    rarer borders are left to the tokenizer. Words are told apart by 64-bit hashes of their bytes, A-Z in lower
+    case. Up to ``CACHED_WORDS`` are kept, then the table starts anew. A text that contains one of the
+    tokenizer's special strings is encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         # one text of all new words; the offsets tell which ids are whose
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
         at = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
-        begins = np.cumsum([0] + [len(w) + 1 for w in words])
-        cuts = np.searchsorted(at, begins) * 4
-        packed = ids.tobytes()
-        self.known.update((w, packed[a:b]) for w, a, b in zip(words, cuts.tolist(), cuts[1:].tolist()))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.known})
-        if fresh:
-            self._learn(fresh)
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
-
-
-def _by_chars(texts: list[str]) -> Iterator[list[str]]:
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t)
-        if size >= BATCH_CHARS:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+        cuts = np.searchsorted(at, np.cumsum([0] + [len(w) + 1 for w in words]))
+        if len(self.hashes) + len(words) > CACHED_WORDS:
+            self._clear()
+        into = np.searchsorted(self.hashes, hashes)  # both are sorted
+        self.hashes = np.insert(self.hashes, into, hashes)
+        self.begins = np.insert(self.begins, into, cuts[:-1] + len(self.ids))
+        self.sizes = np.insert(self.sizes, into, np.diff(cuts))
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), dtype=bool)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first row, ids of each row) by groups of rows."""
+        raw, at = text_bytes(texts)
+        row, n = 0, len(at) - 1
+        while row < n:
+            upto = max(row + 1, int(np.searchsorted(at, at[row] + GROUP_BYTES, "right")) - 1)
+            yield row, self._group(raw[at[row]:at[upto]], at[row:upto + 1] - at[row])
+            row = upto
+
+    def _group(self, raw: np.ndarray, text_start: np.ndarray) -> list[np.ndarray]:
+        lower, kind = LOWER[raw], _KIND[raw]
+        before = np.empty(len(kind), np.uint8)
+        before[:1], before[1:] = _SPACE, kind[:-1]
+        fresh = np.zeros(len(kind) + 1, dtype=bool)
+        fresh[text_start] = True
+        fresh = fresh[:-1]
+        cut = (before == _LETTER) & (kind == _MARK) | (before == _MARK) & (kind == _LETTER)
+        start = np.flatnonzero((kind != _SPACE) & (fresh | (before == _SPACE) | cut))
+        # a word ends where the next begins, or at the white space before that
+        gone = np.append(np.flatnonzero((kind == _SPACE) | fresh), len(kind))
+        end = np.minimum(np.append(start[1:], len(kind)), gone[np.searchsorted(gone, start, "right")])
+        hashes, first, word = np.unique(word_hashes(lower, start, end), return_index=True, return_inverse=True)
+        place, known = self._places(hashes)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            words = [lower[start[i]:end[i]].tobytes().decode("utf-8", "replace") for i in first[new]]
+            if len(self.hashes) + len(new) > CACHED_WORDS:  # start anew with all words of this group
+                new, words = np.arange(len(hashes)), [lower[start[i]:end[i]].tobytes().decode("utf-8", "replace") for i in first]
+            self._learn(hashes[new], words)
+            place, _ = self._places(hashes)
+        begins, sizes = self.begins[place][word], self.sizes[place][word]
+        total = np.cumsum(sizes)
+        flat = self.ids[np.repeat(begins - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
+        cuts = np.append(0, total)[np.searchsorted(start, text_start)]
+        out = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+        for special in self.special:
+            for place in _occurrences(raw, special.encode()):
+                r = int(np.searchsorted(text_start, place, "right")) - 1
+                text = raw[text_start[r]:text_start[r + 1]].tobytes().decode("utf-8", "replace")
+                out[r] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return out
+
+
+def _occurrences(raw: np.ndarray, what: bytes) -> Iterator[int]:
+    data, at = raw.tobytes(), -1
+    while (at := data.find(what, at + 1)) >= 0:
+        yield at
 
 
 _CUT = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("number", pa.int64()), ("class", pa.int32()), ("rank", pa.int64()),
@@ -108,22 +157,19 @@ def _tokenise(path: str, sequence: int, grid: int):
             held["encoder_path"], held["encoder"] = path, WordEncoder(path)
         encoder, part = held["encoder"], TaskContext.get().partitionId()
         ranks, number = np.zeros(-(-sequence // grid) + 1, np.int64), 0
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4")
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for some in _by_chars(texts):
+            ids = batch.column(0).to_pylist()
+            for first, encoded in encoder.encode(batch.column(1)):
                 out = []
-                for packed in encoder.encode(some):
-                    packed += end
-                    total = len(packed) // 4
-                    for start in range(0, total, sequence):
-                        length = min(sequence, total - start)
+                for at, tokens in enumerate(encoded, first):
+                    tokens = np.concatenate([tokens, end])
+                    for start in range(0, len(tokens), sequence):
+                        length = min(sequence, len(tokens) - start)
                         kind = 0 if length == sequence else -(-length // grid)
-                        out.append((ids[at], part, number, kind, int(ranks[kind]), start, length, total, packed[4 * start:4 * (start + length)]))
+                        out.append((ids[at], part, number, kind, int(ranks[kind]), start, length, len(tokens), tokens[start:start + length].tobytes()))
                         ranks[kind] += 1
                         number += 1
-                    at += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_CUT)], schema=_CUT)
 
     return run
