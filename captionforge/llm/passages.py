@@ -233,8 +233,14 @@ def first_wave(intervals: list[tuple[int, int, int]]) -> list[bool]:
 
 _BLOCKS = pa.list_(pa.struct([("d", pa.int32()), ("r", pa.int32()), ("n", pa.int32())]))
 _CHAIN = pa.schema([("doc_id", pa.int64()), ("salt", pa.int32()), ("chains", pa.list_(pa.struct(
-    [("r_doc", pa.int64()), ("r_salt", pa.int32()), ("blocks", _BLOCKS), ("best", pa.bool_())])))])
-_CHAIN_DDL = "doc_id bigint, salt int, chains array<struct<r_doc:bigint,r_salt:int,blocks:array<struct<d:int,r:int,n:int>>,best:boolean>>"
+    [("r_doc", pa.int64()), ("r_salt", pa.int32()), ("blocks", _BLOCKS), ("best", pa.bool_())]))), ("tiles", pa.list_(pa.int32()))])
+_CHAIN_DDL = ("doc_id bigint, salt int, chains array<struct<r_doc:bigint,r_salt:int,blocks:array<struct<d:int,r:int,n:int>>,"
+              "best:boolean>>, tiles array<int>")
+
+
+def tiles_of(start: int, end: int) -> range:
+    """Tiles that the words from ``start`` to ``end`` and their flanks lie in."""
+    return range(max(0, start - FLANK) // TILE, (end + FLANK) // TILE + 1)
 
 
 def _changes(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
@@ -248,19 +254,23 @@ def _changes(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
 
 
 def _chain(kmer: int, window: int):
-    """Matches sorted by (document, other document) to one row of chains per document, whose matches are held at a time."""
+    """Matches sorted by (document, other document) to one row of chains per document, whose matches are held at a time.
+
+    Rows without chains name the tiles that the chains of a batch need of an earlier document, each once.
+    """
 
     def finish(table: pa.Table) -> pa.RecordBatch:
         pos, other = table.column("pos").to_numpy().astype(np.int64), table.column("r_pos").to_numpy().astype(np.int64)
         doc = _changes(table, ("doc_id", "salt"))
         pair = np.flatnonzero(doc | _changes(table, ("r_doc", "r_salt"))).tolist()
         others = table.select(["r_doc", "r_salt"]).take(pa.array([0, *pair])).to_pylist()
-        heads, out, own, spans = [], [], [], []
+        heads, out, own, spans, asked, far = [], [], [], [], [], {}
 
         def close() -> None:
             for chain, best in zip(own, first_wave(spans)):
                 chain["best"] = best
             out.append(list(own))
+            asked.append(sorted({t for a, b, _ in spans for t in tiles_of(a, b)}))
             own.clear()
             spans.clear()
 
@@ -273,9 +283,12 @@ def _chain(kmer: int, window: int):
             for chain in chains_of(d, r, n) if len(d) > 1 else [[0]]:
                 own.append(other_doc | {"blocks": [{"d": int(d[i]), "r": int(r[i]), "n": int(n[i])} for i in chain]})
                 spans.append((int(d[chain[0]]), int(d[chain[-1]] + n[chain[-1]]), int(n[chain].sum())))
+                far.setdefault((other_doc["r_doc"], other_doc["r_salt"]), set()).update(tiles_of(int(r[chain[0]]), int(r[chain[-1]] + n[chain[-1]])))
         close()
-        names = table.select(["doc_id", "salt"]).take(pa.array(heads, pa.int64())).combine_chunks()
-        return pa.RecordBatch.from_arrays([*(names.column(i).combine_chunks() for i in range(2)), pa.array(out, _CHAIN.field(2).type)], schema=_CHAIN)
+        names = table.select(["doc_id", "salt"]).take(pa.array(heads, pa.int64())).to_pylist()
+        return pa.RecordBatch.from_arrays([
+            pa.array([x["doc_id"] for x in names] + [k for k, _ in far], pa.int64()), pa.array([x["salt"] for x in names] + [k for _, k in far], pa.int32()),
+            pa.array(out + [None] * len(far), _CHAIN.field(2).type), pa.array(asked + [sorted(t) for t in far.values()], _CHAIN.field(3).type)], schema=_CHAIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -407,20 +420,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     matches = seeds.where("h is null").drop("h").union(across.where(~_same_doc("doc_id", "salt", "r_doc", "r_salt")))
     dealt = matches.repartition(*_KEY).sortWithinPartitions(*_KEY, "r_doc", "r_salt", "pos", "r_pos")
     chains = materialize(dealt.mapInArrow(_chain(kmer, window), _CHAIN_DDL), "chains")
+    # the texts are dealt once, for the tiles of all chains
+    wanted = chains.select(*_KEY, F.explode("tiles").alias("tile")).groupBy(*_KEY, "tile").agg(F.lit(1))
+    wanted = wanted.groupBy(*_KEY).agg(F.collect_list("tile").alias("tiles")).withColumnsRenamed({"doc_id": "w_doc", "salt": "w_salt"})
+    held = docs.join(wanted, _same_doc("doc_id", "salt", "w_doc", "w_salt"))
+    cut = F.arrow_udf(_tile_words, "array<struct<tile:int,words:string>>")
+    held = held.select("w_doc", "w_salt", F.explode(cut("text", "tiles")).alias("t")).select(
+        "w_doc", "w_salt", F.col("t.tile").alias("w_tile"), F.col("t.words").alias("words"))
+    # rows equal in id and text give the same tiles
+    held = materialize(held, "tiles").dropDuplicates(["w_doc", "w_salt", "w_tile"])
+    chains = chains.where("chains is not null").drop("tiles")
 
     def aligned(some: DataFrame) -> DataFrame:
         single = some.select(*_KEY, F.explode("chains").alias("c")).select(*_KEY, "c.r_doc", "c.r_salt", "c.blocks")
         single = materialize(single.withColumn("cid", F.monotonically_increasing_id()), "single")
-        pieces = _pieces(single)
-        wanted = pieces.groupBy("doc_id", "salt", "tile").agg(F.lit(1)).groupBy("doc_id", "salt").agg(F.collect_list("tile").alias("tiles"))
-        wanted = materialize(wanted.select(F.col("doc_id").alias("w_doc"), F.col("salt").alias("w_salt"), "tiles"), "wanted")
-        held = docs.join(wanted, _same_doc("doc_id", "salt", "w_doc", "w_salt"))
-        cut = F.arrow_udf(_tile_words, "array<struct<tile:int,words:string>>")
-        held = held.select("w_doc", "w_salt", F.explode(cut("text", "tiles")).alias("t")).select(
-            "w_doc", "w_salt", F.col("t.tile").alias("w_tile"), F.col("t.words").alias("words"))
-        # rows equal in id and text give the same tiles
-        held = materialize(held, "tiles").dropDuplicates(["w_doc", "w_salt", "w_tile"])
-        filled = pieces.join(held, _same_doc("doc_id", "salt", "w_doc", "w_salt") & (F.col("tile") == F.col("w_tile")))
+        filled = _pieces(single).join(held, _same_doc("doc_id", "salt", "w_doc", "w_salt") & (F.col("tile") == F.col("w_tile")))
         filled = filled.select("cid", "side", "tile", "words").join(single, "cid")
         dealt = filled.repartition("cid").sortWithinPartitions("cid", "side", "tile")
         return dealt.mapInArrow(_align_all(min_words, identity), _PASSAGE_DDL)
