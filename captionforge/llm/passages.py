@@ -371,35 +371,37 @@ _PASSAGE_DDL = ("doc_id bigint, salt int, start_word int, n_words int, match_doc
 
 
 def _align_all(min_words: int, identity: float):
-    """Rows sorted by (cid, side, tile), the chain's own columns on each; one chain is held at a time."""
+    """Rows sorted by (cid, side, tile), first a chain's own row (side -1), then its tiles; one chain is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, head, sides = None, None, None
+        head, sides = None, None
 
         def finish() -> list[tuple]:
-            if not (sides[0][1] and sides[1][1]):
+            if head is None or not (sides[0][1] and sides[1][1]):
                 return []
-            blocks = head["blocks"]
-            s, e, o, oe, same = align(blocks, sides[0][1], sides[0][0] * TILE, sides[1][1], sides[1][0] * TILE)
+            s, e, o, oe, same = align(head["blocks"], sides[0][1], sides[0][0] * TILE, sides[1][1], sides[1][0] * TILE)
             if e - s < min_words or same < identity * max(e - s, oe - o):
                 return []
             return [(head["doc_id"], head["salt"], s, e - s, head["r_doc"], head["r_salt"], o, same)]
 
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_PASSAGE)], schema=_PASSAGE)
+
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if row["cid"] != current:
-                    if current is not None:
-                        out += finish()
-                    current, head, sides = row["cid"], row, [[None, []], [None, []]]
-                side = sides[row["side"]]
+            kinds, tiles, words = (batch.column(batch.schema.get_field_index(c)) for c in ("side", "tile", "words"))
+            for i, (kind, tile) in enumerate(zip(kinds.to_pylist(), tiles.to_pylist())):
+                if kind < 0:
+                    out += finish()
+                    head = {c: batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("doc_id", "salt", "r_doc", "r_salt", "blocks")}
+                    sides = [[None, []], [None, []]]
+                    continue
+                side = sides[kind]
                 if side[0] is None:
-                    side[0] = row["tile"]
-                side[1].extend(row["words"].split(" "))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_PASSAGE)], schema=_PASSAGE)
-        if current is not None:
-            out = finish()
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_PASSAGE)], schema=_PASSAGE)
+                    side[0] = tile
+                side[1].extend(words[i].as_py().split(" "))
+            yield packed(out)
+        yield packed(finish())
 
     return run
 
@@ -435,7 +437,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         single = some.select(*_KEY, F.explode("chains").alias("c")).select(*_KEY, "c.r_doc", "c.r_salt", "c.blocks")
         single = materialize(single.withColumn("cid", F.monotonically_increasing_id()), "single")
         filled = _pieces(single).join(held, _same_doc("doc_id", "salt", "w_doc", "w_salt") & (F.col("tile") == F.col("w_tile")))
-        filled = filled.select("cid", "side", "tile", "words").join(single, "cid")
+        heads = single.select("cid", F.lit(-1).alias("side"), F.lit(0).alias("tile"), F.lit("").alias("words"), *_KEY, "r_doc", "r_salt", "blocks")
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in heads.schema.fields[4:]]
+        filled = heads.union(filled.select("cid", "side", "tile", "words", *none))
         dealt = filled.repartition("cid").sortWithinPartitions("cid", "side", "tile")
         return dealt.mapInArrow(_align_all(min_words, identity), _PASSAGE_DDL)
 
