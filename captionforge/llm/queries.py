@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionforge.llm import decontam, jaccard, packing, passages, quality, rules, warc
+from captionforge.llm import chat, decontam, jaccard, packing, passages, quality, rules, warc
 from captionforge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,22 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
     return warc.read_archive(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_chat_format", r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+s AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(/INST\]|/ASST\]|/TURN\]|INST\]|ASST\]|/SYS\]|TURN\]|SYS\]|/s>|s>)', '\1\\\2\3', 'g') AS body FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(body) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 10 WHEN 'system' THEN 11 ELSE 16 + length(role) END) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+""")
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    return chat.read_back(chat.formatted_table(turns.union(extra)))
