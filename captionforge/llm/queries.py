@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionforge.llm import chat, decontam, jaccard, packing, passages, quality, rules, warc
+from captionforge.llm import chat, decontam, jaccard, packing, passages, quality, rules, tokens, warc
 from captionforge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
     return chat.read_back(chat.formatted_table(turns.union(extra)))
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = table(spark, sf_dir, "documents").select("doc_id", tokens.count_tokens().alias("c"))
+    return counted.select(
+        "doc_id", F.col("c.n_tokens"), F.size("c.sections").cast("long").alias("n_lines"), F.col("c.n_crossing"),
+        F.transform("c.sections", lambda s: s["tokens"].cast("int")).alias("line_tokens"))
