@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionforge.llm import chat, decontam, jaccard, packing, passages, quality, rules, tokens, warc
+from captionforge.llm import chat, decontam, jaccard, licenses, packing, passages, quality, rules, tokens, warc
 from captionforge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,38 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(
         "doc_id", F.col("c.n_tokens"), F.size("c.sections").cast("long").alias("n_lines"), F.col("c.n_crossing"),
         F.transform("c.sections", lambda s: s["tokens"].cast("int")).alias("line_tokens"))
+
+
+def _license_sql() -> str:
+    """The same scan with DuckDB list functions: identifiers by a join, rules by the same replacements."""
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.known_sentences().items())
+
+    def split(ends: str) -> str:
+        plain = f"trim(lower(regexp_replace(regexp_replace(coalesce(text, ''), '{ends}', chr(1), 'g'), '[^A-Za-z0-9\\x01]+', ' ', 'g')))"
+        return f"list_filter(string_split_regex({plain}, ' ?\\x01[ \\x01]*'), lambda x: x <> '')"
+
+    matched = "seq"
+    for name, ids in licenses.RULES:
+        pattern = f"u{{0,{licenses.MAX_GAP}}}".join(f"<{i}>" for i in ids)
+        matched = f"regexp_replace({matched}, '{pattern}', '[{name}]', 'g')"
+    return f"""
+WITH known(s, id) AS (VALUES {known}),
+texts AS (SELECT doc_id, 0 AS way, {split(licenses.END_OF_LINE)} AS f FROM documents
+  UNION ALL SELECT doc_id, 1, {split(licenses.END_OF_SENTENCE)} FROM documents),
+hits AS (SELECT doc_id, way, i, id FROM (SELECT doc_id, way, unnest(f) AS s, unnest(range(len(f))) AS i FROM texts) JOIN known USING (s)),
+gaps AS (SELECT doc_id, way, i, repeat('u', CAST(least(9, i - lag(i, 1, -1) OVER (PARTITION BY doc_id, way ORDER BY i) - 1) AS BIGINT))
+  || '<' || id || '>' AS part FROM hits),
+seqs AS (SELECT doc_id, string_agg(part, '' ORDER BY i) AS seq FROM gaps GROUP BY doc_id, way),
+done AS (SELECT doc_id, {matched} AS m FROM seqs),
+marks AS (SELECT doc_id, unnest(regexp_extract_all(m, '\\[([^\\]]+)\\]', 1)) AS licence FROM done),
+loose AS (SELECT doc_id, unnest(regexp_extract_all(m, '<([^>=]+)>', 1)) AS id FROM done)
+SELECT d.doc_id, coalesce(l.names, '') AS licences, coalesce(o.names, '') AS loose FROM documents d
+LEFT JOIN (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS names FROM (SELECT DISTINCT * FROM marks) GROUP BY 1) l ON l.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, string_agg(id, ',' ORDER BY id) AS names FROM (SELECT DISTINCT * FROM loose) GROUP BY 1) o ON o.doc_id = d.doc_id
+"""
+
+
+@query("op1_license_scan", _license_sql())
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), out="found")
+    return scanned.select("doc_id", F.concat_ws(",", "found.licences").alias("licences"), F.concat_ws(",", "found.loose").alias("loose"))
