@@ -6,8 +6,8 @@ run over each chunk with a step of four, their maxima over the chunk pass a smal
 evidence value, and mean, maximum and minimum of a text's evidence give one probability.
 
 It is fitted in one task on a bounded sample of labelled rows: at most ``PER_CLASS`` documents of each
-label, those with the smallest id hashes, of at most ``TRAIN_BYTES`` bytes each (a longer text would
-only slow the fit). Scoring covers every byte of every text, in blocks of ``BLOCK`` chunks whatever the texts' sizes.
+label, those with the smallest id hashes, of at most ``TRAIN_BYTES`` bytes each (a step of the fit
+holds the chunks of its whole texts). Scoring covers every byte of every text, in blocks of ``BLOCK`` chunks whatever the texts' sizes.
 
 Defined cases: null and empty texts are one chunk of padding and get a score like others; ids that repeat
 are scored row by row, and in the sample an id counts once per label, with its smallest text; null labels
@@ -33,9 +33,9 @@ EMBED = 8
 FILTERS = 64
 HIDDEN = 32
 PAD = 256
-BLOCK = 1024        # chunks scored at once
+BLOCK = 256         # chunks scored at once
 PER_CLASS = 2048    # labelled documents of each label in the fit
-TRAIN_BYTES = 1 << 20
+TRAIN_BYTES = 16 << 10
 STEPS = 700
 BATCH = 32
 CUT = 0.3
