@@ -61,11 +61,12 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, n: int, b
     pieces = materialize(
         named.mapInArrow(_pieces(n, min(PIECE_BYTES, block_bytes)), "item string, piece int, text string").dropDuplicates(), "benchmark")
     size = F.octet_length("text") + F.octet_length("item")
-    blocks = (pieces.agg(F.sum(size)).first()[0] or 0) // block_bytes + 1
+    total, longest = pieces.agg(F.sum(size), F.max(size)).first()
+    blocks = (total or 0) // block_bytes + 1
     while True:
         slot = F.pmod(F.xxhash64("item", "piece", F.octet_length("text")), F.lit(blocks))
         largest = pieces.groupBy(slot.alias("slot")).agg(F.sum(size).alias("s")).agg(F.max("s")).first()[0] or 0
-        if largest <= 2 * block_bytes or blocks > 1 << 20:
+        if largest <= max(2 * block_bytes, longest or 0):  # a piece is not cut further
             break
         blocks *= 2
     if not largest:
