@@ -227,7 +227,8 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         decisions.select("*", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")))
     placed = both.withColumn("shard", _shard(borders, parts)).select("shard", "page_id", "kind", "digest", "first", "url", "html")
     n = len(borders) + 2 + sum(parts.values())
-    dealt = placed.repartition(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "digest", "url")
+    # more partitions than shards, so that few of these meet in one
+    dealt = placed.repartition(3 * n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "digest", "url")
     manifest = dealt.mapInArrow(_write(folder, file_bytes, least), _MANIFEST_DDL)
     manifest.write.mode("errorifexists").parquet(f"{folder}/_manifest")
     return commit(spark, folder)
