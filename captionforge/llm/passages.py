@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from captionforge.llm.text import mix, window_hashes, word_groups
 from captionforge.session import materialize
 
-KMER = 8
-WINDOW = 16        # of consecutive k-mers, at least one is a seed
+KMER = 6
+WINDOW = 10        # of consecutive k-mers, at least one is a seed
 MIN_WORDS = 50
 IDENTITY = 0.8
 GAP_COST = 0.125   # words of score lost for each word of gap, both documents together
