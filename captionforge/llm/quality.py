@@ -187,7 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def with_score(docs: DataFrame, model: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1; the weights (some 50 kB) travel with the tasks."""
-    packed, key = bytes(model.first()["model"]), scratch_path(docs.sparkSession, "weights")
+    row, key = model.first(), scratch_path(docs.sparkSession, "weights")
+    if row is None:  # nothing to learn from
+        return docs.withColumn(out, F.lit(0.5))
+    packed = bytes(row["model"])
 
     def score(texts: pa.Array) -> pa.Array:
         held = worker_cache()

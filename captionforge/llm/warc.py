@@ -255,14 +255,18 @@ def members(stream) -> Iterator[bytes]:
         raise ValueError("the file ends inside a record")
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names in lower case) and block of a record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-    return headers, rest[:int(headers["content-length"])]
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of a member."""
+    at = 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        lines = data[at:end].decode().split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
+        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        size = int(headers["content-length"])
+        yield headers, data[end + 4:end + 4 + size]
+        at = end + 4 + size + 4
 
 
 _RECORD = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()),
@@ -274,36 +278,39 @@ def _read(folder: str, payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(folder)
         number = lambda headers, name: int(headers[name]) if name in headers else None
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(_RECORD)], schema=_RECORD)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                out, held = [], 0
+            for name, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out, held, found = [], 0, 0
                 with system.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                    for data in members(stream):
-                        headers, block = parse(data)
+                    for headers, block in (record for data in members(stream) for record in parse(data)):
                         kind = headers["warc-type"]
                         if kind == "warcinfo":
                             continue
+                        found += 1
                         if f"sha256:{hashlib.sha256(block).hexdigest()}" != headers["warc-block-digest"]:
                             raise ValueError(f"{name}: damaged record {headers['warc-record-id']}")
                         payload = block.partition(b"\r\n\r\n")[2]
                         digest, size = headers["warc-payload-digest"].removeprefix("sha256:"), int(headers["x-payload-length"])
                         if kind == "response":
-                            size, found = len(payload), hashlib.sha256(payload).hexdigest()
-                            if found != digest:
+                            size, own = len(payload), hashlib.sha256(payload).hexdigest()
+                            if own != digest:
                                 raise ValueError(f"{name}: wrong payload digest in {headers['warc-record-id']}")
                         out.append((number(headers, "x-page-id"), kind, headers.get("warc-target-uri"), size, digest,
                                     number(headers, "x-refers-to-page-id"), payload if payloads and kind == "response" else None))
                         held += len(payload) if payloads else 100
                         if held > 8 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_RECORD)], schema=_RECORD)
+                            yield packed(out)
                             out, held = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_RECORD)], schema=_RECORD)
+                if found != expected:
+                    raise ValueError(f"{name}: {found} records of {expected}")
+                yield packed(out)
 
     return run
 
 
 def read_archive(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of all files of the manifest, digests checked; a revisit has no payload."""
+    """The records of all files of the manifest, their number and digests checked; a revisit has no payload."""
     manifest = spark.read.parquet(f"{folder}/_manifest")
     files = manifest.count()
-    return manifest.select("name").repartition(max(1, files), "name").mapInArrow(_read(folder, payloads), _RECORD_DDL)
+    return manifest.select("name", "records").repartition(max(1, files), "name").mapInArrow(_read(folder, payloads), _RECORD_DDL)
