@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionforge.llm.text import Words, window_hashes, word_groups, worker_cache
+from captionforge.llm.text import Words, lean, window_hashes, word_groups, worker_cache
 from captionforge.session import materialize, scratch_path
 
 N_WORDS = 13
@@ -177,23 +177,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str
             return held["block"]
 
         if done is None:
-            @F.arrow_udf(SCAN_TYPE)
             def first(texts: pa.Array) -> pa.Array:
                 return pa.array(scan_texts(texts, window_set()), _ARROW_TYPE)
 
-            done = first(F.col(text_col))
+            done = F.arrow_udf(lean(first), SCAN_TYPE)(F.col(text_col))
         else:
-            @F.arrow_udf(SCAN_TYPE)
             def further(texts: pa.Array, before: pa.Array) -> pa.Array:
                 return pa.array(scan_texts(texts, window_set(), before.to_pylist()), _ARROW_TYPE)
 
-            done = further(F.col(text_col), F.col(out))
+            done = F.arrow_udf(lean(further), SCAN_TYPE)(F.col(text_col), F.col(out))
     if done is None:
-        @F.arrow_udf(SCAN_TYPE)
         def count(texts: pa.Array) -> pa.Array:
             return pa.array(scan_texts(texts, WindowSet([], n)), _ARROW_TYPE)
 
-        done = count(F.col(text_col))
+        done = F.arrow_udf(lean(count), SCAN_TYPE)(F.col(text_col))
     return docs.withColumn(out, done)
 
 

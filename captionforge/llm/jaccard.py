@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from captionforge.llm.graph import connected_components
-from captionforge.llm.text import mix, window_hashes, word_groups
+from captionforge.llm.text import lean, mix, window_hashes, word_groups
 from captionforge.session import materialize
 
 SHINGLE = 5
@@ -126,11 +126,11 @@ def _keys(texts: pa.Array) -> pa.Array:
 
 
 def record_of(text_col: str) -> Column:
-    return F.arrow_udf(_records, RECORD)(F.col(text_col))
+    return F.arrow_udf(lean(_records), RECORD)(F.col(text_col))
 
 
 def key_of(text_col: str) -> Column:
-    return F.arrow_udf(_keys, "binary")(F.col(text_col))
+    return F.arrow_udf(lean(_keys), "binary")(F.col(text_col))
 
 
 def _binary_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -340,7 +340,7 @@ def verified_links(docs: DataFrame, records: DataFrame, clusters: DataFrame, thr
     # the work is in the sets, not in the bytes that adaptive execution would deal by
     total = members.agg(F.sum("size")).first()[0] or 0
     dealt = spread.repartition(int(total // BLOCK_TOKENS) + 1, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    return dealt.mapInArrow(_compare(threshold), "a binary, b binary, docs bigint, texts bigint")
+    return dealt.mapInArrow(lean(_compare(threshold)), "a binary, b binary, docs bigint, texts bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,

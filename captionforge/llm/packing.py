@@ -28,15 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from captionforge.llm.text import LOWER, text_bytes, word_hashes, worker_cache
+from captionforge.llm.text import LOWER, lean, text_bytes, word_hashes, worker_cache
 from captionforge.session import materialize
 
 SEQUENCE = 2048
 GRID = 8
 END_ID = 1
 GAP = 1e-3          # the linear program stops this close to its bound
-CACHED_WORDS = 2_000_000
-GROUP_BYTES = 2 << 20
+CACHED_WORDS = 1_000_000
+GROUP_BYTES = 1 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -296,7 +296,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """
     spark = docs.sparkSession
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = materialize(named.mapInArrow(_tokenise(tokenizer or tokenizer_path(), sequence, grid), _CUT_DDL), "tokens")
+    cut = materialize(named.mapInArrow(lean(_tokenise(tokenizer or tokenizer_path(), sequence, grid)), _CUT_DDL), "tokens")
     # one row per task and class
     counts = materialize(cut.groupBy("part", "class").agg(F.count(F.lit(1)).alias("n")), "counts")
     earlier = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

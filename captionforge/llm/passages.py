@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionforge.llm.text import mix, window_hashes, word_groups
+from captionforge.llm.text import lean, mix, window_hashes, word_groups
 from captionforge.session import materialize
 
 KMER = 6
@@ -415,18 +415,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per passage of a document that an earlier document has: places in words, the earlier document, equal words."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), _salt(text_col).alias("salt"), F.col(text_col).alias("text"))
     seeds = materialize(docs.mapInArrow(
-        _seeds(kmer, window), "h bigint, doc_id bigint, salt int, pos int, r_doc bigint, r_salt int, r_pos int"), "seeds")
+        lean(_seeds(kmer, window)), "h bigint, doc_id bigint, salt int, pos int, r_doc bigint, r_salt int, r_pos int"), "seeds")
     firsts = seeds.where("h is not null").select("h", "doc_id", "salt", "pos")
-    across = firsts.repartition("h").sortWithinPartitions("h", "doc_id", "salt", "pos").mapInArrow(_match_firsts, _MATCH)
+    across = firsts.repartition("h").sortWithinPartitions("h", "doc_id", "salt", "pos").mapInArrow(lean(_match_firsts), _MATCH)
     # the first row of a seed may be a later place of the same document
     matches = seeds.where("h is null").drop("h").union(across.where(~_same_doc("doc_id", "salt", "r_doc", "r_salt")))
     dealt = matches.repartition(*_KEY).sortWithinPartitions(*_KEY, "r_doc", "r_salt", "pos", "r_pos")
-    chains = materialize(dealt.mapInArrow(_chain(kmer, window), _CHAIN_DDL), "chains")
+    chains = materialize(dealt.mapInArrow(lean(_chain(kmer, window)), _CHAIN_DDL), "chains")
     # the texts are dealt once, for the tiles of all chains
     wanted = chains.select(*_KEY, F.explode("tiles").alias("tile")).groupBy(*_KEY, "tile").agg(F.lit(1))
     wanted = wanted.groupBy(*_KEY).agg(F.collect_list("tile").alias("tiles")).withColumnsRenamed({"doc_id": "w_doc", "salt": "w_salt"})
     held = docs.join(wanted, _same_doc("doc_id", "salt", "w_doc", "w_salt"))
-    cut = F.arrow_udf(_tile_words, "array<struct<tile:int,words:string>>")
+    cut = F.arrow_udf(lean(_tile_words), "array<struct<tile:int,words:string>>")
     held = held.select("w_doc", "w_salt", F.explode(cut("text", "tiles")).alias("t")).select(
         "w_doc", "w_salt", F.col("t.tile").alias("w_tile"), F.col("t.words").alias("words"))
     # rows equal in id and text give the same tiles
@@ -441,7 +441,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in heads.schema.fields[4:]]
         filled = heads.union(filled.select("cid", "side", "tile", "words", *none))
         dealt = filled.repartition("cid").sortWithinPartitions("cid", "side", "tile")
-        return dealt.mapInArrow(_align_all(min_words, identity), _PASSAGE_DDL)
+        return dealt.mapInArrow(lean(_align_all(min_words, identity)), _PASSAGE_DDL)
 
     found = materialize(aligned(chains.withColumn("chains", F.filter("chains", lambda c: c["best"]))), "passages")
     spans = found.groupBy(*_KEY).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
@@ -504,7 +504,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.withColumnsRenamed({"doc_id": "__doc", "salt": "__doc_salt"})
     marked = docs.withColumn("__salt", _salt(text_col)).join(
         spans, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__salt") == F.col("__doc_salt")), "left")
-    cut = F.arrow_udf(_cut_words, "string")
+    cut = F.arrow_udf(lean(_cut_words), "string")
     names = docs.columns
     done = marked.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(text_col, "__spans")))
     return done.where(F.col("__spans").isNull() | _has_word(text_col)).select(*names)

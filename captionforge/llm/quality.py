@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionforge.llm.text import text_bytes, worker_cache
+from captionforge.llm.text import lean, text_bytes, worker_cache
 from captionforge.session import materialize, scratch_path
 
 CHUNK = 512
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         sample = some if sample is None else sample.union(some)
     short = docs.where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= TRAIN_BYTES).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = short.join(sample, short["doc_id"] == sample["id"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    return materialize(rows.repartition(1).mapInArrow(_fit_rows, "model binary"), "quality-model")
+    return materialize(rows.repartition(1).mapInArrow(lean(_fit_rows), "model binary"), "quality-model")
 
 
 def with_score(docs: DataFrame, model: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -198,7 +198,7 @@ def with_score(docs: DataFrame, model: DataFrame, text_col: str = "text", out: s
             held["quality_key"], held["quality"] = key, dict(np.load(io.BytesIO(packed)))
         return pa.array(score_texts(held["quality"], texts), pa.float64())
 
-    return docs.withColumn(out, F.arrow_udf(score, "double")(F.col(text_col)))
+    return docs.withColumn(out, F.arrow_udf(lean(score), "double")(F.col(text_col)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
