@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionforge.functions.rand import hash_uniform
-from captionforge.operators.positions import keys_at, sorts_before, with_group_index, with_row_index
+from captionforge.operators.positions import Border, keys_at, with_group_index, with_part, with_row_index
 from captionforge.session import materialize
 
 
@@ -75,7 +75,7 @@ def split_sizes(n: int, test_size: float | int | None = None, train_size: float
     return n_train, n_test
 
 
-def _permutation_keys(drawn: DataFrame, order: list[str], positions) -> tuple[int, dict]:
+def _permutation_keys(drawn: DataFrame, order: list[str], positions) -> tuple[int, dict[int, Border]]:
     """``keys_at`` for the seeded permutation, without sorting all keys.
 
     Draws are uniform, so counting them in equal bins tells which bin holds a position; only that
@@ -85,21 +85,21 @@ def _permutation_keys(drawn: DataFrame, order: list[str], positions) -> tuple[in
     counts = {r["bin"]: r["count"] for r in drawn.groupBy(bin_of.alias("bin")).count().collect()}
     total, found = sum(counts.values()), {}
     start = 0
-    wanted = sorted({p for p in positions(total) if 0 <= p < total})
+    wanted = sorted({p for p in positions(total) if 0 <= p < total}) if total else []
     for number in sorted(counts):
         inside = [p for p in wanted if start <= p < start + counts[number]]
         if inside:
             # written first: a sort reads its input twice
             small = materialize(drawn.where(bin_of == number).select(*order), "bin")
             _, rows = keys_at(small, order, [p - start for p in inside])
-            found.update({start + offset: row for offset, row in rows.items()})
+            found.update({start + offset: border._replace(first=start + border.first) for offset, border in rows.items()})
         start += counts[number]
     return total, found
 
 
 def train_test_split(df: DataFrame, key: list[str], test_size=None, train_size=None, shuffle: bool = True,
                      seed: int = 0, name: str = "split") -> DataFrame:
-    """Rows labelled ``train`` or ``test`` in exact counts; surplus rows are dropped.
+    """Rows labelled ``train`` or ``test`` in exact counts; surplus rows are dropped, no rows give empty splits.
 
     Only keys are looked at to find where the splits end; the rows themselves are labelled in
     place, by comparison with those keys, and are not moved.
@@ -108,17 +108,14 @@ def train_test_split(df: DataFrame, key: list[str], test_size=None, train_size=N
     order = [_DRAW, *key] if shuffle else list(key)
     first, second = ("test", "train") if shuffle else ("train", "test")
 
-    def ends(total: int) -> tuple[int, int]:
+    def ends(total: int) -> list[int]:
         n_train, n_test = split_sizes(total, test_size, train_size)
-        return n_test if shuffle else n_train, n_train + n_test
+        return [n_test if shuffle else n_train, n_train + n_test]
 
-    total, keys = (_permutation_keys if shuffle else keys_at)(drawn, order, ends)
-    border, end = ends(total)
-    return (
-        drawn.where(sorts_before(drawn, order, keys.get(end)))
-        .withColumn(name, F.when(sorts_before(drawn, order, keys.get(border)), first).otherwise(second))
-        .select(*df.columns, name)
-    )
+    parted, total, _ = with_part(drawn, order, ends, "__part", _permutation_keys if shuffle else keys_at)
+    if not total:
+        return df.withColumn(name, F.lit(second)).limit(0)
+    return parted.where("__part < 2").withColumn(name, F.when(F.col("__part") == 0, first).otherwise(second)).select(*df.columns, name)
 
 
 def _quota(counts: DataFrame, label: str, weight: str, total: int, wanted: int, name: str) -> DataFrame:
@@ -137,36 +134,28 @@ def _quota(counts: DataFrame, label: str, weight: str, total: int, wanted: int,
 
 def train_test_split_stratified(df: DataFrame, label: str, key: list[str], test_size=None, train_size=None,
                                 seed: int = 0, name: str = "split") -> DataFrame:
-    """Exact split that keeps the class shares; every class needs two members.
+    """Exact split that keeps the class shares; every class needs two members, no rows give empty splits.
 
-    Only (label, draw, key) is sorted. Each class's two borders, one small row, then label the
-    rows in place.
+    A row's place in its class is exact whether or not keys repeat, and each class's two borders, one small row, label it.
     """
     drawn = with_draw(df, key, seed)
     order = [_DRAW, *[k for k in key if k != label]]
-    placed = with_group_index(drawn.select(label, *order), [label], order, "__pos")
+    placed = with_group_index(drawn, [label], order, "__pos")
     counts = materialize(placed.groupBy(label).agg(F.count(F.lit(1)).alias("__n")), "classes")
     n, smallest = counts.agg(F.sum("__n"), F.min("__n")).first()
+    if not n:
+        return df.withColumn(name, F.lit("train")).limit(0)
     if smallest < 2:
-        raise ValueError(f"the least populated class in {label} has only 1 member")
+        raise ValueError(f"a class of {label} with only 1 member cannot be in both splits")
     n_train, n_test = split_sizes(n, test_size, train_size)
     quotas = _quota(counts, label, "__n", n, n_test, "__test")
     left = quotas.withColumn("__left", F.col("__n") - F.col("__test"))
     quotas = _quota(left, label, "__left", n - n_test, n_train, "__train")
     quotas = materialize(quotas.select(
         F.col(label).alias("__label"), F.col("__test"), (F.col("__test") + F.col("__train")).alias("__end")), "quotas")
-    place = F.struct(*order)
-    at = lambda border: F.max(F.when(F.col("__pos") == F.col(border), place))
-    # a class whose border lies past its last row has no row there: null means no limit
-    borders = (
-        quotas.join(placed, F.col(label).eqNullSafe(F.col("__label"))
-                    & ((F.col("__pos") == F.col("__test")) | (F.col("__pos") == F.col("__end"))), "left")
-        .groupBy("__label").agg(at("__test").alias("__test_key"), at("__end").alias("__end_key"))
-    )
-    before = lambda border: F.col(border).isNull() | (place < F.col(border))
     return (
-        drawn.join(materialize(borders, "borders"), F.col(label).eqNullSafe(F.col("__label")))
-        .where(before("__end_key"))
-        .withColumn(name, F.when(before("__test_key"), "test").otherwise("train"))
+        placed.join(quotas, F.col(label).eqNullSafe(F.col("__label")))
+        .where(F.col("__pos") < F.col("__end"))
+        .withColumn(name, F.when(F.col("__pos") < F.col("__test"), "test").otherwise("train"))
         .select(*df.columns, name)
     )

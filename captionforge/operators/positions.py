@@ -1,20 +1,23 @@
 """Row positions, and the operators defined by them.
 
-A DataFrame has no order, so every positional operator takes ``order_by``, a list of
-columns that together identify a row; a plain name sorts ascending, nulls first. Positions come from one distributed sort: range
-partitions hold consecutive slices, so position = rows in earlier slices + offset inside the
-slice. No slice depends on the number of distinct groups, so a group holding a third of
-all rows is spread over as many tasks as any other rows.
+A DataFrame has no order, so every positional operator takes ``order_by``, a list of columns; a
+plain name sorts ascending, nulls first. Rows with equal keys may come in any order, but each has a
+position of its own, so counts are exact whatever the keys. Positions come from one distributed
+sort: range partitions hold consecutive slices, so position = rows in earlier slices + offset
+inside the slice. No slice depends on the number of distinct groups or keys, so a group or key
+holding a third of all rows is spread over as many tasks as any other rows.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from captionforge.session import materialize
 
-_SLICE, _OFFSET, _BASE = "__slice", "__offset", "__base"
+_SLICE, _OFFSET, _BASE, _TIE, _ROW = "__slice", "__offset", "__base", "__tie", "__row"
 _OFFSET_MASK = (1 << 33) - 1
 
 
@@ -25,11 +28,15 @@ def _columns(names: list) -> list[Column]:
 def _sorted_slices(df: DataFrame, order: list[Column]) -> DataFrame:
     # Slice numbers are stored with the rows: a re-executed sort may cut its ranges
     # elsewhere, a written table cannot.
+    # A row number breaks ties, so that equal keys too can be cut into ranges.
+    placed = df.withColumn(_ROW, F.monotonically_increasing_id()).sort(*order, _ROW).drop(_ROW)
+    return _with_slots(placed, "slices")
+
+
+def _with_slots(df: DataFrame, label: str) -> DataFrame:
+    """The written rows with the number of their partition and their place in it."""
     slot = F.monotonically_increasing_id()
-    placed = df.sort(*order).withColumns(
-        {_SLICE: F.shiftright(slot, 33), _OFFSET: slot.bitwiseAND(F.lit(_OFFSET_MASK))}
-    )
-    return materialize(placed, "slices")
+    return materialize(df.withColumns({_SLICE: F.shiftright(slot, 33), _OFFSET: slot.bitwiseAND(F.lit(_OFFSET_MASK))}), label)
 
 
 def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx") -> DataFrame:
@@ -80,17 +87,86 @@ def with_group_index(df: DataFrame, group_by: list[str], order_by: list, name: s
     return out.drop(_SLICE, _OFFSET, _BASE, "__run_slice", *[f"__run_{g}" for g in group_by])
 
 
-def keys_at(df: DataFrame, order_by: list[str], positions) -> tuple[int, dict[int, Row]]:
-    """Row count, and the sort keys of the rows at a few positions.
+class Border(NamedTuple):
+    """The sort keys at a position, the first position with these keys, and how many rows have them."""
+
+    keys: Row
+    first: int
+    rows: int
+
+
+def keys_at(df: DataFrame, order_by: list[str], positions) -> tuple[int, dict[int, Border]]:
+    """Row count, and the border at each of a few positions (a list, or a function of the count).
 
     Only the key columns are sorted. Comparing other columns' rows with these keys then selects by
     position without moving them.
     """
     keys = with_row_index(df.select(*order_by), order_by, "__idx")
     total = keys.count()
-    wanted = {p for p in (positions(total) if callable(positions) else positions) if 0 <= p < total}
-    found = keys.where(F.col("__idx").isin(sorted(wanted))).collect() if wanted else []
-    return total, {r["__idx"]: r for r in found}
+    wanted = sorted({p for p in (positions(total) if callable(positions) else positions) if 0 <= p < total}) if total else []
+    found = {r["__idx"]: r for r in keys.where(F.col("__idx").isin(wanted)).collect()} if wanted else {}
+    if not found:
+        return total, {}
+    same = {p: _same_keys(df, order_by, row) for p, row in found.items()}
+    sizes = keys.agg(*[f(F.when(c, F.col("__idx"))).alias(f"{n}{p}") for p, c in same.items() for n, f in (("first", F.min), ("rows", F.count))]).first()
+    return total, {p: Border(row, sizes[f"first{p}"], sizes[f"rows{p}"]) for p, row in found.items()}
+
+
+def _same_keys(df: DataFrame, order_by: list[str], row: Row) -> Column:
+    same = F.lit(True)
+    for c in order_by:
+        same = same & F.col(c).eqNullSafe(F.lit(row[c]).cast(df.schema[c].dataType))
+    return same
+
+
+def with_tie_breaker(df: DataFrame) -> DataFrame:
+    """Rows with a hash of all columns that can be hashed: only repeated rows share keys and hash."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return df.withColumn(_TIE, F.xxhash64(*plain))
+
+
+def _tie_index(rows: DataFrame, group: str, name: str) -> DataFrame:
+    """Number the rows of each group from 0, in any order, without bringing a group together."""
+    placed = _with_slots(rows, "ties")
+    earlier = Window.partitionBy(group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy(group, _SLICE).agg(F.count(F.lit(1)).alias("__n")).select(
+        group, _SLICE, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias(_BASE))
+    inside = F.row_number().over(Window.partitionBy(group, _SLICE).orderBy(_OFFSET)) - 1
+    return placed.withColumn(name, inside).join(materialize(bases, "bases"), [group, _SLICE]).withColumn(
+        name, F.col(name) + F.col(_BASE)).drop(_SLICE, _OFFSET, _BASE)
+
+
+def with_part(df: DataFrame, order_by: list[str], cuts, name: str, find=keys_at) -> tuple[DataFrame, int, dict[int, Border]]:
+    """Append how many of ``cuts(total)`` lie at or before each row's position; also return the row count and the borders.
+
+    Rows are labelled in place by comparison with the keys at the cuts. Only rows that repeat a cut's row
+    exactly are numbered, to give each side its exact count.
+    """
+    tied = with_tie_breaker(df)
+    order = [*order_by, _TIE]
+    total, borders = find(tied, order, lambda n: [c for c in cuts(n) if 0 < c < n])
+    if not total:
+        return df.withColumn(name, F.lit(0)), 0, {}
+    everywhere = sum(c <= 0 for c in cuts(total))
+    inside = sorted(c for c in cuts(total) if 0 < c < total)
+    part = F.lit(everywhere)
+    for c in inside:
+        part = part + F.when(sorts_before(tied, order, borders[c].keys), 0).otherwise(1)
+    repeated = {borders[c].first: borders[c] for c in inside if borders[c].rows > 1}
+    if not repeated:
+        return tied.withColumn(name, part).drop(_TIE), total, borders
+    group = F.lit(None).cast("long")
+    for first, border in repeated.items():
+        group = F.when(_same_keys(tied, order, border.keys), F.lit(first).cast("long")).otherwise(group)
+    marked = tied.withColumn("__first", group)
+    clear = marked.where("__first is null").withColumn(name, part)
+    numbered = _tie_index(marked.where("__first is not null"), "__first", "__number")
+    at = F.col("__first") + F.col("__number")
+    exact = F.lit(everywhere)
+    for c in inside:
+        exact = exact + F.when(at >= c, 1).otherwise(0)
+    out = clear.select(*df.columns, name).union(numbered.withColumn(name, exact).select(*df.columns, name))
+    return out, total, borders
 
 
 def sorts_before(df: DataFrame, order_by: list[str], row: Row | None) -> Column:
@@ -111,10 +187,21 @@ def sorts_before(df: DataFrame, order_by: list[str], row: Row | None) -> Column:
 def _slice_rows(df: DataFrame, order_by: list, bounds) -> DataFrame:
     """Rows at positions [start, stop), where ``bounds(total)`` gives the two."""
     if all(isinstance(c, str) for c in order_by):
-        total, keys = keys_at(df, order_by, bounds)
-        start, stop = bounds(total)
-        low = sorts_before(df, order_by, keys.get(start)) if 0 < start else F.lit(False)
-        return df.where(~low & sorts_before(df, order_by, keys.get(stop))) if start < stop else df.limit(0)
+        def cuts(total: int) -> list[int]:
+            start, stop = bounds(total)
+            return [start, max(start, stop)]
+
+        parted, total, borders = with_part(df, order_by, cuts, "__part")
+        if not total:
+            return df.limit(0)
+        # implied conditions on the first key, which a file scan can use
+        first, (start, stop) = order_by[0], cuts(total)
+        for cut, side in ((start, F.col(first).__ge__), (stop, F.col(first).__le__)):
+            value = borders[cut].keys[first] if cut in borders else None
+            if value is not None:
+                held = side(F.lit(value).cast(df.schema[first].dataType))
+                parted = parted.where(held if cut == start else F.col(first).isNull() | held)
+        return parted.where("__part = 1").drop("__part")
     indexed = with_row_index(df, order_by, "__idx")
     start, stop = bounds(indexed.count())
     return indexed.where((F.col("__idx") >= start) & (F.col("__idx") < stop)).drop("__idx")
@@ -145,14 +232,15 @@ def shard_strided(df: DataFrame, order_by: list, shards: int, name: str = "shard
 def shard(df: DataFrame, order_by: list, num_shards: int, index: int, contiguous: bool = True) -> DataFrame:
     """The rows of one shard."""
     if not 0 <= index < num_shards:
-        raise ValueError("index should be in [0, num_shards-1]")
+        raise ValueError(f"there is no shard {index} among {num_shards}")
     if not contiguous:
         return shard_strided(df, order_by, num_shards, "__shard").where(F.col("__shard") == index).drop("__shard")
 
     def bounds(total: int) -> tuple[int, int]:
-        div, mod = divmod(total, num_shards)
-        start = div * index + min(index, mod)
-        return start, start + div + (index < mod)
+        # shard i has a row for each of i, i + shards, i + 2 * shards, ... below total
+        size = lambda i: len(range(i, total, num_shards))
+        start = sum(map(size, range(index)))
+        return start, start + size(index)
 
     return _slice_rows(df, order_by, bounds)
 
@@ -181,13 +269,8 @@ def skip(df: DataFrame, order_by: list, n: int) -> DataFrame:
     return _slice_rows(df, order_by, lambda total: (min(n, total), total))
 
 
-TOP_N_ROWS = 10000  # up to here a top-n keeps n rows per task and on the driver
-
-
 def take(df: DataFrame, order_by: list, n: int) -> DataFrame:
-    """First ``n`` rows: a top-n when that is small, otherwise by position."""
-    if n <= TOP_N_ROWS:
-        return df.orderBy(*_columns(order_by)).limit(n)
+    """First ``n`` rows, by position."""
     return _slice_rows(df, order_by, lambda total: (0, min(n, total)))
 
 

@@ -37,16 +37,50 @@ def test_group_index_with_a_hot_group_and_nulls(spark):
     assert slices.groupBy("__slice").count().agg(F.max("count")).first()[0] < 5000
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 7, 10])
-@pytest.mark.parametrize("length", [10, 11, 53, 3])
-def test_shards(spark, n, length):
-    rows = P.shard_contiguous(spark.range(length), ["id"], n).collect()
-    expected = []
-    div, mod = divmod(length, n)
-    for i in range(n):
-        start = div * i + min(i, mod)
-        expected += [(x, i) for x in range(start, start + div + (i < mod))]
-    assert sorted((r["id"], r["shard"]) for r in rows) == expected
+@pytest.mark.parametrize("length, n, sizes", [(10, 1, [10]), (10, 3, [4, 3, 3]), (11, 3, [4, 4, 3]), (53, 7, [8, 8, 8, 8, 7, 7, 7]), (3, 4, [1, 1, 1, 0])])
+def test_shards(spark, length, n, sizes):
+    rows = sorted((r["id"], r["shard"]) for r in P.shard_contiguous(spark.range(length), ["id"], n).collect())
+    shards = [shard for _, shard in rows]
+    assert shards == sorted(shards) and [shards.count(i) for i in range(n)] == sizes
+    assert [P.shard(spark.range(length), ["id"], n, i).count() for i in range(n)] == sizes
+
+
+def tied(spark, n=30000):
+    """Two thirds of the rows have one key, some none; half of the rows are repeated exactly."""
+    key = F.when(F.col("id") % 3 > 0, 7).when(F.col("id") % 30 == 0, F.lit(None)).otherwise(F.col("id") % 11).cast("int")
+    return spark.range(0, n, 1, 5).select(key.alias("k"), F.floor(F.col("id") / 2).alias("v"))
+
+
+@pytest.mark.parametrize("n", [0, 10, 10001, 25000, 30000, 40000])
+def test_tied_keys_take_and_skip(spark, n):
+    df = tied(spark)
+    head, rest = P.take(df, ["k"], n), P.skip(df, ["k"], n)
+    assert head.count() == min(n, 30000)
+    # the two are complementary, also as rows
+    assert head.union(rest).groupBy("k", "v").count().exceptAll(df.groupBy("k", "v").count()).count() == 0
+    want = sorted((r["k"] is not None, r["k"] or 0) for r in df.collect())[:n]
+    assert sorted((r["k"] is not None, r["k"] or 0) for r in head.collect()) == want
+
+
+def test_tied_keys_slices_and_shards(spark):
+    df = tied(spark)
+    assert P.getitem(df, ["k"], slice(0, 100)).count() == 100
+    assert P.getitem(df, ["k"], slice(14000, 20001)).count() == 6001
+    assert P.getitem(df, ["k"], slice(200, 100)).count() == 0
+    assert [P.split_by_node(df, ["k"], i, 4).count() for i in range(4)] == [7500] * 4
+    same = df.select(F.lit(1).alias("k"), F.lit("x").alias("v"))
+    assert [P.shard(same, ["k"], 4, i).count() for i in range(4)] == [7500] * 4
+
+
+@pytest.mark.parametrize("shuffle", [True, False])
+def test_tied_keys_splits(spark, shuffle):
+    df = tied(spark)
+    split = O.train_test_split(df, ["k"], test_size=0.25, shuffle=shuffle)
+    assert Counter(r["split"] for r in split.collect()) == {"train": 22500, "test": 7500}
+    assert O.train_test_split(df.limit(0), ["k"], test_size=0.25, shuffle=shuffle).count() == 0
+    by_class = O.train_test_split_stratified(df.where("k is not null"), "k", ["v"], test_size=0.25, seed=1)
+    assert Counter(r["split"] for r in by_class.collect()) == {"train": 21750, "test": 7250}
+    assert O.train_test_split_stratified(df.limit(0), "k", ["v"]).count() == 0
 
 
 def test_shard_pick(spark):
@@ -178,7 +212,6 @@ def test_slices_by_key_comparison(spark):
 
 
 def test_large_take(spark, monkeypatch):
-    monkeypatch.setattr(P, "TOP_N_ROWS", 5)
     assert sorted(r["id"] for r in P.take(spark.range(50), ["id"], 20).collect()) == list(range(20))
     assert P.take(spark.range(50), ["id"], 80).count() == 50
 
