@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionforge.session import materialize
+from captionforge.session import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every larger neighbour of a node is linked to the smallest node the node sees."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every node and its smaller neighbours are linked to the smallest of these."""
     down = edges.where("a > b")
     least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct(), least
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -42,7 +42,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _digest(edges)
     while before[0]:
-        edges = materialize(_small_star(materialize(_large_star(edges), "stars")), "stars")
+        used = [edges]
+        for star in (_large_star, _small_star):
+            moved, least = star(edges)
+            edges = materialize(moved, "stars")
+            used += [least, edges]
+        discard(*used[:-1])
         now = _digest(edges)
         if now == before:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from captionforge.llm.graph import connected_components
 from captionforge.llm.text import lean, mix, window_hashes, word_groups
-from captionforge.session import materialize
+from captionforge.session import discard, materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -223,37 +223,44 @@ def _forest(buckets: DataFrame, by: list[str], threshold: float) -> DataFrame:
 
 def candidate_links(records: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(a, b) links between records (skey, size, sketch, tokens) whose components hold every pair that meets."""
-    links = []
+    links, used = [], []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        used.append(materialize(df, label))
+        return used[-1]
+
     choose, go_on = _children(BRANCH), _children(DEEPER)
     starts = [choose(F.lit(1_000_003 * (run + 1)).cast("long"), "size", "tokens") for run in range(runs_for(recall, threshold))]
     at = records.select("skey", "size", "sketch", F.explode(F.concat(*starts)).alias("path"))
-    at = materialize(at.withColumn("depth", F.lit(0)), "paths")
+    at = kept(at.withColumn("depth", F.lit(0)), "paths")
     while True:
         counts = at.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        at = materialize(at.join(counts, "path"), "shared")
-        links.append(materialize(_forest(at.where(f"n <= {BUCKET}"), ["path"], threshold), "links"))
+        at = kept(at.join(counts, "path"), "shared")
+        links.append(kept(_forest(at.where(f"n <= {BUCKET}"), ["path"], threshold), "links"))
         large = at.where(f"n > {BUCKET}")
         # every path has a pivot of its own
-        pivots = materialize(large.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "skey").alias("h"), "skey", "sketch")).alias("pivot")), "pivots")
+        pivots = kept(large.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "skey").alias("h"), "skey", "sketch")).alias("pivot")), "pivots")
         alike = F.arrow_udf(_estimates, "double")("sketch", "pivot.sketch")
-        compared = materialize(large.join(pivots, "path").withColumn("alike", alike), "compared")
+        compared = kept(large.join(pivots, "path").withColumn("alike", alike), "compared")
         links.append(compared.where(F.col("alike") >= PIVOT_LINK).select(F.col("skey").alias("a"), F.col("pivot.skey").alias("b")))
         left = compared.where(F.col("alike") < PIVOT_TAKES).select("path", "depth", "n", "skey", "size", "sketch")
         if left.isEmpty():
             break
         now = left.groupBy("path").agg(F.count(F.lit(1)).alias("m"))
-        left = materialize(left.join(now, "path"), "left")
+        left = kept(left.join(now, "path"), "left")
         # a bucket that its pivot has thinned out goes on with another one, else it is split on a further token
-        links.append(materialize(_forest(left.where(f"m > 1 and m <= {BUCKET}"), ["path"], threshold), "links"))
+        links.append(kept(_forest(left.where(f"m > 1 and m <= {BUCKET}"), ["path"], threshold), "links"))
         left = left.where(f"m > {BUCKET}")
         again = left.where("4 * m <= 3 * n").select("skey", "size", "sketch", F.xxhash64("path").alias("path"), "depth")
         links.append(_blocks(left.where(f"4 * m > 3 * n and depth >= {DEPTH}"), threshold))
         split = left.where(f"4 * m > 3 * n and depth < {DEPTH}").join(records.select("skey", "tokens"), "skey")
         split = split.select("skey", "size", "sketch", F.explode(go_on("path", "size", "tokens")).alias("path"), (F.col("depth") + 1).alias("depth"))
-        at = materialize(again.union(split), "paths")
+        at = kept(again.union(split), "paths")
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
+    out = materialize(out.distinct(), "candidates")
+    discard(*used)
     return out
 
 
@@ -357,8 +364,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     records = materialize(named.groupBy("skey").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
         F.min("sketch").alias("sketch"), F.min("tokens").alias("tokens")), "records")
-    clusters = connected_components(candidate_links(records.select("skey", "size", "sketch", "tokens"), threshold, recall))
+    candidates = candidate_links(records.select("skey", "size", "sketch", "tokens"), threshold, recall)
+    clusters = materialize(connected_components(candidates), "clusters")
+    discard(candidates)
     checked = materialize(verified_links(docs, records, clusters, threshold), "verified")
+    discard(clusters)
     classes = connected_components(checked.where("b is not null").select("a", "b"))
     links = checked.where("b is null").groupBy("a").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     labelled = records.select("skey", "doc_id", "copies").join(classes.withColumnRenamed("node", "skey"), "skey", "left")
@@ -372,6 +382,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = materialize(labelled.join(of_class, "component").select(
         "skey", "copies", "class_id", "class_key", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_linked_texts")), "classes")
+    discard(records, checked, labelled)
     empty = rows.where("skey is null").select(
         "doc_id", "skey", F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("class_id"), F.col("skey").alias("class_key"),
         F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_linked_texts"))

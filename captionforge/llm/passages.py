@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from captionforge.llm.text import lean, mix, window_hashes, word_groups
-from captionforge.session import materialize
+from captionforge.session import discard, materialize
 
 KMER = 6
 WINDOW = 10        # of consecutive k-mers, at least one is a seed
@@ -421,19 +421,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # the first row of a seed may be a later place of the same document
     matches = seeds.where("h is null").drop("h").union(across.where(~_same_doc("doc_id", "salt", "r_doc", "r_salt")))
     dealt = matches.repartition(*_KEY).sortWithinPartitions(*_KEY, "r_doc", "r_salt", "pos", "r_pos")
-    chains = materialize(dealt.mapInArrow(lean(_chain(kmer, window)), _CHAIN_DDL), "chains")
+    all_chains = materialize(dealt.mapInArrow(lean(_chain(kmer, window)), _CHAIN_DDL), "chains")
+    discard(seeds)
     # the texts are dealt once, for the tiles of all chains
-    wanted = chains.select(*_KEY, F.explode("tiles").alias("tile")).groupBy(*_KEY, "tile").agg(F.lit(1))
+    wanted = all_chains.select(*_KEY, F.explode("tiles").alias("tile")).groupBy(*_KEY, "tile").agg(F.lit(1))
     wanted = wanted.groupBy(*_KEY).agg(F.collect_list("tile").alias("tiles")).withColumnsRenamed({"doc_id": "w_doc", "salt": "w_salt"})
     held = docs.join(wanted, _same_doc("doc_id", "salt", "w_doc", "w_salt"))
     cut = F.arrow_udf(lean(_tile_words), "array<struct<tile:int,words:string>>")
     held = held.select("w_doc", "w_salt", F.explode(cut("text", "tiles")).alias("t")).select(
         "w_doc", "w_salt", F.col("t.tile").alias("w_tile"), F.col("t.words").alias("words"))
     # rows equal in id and text give the same tiles
-    held = materialize(held, "tiles").dropDuplicates(["w_doc", "w_salt", "w_tile"])
-    chains = chains.where("chains is not null").drop("tiles")
+    tiles = materialize(held, "tiles")
+    held = tiles.dropDuplicates(["w_doc", "w_salt", "w_tile"])
+    chains = all_chains.where("chains is not null").drop("tiles")
 
-    def aligned(some: DataFrame) -> DataFrame:
+    def aligned(some: DataFrame, label: str) -> DataFrame:
         single = some.select(*_KEY, F.explode("chains").alias("c")).select(*_KEY, "c.r_doc", "c.r_salt", "c.blocks")
         single = materialize(single.withColumn("cid", F.monotonically_increasing_id()), "single")
         filled = _pieces(single).join(held, _same_doc("doc_id", "salt", "w_doc", "w_salt") & (F.col("tile") == F.col("w_tile")))
@@ -441,9 +443,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in heads.schema.fields[4:]]
         filled = heads.union(filled.select("cid", "side", "tile", "words", *none))
         dealt = filled.repartition("cid").sortWithinPartitions("cid", "side", "tile")
-        return dealt.mapInArrow(lean(_align_all(min_words, identity)), _PASSAGE_DDL)
+        out = materialize(dealt.mapInArrow(lean(_align_all(min_words, identity)), _PASSAGE_DDL), label)
+        discard(single)
+        return out
 
-    found = materialize(aligned(chains.withColumn("chains", F.filter("chains", lambda c: c["best"]))), "passages")
+    found = aligned(chains.withColumn("chains", F.filter("chains", lambda c: c["best"])), "passages")
     spans = found.groupBy(*_KEY).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
     spans = spans.withColumnsRenamed({"doc_id": "s_doc", "salt": "s_salt"})
 
@@ -455,7 +459,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     more = chains.join(spans, _same_doc("doc_id", "salt", "s_doc", "s_salt"), "left")
     more = more.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start_word:int,n_words:int>>")))
     more = materialize(more.withColumn("chains", F.filter("chains", open_still)).where(F.size("chains") > 0).select(*_KEY, "chains"), "others")
-    return found.union(aligned(more))
+    also = aligned(more, "further-passages")
+    discard(all_chains, tiles, more)
+    return found.union(also)
 
 
 def _pieces(chains: DataFrame) -> DataFrame:
