@@ -31,7 +31,7 @@ from captionforge.llm.text import lean, mix, window_hashes, word_groups
 from captionforge.session import discard, materialize
 
 KMER = 6
-WINDOW = 10        # of consecutive k-mers, at least one is a seed
+WINDOW = 13        # of consecutive k-mers, at least one is a seed
 MIN_WORDS = 50
 IDENTITY = 0.8
 GAP_COST = 0.125   # words of score lost for each word of gap, both documents together
