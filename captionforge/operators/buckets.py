@@ -10,11 +10,6 @@ from captionforge.functions.rand import hash_uniform
 from captionforge.operators.positions import with_group_index
 from captionforge.session import materialize
 
-# Primes used as strides. At least one does not divide a given bucket size, because their product
-# exceeds 2^63.
-STRIDES = [10007, 10009, 10037, 10039, 10061]
-
-
 def bucket_stats(df: DataFrame, bucket: str = "bucket_size") -> DataFrame:
     """Rows per bucket and share of all rows."""
     counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
@@ -92,22 +87,22 @@ def draw_buckets(stats: DataFrame, n_batches: int, seed: int, bucket: str = "buc
 
 
 def batch_positions(draws: DataFrame, stats: DataFrame, batch_size: int, seed: int, bucket: str = "bucket_size") -> DataFrame:
-    """(batch_id, bucket, pos_in_batch, bucket_pos): ``batch_size`` distinct places in the bucket.
+    """(batch_id, bucket, pos_in_batch, bucket_pos): a uniform sample of ``batch_size`` distinct places in the bucket.
 
-    Places follow a drawn stride coprime to the bucket size from a drawn start, so they cannot
-    repeat inside a batch and no bucket is ranked or collected.
+    Place j is drawn from the first ``n - batch_size + j + 1``; one that the batch has already is replaced by the last
+    of these. Every set of places is equally likely, and no bucket is ranked or collected. A bucket
+    smaller than a batch raises.
     """
-    n = F.col("n")
-    start = F.floor(hash_uniform(seed, "start", F.col("batch_id")) * n).cast("long")
-    turn = F.floor(hash_uniform(seed, "stride", F.col("batch_id")) * len(STRIDES)).cast("int")
-    primes = F.array(*[F.lit(p) for p in STRIDES + STRIDES])
-    stride = F.get(F.filter(F.slice(primes, turn + 1, F.lit(len(STRIDES))), lambda p: n % p != 0), 0)
+    n, size = F.col("n"), F.lit(batch_size)
+    draws_of = F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.struct(
+        F.floor(hash_uniform(seed, "place", F.col("batch_id"), j) * (n - size + j + 1)).cast("long").alias("drawn"),
+        (n - size + j).cast("long").alias("last")))
+    picked = F.aggregate(draws_of, F.array().cast("array<bigint>"), lambda have, d: F.concat(
+        have, F.array(F.when(F.array_contains(have, d["drawn"]), d["last"]).otherwise(d["drawn"]))))
+    small = F.raise_error(F.concat(F.lit("a bucket has fewer rows than a batch: "), n.cast("string"))).cast("array<bigint>")
     return (
         draws.join(stats.select(bucket, "n"), bucket)
-        .withColumns({"__start": start, "__stride": stride})
-        .withColumn("pos_in_batch", F.explode(F.sequence(F.lit(0), F.lit(batch_size - 1))))
-        .withColumn("bucket_pos", ((F.col("__start") + F.col("pos_in_batch").cast("long") * F.col("__stride")) % n))
-        .select("batch_id", bucket, "pos_in_batch", "bucket_pos")
+        .select("batch_id", bucket, F.posexplode(F.when(n < size, small).otherwise(picked)).alias("pos_in_batch", "bucket_pos"))
     )
 
 

@@ -53,20 +53,19 @@ def class_index(spark, sf_dir):
     return B.class_index(table(spark, sf_dir, "embeddings"), "vec_id", "label")
 
 
-_PRIMES = "[" + ", ".join(f"{p}::BIGINT" for p in B.STRIDES + B.STRIDES) + "]"
 
 
 def batches_sql(seed: int, first_n: int = 0) -> str:
     forced = f"CASE WHEN batch_id < {first_n} THEN (SELECT first_side || 'x' || second_side FROM ({_MAX})) ELSE drawn END"
-    turn = f"CAST(trunc({S.uniform(seed, S.quote('stride'), 'batch_id')} * {len(B.STRIDES)}) AS INTEGER)"
+    drawn = f"CAST(trunc({S.uniform(seed, S.quote('place'), 'batch_id', 'j')} * (n - {BATCH} + j + 1)) AS BIGINT)"
     return f"""WITH rows AS ({BUCKETED}), stats AS (SELECT bucket_size, n FROM ({_STATS}) WHERE n > {3 * BATCH}),
  edges AS (SELECT bucket_size, n, CAST(coalesce(sum(n) OVER (ORDER BY bucket_size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo FROM stats),
  d AS (SELECT i AS batch_id, CAST(trunc({S.uniform(seed, S.quote('bucket'), 'i')} * (SELECT sum(n) FROM stats)) AS BIGINT) AS r
    FROM range((SELECT CAST(sum(n // {BATCH}) AS BIGINT) FROM stats)) g(i)),
  p AS (SELECT batch_id, {forced} AS bucket_size FROM (SELECT batch_id, bucket_size AS drawn FROM d JOIN edges ON r >= lo AND r < lo + n)),
- s AS (SELECT batch_id, p.bucket_size, n, CAST(trunc({S.uniform(seed, S.quote('start'), 'batch_id')} * n) AS BIGINT) AS start,
-   list_filter(list_slice({_PRIMES}, {turn} + 1, {turn} + {len(B.STRIDES)}), lambda q: n % q <> 0)[1] AS stride FROM p JOIN stats USING (bucket_size)),
- k AS (SELECT batch_id, bucket_size, CAST(j AS INTEGER) AS pos_in_batch, (start + j * stride) % n AS bucket_pos FROM s, range({BATCH}) h(j)),
+ s AS (SELECT batch_id, p.bucket_size, list_reduce(list_concat([[]::BIGINT[]], list_transform(range({BATCH}), lambda j: [{drawn}, n - {BATCH} + j])),
+   lambda have, d: list_append(have, CASE WHEN list_contains(have, d[1]) THEN d[2] ELSE d[1] END)) AS picked FROM p JOIN stats USING (bucket_size)),
+ k AS (SELECT batch_id, bucket_size, CAST(j AS INTEGER) AS pos_in_batch, picked[j + 1] AS bucket_pos FROM s, range({BATCH}) h(j)),
  x AS (SELECT bucket_size, row_idx, row_number() OVER (PARTITION BY bucket_size ORDER BY row_idx) - 1 AS bucket_pos FROM rows)
 SELECT batch_id, bucket_size, pos_in_batch, row_idx FROM k JOIN x USING (bucket_size, bucket_pos)"""
 

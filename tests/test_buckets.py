@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from captionforge.operators import buckets as B
@@ -39,13 +40,28 @@ def test_batches_have_distinct_rows_of_one_bucket(spark):
     assert abs(drawn["64x64"] / 600 - 0.5) < 0.08 and abs(drawn["64x128"] / 600 - 0.3) < 0.08
 
 
-def test_strides_are_coprime(spark):
-    stats = spark.createDataFrame([("a", n) for n in (10007, 10007 * 10009, 12, 97)], "bucket_size string, n long")
-    for n in [r["n"] for r in stats.collect()]:
-        one = stats.where(F.col("n") == n)
-        draws = spark.range(50).select(F.col("id").alias("batch_id"), F.lit("a").alias("bucket_size"))
-        places = B.batch_positions(draws, one, 12, 4)
-        assert places.groupBy("batch_id").agg(F.countDistinct("bucket_pos").alias("d")).where("d <> 12").count() == 0
+def test_places_are_a_uniform_sample(spark):
+    """Distinct places, no more neighbours than chance gives, and every place equally often; also where 10007 or 10037 rows are."""
+    size, batches = 16, 400
+    for n in (48, 10007, 10008, 10036, 10038, 10062, 10007 * 10009):
+        stats = spark.createDataFrame([("a", n)], "bucket_size string, n long")
+        draws = spark.range(batches).select(F.col("id").alias("batch_id"), F.lit("a").alias("bucket_size"))
+        places = defaultdict(list)
+        for r in B.batch_positions(draws, stats, size, 4).collect():
+            places[r["batch_id"]].append(r["bucket_pos"])
+        assert all(len(set(p)) == size and 0 <= min(p) and max(p) < n for p in places.values()) and len(places) == batches
+        neighbours = sum(b - a == 1 for p in places.values() for a, b in zip(sorted(p), sorted(p)[1:]))
+        chance = batches * (size - 1) * size / n
+        assert abs(neighbours - chance) < 6 + 5 * chance**0.5
+        middle = sum(p >= n // 2 for x in places.values() for p in x) / (size * batches)
+        assert abs(middle - 0.5) < 0.03
+
+
+def test_a_bucket_smaller_than_a_batch_raises(spark):
+    stats = spark.createDataFrame([("a", 3)], "bucket_size string, n long")
+    draws = spark.range(1).select(F.col("id").alias("batch_id"), F.lit("a").alias("bucket_size"))
+    with pytest.raises(Exception, match="fewer rows"):
+        B.batch_positions(draws, stats, 4, 1).collect()
 
 
 def test_first_batches_from_the_largest_shape(spark):
