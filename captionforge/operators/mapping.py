@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.utils import AnalysisException
 
 from captionforge.operators.positions import with_row_index
@@ -23,41 +25,70 @@ def map_columns(df: DataFrame, updates: dict[str, Column], remove_columns: list[
     return df.select(*kept, *[v.alias(k) for k, v in updates.items()])
 
 
+# Whole numbers and booleans with nulls keep their values in these; without them pandas makes them floats.
+_NULLABLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(),
+             pa.bool_(): pd.BooleanDtype()}
+
+
+def to_frame(batch: pa.RecordBatch | pa.Table) -> pd.DataFrame:
+    """A pandas frame with exact values: plain numpy types where a column has no null."""
+    columns = {}
+    for name, column in zip(batch.schema.names, batch.columns):
+        columns[name] = column.to_pandas(types_mapper=_NULLABLE.get if column.null_count else None)
+    return pd.DataFrame(columns, columns=batch.schema.names)
+
+
+def from_frame(frame: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
+
+
+def _arrow_schema(schema: str | T.StructType) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict], dict | None], new_schema: str | T.StructType = "",
              remove_columns: list[str] = (), input_columns: list[str] | None = None) -> DataFrame:
     """``fn(row dict)`` returns the columns to update, or None to leave rows as they are.
 
-    Arrow batches cross to Python; ``new_schema`` declares the columns the function sets.
+    Rows cross to Python as Arrow batches; columns that the function neither reads nor sets come back as
+    they went. ``new_schema`` declares the columns the function sets.
     """
     declared = T.StructType.fromDDL(new_schema) if isinstance(new_schema, str) and new_schema else new_schema
     updated = {f.name: f for f in declared} if declared else {}
     fields = [updated.get(f.name, f) for f in _kept(df.schema, remove_columns)]
     fields += [f for n, f in updated.items() if n not in {x.name for x in fields}]
-    names = [f.name for f in fields]
+    schema = _arrow_schema(T.StructType(fields))
+    old = set(df.columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                given = {c: row[c] for c in input_columns} if input_columns else row
-                result = fn(given) or {}
-                kept = {k: v for k, v in row.items() if k not in remove_columns}
-                out.append({**kept, **result})
-            yield pd.DataFrame(out, columns=names)
+            given = (batch.select(input_columns) if input_columns else batch).to_pylist()
+            results = [fn(row) or {} for row in given]
+            columns = []
+            for field in schema:
+                at = batch.schema.get_field_index(field.name)
+                if field.name not in updated:
+                    columns.append(batch.column(at).cast(field.type))
+                    continue
+                was = batch.column(at).to_pylist() if field.name in old else [None] * batch.num_rows
+                columns.append(pa.array([r.get(field.name, w) for r, w in zip(results, was)], field.type))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return df.mapInPandas(run, T.StructType(fields))
+    return df.mapInArrow(run, T.StructType(fields))
 
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> DataFrame:
-    """``fn`` on every Arrow batch; it may return more or fewer rows.
+    """``fn`` on every Arrow batch as a pandas frame; it may return more or fewer rows.
 
     Batch borders follow Spark's record limit. Use ``map_exact_batches`` where they matter.
     """
+    target = _arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return map(fn, batches)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from_frame(fn(to_frame(batch)), target)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def map_exact_batches(df: DataFrame, order_by: list, fn: Callable[[pd.DataFrame], pd.DataFrame],
@@ -65,31 +96,34 @@ def map_exact_batches(df: DataFrame, order_by: list, fn: Callable[[pd.DataFrame]
     """``fn`` on batches of exactly ``batch_size`` consecutive rows."""
     columns = df.columns
     indexed = with_row_index(df, order_by, "__idx")
+    target = _arrow_schema(schema)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__idx")
-        if drop_last_batch and len(rows) < batch_size:
-            rows = rows.iloc[:0]
-        return fn(rows[columns].reset_index(drop=True))
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("__idx").select(columns)
+        if drop_last_batch and rows.num_rows < batch_size:
+            rows = rows.slice(0, 0)
+        return pa.Table.from_batches([from_frame(fn(to_frame(rows)), target)])
 
-    return indexed.groupBy(F.floor(F.col("__idx") / batch_size)).applyInPandas(run, schema)
+    return indexed.groupBy(F.floor(F.col("__idx") / batch_size)).applyInArrow(run, schema)
 
 
 def map_with_context(df: DataFrame, order_by: list, fn: Callable[..., pd.DataFrame], schema: str | T.StructType,
                      input_columns: list[str] | None = None, with_rank: bool = False, **fn_kwargs) -> DataFrame:
     """``fn(batch, indices[, rank], **kwargs)``: batch map that also gets row positions and the task's rank."""
     indexed = with_row_index(df, order_by, "__idx")
-    chosen = input_columns or df.columns
+    chosen = list(input_columns or df.columns)
     narrow = indexed.select(*chosen, "__idx", F.spark_partition_id().alias("__rank"))
+    target = _arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            args = [batch[chosen], batch["__idx"]]
+            frame = to_frame(batch)
+            args = [frame[chosen], frame["__idx"]]
             if with_rank:
-                args.append(int(batch["__rank"].iloc[0]) if len(batch) else 0)
-            yield fn(*args, **fn_kwargs)
+                args.append(int(frame["__rank"].iloc[0]) if len(frame) else 0)
+            yield from_frame(fn(*args, **fn_kwargs), target)
 
-    return narrow.mapInPandas(run, schema)
+    return narrow.mapInArrow(run, schema)
 
 
 def row_function(fn: Callable, return_type: str) -> Callable:

@@ -13,8 +13,10 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from captionforge.functions.captions import (
     caption_reject,
@@ -35,6 +37,7 @@ MAX_RETRIES = 5
 # Images per caption model call, urls per download task.
 CAPTION_BATCH = 64
 URLS_PER_TASK = 10000
+FETCH_BYTES = 32 << 20  # downloaded bodies a task holds before it passes them on
 
 
 def model_column(factory: ModelFactory, return_type: str, *inputs: Column, batch_size: int | None = None) -> Column:
@@ -111,8 +114,8 @@ def fetch(rows: DataFrame, url: str, fetcher: Callable[[], Callable[[str, int],
     content. Url rows are small, so a file of them would be one long task: they are spread to
     ``urls_per_task`` each, and downloads overlap in threads inside a task.
     """
-    out = rows.schema.simpleString()[len("struct<"):-1]
-    schema = f"{out}, {content} binary, status int, attempts int"
+    added = T.StructType.fromDDL(f"{content} binary, status int, attempts int")
+    schema = T.StructType([*rows.schema.fields, *added])
 
     def one(get, address: str) -> tuple:
         status = None
@@ -127,17 +130,29 @@ def fetch(rows: DataFrame, url: str, fetcher: Callable[[], Callable[[str, int],
                 break
         return None, status, attempt + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = fetcher()
+
+        def block(rows: pa.RecordBatch, results: list[tuple]) -> pa.RecordBatch:
+            new = [pa.array([r[i] for r in results], kind) for i, kind in enumerate((pa.binary(), pa.int32(), pa.int32()))]
+            return pa.RecordBatch.from_arrays([*rows.columns, *new], names=[*rows.schema.names, content, "status", "attempts"])
+
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
-                results = list(pool.map(lambda a: one(get, a), batch[url]))
-                bodies, statuses, attempts = zip(*results) if results else ((), (), ())
-                yield batch.assign(**{content: list(bodies), "status": pd.array(statuses, dtype="Int32"),
-                                      "attempts": pd.array(attempts, dtype="Int32")})
+                # a few downloads per thread at a time, passed on when their bodies reach FETCH_BYTES
+                addresses, begun, results, held = batch.column(batch.schema.get_field_index(url)).to_pylist(), 0, [], 0
+                for at in range(0, len(addresses), threads):
+                    for result in pool.map(lambda a: one(get, a), addresses[at:at + threads]):
+                        results.append(result)
+                        held += len(result[0] or b"")
+                    if held >= FETCH_BYTES:
+                        yield block(batch.slice(begun, len(results)), results)
+                        begun, results, held = begun + len(results), [], 0
+                if results:
+                    yield block(batch.slice(begun), results)
 
     tasks = -(-rows.count() // urls_per_task) or 1
-    return rows.repartition(tasks).mapInPandas(run, schema)
+    return rows.repartition(tasks).mapInArrow(run, schema)
 
 
 def split_fetched(fetched: DataFrame, key: str, content: str = "content") -> tuple[DataFrame, DataFrame]:

@@ -201,3 +201,26 @@ def map_cache(spark, sf_dir):
     step = lambda d: d.withColumn("lang", F.upper("lang"))
     M.cached_map(_docs(spark, sf_dir), step, cache, "upper-lang-1")
     return M.cached_map(_docs(spark, sf_dir), step, cache, "upper-lang-1")
+
+
+@query("map_rows_nullable", """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 9007199254740993 + doc_id END AS big,
+  CASE WHEN doc_id % 2 = 0 THEN 9007199254740993 + doc_id * 2 END AS twice FROM documents""")
+def map_rows_nullable(spark, sf_dir):
+    big = F.when(F.col("doc_id") % 3 > 0, F.lit(9007199254740993) + F.col("doc_id"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", big.alias("big"))
+    return M.map_rows(rows, lambda r: {"twice": 9007199254740993 + r["doc_id"] * 2} if r["doc_id"] % 2 == 0 else None, "twice long")
+
+
+@query("map_batches_nullable", "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 9007199254740993 + doc_id END AS big FROM documents WHERE doc_id % 5 > 0")
+def map_batches_nullable(spark, sf_dir):
+    big = F.when(F.col("doc_id") % 3 > 0, F.lit(9007199254740993) + F.col("doc_id"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", big.alias("big"))
+    return M.map_batches(rows, lambda batch: batch[batch["doc_id"] % 5 > 0], rows.schema)
+
+
+@query("fetch_nullable", "SELECT page_id, CASE WHEN page_id % 3 > 0 THEN 9007199254740993 + page_id END AS big, strlen(url) AS size, 1 AS attempts FROM pages")
+def fetch_nullable(spark, sf_dir):
+    big = F.when(F.col("page_id") % 3 > 0, F.lit(9007199254740993) + F.col("page_id"))
+    rows = table(spark, sf_dir, "pages").select("page_id", big.alias("big"), "url")
+    done = models.fetch(rows, "url", lambda: lambda address, attempt: (200, address.encode()), threads=4)
+    return done.select("page_id", "big", F.octet_length("content").cast("long").alias("size"), "attempts")

@@ -176,3 +176,36 @@ SELECT o_orderkey, o_orderpriority, CASE WHEN i < n_test THEN 'test' ELSE 'train
 def train_test_split_stratified(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return ordering.train_test_split_stratified(orders, "o_orderpriority", ["o_orderkey"], test_size=0.3, seed=3)
+
+
+def _tied_counts(sizes: list[int]) -> str:
+    """Keys of the first rows of lineitem by quantity, of which thousands have each value."""
+    parts = [f"SELECT {n}::BIGINT AS wanted, l_quantity FROM (SELECT l_quantity FROM lineitem ORDER BY l_quantity LIMIT {n})" for n in sizes]
+    return f"SELECT wanted, l_quantity, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
+
+
+_TIED = [100, 9_000, 25_000]
+
+
+@query("take_tied", _tied_counts(_TIED))
+def take_tied(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_partkey")
+    out = None
+    for n in _TIED:
+        part = P.take(rows, ["l_quantity"], n).groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n")).withColumn("wanted", F.lit(n).cast("long"))
+        out = part if out is None else out.union(part)
+    return out.select("wanted", "l_quantity", "n")
+
+
+@query("shard_tied", """SELECT CASE WHEN i < 4 * ((c + 6) // 7) THEN i // ((c + 6) // 7) ELSE 0 END AS shard, count(*) AS n FROM
+  (SELECT row_number() OVER (ORDER BY l_quantity) - 1 AS i, count(*) OVER () AS c FROM lineitem) WHERE i < (c + 6) // 7 GROUP BY ALL""")
+def shard_tied(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_partkey")
+    return P.shard(rows, ["l_quantity"], 7, 0).agg(F.lit(0).cast("long").alias("shard"), F.count(F.lit(1)).alias("n"))
+
+
+@query("train_test_split_tied", """SELECT CASE WHEN i < n_test THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM
+  (SELECT row_number() OVER () - 1 AS i, ceil(0.2::DOUBLE * count(*) OVER ()) AS n_test FROM lineitem) GROUP BY ALL""")
+def train_test_split_tied(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_partkey")
+    return ordering.train_test_split(rows, ["l_quantity"], test_size=0.2, seed=5).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
