@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,23 @@ def filter_rows(df: DataFrame, predicate) -> DataFrame:
     return df.where(predicate if isinstance(predicate, Column) else predicate(df))
 
 
+def filter_python(df: DataFrame, predicate, input_columns: list[str] | None = None, batched: bool = False, **fn_kwargs) -> DataFrame:
+    """Keep rows for which a Python function is true.
+
+    It gets a row as a dict or, with ``batched``, a dict of lists and returns a list of booleans; only
+    ``input_columns`` cross to Python, and the rows themselves stay in the JVM.
+    """
+    names = list(input_columns or df.columns)
+
+    def decide(rows: pa.Array) -> pa.Array:
+        if batched:
+            columns = {c: rows.field(i).to_pylist() for i, c in enumerate(names)}
+            return pa.array([bool(v) for v in predicate(columns, **fn_kwargs)], pa.bool_())
+        return pa.array([bool(predicate(row, **fn_kwargs)) for row in rows.to_pylist()], pa.bool_())
+
+    return df.where(F.arrow_udf(decide, "boolean")(F.struct(*[F.col(f"`{c}`") for c in names])))
+
+
 def filter_with_index(df: DataFrame, order_by: list, predicate) -> DataFrame:
     """``predicate(row_idx)`` decides by position."""
     return with_row_index(df, order_by, "__idx").where(predicate(F.col("__idx"))).drop("__idx")

@@ -49,19 +49,17 @@ def cast_column(df: DataFrame, name: str, data_type) -> DataFrame:
     return df.withColumn(name, _quoted(name).cast(data_type))
 
 
-def flatten(df: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Struct fields become ``parent.child`` columns, repeated until none is left."""
-    for _ in range(1, max_depth):
-        if not any(isinstance(f.dataType, T.StructType) for f in df.schema):
-            break
-        columns = []
-        for f in df.schema:
-            if isinstance(f.dataType, T.StructType):
-                columns += [_quoted(f.name).getField(c).alias(f"{f.name}.{c}") for c in f.dataType.names]
-            else:
-                columns.append(_quoted(f.name))
-        df = df.select(*columns)
-    return df
+def _leaves(value: Column, name: str, data_type: T.DataType):
+    if not isinstance(data_type, T.StructType):
+        yield value.alias(name)
+        return
+    for field in data_type:
+        yield from _leaves(value.getField(field.name), f"{name}.{field.name}", field.dataType)
+
+
+def flatten(df: DataFrame) -> DataFrame:
+    """Struct fields, at any depth, become ``parent.child`` columns in their parent's place."""
+    return df.select(*[leaf for f in df.schema for leaf in _leaves(_quoted(f.name), f.name, f.dataType)])
 
 
 def add_constants(df: DataFrame, **values) -> DataFrame:

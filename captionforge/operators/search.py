@@ -44,14 +44,14 @@ def _search_block(base: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int,
         """
         if smallest:
             squares = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :]
-            cost, margin = squares - 2.0 * (q @ x.T), 1e-9 * squares.max()
+            cost, margin = squares - 2.0 * (q @ x.T), 1e-9 * squares
             limit = worst**2
         else:
             cost = -(q @ x.T)
-            margin, limit = 1e-9 * np.abs(cost).max(initial=0.0), -worst
+            margin, limit = 1e-9 * np.abs(cost), -worst
         if x.shape[0] > k:
             limit = np.minimum(limit, np.partition(cost, k - 1, axis=1)[:, k - 1])
-        return np.nonzero(cost <= limit[:, None] + margin)
+        return np.nonzero(cost <= limit[:, None] + 2 * margin + 2 * margin.max(initial=0.0, where=np.isfinite(margin)))
 
     def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q = shared.value
@@ -64,13 +64,18 @@ def _search_block(base: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int,
             names, vectors = batch[base_id].to_numpy(), np.stack(batch["__v"].to_numpy()).astype(np.float64)
             for start in range(0, len(batch), step):
                 x = vectors[start:start + step]
+                # a vector with a number that is not finite has no distance: it is no neighbour and hides none
+                sound = np.isfinite(x).all(axis=1)
+                x, kept = x[sound], names[start:start + step][sound]
+                if not len(x):
+                    continue
                 qi, xi = candidates(x, q, worst)
                 score = np.empty(len(qi))
                 for lo in range(0, len(qi), SCORE_PAIRS):
                     part = slice(lo, lo + SCORE_PAIRS)
                     a, b = x[xi[part]], q[qi[part]]
                     score[part] = np.sqrt(((a - b) ** 2).sum(axis=1)) if smallest else (a * b).sum(axis=1)
-                found = pd.DataFrame({"q": qi, "id": names[start:start + step][xi], "score": score})
+                found = pd.DataFrame({"q": qi, "id": kept[xi], "score": score})
                 best = _best(found if best is None else pd.concat([best, found]), k, smallest)
                 full = best.groupby("q")["score"].agg(["size", "max" if smallest else "min"])
                 full = full[full["size"] == k]
@@ -86,6 +91,8 @@ def knn_search(base: DataFrame, queries: DataFrame, k: int, base_id: str, base_v
                query_vector: str, metric: str = "l2") -> DataFrame:
     """(query, base, score, rank): the k nearest base vectors of each query, exactly.
 
+    Vectors with a NaN or an infinity are nobody's neighbours, and such a query has none.
+
     Every task scans its share of the base against a block of queries and passes on k rows
     per query. The block's size is bounded in bytes; more queries make more passes over
     the base, each written out before the next, so nothing grows with the query count.
@@ -98,6 +105,7 @@ def knn_search(base: DataFrame, queries: DataFrame, k: int, base_id: str, base_v
     schema = f"{query_id} {q_type}, {base_id} {id_type}, score double"
     narrow = base.select(base_id, F.col(base_vector).alias("__v"))
     wanted = queries.select(F.col(query_id), F.col(query_vector).cast("array<double>").alias("__q"))
+    wanted = wanted.where(~F.exists("__q", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     width = wanted.agg(F.max(F.size("__q"))).first()[0]
     if width is None:
         return spark.createDataFrame([], schema + ", rank int")

@@ -186,6 +186,36 @@ def image_probe_headers(spark, sf_dir):
     return sized.select("doc_id", "s.width", "s.height")
 
 
+@query("image_probe_formats", f"""SELECT doc_id, doc_id % 7 AS kind, CASE WHEN doc_id % 7 < 6 THEN w END AS width, CASE WHEN doc_id % 7 < 6 THEN h END AS height
+  FROM ({S.dims()})""")
+def image_probe_formats(spark, sf_dir):
+    """WebP (three kinds), BMP, TIFF, JPEG with fill bytes, and bytes that are no image."""
+    big = lambda c, n=4: F.lpad(F.hex(c), n, "0")
+    little = lambda c, n=4: F.concat(*[F.substring(big(c, n), i, 2) for i in range(n - 1, 0, -2)])
+    w, h, riff = F.col("w"), F.col("h"), F.concat(F.hex(F.lit("RIFF")), F.lit("00000000"), F.hex(F.lit("WEBP")))
+    bits = (w - 1).cast("long") + (h - 1).cast("long") * 16384
+    bodies = [
+        F.concat(riff, F.hex(F.lit("VP8X")), F.lit("0A00000000000000"), little(w - 1, 6), little(h - 1, 6)),
+        F.concat(riff, F.hex(F.lit("VP8 ")), F.lit("000000000000009D012A"), little(w), little(h)),
+        F.concat(riff, F.hex(F.lit("VP8L")), F.lit("000000002F"), little(bits, 8)),
+        F.concat(F.hex(F.lit("BM")), F.lit("00" * 12 + "28000000"), little(w, 8), little(h, 8)),
+        F.concat(F.lit("4D4D002A000000080002" + "0100000300000001"), big(w), F.lit("0000" + "0101000400000001"), big(h, 8)),
+        F.concat(F.lit("FFD8FFFFFFE000044A46FFFFC0000B08"), big(h), big(w)),
+        F.lit("00112233"),
+    ]
+    kind = F.col("doc_id") % 7
+    body = F.unhex(F.get(F.array(*bodies), kind.cast("int")))
+    sized = captioned(spark, sf_dir).select("doc_id", kind.alias("kind"), body.alias("image")).withColumn("s", images.image_size(F.col("image")))
+    return sized.select("doc_id", "kind", "s.width", "s.height")
+
+
+@query("filter_python", "SELECT doc_id, lang FROM documents WHERE n_chars % 3 = 1 AND lang <> 'fr'")
+def filter_python(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    kept = filters.filter_python(rows, lambda row, part: row["n_chars"] % 3 == part, ["n_chars"], part=1)
+    return filters.filter_python(kept, lambda c: [lang != "fr" for lang in c["lang"]], ["lang"], batched=True).select("doc_id", "lang")
+
+
 _PHASE = S.phase(f"({S.dims()})")
 
 

@@ -53,10 +53,10 @@ def join_recaption_misses(spark, sf_dir):
 
 
 @query("join_class_name", """SELECT stem, n_name AS class FROM (SELECT n_nationkey || '_' || c_custkey AS stem, c_nationkey FROM customer
-  JOIN nation ON c_nationkey = n_nationkey) JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2""")
+  JOIN nation ON c_nationkey = n_nationkey) JOIN nation ON c_nationkey = n_nationkey""")
 def join_class_name(spark, sf_dir):
     images = table(spark, sf_dir, "customer").select(F.concat_ws("_", "c_nationkey", "c_custkey").alias("stem"))
-    nations = table(spark, sf_dir, "nation").where(F.col("n_regionkey") != 2).select(
+    nations = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("string").alias("wnid"), "n_name")
     return L.join_class_name(images, nations, "stem", "wnid", "n_name")
 

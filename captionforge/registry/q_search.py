@@ -39,6 +39,19 @@ def knn_search_inner_product(spark, sf_dir):
     return _knn(spark, sf_dir, "inner_product")
 
 
+@query("knn_search_every_vector", """SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
+    FROM embeddings a JOIN embeddings b ON a.vec_id % 7 > 0 AND b.vec_id % 7 > 0)) WHERE rank <= 3""")
+def knn_search_every_vector(spark, sf_dir):
+    """Every vector as a query; a seventh of them has a NaN."""
+    broken = F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda v, i: F.when(i == 5, float("nan")).otherwise(v).cast("float")))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.coalesce(broken, F.col("embedding")).alias("embedding"))
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = search.knn_search(vectors, asked, 3, "vec_id", "embedding", "query_id", "q")
+    return found.withColumn("score", F.round("score", 6))
+
+
 _TOKENS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 

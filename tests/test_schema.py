@@ -136,3 +136,13 @@ def test_merge_captions(spark):
     assert rows.columns == ["id", "image", "recaption", "recaption_short", "class"]
     assert sorted(tuple(r) for r in rows.collect()) == [("1", b"a", "short", "long", "CC12M"), ("2", b"b", "alt 2", "alt 2", "CC12M")]
     assert [r["id"] for r in missed.collect()] == ["2"]
+
+
+def test_flatten_has_no_depth_limit(spark):
+    kind = "int"
+    for i in range(20):
+        kind = f"struct<f{i}:{kind}>"
+    df = spark.createDataFrame([], f"id int, s {kind}, t struct<a:int,b:struct<c:string>>")
+    flat = S.flatten(df)
+    assert flat.columns == ["id", "s." + ".".join(f"f{i}" for i in reversed(range(20))), "t.a", "t.b.c"]
+    assert not any("struct" in t for _, t in flat.dtypes)

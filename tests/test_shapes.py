@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from captionforge.functions import shapes
-from captionforge.functions.images import header_size, image_size
+from captionforge.functions.images import header_size, image_size, unreadable
 
 
 def nearest(value, patch):
@@ -56,3 +56,22 @@ def test_image_headers(spark):
     assert [tuple(r["s"]) if r["s"] else None for r in rows] == [(1024, 768), (33, 44), (640, 480), None, None, (640, 480)]
     probed = spark.createDataFrame([(png,)], "b binary").select(shapes.compat_probe(shapes.png_size(F.col("b"))).alias("c")).first()["c"]
     assert (probed["height"], probed["width"], probed["aspect_ratio"]) == (1024, 768, 0.75)
+
+
+def test_headers_of_other_formats():
+    tiff = b"II*\x00" + (200_000).to_bytes(4, "little") + b"\x00" * 199_992 + b"\x02\x00" + struct.pack("<HHII", 256, 4, 1, 640) + struct.pack(
+        "<HHIHH", 257, 3, 1, 480, 0)
+    assert header_size(tiff) == (640, 480) and header_size(tiff[:1000]) == (None, None)
+    assert header_size(b"BM" + b"\x00" * 12 + struct.pack("<Iii", 40, 7, -9)) == (7, 9)
+    assert header_size(b"BM" + b"\x00" * 12 + struct.pack("<IHH", 12, 7, 9)) == (7, 9)
+    assert header_size(b"\xff\xd8\xff\xff\xff\xd0\xff\xc0\x00\x0b\x08\x00\x05\x00\x06") == (6, 5)
+    assert header_size(b"\xff\xd8\x00\xc0\x00\x0b\x08\x00\x05\x00\x06") == (None, None)
+    assert header_size(b"RIFF0000WEBPVP8 ") == (None, None)
+
+
+def test_unreadable_images_are_listed(spark):
+    gif = b"GIF89a" + struct.pack("<HH", 3, 4)
+    tiff = b"MM\x00*" + (150_000).to_bytes(4, "big") + b"\x00" * 149_992 + b"\x00\x02" + struct.pack(">HHII", 256, 4, 1, 64) + struct.pack(
+        ">HHII", 257, 4, 1, 48)
+    rows = spark.createDataFrame([(1, gif), (2, b"nothing"), (3, None), (4, tiff)], "id int, image binary")
+    assert sorted(r["id"] for r in unreadable(rows, "id", "image").collect()) == [2, 3]

@@ -113,3 +113,14 @@ def test_text_search_matches_bm25(spark):
             want[q, d] = (-s, rank)
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
     assert all(abs(got[k][0] - want[k][0]) < 2e-6 for k in want)
+
+
+def test_vectors_that_are_not_finite_hide_no_neighbour(spark):
+    from captionforge.operators import search
+
+    nan, inf = float("nan"), float("inf")
+    base = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [nan, 0.0]), (3, [2.0, 0.0]), (4, [5.0, 5.0]), (5, [inf, 0.0])], "id long, v array<double>")
+    asked = spark.createDataFrame([(7, [0.0, 0.0]), (8, [nan, 0.0])], "q long, w array<double>")
+    for metric, want in (("l2", [0, 1, 3, 4]), ("inner_product", [0, 1, 3, 4])):
+        rows = search.knn_search(base, asked, 6, "id", "v", "q", "w", metric).collect()
+        assert sorted(r["id"] for r in rows) == want and {r["q"] for r in rows} == {7}
