@@ -141,9 +141,8 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, text:
                 query_text: str) -> DataFrame:
     """(query, doc, score, rank): BM25 top k over whole texts.
 
-    Documents are reduced to the terms some query uses before anything is shuffled, and the
-    term counts are laid out by document, so the scores of a document are summed where its
-    counts are and a frequent word costs one row per document.
+    Documents are reduced to the terms some query uses before anything is shuffled, and
+    occurrences are counted where the document is read, so a frequent word costs one row per document.
     """
     asked = queries.select(query_id, F.explode(F.array_distinct(analyse(F.col(query_text)))).alias("term"))
     # written, because generated ids must not change between the two uses
@@ -157,7 +156,7 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, text:
     postings = materialize(
         tokens.select(doc_id, F.size("__tokens").alias("len"), F.explode("__tokens").alias("term"))
         .join(vocabulary, "term").select(doc_id, "len", "term_id")
-        .repartition(doc_id)
+        # counted in the task that reads the document: one shuffled row per (document, term)
         .groupBy(doc_id, "term_id").agg(F.first("len").alias("len"), F.count(F.lit(1)).alias("tf")),
         "postings",
     )

@@ -229,7 +229,7 @@ def _compose(rows: DataFrame, group: list[str], width: int, level: int, top: int
 
 
 def ema_series(df: DataFrame, group: list[str], order_by: list[str], value: str, decay: float, every: int = 1,
-               width: int = 256) -> DataFrame:
+               width: int = 64) -> DataFrame:
     """(group, pos, ema): exponential moving average of every ``every``-th value per key.
 
     The first value starts the average. A key's series is not walked by one task: the
