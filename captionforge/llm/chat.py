@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captionforge.llm.text import worker_cache
-from captionforge.session import materialize
+from captionforge.session import materialize, small_batches
 
 TURNS = 64
 BLOCK_CHARS = 1 << 18   # a block of turns is cut into strings of about so many characters
@@ -192,6 +192,7 @@ def format_conversations(turns: DataFrame, tokenizer: str | None = None, loss_ro
     A conversation is its rows in the order of (block, part); ``loss_tokens`` are the masked tokens, as ranges,
     and ``loss_chars`` what they stand for in ``formatted``.
     """
+    small_batches(turns.sparkSession)
     rows = turns.select("conv_id", F.floor(F.col("turn") / turns_per_block).cast("long").alias("block"), "role", "text", "turn")
     # (conv_id, block) is the unit of work: a long conversation is in many tasks
     dealt = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")

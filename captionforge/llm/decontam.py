@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from captionforge.llm.text import Words, lean, window_hashes, word_groups, worker_cache
-from captionforge.session import materialize, scratch_path
+from captionforge.session import materialize, scratch_path, small_batches
 
 N_WORDS = 13
 BLOCK_BYTES = 4 << 20
@@ -163,6 +163,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str
          item_text: str = "text", n: int = N_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct ``out``: n_words, n_hit, items (sorted ids) and spans (code points)."""
     spark = docs.sparkSession
+    small_batches(spark)
     done = None
     for block in benchmark_blocks(benchmark, item_id, item_text, n, block_bytes):
         if done is not None:

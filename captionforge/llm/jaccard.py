@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from captionforge.llm.graph import connected_components
 from captionforge.llm.text import lean, mix, window_hashes, word_groups
-from captionforge.session import discard, materialize
+from captionforge.session import discard, materialize, small_batches
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -358,6 +358,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     record that holds it. ``n_links`` counts linked documents, copies included; ``n_linked_texts`` linked
     sets other than the own one.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(docs.select("doc_id", record_of("text").alias("r")).select("doc_id", "r.*"), "rows")
     named = rows.where("skey is not null")

@@ -29,13 +29,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from captionforge.llm.text import LOWER, lean, text_bytes, word_hashes, worker_cache
-from captionforge.session import materialize
+from captionforge.session import materialize, small_batches
 
 SEQUENCE = 2048
 GRID = 8
 END_ID = 1
 GAP = 1e-3          # the linear program stops this close to its bound
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 GROUP_BYTES = 1 << 20
 
 
@@ -295,6 +295,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     to ``sequence``.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = materialize(named.mapInArrow(lean(_tokenise(tokenizer or tokenizer_path(), sequence, grid)), _CUT_DDL), "tokens")
     # one row per task and class

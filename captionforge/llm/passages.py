@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from captionforge.llm.text import lean, mix, window_hashes, word_groups
-from captionforge.session import discard, materialize
+from captionforge.session import discard, materialize, small_batches
 
 KMER = 6
 WINDOW = 13        # of consecutive k-mers, at least one is a seed
@@ -413,6 +413,7 @@ def _same_doc(a: str, a_salt: str, b: str, b_salt: str) -> Column:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
                       identity: float = IDENTITY, kmer: int = KMER, window: int = WINDOW) -> DataFrame:
     """One row per passage of a document that an earlier document has: places in words, the earlier document, equal words."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), _salt(text_col).alias("salt"), F.col(text_col).alias("text"))
     seeds = materialize(docs.mapInArrow(
         lean(_seeds(kmer, window)), "h bigint, doc_id bigint, salt int, pos int, r_doc bigint, r_salt int, r_pos int"), "seeds")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from captionforge.llm.text import lean, text_bytes, worker_cache
-from captionforge.session import materialize, scratch_path
+from captionforge.session import materialize, scratch_path, small_batches
 
 CHUNK = 512
 STEP = 4
@@ -187,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def with_score(docs: DataFrame, model: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1; the weights (some 50 kB) travel with the tasks."""
+    small_batches(docs.sparkSession)
     row, key = model.first(), scratch_path(docs.sparkSession, "weights")
     if row is None:  # nothing to learn from
         return docs.withColumn(out, F.lit(0.5))

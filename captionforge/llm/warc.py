@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionforge.session import materialize
+from captionforge.session import materialize, small_batches
 
 SHARD_BYTES = 32 << 20
 FILE_BYTES = 16 << 20
@@ -214,6 +214,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
                   shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, least: int = LEAST_REVISIT) -> DataFrame:
     """Writes one record per row below ``folder`` and returns the committed manifest (also kept in ``folder/_manifest``)."""
     spark = pages.sparkSession
+    small_batches(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(body_col).alias("html"))
     body = F.coalesce("html", F.lit(""))
     rows = rows.withColumn("digest", F.sha2(body.cast("binary"), 256))
