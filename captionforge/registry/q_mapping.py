@@ -10,7 +10,7 @@ from captionforge.functions import captions as C, shapes
 from captionforge.operators import mapping as M, models
 from captionforge.operators.positions import with_row_index
 from captionforge.registry import query, sqltext as S, table
-from captionforge.registry.inputs import GENERATED, captioned, generated
+from captionforge.registry.inputs import CAPTIONED, GENERATED, captioned, generated
 from captionforge.session import scratch_path
 
 
@@ -134,10 +134,11 @@ def fetch_triage(spark, sf_dir):
         "event_id", models.fetch_triage(status, F.col("event_id") % 8).alias("verdict"))
 
 
-@query("resize_job", f"SELECT doc_id, height, width, 'h' || height || 'w' || width AS image FROM ({S.phase(f'({S.dims()})')}) WHERE height IS NOT NULL")
+@query("resize_job", f"""SELECT p.doc_id, height, width, 'h' || height || 'w' || width || reverse(recaption_short) AS image
+  FROM ({S.phase(f'({S.dims()})')}) p JOIN ({CAPTIONED}) c ON c.doc_id = p.doc_id WHERE height IS NOT NULL""")
 def resize_job(spark, sf_dir):
     def codec():
-        return lambda b: ("h" + b["height"].astype(str) + "w" + b["width"].astype(str)).map(str.encode)
+        return lambda b: ("h" + b["height"].astype(str) + "w" + b["width"].astype(str) + b["image"].map(lambda i: bytes(i).decode()[::-1])).map(str.encode)
 
     rows = captioned(spark, sf_dir).select("doc_id", "h", "w", F.encode("recaption_short", "UTF-8").alias("image"))
     done = models.resize_images(rows, "h", "w", "image", codec)

@@ -184,10 +184,16 @@ def _archives(spark, sf_dir):
     return pages.groupBy("archive").applyInPandas(_tar, "path string, content binary")
 
 
-@query("src_tar_members", """SELECT '/part/' || p || '.tar' AS archive, page_id || '.png' AS member, CAST(page_id AS VARCHAR) AS stem, 'png' AS ext, strlen(html) AS n_bytes
-    FROM (SELECT *, (row_number() OVER (ORDER BY page_id) - 1) // 25 AS p FROM pages)""")
+_META = """'{"key":"' || page_id || '","url":"' || url || '","status":"' || CASE WHEN length(url) % 5 = 0 THEN 'failed_to_download' ELSE 'success' END
+    || '","similarity":' || CAST(length(url) / 100 AS VARCHAR) || '}'"""
+
+
+@query("src_tar_members", f"""SELECT '/part/' || p || '.tar' AS archive, page_id || '.' || ext AS member, CAST(page_id AS VARCHAR) AS stem, ext,
+    CASE ext WHEN 'png' THEN strlen(html) ELSE strlen({_META}) END AS n_bytes
+    FROM (SELECT *, (row_number() OVER (ORDER BY page_id) - 1) // 25 AS p FROM pages), (VALUES ('png'), ('json')) e(ext)
+    WHERE ext = 'png' OR length(url) % 6 <> 0""")
 def src_tar_members(spark, sf_dir):
-    members = archives.tar_members(_archives(spark, sf_dir)).where(F.col("ext") == "png")
+    members = archives.tar_members(_archives(spark, sf_dir))
     return members.select("archive", "member", "stem", "ext", F.octet_length("content").cast("long").alias("n_bytes"))
 
 
