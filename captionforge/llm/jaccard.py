@@ -238,6 +238,8 @@ def candidate_links(records: DataFrame, threshold: float = THRESHOLD, recall: fl
         at = kept(at.join(counts, "path"), "shared")
         links.append(kept(_forest(at.where(f"n <= {BUCKET}"), ["path"], threshold), "links"))
         large = at.where(f"n > {BUCKET}")
+        if large.isEmpty():
+            break
         # every path has a pivot of its own
         pivots = kept(large.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "skey").alias("h"), "skey", "sketch")).alias("pivot")), "pivots")
         alike = F.arrow_udf(_estimates, "double")("sketch", "pivot.sketch")
