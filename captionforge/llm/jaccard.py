@@ -342,7 +342,7 @@ def verified_links(docs: DataFrame, records: DataFrame, clusters: DataFrame, thr
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = members.join(blocks, "component").withColumn("own", own)
     ids = placed.select(F.col("doc_id").alias("__id"), F.col("component").alias("cluster"), F.col("node").alias("skey"), "copies", "own", "blocks")
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))
+    texts = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
     spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "skey", "own", "copies", "text")
     # a task holds the groups it was dealt one after the other
@@ -398,7 +398,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     chosen = classes.where("skey = class_key").select(
         F.col("class_key").alias("__k"), F.col("class_id").alias("__d")).distinct()
     keyed = docs.withColumn("__key", key_of(text_col))
-    kept = keyed.join(chosen, (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__d")), "left_semi")
+    kept = keyed.join(chosen.hint("merge"), (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__d")), "left_semi")
     # rows repeated under one id are one document
     one = kept.dropDuplicates(["__key", id_col])
     return one.union(keyed.where("__key is null")).drop("__key")

@@ -427,7 +427,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # the texts are dealt once, for the tiles of all chains
     wanted = all_chains.select(*_KEY, F.explode("tiles").alias("tile")).groupBy(*_KEY, "tile").agg(F.lit(1))
     wanted = wanted.groupBy(*_KEY).agg(F.collect_list("tile").alias("tiles")).withColumnsRenamed({"doc_id": "w_doc", "salt": "w_salt"})
-    held = docs.join(wanted, _same_doc("doc_id", "salt", "w_doc", "w_salt"))
+    # dealt alike at every size
+    held = docs.join(wanted.hint("merge"), _same_doc("doc_id", "salt", "w_doc", "w_salt"))
     cut = F.arrow_udf(lean(_tile_words), "array<struct<tile:int,words:string>>")
     held = held.select("w_doc", "w_salt", F.explode(cut("text", "tiles")).alias("t")).select(
         "w_doc", "w_salt", F.col("t.tile").alias("w_tile"), F.col("t.words").alias("words"))
@@ -510,7 +511,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = found.groupBy("doc_id", "salt").agg(F.collect_set(F.struct("start_word", "n_words")).alias("__spans"))
     spans = spans.withColumnsRenamed({"doc_id": "__doc", "salt": "__doc_salt"})
     marked = docs.withColumn("__salt", _salt(text_col)).join(
-        spans, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__salt") == F.col("__doc_salt")), "left")
+        spans.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__salt") == F.col("__doc_salt")), "left")
     cut = F.arrow_udf(lean(_cut_words), "string")
     names = docs.columns
     done = marked.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(text_col, "__spans")))
