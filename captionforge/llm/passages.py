@@ -30,24 +30,34 @@ from pyspark.sql import functions as F
 from captionforge.llm.text import lean, mix, window_hashes, word_groups
 from captionforge.session import discard, materialize, small_batches
 
-KMER = 6
-WINDOW = 13        # of consecutive k-mers, at least one is a seed
+KMER = 5
+WINDOW = 8         # of consecutive k-mers, at least one is a seed
 MIN_WORDS = 50
 IDENTITY = 0.8
 GAP_COST = 0.125   # words of score lost for each word of gap, both documents together
 FLANK = 64         # words that an end may be extended
 MAX_GAP = 64       # words between neighbouring blocks of a chain, in either document
 X_DROP = 12        # an extension stops so far below its best score
-TILE = 256
+TILE = 64
 
-_MATCH = "doc_id bigint, salt int, pos int, r_doc bigint, r_salt int, r_pos int"
 _KEY = ["doc_id", "salt"]
+_PLACES = "doc_id bigint, at bigint, r_doc bigint, r_at bigint"
 
 
 def _salt(text_col: str) -> Column:
     return F.hash(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def _packed(salt: str, pos: str) -> Column:
+    """Salt and place as one number, as rows are dealt: a null salt gives null."""
+    return F.shiftleft(F.col(salt).cast("long"), 32).bitwiseOR(F.col(pos).cast("long"))
+
+
+def _unpacked(matches: DataFrame) -> DataFrame:
+    salt, pos = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    return matches.select("doc_id", salt("at").alias("salt"), pos("at").alias("pos"), "r_doc", salt("r_at").alias("r_salt"), pos("r_at").alias("r_pos"))
+
+
 def minimisers(hashes: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Indices of the smallest hash of every ``window`` neighbours of one row (fewer at a row's ends)."""
     if not len(hashes):
@@ -139,10 +149,14 @@ def _seeds(kmer: int, window: int):
 
 
 def _match_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, document, place): each is matched with the first row of its seed."""
+    """Rows sorted by (h, document, place): each is matched with the first row of its seed; those without h are matched already."""
     carry = None
-    names = ["doc_id", "salt", "pos", "r_doc", "r_salt", "r_pos"]
+    names = ["doc_id", "at", "r_doc", "r_at"]
     for batch in batches:
+        done = batch.filter(batch.column("h").is_null()).select(names)
+        if done.num_rows:
+            yield done
+        batch = batch.filter(batch.column("h").is_valid()).select(["h", "doc_id", "at"])
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch] if carry is None else [carry, batch]).combine_chunks()
@@ -152,7 +166,7 @@ def _match_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         leader = np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))
         at = np.flatnonzero(~lead)
         own, first = table.take(pa.array(at)), table.take(pa.array(leader[at]))
-        columns = [own.column(c).combine_chunks() for c in ("doc_id", "salt", "pos")] + [first.column(c).combine_chunks() for c in ("doc_id", "salt", "pos")]
+        columns = [x.column(c).combine_chunks() for x in (own, first) for c in ("doc_id", "at")]
         out = pa.Table.from_arrays(columns, names=names)
         carry = table.slice(int(leader[-1]), 1).to_batches()[0]
         yield from out.to_batches()
@@ -319,16 +333,31 @@ def _tile_words(texts: pa.Array, wanted: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("tile", pa.int32()), ("words", pa.string())])))
 
 
-def _extend(equal: np.ndarray) -> tuple[int, int]:
-    """Words to go on and equal ones among them, by the best score before it drops too far."""
-    if not len(equal):
-        return 0, 0
-    score = np.cumsum(np.where(equal, 1, -2))
-    top = np.maximum.accumulate(np.maximum(score, 0))
-    fallen = np.flatnonzero(top - score > X_DROP)
-    score = score[:fallen[0]] if len(fallen) else score
-    best = int(np.argmax(score))
-    return (best + 1, int(equal[:best + 1].sum())) if score[best] > 0 else (0, 0)
+def _extend(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """Words to go on in ``a`` and in ``b``, and equal ones among them, by the best score before it drops too far.
+
+    An equal word scores 1, another, missing or added one -2. A value is a score and, in its low byte, the equal words.
+    """
+    low, step, drop = -(1 << 30), 2 << 8, X_DROP << 8
+    top, end = 0, (0, 0)
+    row = {j: -step * j for j in range(min(len(b), X_DROP // 2) + 1)}
+    for i, word in enumerate(a, 1):
+        new, j, last = {}, min(row), max(row)
+        while j <= len(b):
+            value = row.get(j, low) - step
+            if j:
+                value = max(value, row.get(j - 1, low) + (257 if word == b[j - 1] else -step), new.get(j - 1, low) - step)
+            if value >= top - drop:
+                new[j] = value
+                if value >> 8 > top >> 8:
+                    top, end = value, (i, j)
+            elif j > last:
+                break
+            j += 1
+        if not new:
+            break
+        row = new
+    return *end, top & 255
 
 
 def _common(a: list, b: list) -> int:
@@ -356,12 +385,12 @@ def align(blocks: list[dict], a: list[str], a_first: int, b: list[str], b_first:
         same += equal_run(y["d"], y["r"], y["n"])
     start, other = blocks[0]["d"], blocks[0]["r"]
     end, other_end = blocks[-1]["d"] + blocks[-1]["n"], blocks[-1]["r"] + blocks[-1]["n"]
-    left = min(start - a_first, other - b_first, FLANK)
-    more, equal = _extend(np.array([a[start - a_first - 1 - i] == b[other - b_first - 1 - i] for i in range(left)], dtype=bool))
-    start, other, same = start - more, other - more, same + equal
-    right = min(a_first + len(a) - end, b_first + len(b) - other_end, FLANK)
-    more, equal = _extend(np.array([a[end - a_first + i] == b[other_end - b_first + i] for i in range(right)], dtype=bool))
-    return start, end + more, other, other_end + more, same + equal
+    head, other_head = start - a_first, other - b_first
+    more, other_more, equal = _extend(a[max(0, head - FLANK):head][::-1], b[max(0, other_head - FLANK):other_head][::-1])
+    start, other, same = start - more, other - other_more, same + equal
+    tail, other_tail = end - a_first, other_end - b_first
+    more, other_more, equal = _extend(a[tail:tail + FLANK], b[other_tail:other_tail + FLANK])
+    return start, end + more, other, other_end + other_more, same + equal
 
 
 _PASSAGE = pa.schema([("doc_id", pa.int64()), ("salt", pa.int32()), ("start_word", pa.int32()), ("n_words", pa.int32()),
@@ -410,20 +439,26 @@ def _same_doc(a: str, a_salt: str, b: str, b_salt: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b)) & (F.col(a_salt) == F.col(b_salt))
 
 
+def _by_document(matches: DataFrame) -> DataFrame:
+    """Matches dealt by document; the first row of a seed may be a later place of the same document, which is left out."""
+    salt = lambda c: F.shiftright(c, 32)
+    other = ~(F.col("doc_id").eqNullSafe(F.col("r_doc")) & (salt("at") == salt("r_at")))
+    return matches.where(other).repartition("doc_id", salt("at"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
                       identity: float = IDENTITY, kmer: int = KMER, window: int = WINDOW) -> DataFrame:
     """One row per passage of a document that an earlier document has: places in words, the earlier document, equal words."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), _salt(text_col).alias("salt"), F.col(text_col).alias("text"))
-    seeds = materialize(docs.mapInArrow(
-        lean(_seeds(kmer, window)), "h bigint, doc_id bigint, salt int, pos int, r_doc bigint, r_salt int, r_pos int"), "seeds")
-    firsts = seeds.where("h is not null").select("h", "doc_id", "salt", "pos")
-    across = firsts.repartition("h").sortWithinPartitions("h", "doc_id", "salt", "pos").mapInArrow(lean(_match_firsts), _MATCH)
-    # the first row of a seed may be a later place of the same document
-    matches = seeds.where("h is null").drop("h").union(across.where(~_same_doc("doc_id", "salt", "r_doc", "r_salt")))
-    dealt = matches.repartition(*_KEY).sortWithinPartitions(*_KEY, "r_doc", "r_salt", "pos", "r_pos")
+    seeds = docs.mapInArrow(
+        lean(_seeds(kmer, window)), "h bigint, doc_id bigint, salt int, pos int, r_doc bigint, r_salt int, r_pos int")
+    # narrow rows, dealt once and not written: those matched in their batch go along to the task of their document
+    seeds = seeds.select("h", "doc_id", _packed("salt", "pos").alias("at"), "r_doc", _packed("r_salt", "r_pos").alias("r_at"))
+    dealt = seeds.repartition(F.coalesce("h", F.xxhash64("doc_id", "at"))).sortWithinPartitions("h", "doc_id", "at")
+    matches = _unpacked(_by_document(dealt.mapInArrow(lean(_match_firsts), _PLACES)))
+    dealt = matches.sortWithinPartitions(*_KEY, "r_doc", "r_salt", "pos", "r_pos")
     all_chains = materialize(dealt.mapInArrow(lean(_chain(kmer, window)), _CHAIN_DDL), "chains")
-    discard(seeds)
     # the texts are dealt once, for the tiles of all chains
     wanted = all_chains.select(*_KEY, F.explode("tiles").alias("tile")).groupBy(*_KEY, "tile").agg(F.lit(1))
     wanted = wanted.groupBy(*_KEY).agg(F.collect_list("tile").alias("tiles")).withColumnsRenamed({"doc_id": "w_doc", "salt": "w_salt"})

@@ -87,3 +87,22 @@ def test_fenwick_chain_has_the_best_score(seed):
 def score(chain, d, r, n):
     gaps = sum(d[b] - d[a] - n[a] + r[b] - r[a] - n[a] for a, b in zip(chain, chain[1:]))
     return n[chain].sum() - P.GAP_COST * gaps
+
+
+def test_edits_every_eight_words_leave_a_seed(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        passage = [prose(rng, 1) + str(rng.randint(0, 99)) for _ in range(64)]
+        edited = [f"anders{rng.random()}" if i % 8 == 7 else w for i, w in enumerate(passage)]
+        texts += [f"{prose(rng, 30)} {' '.join(w)} {prose(rng, 30)}" for w in (passage, edited)]
+    found = covered(P.repeated_passages(docs(spark, texts)).collect())
+    assert sum(len(found.get(i, set()) & set(range(30, 94))) >= 50 for i in range(1, 120, 2)) >= 56
+
+
+def test_ends_are_extended_over_added_and_missing_words():
+    a = [f"w{i}" for i in range(120)]
+    b = a[:30] + ["neu"] + a[30:80] + a[81:]
+    start, end, other, other_end, same = P.align([{"d": 55, "r": 56, "n": 6}], a, 0, b, 0)
+    # the flank is FLANK words on each side
+    assert (start, end, other, other_end) == (0, 120, 0, 120) and same == 119
