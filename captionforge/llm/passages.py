@@ -6,6 +6,9 @@
    matches are at most one per seed, and a seed that a third of all documents share costs one row per batch.
 2. The matches of two documents are merged along diagonals and chained: a Fenwick tree over the positions
    in the other document gives each block its best predecessor under a gap cost linear in both gaps.
+   The seeds of a passage may belong to several earlier documents, none of which has it whole. So stretches of
+   matched seeds, joined whatever documents they lead to, are matched once more on longer keys (several seeds in a
+   row, and ``MIN_WORDS`` words), again with the first document that has the key, where no passage was found.
 3. Chains fetch their words as tiles, one row per tile however many chains ask for it, are extended at
    both ends and aligned between blocks. A chain of at least ``MIN_WORDS`` words and
    ``IDENTITY`` equal words is a repeated passage of the later document; the first keeps its text.
@@ -153,9 +156,8 @@ def _match_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     carry = None
     names = ["doc_id", "at", "r_doc", "r_at"]
     for batch in batches:
-        done = batch.filter(batch.column("h").is_null()).select(names)
-        if done.num_rows:
-            yield done
+        if batch.column("h").null_count:
+            yield batch.filter(batch.column("h").is_null()).select(names)
         batch = batch.filter(batch.column("h").is_valid()).select(["h", "doc_id", "at"])
         if not batch.num_rows:
             continue
@@ -439,6 +441,77 @@ def _same_doc(a: str, a_salt: str, b: str, b_salt: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b)) & (F.col(a_salt) == F.col(b_salt))
 
 
+_STRETCH = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _stretches(min_words: int, kmer: int, window: int):
+    """Of each document's chains, stretches that are theirs together and that may hold a passage."""
+
+    def run(chains: pa.Array) -> pa.Array:
+        out = []
+        for own in chains.to_pylist():
+            merged = []
+            for lo, hi in sorted((b["d"], b["d"] + b["n"]) for c in own for b in c["blocks"]):
+                if merged and lo <= merged[-1][1] + FLANK // 2:
+                    merged[-1][1] = max(hi, merged[-1][1])
+                else:
+                    merged.append([lo, hi])
+            # a passage begins and ends up to a window, and some edits, beyond its seeds
+            slack = 2 * (kmer + window)
+            out.append([{"start": max(0, lo - slack), "end": hi + slack} for lo, hi in merged if hi - lo + 2 * slack >= min_words])
+        return pa.array(out, _STRETCH)
+
+    return run
+
+
+def _longer_keys(min_words: int, kmer: int, window: int):
+    """(doc_id, salt, tiles, stretches, spans) to keys of several seeds: two, four and eight in a row, and ``min_words`` words from a seed.
+
+    The first document with a key of ``min_words`` words has that passage whole. A place inside a span that is found
+    already counts as an owner only: bit 31 of it is set.
+    """
+    names = ["h", "doc_id", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, places = [], [], []
+            for row in batch.to_pylist():
+                held = sorted((t["tile"], t["words"]) for t in row["tiles"])
+                pieces = []
+                for tile, text in held:
+                    if pieces and pieces[-1][2] == tile - 1:
+                        pieces[-1][1].append(text)
+                        pieces[-1][2] = tile
+                    else:
+                        pieces.append([tile * TILE, [text], tile])
+                for base, texts, _ in pieces:
+                    for words in word_groups(pa.array([" ".join(texts)])):
+                        short, first = window_hashes(words, kmer)
+                        seeds = minimisers(short, words.row[first], window)
+                        value, pos = short[seeds], first[seeds]
+                        long = window_hashes(words, min_words)[0]
+                        found = [(mix(long[pos[pos < len(long)]] ^ np.uint64(0x5DEECE66D)), pos[pos < len(long)])]
+                        for n in (2, 4, 8):
+                            total = np.full(max(0, len(value) - n + 1), n, np.uint64)
+                            for j in range(n):
+                                total = mix(total * np.uint64(31) + value[j:j + len(total)])
+                            found.append((total, pos[:len(total)]))
+                        h, at = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]) + base
+                        inside, covered = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
+                        for x in row["stretches"]:
+                            inside |= (at >= x["start"]) & (at + kmer <= x["end"])
+                        for x in row["spans"]:
+                            covered |= (at >= x["start_word"]) & (at + kmer <= x["start_word"] + x["n_words"])
+                        at = np.where(covered, at | (1 << 31), at)[inside]
+                        keys.append(h[inside].view(np.int64))
+                        places.append(((row["salt"] << 32) | at).astype(np.int64))
+                        ids += [row["doc_id"]] * len(at)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids, pa.int64()), pa.array(np.concatenate(places))], names=names)
+
+    return run
+
+
 def _by_document(matches: DataFrame) -> DataFrame:
     """Matches dealt by document; the first row of a seed may be a later place of the same document, which is left out."""
     salt = lambda c: F.shiftright(c, 32)
@@ -484,21 +557,36 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         discard(single)
         return out
 
-    found = aligned(chains.withColumn("chains", F.filter("chains", lambda c: c["best"])), "passages")
-    spans = found.groupBy(*_KEY).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
-    spans = spans.withColumnsRenamed({"doc_id": "s_doc", "salt": "s_salt"})
+    def with_spans(some: DataFrame, found: DataFrame) -> DataFrame:
+        spans = found.groupBy(*_KEY).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
+        spans = spans.withColumnsRenamed({"doc_id": "s_doc", "salt": "s_salt"})
+        more = some.join(spans, _same_doc("doc_id", "salt", "s_doc", "s_salt"), "left").drop("s_doc", "s_salt")
+        return more.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start_word:int,n_words:int>>")))
 
+    found = aligned(chains.withColumn("chains", F.filter("chains", lambda c: c["best"])), "passages")
     def open_still(c: Column) -> Column:
         first, last = c["blocks"][0], F.element_at(c["blocks"], -1)
         return ~c["best"] & ~F.exists("spans", lambda s: (s["start_word"] <= first["d"]) & (
             last["d"] + last["n"] <= s["start_word"] + s["n_words"]))
 
-    more = chains.join(spans, _same_doc("doc_id", "salt", "s_doc", "s_salt"), "left")
-    more = more.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start_word:int,n_words:int>>")))
+    more = with_spans(chains, found)
     more = materialize(more.withColumn("chains", F.filter("chains", open_still)).where(F.size("chains") > 0).select(*_KEY, "chains"), "others")
     also = aligned(more, "further-passages")
-    discard(all_chains, tiles, more)
-    return found.union(also)
+    # where every seed has an earlier owner, but no two owners the same: longer keys, of the stretches alone
+    reach = F.arrow_udf(_stretches(min_words, kmer, window), "array<struct<start:int,end:int>>")
+    wide = with_spans(chains.withColumn("stretches", reach("chains")).where(F.size("stretches") > 0).drop("chains"), found.union(also))
+    texts = held.groupBy("w_doc", "w_salt").agg(F.collect_list(F.struct(F.col("w_tile").alias("tile"), "words")).alias("tiles"))
+    wide = wide.join(texts, _same_doc("doc_id", "salt", "w_doc", "w_salt")).select(*_KEY, "tiles", "stretches", "spans")
+    keys = wide.mapInArrow(lean(_longer_keys(min_words, kmer, window)), "h bigint, doc_id bigint, at bigint")
+    # a covered place has bit 31 set, so that it sorts after open ones of the document
+    keys = keys.repartition("h").sortWithinPartitions("h", "doc_id", "at")
+    links = _by_document(keys.mapInArrow(lean(_match_firsts), _PLACES).where(F.col("at").bitwiseAND(F.lit(1 << 31)) == 0))
+    links = _unpacked(links.withColumn("r_at", F.col("r_at").bitwiseAND(F.lit(~(1 << 31)))))
+    links = links.sortWithinPartitions(*_KEY, "r_doc", "r_salt", "pos", "r_pos")
+    again = materialize(links.mapInArrow(lean(_chain(kmer, window)), _CHAIN_DDL).where("chains is not null").drop("tiles"), "further-chains")
+    third = aligned(again, "longer-passages")
+    discard(all_chains, tiles, more, again)
+    return found.union(also).union(third)
 
 
 def _pieces(chains: DataFrame) -> DataFrame:

@@ -106,3 +106,23 @@ def test_ends_are_extended_over_added_and_missing_words():
     start, end, other, other_end, same = P.align([{"d": 55, "r": 56, "n": 6}], a, 0, b, 0)
     # the flank is FLANK words on each side
     assert (start, end, other, other_end) == (0, 120, 0, 120) and same == 119
+
+
+def test_passages_whose_seeds_belong_to_several_documents(spark):
+    rng = random.Random(9)
+    plain = lambda n: [prose(rng, 1) + str(rng.randint(0, 999)) for _ in range(n)]
+    text = lambda w: " ".join(plain(20) + w + plain(20))
+    texts, want = [], []
+    for overlap in (10, 20, 28):                            # two documents that have a part each
+        passage = plain(60)
+        half = (60 + overlap) // 2
+        texts += [text(passage[:half]), text(passage[60 - half:]), text(passage), text(passage)]
+        want.append(len(texts) - 1)
+    for _ in range(10):                                     # three sentences of three documents
+        parts = [plain(20) for _ in range(3)]
+        texts += [text(p) for p in parts] + [text(sum(parts, []))] * 1 + [text(sum(parts, []))]
+        want.append(len(texts) - 1)
+    rows = P.repeated_passages(docs(spark, texts)).collect()
+    found = covered(rows)
+    assert all(set(range(20, 80)) <= found.get(i, set()) for i in want)
+    assert set(found) == set(want)
