@@ -8,7 +8,7 @@
 3. A bucket of at most ``BUCKET`` records is brute-forced on the sketches, to a spanning forest of
    candidate links. A larger bucket is first compared with one pivot, which takes the records close to
    it out, and the rest is split on the next token; after ``DEPTH`` splits the rest is compared by
-   blocks. The number of runs follows from the target recall.
+   blocks. The number of runs follows from the target recall, for pairs whose buckets are all split.
 4. Candidate links form clusters; all pairs inside a cluster are compared on their whole sets, in
    blocks of bounded size that give each record its number of links and a spanning forest.
    Pairs are never rows, a cluster is never in one task, and no bucket, partner or candidate is dropped.
@@ -35,7 +35,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 BRANCH = 4.0        # children of a record in each run
-DEEPER = 1.5        # children of a record in each further split
+DEEPER = 2.25       # children of a record in each further split
 SAMPLED = 48        # sampled tokens of a record
 BINS = 64
 BUCKET = 128
@@ -51,13 +51,21 @@ RECORD = "struct<skey:binary,size:int,sketch:binary,tokens:binary>"
 _RECORD = pa.struct([("skey", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("tokens", pa.binary())])
 
 
-def runs_for(recall: float, threshold: float = THRESHOLD, branch: float = BRANCH) -> int:
-    """Runs until a pair at the threshold meets with probability ``recall``.
+def survival(threshold: float = THRESHOLD, deeper: float = DEEPER, depth: int = DEPTH) -> float:
+    """Probability that a common path of a pair at the threshold has a common path ``depth`` splits further down."""
+    lost = 0.0
+    for _ in range(depth):
+        lost = math.exp(-threshold * deeper * (1 - lost))
+    return 1 - lost
+
+
+def runs_for(recall: float, threshold: float = THRESHOLD, branch: float = BRANCH, deeper: float = DEEPER, depth: int = DEPTH) -> int:
+    """Runs until a pair at the threshold meets with probability ``recall``, even if all its buckets are split ``depth`` times.
 
     Two sets at Jaccard t share at least t of the larger one, so a run gives them t * branch common children in
-    the mean, Poisson distributed.
+    the mean, Poisson distributed, and each split t * deeper of each common path.
     """
-    return max(1, math.ceil(-math.log(1 - recall) / (threshold * branch)))
+    return max(1, math.ceil(-math.log(1 - recall) / (threshold * branch * survival(threshold, deeper, depth))))
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> Iterator[tuple[int, list[np.ndarray]]]:
