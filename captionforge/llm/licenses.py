@@ -89,8 +89,8 @@ END_OF_LINE = r"[.!?:;]+[ \t\r\n]+|\n"
 END_OF_SENTENCE = r"[.!?:;]+[ \t\r\n]+|\n[ \t\r]*\n"
 NO_WORD = "[^A-Za-z0-9\x01]+"
 BORDER = " ?\x01[ \x01]*"
-# a text without one of these words, in any case, has no known sentence that starts a rule
-HINT = "(?i)licen|permission|redistribut|free software"
+# a text without one of these words, in any case, has no known sentence but names, which mean nothing alone
+HINT = "(?i)licen|permission|permitted|redistribut|free[^A-Za-z0-9]+software|warrant"
 
 
 def normalise(sentence: str) -> str:

@@ -47,6 +47,19 @@ def test_licence_table_can_be_found():
     assert all(re.search(licenses.HINT, s) for name in starts for s in licenses.SENTENCES[name])
 
 
+def test_each_known_sentence_alone(spark, monkeypatch):
+    cases = [(name, s) for name, every in licenses.SENTENCES.items() for s in every]
+    texts = [way(s) for _, s in cases for way in (str, str.upper, lambda s: s.replace(" ", "\n"), lambda s: s.replace(" ", "  "))]
+    scan = lambda: [r.licences for r in licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    found = scan()
+    monkeypatch.setattr(licenses, "HINT", "")
+    assert found == scan()
+    taken = {ids[0] for _, ids in licenses.RULES if len(ids) == 1}
+    for (name, _), rows in zip(cases, [found[i:i + 4] for i in range(0, len(found), 4)]):
+        if not name.startswith("="):
+            assert all(r.licences if name in taken else name in r.loose for r in rows), name
+
+
 def repeated(text):
     w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if x]
     places = {}
