@@ -105,7 +105,7 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_pairs_meet_after_every_split():
+def test_pairs_meet_after_every_split(spark):
     """4000 pairs at Jaccard 0.8 whose buckets are split ``DEPTH`` times: by the model 0.4 are lost in the mean."""
     rng = np.random.default_rng(4)
     n = 4000
