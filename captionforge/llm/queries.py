@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver tables, with production parameters."""
+"""The operators as queries over the driver tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionforge.llm import chat, decontam, jaccard, licenses, packing, passages, quality, rules, tokens, warc
+from captionforge.llm import chat, decontam, jaccard, licenses, packing, passages, periodic, quality, rules, tokens, warc
 from captionforge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,51 @@ LEFT JOIN (SELECT doc_id, string_agg(id, ',' ORDER BY id) AS names FROM (SELECT
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), out="found")
     return scanned.select("doc_id", F.concat_ws(",", "found.licences").alias("licences"), F.concat_ws(",", "found.loose").alias("loose"))
+
+
+def _crc(value: str) -> str:
+    """DuckDB has no crc32: a fold over the bytes of a string, each followed by eight shifts."""
+    code = f"hex(encode({value}))"
+    digit = f"(instr('0123456789ABCDEF', {code}[{{}}]) - 1)"
+    byte = f"16 * {digit.format('2 * k + 1')} + {digit.format('2 * k + 2')}"
+    steps = f"flatten(list_transform(range(strlen({value})), lambda k: list_concat([CAST({byte} AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))"
+    fold = "lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce(list_concat([4294967295], {steps}), {fold}), 4294967295)"
+
+
+@query("op11_word_runs", f"""
+WITH split AS (SELECT doc_id, {_SPLIT} AS w, {_crc("coalesce(CAST(doc_id AS VARCHAR), '')")} AS h FROM documents),
+sized AS (SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g FROM split),
+cycle AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM sized),
+texts AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1])
+  ELSE w END AS w FROM cycle),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM texts),
+equal AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal) GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY ALL),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS rows,
+  min(struct_pack(l := -length, start := start, period := period)) AS best FROM runs GROUP BY 1),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY 1)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, -best.l AS length, best.period AS period,
+  1000 * -best.l // best.period AS exponent_milli, sha256(coalesce(rows, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN listed USING (doc_id) LEFT JOIN kept k USING (doc_id)
+""")
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h")).withColumn(
+        "w", F.when(F.col("h") % 10 == 0, words)).withColumns({"n": F.nullif(F.size("w").cast("long"), F.lit(0)), "g": F.floor(F.col("h") / 10)})
+    # a tenth of the texts repeat their words from a place on
+    docs = docs.withColumns({"a": F.col("g") % F.col("n"), "p": 1 + F.floor((F.col("n") - F.col("g") % F.col("n")) / (3 + F.col("g") % 8))})
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    cycled = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", place(i).cast("int"))), " ")
+    texts = docs.select("doc_id", F.when(F.col("n").isNotNull(), cycled).otherwise(F.col("text")).alias("text"))
+    found = periodic.with_runs(texts).withColumn("longest", periodic.longest(F.col("found.runs")))
+    lines = F.array_join(F.transform("found.runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", F.size("found.runs").cast("long").alias("n_runs"), "longest.start", "longest.length", "longest.period",
+        F.floor(1000 * F.col("longest.length") / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.concat(lines, F.when(F.size("found.runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("found.collapsed").cast("binary"), 256).alias("collapsed_sha256"))

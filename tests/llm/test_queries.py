@@ -5,7 +5,7 @@ from captionforge.llm.queries import ORACLES, QUERIES
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_pipeline_keeps_columns_and_rows(spark, sf_dir):
