@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionforge.llm import chat, decontam, jaccard, licenses, packing, passages, periodic, quality, rules, tokens, warc
+from captionforge.llm import chat, decontam, jaccard, licenses, packing, passages, periodic, quality, rules, squares, tokens, variants, warc
 from captionforge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +246,32 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("longest.length") / F.col("longest.period")).alias("exponent_milli"),
         F.sha2(F.concat(lines, F.when(F.size("found.runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("found.collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op12_spelling_variants", f"""
+WITH runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, run, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY 1, 2),
+hashed AS (SELECT run, c, {_crc("named")} AS h FROM counted),
+spelled AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM spelled WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+cuts AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT x.word, y.word AS other FROM cuts x JOIN cuts y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, w.word FROM cuts x JOIN words w ON x.rest = w.word UNION SELECT w.word, x.word FROM cuts x JOIN words w ON x.rest = w.word),
+best AS (SELECT near.word, count(*) AS n_near, min(struct_pack(less := -w.n, other := w.word)) AS top FROM near JOIN words w ON w.word = near.other GROUP BY 1),
+judged AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 5 * n THEN top.other END AS form,
+  CASE WHEN -top.less >= 5 * n THEN -top.less END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (WITH RECURSIVE c(word, last) AS (SELECT word, word FROM judged
+  UNION ALL SELECT c.word, j.form FROM c JOIN judged j ON j.word = c.last WHERE j.form IS NOT NULL) SELECT * FROM c)
+SELECT j.word, j.form, c.last AS root, j.n, j.n_near, j.form_n FROM judged j JOIN chain c ON c.word = j.word
+JOIN judged e ON e.word = c.last AND e.form IS NULL
+""")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.word_counts(table(spark, sf_dir, "documents"), slips=199)
+    return variants.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_squares_pack")
+def op13_squares_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = squares.cut(table(spark, sf_dir, "documents"))
+    digests = pieces.select(*squares.KEY, "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digests.join(squares.place(pieces), squares.KEY).drop(*squares.KEY)
