@@ -2,14 +2,16 @@
 
 1. A document becomes the set of its hashed five-word windows (one window of all words when it has fewer).
    Documents with the same set are one record with a number of copies; only records are joined.
-2. A record keeps a consistent sample of its tokens (``hash < SAMPLED / size``) and a sketch of 64 one-byte
-   minima. From a run's seed, a record goes down to every sampled token whose hash with the path so far is
-   below ``branch / SAMPLED``: similar sets choose the same tokens, so they meet in the same bucket.
-3. A bucket of at most ``BUCKET`` records is brute-forced on the sketches, to a spanning forest of
-   candidate links. A larger bucket is first compared with one pivot, which takes the records close to
-   it out, and the rest is split on the next token; after ``DEPTH`` splits the rest is compared by
-   blocks. The number of runs follows from the target recall, for pairs whose buckets are all split.
-4. Candidate links form clusters; all pairs inside a cluster are compared on their whole sets, in
+2. A record goes down to the tokens whose hash is small (``BRANCH`` of a record in each run, the runs being
+   consecutive ranges of the hash), so similar sets choose the same tokens and meet in the same buckets. The runs follow
+   from the target recall. A row of a path is two numbers; sketches of 64 one-byte minima are joined where they are compared.
+3. A bucket of at most ``BUCKET`` records is brute-forced on the sketches, to a spanning forest of candidate
+   links; buckets with the same members are one. A record that has most of its paths in such buckets leaves the
+   large ones, because its partners meet it here. What stays is groups that share most of their tokens.
+4. In a large bucket the most frequent minimum of each bin is a centre. Records close to it become one candidate
+   cluster with all that might be partners of such a record, and leave. The rest has a new centre, or is split on sampled
+   tokens (minima) that the centre has not; after ``DEPTH`` splits it is compared by blocks.
+5. Candidate links form clusters; all pairs inside a cluster are compared on their whole sets, in
    blocks of bounded size that give each record its number of links and a spanning forest.
    Pairs are never rows, a cluster is never in one task, and no bucket, partner or candidate is dropped.
 
@@ -34,38 +36,32 @@ from captionforge.session import discard, materialize, small_batches
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-BRANCH = 4.0        # children of a record in each run
-DEEPER = 2.25       # children of a record in each further split
-SAMPLED = 48        # sampled tokens of a record
+BRANCH = 4.0        # paths of a record in each run
 BINS = 64
 BUCKET = 128
+DENSE_PATHS = 12    # paths of a record that are followed in large buckets
+CENTRE_OF = 64      # records, in the mean, that a bucket's centre is taken from
+DEEPER = 8          # children of a record in each split
 DEPTH = 6
-# A record leaves its bucket when it is as close as PIVOT_TAKES to the pivot. By the triangle inequality of the
-# Jaccard distance its partners at 0.8 then resemble the pivot by about 0.55 or more, and are linked to it.
-PIVOT_TAKES = 0.75
-PIVOT_LINK = 0.25
-BLOCK_RECORDS = 1024
+# A record leaves its bucket when it is as close as CENTRE_TAKES to the centre. By the triangle inequality of the
+# distance of sketches its partners at 0.8 then resemble the centre by about 0.55 or more, and join its cluster.
+CENTRE_TAKES = 0.75
+CENTRE_LINKS = 0.25
+BLOCK_RECORDS = 2048
 BLOCK_TOKENS = 1 << 19
 
-RECORD = "struct<skey:binary,size:int,sketch:binary,tokens:binary>"
-_RECORD = pa.struct([("skey", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("tokens", pa.binary())])
+RECORD = "struct<skey:binary,size:int,sketch:binary,paths:array<bigint>>"
+_RECORD = pa.struct([("skey", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
 
 
-def survival(threshold: float = THRESHOLD, deeper: float = DEEPER, depth: int = DEPTH) -> float:
-    """Probability that a common path of a pair at the threshold has a common path ``depth`` splits further down."""
-    lost = 0.0
-    for _ in range(depth):
-        lost = math.exp(-threshold * deeper * (1 - lost))
-    return 1 - lost
+def runs_for(recall: float, threshold: float = THRESHOLD, branch: float = BRANCH) -> int:
+    """Runs until a pair at the threshold meets with probability ``recall``.
 
-
-def runs_for(recall: float, threshold: float = THRESHOLD, branch: float = BRANCH, deeper: float = DEEPER, depth: int = DEPTH) -> int:
-    """Runs until a pair at the threshold meets with probability ``recall``, even if all its buckets are split ``depth`` times.
-
-    Two sets at Jaccard t share at least t of the larger one, so a run gives them t * branch common children in
-    the mean, Poisson distributed, and each split t * deeper of each common path.
+    Two sets at Jaccard t share at least t of the paths of either. A record leaves large buckets if 1 - t / 2 of its
+    paths are in small ones; even if all that the two do not share were among these, t / 2 of all paths would remain
+    there, Poisson distributed.
     """
-    return max(1, math.ceil(-math.log(1 - recall) / (threshold * branch * survival(threshold, deeper, depth))))
+    return max(1, math.ceil(-math.log(1 - recall) / (threshold / 2 * branch)))
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -115,54 +111,43 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def _records(texts: pa.Array) -> pa.Array:
-    out = []
-    for _, sets in shingle_sets(texts):
-        for tokens in sets:
-            if not len(tokens):
-                out.append({"skey": None, "size": 0, "sketch": None, "tokens": None})
-                continue
-            limit = np.uint64(min(1.0, SAMPLED / len(tokens)) * (2**64 - 2**12))
-            sampled = tokens[mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) <= limit] if len(tokens) > SAMPLED else tokens
-            out.append({"skey": set_key(tokens), "size": len(tokens), "sketch": _sketch(tokens),
-                        "tokens": sampled.astype("<u8").tobytes()})
-    return pa.array(out, _RECORD)
+def _records(wanted: float):
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for _, sets in shingle_sets(texts):
+            for tokens in sets:
+                if not len(tokens):
+                    out.append({"skey": None, "size": 0, "sketch": None, "paths": None})
+                    continue
+                h = mix(tokens ^ np.uint64(0x2545F4914F6CDD1D))
+                chosen = h[h <= np.uint64(min(1.0, wanted / len(tokens)) * (2**64 - 2**12))] if len(tokens) > wanted else h
+                if not len(chosen):
+                    chosen = h.min(keepdims=True)
+                out.append({"skey": set_key(tokens), "size": len(tokens), "sketch": _sketch(tokens), "paths": chosen.view(np.int64)})
+        return pa.array(out, _RECORD)
+
+    return run
 
 
 def _keys(texts: pa.Array) -> pa.Array:
     return pa.array([set_key(tokens) for _, sets in shingle_sets(texts) for tokens in sets], pa.binary())
 
 
-def record_of(text_col: str) -> Column:
-    return F.arrow_udf(lean(_records), RECORD)(F.col(text_col))
+def record_of(text_col: str, threshold: float = THRESHOLD, recall: float = RECALL) -> Column:
+    find = _records(BRANCH * runs_for(recall, threshold))
 
+    def batch(texts: pa.Array) -> pa.Array:
+        return find(texts)
 
-def key_of(text_col: str) -> Column:
-    return F.arrow_udf(lean(_keys), "binary")(F.col(text_col))
-
+    return F.arrow_udf(lean(batch), RECORD)(F.col(text_col))
 
-def _binary_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """uint64 values of a column of packed tokens, and each one's row."""
-    packed = column.to_pylist()
-    sizes = np.array([len(x) // 8 for x in packed], np.int64)
-    return np.frombuffer(b"".join(packed), "<u8"), np.repeat(np.arange(len(packed)), sizes)
 
+def key_of(text_col: str) -> Column:
+    return F.arrow_udf(lean(_keys), "binary")(F.col(text_col))
 
-def _children(branch: float):
-    """Paths one token longer, for the tokens a path chooses: ``branch`` of a record in the mean."""
-
-    @F.arrow_udf("array<bigint>")
-    def run(path: pa.Array, size: pa.Array, tokens: pa.Array) -> pa.Array:
-        paths = path.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        values, rows = _binary_rows(tokens)
-        tagged = mix(values ^ mix(paths + np.uint64(1))[rows])
-        share = np.minimum(1.0, branch / np.minimum(size.to_numpy(zero_copy_only=False), SAMPLED))
-        chosen = tagged <= (share * (2**64 - 2**12)).astype(np.uint64)[rows]
-        child = mix(tagged[chosen] ^ np.uint64(0x94D049BB133111EB)).view(np.int64)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(rows[chosen], minlength=len(paths)))])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(child, pa.int64()))
 
-    return run
+def _grid(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
 def _alike(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,72 +184,139 @@ def spanning_links(linked_rows: Iterator[tuple[int, np.ndarray]], n: int) -> lis
 def _bucket_links(threshold: float):
     """Brute force of one bucket on the sketches: a spanning forest of the pairs that may pass."""
 
-    @F.arrow_udf("array<struct<a:binary,b:binary>>")
+    @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
     def run(members: pa.Array) -> pa.Array:
-        out = []
-        for bucket in members.to_pylist():
-            keys = [m["skey"] for m in bucket]
-            sketches = np.frombuffer(b"".join(m["sketch"] for m in bucket), np.uint8).reshape(-1, BINS)
-            sizes = np.array([m["size"] for m in bucket])
+        flat, ends = members.flatten(), np.append(0, np.cumsum(members.value_lengths().to_numpy()))
+        rids, sizes, grid = flat.field("rid").to_numpy(), flat.field("size").to_numpy(), _grid(flat.field("sketch"))
+        found, count = [], [0]
+        for lo, hi in zip(ends, ends[1:]):
+            sketch, size = grid[lo:hi], sizes[lo:hi]
 
             def rows():
-                for i in range(1, len(keys)):
-                    estimate, used = _alike(sketches[:i], sketches[i])
-                    fits = np.minimum(sizes[:i], sizes[i]) >= threshold * np.maximum(sizes[:i], sizes[i])
+                for i in range(1, hi - lo):
+                    estimate, used = _alike(sketch[:i], sketch[i])
+                    fits = np.minimum(size[:i], size[i]) >= threshold * np.maximum(size[:i], size[i])
                     yield i, np.flatnonzero(fits & _may_pass(estimate, used, threshold))
 
-            out.append([{"a": keys[i], "b": keys[j]} for i, j in spanning_links(rows(), len(keys))])
-        return pa.array(out, pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())])))
+            forest = spanning_links(rows(), hi - lo)
+            found += [(lo + i, lo + j) for i, j in forest]
+            count.append(count[-1] + len(forest))
+        pairs = rids[np.array(found, np.int64).reshape(-1, 2)]
+        links = pa.StructArray.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+        return pa.ListArray.from_arrays(pa.array(count, pa.int32()), links)
 
     return run
 
 
 def _estimates(one: pa.Array, other: pa.Array) -> pa.Array:
-    grid = lambda x: np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, BINS)
-    return pa.array(_alike(grid(one), grid(other))[0], pa.float64())
+    return pa.array(_alike(_grid(one), _grid(other))[0], pa.float64())
+
+
+def _centres(members: pa.Array) -> pa.Array:
+    """The most frequent byte of each bin of a list of sketches."""
+    out = []
+    for own in members:
+        grid = _grid(own.values)
+        counts = np.zeros((BINS, 256), np.int64)
+        np.add.at(counts, (np.arange(BINS)[None, :], grid), 1)
+        counts[:, 0] = 0
+        out.append(counts.argmax(axis=1).astype(np.uint8).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _children(wanted: float):
+    """Paths one token longer, for minima that the centre has not: ``wanted`` of a record in the mean, the same of similar records."""
+
+    def run(path: pa.Array, sketch: pa.Array, centre: pa.Array) -> pa.Array:
+        grid, middle = _grid(sketch), _grid(centre)
+        paths = path.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        token = np.arange(BINS, dtype=np.uint64)[None, :] << np.uint64(8) | grid.astype(np.uint64)
+        tagged = mix(token ^ mix(paths + np.uint64(1))[:, None])
+        own = (grid != 0) & (grid != middle)
+        share = np.minimum(1.0, wanted / np.maximum(1, own.sum(axis=1)))
+        chosen = own & (tagged <= (share * (2**64 - 2**12)).astype(np.uint64)[:, None])
+        child = mix(tagged[chosen] ^ np.uint64(0x94D049BB133111EB)).view(np.int64)
+        ends = np.concatenate([[0], np.cumsum(chosen.sum(axis=1))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(child, pa.int64()))
+
+    return run
 
 
 def _forest(buckets: DataFrame, by: list[str], threshold: float) -> DataFrame:
-    members = buckets.groupBy(*by).agg(F.collect_list(F.struct("skey", "size", "sketch")).alias("members"))
+    members = buckets.groupBy(*by).agg(F.collect_list(F.struct("rid", "size", "sketch")).alias("members"))
     return members.select(F.explode(_bucket_links(threshold)("members")).alias("link")).select("link.*")
 
 
-def candidate_links(records: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(a, b) links between records (skey, size, sketch, tokens) whose components hold every pair that meets."""
+def _small_buckets(shared: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
+    """Links of buckets of a bounded size: those with the same members are compared once."""
+    members = shared.groupBy("path").agg(F.sort_array(F.collect_list("rid")).alias("rids")).select("rids").distinct()
+    rows = members.select(F.xxhash64("rids").alias("h"), F.get("rids", F.lit(0)).alias("first"), F.explode("rids").alias("rid"))
+    return _forest(rows.join(records.select("rid", "size", "sketch"), "rid"), ["h", "first"], threshold)
+
+
+def _size_class(threshold: float) -> Column:
+    """Sets at the threshold are in the same or in neighbouring classes."""
+    return F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(threshold))).cast("int")
+
+
+def _cluster_links(compared: DataFrame, centres: DataFrame, threshold: float) -> DataFrame:
+    """Links to one taken record of the own size class of a path, else of a neighbouring one, and between these records."""
+    near = compared.where(F.col("alike") >= CENTRE_LINKS).withColumn("class", _size_class(threshold))
+    taken = near.where(F.col("alike") >= CENTRE_TAKES).groupBy("path", "class").agg(F.min("rid").alias("first"))
+    # at most one entry for each class of sizes
+    heads = taken.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("class", "first"))).alias("heads"))
+    at = lambda step: F.try_element_at("heads", F.col("class") + step)
+    linked = near.select("path", "rid", "class").join(heads, "path").select(
+        F.col("rid").alias("a"), F.coalesce(at(0), at(-1), at(1)).alias("b"))
+    between = heads.select(F.explode("heads").alias("class", "a"), "heads").select("a", F.explode(F.array(at(-1), at(-2))).alias("b"))
+    return linked.union(between).where("a <> b")
+
+
+def candidate_links(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) links between records (rid, size, sketch, paths) whose components hold every pair that meets."""
     links, used = [], []
 
     def kept(df: DataFrame, label: str) -> DataFrame:
         used.append(materialize(df, label))
         return used[-1]
 
-    choose, go_on = _children(BRANCH), _children(DEEPER)
-    starts = [choose(F.lit(1_000_003 * (run + 1)).cast("long"), "size", "tokens") for run in range(runs_for(recall, threshold))]
-    at = records.select("skey", "size", "sketch", F.explode(F.concat(*starts)).alias("path"))
-    at = kept(at.withColumn("depth", F.lit(0)), "paths")
+    paths = records.select("rid", F.explode("paths").alias("path"))
+    counts = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = kept(paths.join(counts, "path"), "shared")
+    links.append(kept(_small_buckets(shared.where(F.col("n") <= BUCKET), records, threshold), "links"))
+    # a record with most of its paths in small buckets, or alone, needs no large one
+    dense = shared.where(F.col("n") > BUCKET)
+    crowded = dense.groupBy("rid").agg(F.count(F.lit(1)).alias("dense"), F.sort_array(F.collect_list("path")).alias("own"))
+    stays = crowded.join(records.select("rid", "size", "sketch", F.size("paths").alias("all")), "rid").where(
+        F.col("dense") > threshold / 2 * F.col("all"))
+    # the same tokens come first in similar sets, because a path is a hash of its token
+    at = stays.select("rid", "size", "sketch", F.explode(F.slice("own", 1, DENSE_PATHS)).alias("path"), F.lit(0).alias("depth"))
+    at = kept(at, "dense")
     while True:
         counts = at.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        at = kept(at.join(counts, "path"), "shared")
-        links.append(kept(_forest(at.where(f"n <= {BUCKET}"), ["path"], threshold), "links"))
-        large = at.where(f"n > {BUCKET}")
+        at = kept(at.join(counts, "path"), "counted")
+        links.append(kept(_forest(at.where(F.col("n") <= BUCKET), ["path"], threshold), "links"))
+        large = at.where(F.col("n") > BUCKET)
         if large.isEmpty():
             break
-        # every path has a pivot of its own
-        pivots = kept(large.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "skey").alias("h"), "skey", "sketch")).alias("pivot")), "pivots")
-        alike = F.arrow_udf(_estimates, "double")("sketch", "pivot.sketch")
-        compared = kept(large.join(pivots, "path").withColumn("alike", alike), "compared")
-        links.append(compared.where(F.col("alike") >= PIVOT_LINK).select(F.col("skey").alias("a"), F.col("pivot.skey").alias("b")))
-        left = compared.where(F.col("alike") < PIVOT_TAKES).select("path", "depth", "n", "skey", "size", "sketch")
-        if left.isEmpty():
-            break
-        now = left.groupBy("path").agg(F.count(F.lit(1)).alias("m"))
-        left = kept(left.join(now, "path"), "left")
-        # a bucket that its pivot has thinned out goes on with another one, else it is split on a further token
-        links.append(kept(_forest(left.where(f"m > 1 and m <= {BUCKET}"), ["path"], threshold), "links"))
-        left = left.where(f"m > {BUCKET}")
-        again = left.where("4 * m <= 3 * n").select("skey", "size", "sketch", F.xxhash64("path").alias("path"), "depth")
-        links.append(_blocks(left.where(f"4 * m > 3 * n and depth >= {DEPTH}"), threshold))
-        split = left.where(f"4 * m > 3 * n and depth < {DEPTH}").join(records.select("skey", "tokens"), "skey")
-        split = split.select("skey", "size", "sketch", F.explode(go_on("path", "size", "tokens")).alias("path"), (F.col("depth") + 1).alias("depth"))
+        sampled = large.where(F.pmod(F.xxhash64("path", "rid", "depth"), F.col("n")) < CENTRE_OF)
+        centres = sampled.groupBy("path").agg(F.collect_list("sketch").alias("own"))
+        centres = kept(centres.select("path", F.arrow_udf(_centres, "binary")("own").alias("centre")), "centres")
+        # every path has a centre of its own; without one (no record sampled) nothing is close to it
+        met = large.join(centres, "path", "left").withColumn("centre", F.coalesce("centre", F.lit(bytes(BINS))))
+        compared = kept(met.withColumn("alike", F.arrow_udf(_estimates, "double")("sketch", "centre")), "compared")
+        links.append(kept(_cluster_links(compared, centres, threshold), "links"))
+        left = compared.where(F.col("alike") < CENTRE_TAKES)
+        now = left.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        left = kept(left.join(now, "path").drop("alike"), "left")
+        # a bucket that its centre has thinned out has another one, else it is split
+        thinned = left.where((F.col("m") <= BUCKET) | (4 * F.col("m") <= 3 * F.col("n")))
+        again = thinned.select("rid", "size", "sketch", "path", "depth")
+        rest = left.where((F.col("m") > BUCKET) & (4 * F.col("m") > 3 * F.col("n")))
+        links.append(_blocks(rest.where(F.col("depth") >= DEPTH), threshold))
+        split = rest.where(F.col("depth") < DEPTH)
+        child = F.arrow_udf(_children(DEEPER), "array<bigint>")("path", "sketch", "centre")
+        split = split.select("rid", "size", "sketch", F.explode(child).alias("path"), (F.col("depth") + 1).alias("depth"))
         at = kept(again.union(split), "paths")
     out = links[0]
     for more in links[1:]:
@@ -277,14 +329,15 @@ def candidate_links(records: DataFrame, threshold: float = THRESHOLD, recall: fl
 def _blocks(rest: DataFrame, threshold: float) -> DataFrame:
     """All records of a bucket against each other, by pairs of blocks of about ``BLOCK_RECORDS``."""
     counts = rest.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BLOCK_RECORDS).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("skey"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
     paired = rest.join(counts, "path").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     return _forest(paired, ["path", "lo", "hi"], threshold)
 
 
-def _group_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, cross: bool, threshold: float):
-    """Links of each set (documents, texts) and a spanning forest; with ``cross``, of pairs of two sides only."""
+def _group_links(sets: list[np.ndarray], weights: np.ndarray, split: int, threshold: float):
+    """Links of each set (documents, texts) and a spanning forest. Sets before ``split`` are compared with those from it on;
+    with 0, all with all."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
@@ -294,20 +347,33 @@ def _group_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray,
     owner, token = owner[kept], column[inverse[kept]]
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
-    shared = np.zeros((n, n), np.float32)
+    left = split or n
+    shared = np.zeros((left, n - split), np.float32)
     width = max(256, (4 << 20) // max(n, 1))
     for lo in range(0, int(token[-1]) + 1 if len(token) else 0, width):
         a, b = np.searchsorted(token, [lo, lo + width])
         grid = np.zeros((n, width), np.float32)
         grid[owner[a:b], token[a:b] - lo] = 1
-        shared += grid @ grid.T
-    both = sizes[:, None] + sizes[None, :] - shared
-    # whole numbers, so that a pair at the threshold is decided exactly
-    linked = np.rint(shared).astype(np.int64) * 1000 >= round(threshold * 1000) * np.rint(both).astype(np.int64)
-    np.fill_diagonal(linked, False)
-    if cross:
-        linked &= side[:, None] != side[None, :]
-    return linked @ weights, linked.sum(axis=1), spanning_links(((i, np.flatnonzero(linked[i, :i])) for i in range(n)), n)
+        shared += grid[:left] @ grid[split:].T
+    docs, texts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def rows() -> Iterator[tuple[int, np.ndarray]]:
+        for i in range(left):
+            common = np.rint(shared[i]).astype(np.int64)
+            # whole numbers, so that a pair at the threshold is decided exactly
+            linked = common * 1000 >= round(threshold * 1000) * (sizes[i] + sizes[split:] - common)
+            if not split:
+                linked[i] = False
+            others = np.flatnonzero(linked) + split
+            docs[i] += weights[others].sum()
+            texts[i] += len(others)
+            if split:
+                docs[others] += weights[i]
+                texts[others] += 1
+            yield i, others
+
+    forest = spanning_links(rows(), n)
+    return docs, texts, forest
 
 
 def _compare(threshold: float):
@@ -315,9 +381,12 @@ def _compare(threshold: float):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("docs", pa.int64()), ("texts", pa.int64())])
 
     def flush(group: tuple, held: dict) -> pa.RecordBatch:
-        keys = sorted(held)
-        docs, texts, forest = _group_links([held[k][0] for k in keys], np.array([held[k][1] for k in keys], np.int64),
-                                           np.array([held[k][2] for k in keys]), group[1] != group[2], threshold)
+        # the two blocks of a pair one after the other
+        keys = sorted(held, key=lambda k: (held[k][2], k))
+        split = sum(held[k][2] == group[1] for k in keys) if group[1] != group[2] else 0
+        if group[1] != group[2] and split in (0, len(keys)):
+            return pa.RecordBatch.from_pylist([], schema=schema)
+        docs, texts, forest = _group_links([held[k][0] for k in keys], np.array([held[k][1] for k in keys], np.int64), split, threshold)
         rows = [(k, None, int(d), int(t)) for k, d, t in zip(keys, docs, texts) if t] + [(keys[i], keys[j], 0, 0) for i, j in forest]
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
@@ -332,7 +401,7 @@ def _compare(threshold: float):
                         if len(held) > 1:
                             yield flush(group, held)
                         group, held = here, {}
-                    # another text under the same doc_id is not the record
+                    # a text with the same id and hash need not be the record
                     if set_key(tokens) == rows["skey"][r]:
                         held[rows["skey"][r]] = (tokens, rows["copies"][r], rows["own"][r])
         if len(held) > 1:
@@ -341,21 +410,29 @@ def _compare(threshold: float):
     return run
 
 
-def verified_links(docs: DataFrame, records: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, docs, texts): links of a record to others, or (b not null) an edge of the forest."""
-    members = clusters.join(records.select(F.col("skey").alias("node"), "doc_id", "size", "copies"), "node")
+def cluster_texts(docs: DataFrame, records: DataFrame, clusters: DataFrame) -> tuple[DataFrame, int]:
+    """(cluster, lo, hi, skey, own, copies, text): the texts of each pair of blocks of a cluster; and all sets' tokens together."""
+    members = clusters.join(records.select(F.col("rid").alias("node"), "skey", "doc_id", "text_hash", "size", "copies"), "node")
     members = materialize(members, "members")
     blocks = members.groupBy("component").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_RECORDS, F.sum("size") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = members.join(blocks, "component").withColumn("own", own)
-    ids = placed.select(F.col("doc_id").alias("__id"), F.col("component").alias("cluster"), F.col("node").alias("skey"), "copies", "own", "blocks")
-    texts = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    ids = placed.select(F.col("doc_id").alias("__id"), "text_hash", F.col("component").alias("cluster"), "skey", "copies", "own", "blocks")
+    # an id may be null or repeated, so it takes the text's hash too to find a record's row
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    same = (hashed["text_hash"] == ids["text_hash"]) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    texts = hashed.join(ids.hint("merge"), same)
     spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "skey", "own", "copies", "text")
+    return spread, members.agg(F.sum("size")).first()[0] or 0
+
+
+def verified_links(docs: DataFrame, records: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, docs, texts): links of a record to others, or (b not null) an edge of the forest."""
+    spread, total = cluster_texts(docs, records, clusters)
     # a task holds the groups it was dealt one after the other
     # the work is in the sets, not in the bytes that adaptive execution would deal by
-    total = members.agg(F.sum("size")).first()[0] or 0
     dealt = spread.repartition(int(total // BLOCK_TOKENS) + 1, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
     return dealt.mapInArrow(lean(_compare(threshold)), "a binary, b binary, docs bigint, texts bigint")
 
@@ -370,12 +447,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(docs.select("doc_id", record_of("text").alias("r")).select("doc_id", "r.*"), "rows")
+    found = record_of("text", threshold, recall).alias("r")
+    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), found).select("doc_id", "text_hash", "r.*"), "rows")
     named = rows.where("skey is not null")
-    records = materialize(named.groupBy("skey").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
-        F.min("sketch").alias("sketch"), F.min("tokens").alias("tokens")), "records")
-    candidates = candidate_links(records.select("skey", "size", "sketch", "tokens"), threshold, recall)
+    # the smallest id that is not null, and the hash of a text it has
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("place")
+    records = named.groupBy("skey").agg(place, F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
+                                        F.min("sketch").alias("sketch"), F.min("paths").alias("paths"))
+    # numbers that stay, because the table is written
+    records = materialize(records.select(F.monotonically_increasing_id().alias("rid"), "skey", "place.doc_id", "place.text_hash", "copies", "size", "sketch", "paths"), "records")
+    candidates = candidate_links(records.select("rid", "size", "sketch", "paths"), threshold)
     clusters = materialize(connected_components(candidates), "clusters")
     discard(candidates)
     checked = materialize(verified_links(docs, records, clusters, threshold), "verified")

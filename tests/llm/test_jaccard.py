@@ -1,9 +1,8 @@
 import random
 from collections import defaultdict
 
-import numpy as np
-import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from captionforge.llm import jaccard
 from captionforge.llm.graph import connected_components
@@ -105,27 +104,61 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_pairs_meet_after_every_split(spark):
-    """4000 pairs at Jaccard 0.8 whose buckets are split ``DEPTH`` times: by the model 0.4 are lost in the mean."""
-    rng = np.random.default_rng(4)
-    n = 4000
-    choose, go_on = jaccard._children(jaccard.BRANCH).func, jaccard._children(jaccard.DEEPER).func
-    common = rng.integers(0, 2**63, (n, 40), dtype=np.uint64)
-    sides = [np.concatenate([common, rng.integers(0, 2**63, (n, 5), dtype=np.uint64)], axis=1) for _ in range(2)]
-
-    def children(step, side, pairs, paths):
-        tokens = pa.array([side[p].astype("<u8").tobytes() for p in pairs], pa.binary())
-        found = step(pa.array(paths, pa.int64()), pa.array([side.shape[1]] * len(pairs), pa.int32()), tokens)
-        return set(zip(np.repeat(pairs, found.value_lengths().to_numpy()).tolist(), found.flatten().to_pylist()))
-
-    met = np.zeros(n, dtype=bool)
-    for run in range(jaccard.runs_for(jaccard.RECALL)):
-        pairs, paths = np.arange(n), [1_000_003 * (run + 1)] * n
-        for depth in range(jaccard.DEPTH + 1):
-            step = go_on if depth else choose
-            left = np.flatnonzero(~met[pairs])
-            pairs, paths = pairs[left], [paths[i] for i in left]
-            both = sorted(children(step, sides[0], pairs, paths) & children(step, sides[1], pairs, paths))
-            pairs, paths = np.array([p for p, _ in both], np.int64), [x for _, x in both]
-        met[pairs] = True
-    assert (~met).sum() <= 4
+def template_pairs(rng, groups, per_group, share, vocabulary=4000):
+    """Near copies in groups of texts that share a long passage; about ``share`` of a text is the passage of its group."""
+    word = [f"w{i}" for i in range(vocabulary)]
+    texts = []
+    for _ in range(groups):
+        passage = rng.choices(word, k=int(200 * share))
+        for _ in range(per_group):
+            own = passage + rng.choices(word, k=200 - len(passage))
+            other = list(own)
+            for at in rng.sample(range(200), 3):
+                other[at] = rng.choice(word)
+            texts += [" ".join(own), " ".join(other)]
+    return texts
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4, 0.7, 0.8])
+def test_recall_of_near_copies_in_dense_buckets(spark, monkeypatch, share):
+    """Every large bucket holds a whole group; pairs are at 0.8 to 0.93 and all texts of a group share the passage."""
+    monkeypatch.setattr(jaccard, "BUCKET", 16)
+    rng = random.Random(int(100 * share))
+    texts = template_pairs(rng, 3, 60, share)
+    want = brute(texts)
+    linked = {i for i, row in want.items() if row[2]}
+    assert len(linked) > 200
+    rows = found(spark, texts)
+    missed = [i for i in linked if rows[i][2] < want[i][2]]
+    assert len(missed) <= 0.01 * len(linked), (len(missed), len(linked))
+    assert all(rows[i][2] <= want[i][2] for i in want)
+
+
+def test_a_group_of_different_near_copies(spark, monkeypatch):
+    """Edited from one text: most pairs are below the threshold, all are linked through others."""
+    monkeypatch.setattr(jaccard, "BUCKET", 16)
+    monkeypatch.setattr(jaccard, "BLOCK_RECORDS", 32)
+    rng = random.Random(9)
+    base = prose(rng, 300)
+    texts = [edited(rng, base, rng.randint(1, 9)) for _ in range(220)] + [prose(rng, 200) for _ in range(20)]
+    assert found(spark, texts) == brute(texts)
+
+
+def test_null_ids_stay_linear(spark):
+    rng = random.Random(4)
+    rows_of = {}
+    for n in (60, 120):
+        texts = []
+        for _ in range(n // 2):
+            base = prose(rng, 40)
+            texts += [base, base + " and one more word"]
+        frame = docs(spark, texts, [None] * n).select("doc_id", "text")
+        records = frame.select("doc_id", F.xxhash64("text").alias("text_hash"), jaccard.record_of("text").alias("r")).select("doc_id", "text_hash", "r.*")
+        records = records.withColumns({"rid": F.monotonically_increasing_id(), "copies": F.lit(1).cast("long")})
+        records = jaccard.materialize(records, "records")
+        clusters = connected_components(jaccard.candidate_links(records.select("rid", "size", "sketch", "paths")))
+        spread, _ = jaccard.cluster_texts(frame, records, clusters)
+        rows_of[n] = spread.count()
+    assert rows_of == {60: 60, 120: 120}
+    every = jaccard.near_duplicates(frame).collect()
+    assert len(every) == 120 and all(r.n_links == 1 and r.class_id is None for r in every)
