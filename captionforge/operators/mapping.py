@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -126,6 +127,73 @@ def map_with_context(df: DataFrame, order_by: list, fn: Callable[..., pd.DataFra
     return narrow.mapInArrow(run, schema)
 
 
+HELD_STATES = 50_000    # states of user aggregates that a task holds
+MERGED_TASKS = 64       # tasks whose states are merged at once
+
+
+def aggregate_state(df: DataFrame, by: list[str], update: Callable, merge: Callable, finish: Callable, result: str) -> DataFrame:
+    """A user aggregate per group: (by..., the columns of ``result``).
+
+    ``update(state, rows)`` takes the state so far (None at first) and a pandas frame of a group's rows, ``merge(a, b)`` joins two
+    states in any order, ``finish(state)`` gives the values of ``result`` as a tuple. A state is anything that can be
+    pickled. Tasks fill states where rows are read; only states are exchanged, and merged in two levels, so a
+    group of any size passes through no single task. Null is a group of its own.
+    """
+    keys = [f"{c} {df.schema[c].dataType.simpleString()}" for c in by]
+    held_schema, done_schema = ", ".join([*keys, "__state binary", "__task int"]), ", ".join([*keys, result])
+    held_target, done_target = _arrow_schema(held_schema), _arrow_schema(done_schema)
+    plain = lambda value: None if pd.api.types.is_scalar(value) and pd.isna(value) else value
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held: dict = {}
+        task, target = TaskContext.get().partitionId(), held_target
+
+        def rows() -> pa.RecordBatch:
+            states = [pickle.dumps(x) for x in held.values()]
+            columns = [pa.array([k[i] for k in held], target.field(i).type) for i in range(len(by))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(states, pa.binary()), pa.array([task] * len(held), pa.int32())], schema=target)
+
+        for batch in batches:
+            frame = to_frame(batch)
+            for key, own in frame.groupby(by, sort=False, dropna=False):
+                key = tuple(map(plain, key if isinstance(key, tuple) else (key,)))
+                held[key] = update(held.get(key), own)
+            if len(held) > HELD_STATES:
+                yield rows()
+                held.clear()
+        yield rows()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(key, state) of rows that lie next to each other by key."""
+        key, state = None, None
+        for batch in batches:
+            names = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*by, "__state"]]
+            for *own, packed in zip(*names):
+                if key == own:
+                    state = merge(state, pickle.loads(packed))
+                else:
+                    if key is not None:
+                        yield key, state
+                    key, state = own, pickle.loads(packed)
+        if key is not None:
+            yield key, state
+
+    def merge_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, state in join(batches):
+            row = zip([*key, pickle.dumps(state), 0], held_target)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in row], schema=held_target)
+
+    def merge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, state in join(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([*key, *finish(state)], done_target)], schema=done_target)
+
+    states = df.mapInArrow(fill, held_schema).withColumn("__part", F.floor(F.col("__task") / MERGED_TASKS))
+    some = states.repartition(*by, "__part").sortWithinPartitions(*by).mapInArrow(merge_some, held_schema)
+    return some.repartition(*by).sortWithinPartitions(*by).mapInArrow(merge_all, done_schema)
+
+
 def row_function(fn: Callable, return_type: str) -> Callable:
     """A per-row Python callable as a column function, moved in Arrow batches."""
     return F.udf(fn, returnType=return_type, useArrow=True)

@@ -136,12 +136,13 @@ def train_test_split_stratified(df: DataFrame, label: str, key: list[str], test_
                                 seed: int = 0, name: str = "split") -> DataFrame:
     """Exact split that keeps the class shares; every class needs two members, no rows give empty splits.
 
-    A row's place in its class is exact whether or not keys repeat, and each class's two borders, one small row, label it.
+    Only the label and the keys are sorted, to find the two rows at which the splits of each class end. Rows are
+    labelled in place by comparison with these; only where such a row's keys are repeated are all columns sorted.
     """
     drawn = with_draw(df, key, seed)
     order = [_DRAW, *[k for k in key if k != label]]
-    placed = with_group_index(drawn, [label], order, "__pos")
-    counts = materialize(placed.groupBy(label).agg(F.count(F.lit(1)).alias("__n")), "classes")
+    narrow = with_group_index(drawn.select(label, *order), [label], order, "__pos")
+    counts = materialize(narrow.groupBy(label).agg(F.count(F.lit(1)).alias("__n")), "classes")
     n, smallest = counts.agg(F.sum("__n"), F.min("__n")).first()
     if not n:
         return df.withColumn(name, F.lit("train")).limit(0)
@@ -153,9 +154,23 @@ def train_test_split_stratified(df: DataFrame, label: str, key: list[str], test_
     quotas = _quota(left, label, "__left", n - n_test, n_train, "__train")
     quotas = materialize(quotas.select(
         F.col(label).alias("__label"), F.col("__test"), (F.col("__test") + F.col("__train")).alias("__end")), "quotas")
-    return (
-        placed.join(quotas, F.col(label).eqNullSafe(F.col("__label")))
-        .where(F.col("__pos") < F.col("__end"))
-        .withColumn(name, F.when(F.col("__pos") < F.col("__test"), "test").otherwise("train"))
-        .select(*df.columns, name)
-    )
+    of_class = F.col(label).eqNullSafe(F.col("__label"))
+    at = lambda place: F.max(F.when(F.col("__pos") == F.col(place), F.struct(*order)))
+    # per class the keys of the first row behind each split, null if there is none; a row earlier in the class must not have them
+    ends = narrow.join(quotas, of_class).where(
+        F.col("__pos").isin(F.col("__test"), F.col("__end"), F.col("__test") - 1, F.col("__end") - 1)).groupBy("__label").agg(
+        at("__test").alias("__first"), at("__end").alias("__last"),
+        F.max(F.when(F.col("__pos") == F.col("__test") - 1, F.struct(*order))).alias("__before_first"),
+        F.max(F.when(F.col("__pos") == F.col("__end") - 1, F.struct(*order))).alias("__before_last"))
+    ends = materialize(ends, "ends")
+    tied = ends.where(F.expr("__first <=> __before_first and __first is not null or __last <=> __before_last and __last is not null"))
+    if not tied.isEmpty():
+        placed = with_group_index(drawn, [label], order, "__pos")
+        part = F.col("__pos") < F.col("__test")
+        return placed.join(quotas, of_class).where(F.col("__pos") < F.col("__end")).withColumn(
+            name, F.when(part, "test").otherwise("train")).select(*df.columns, name)
+    here = F.struct(*order)
+    earlier = lambda end: F.col(end).isNull() | (here < F.col(end))
+    # null in __first: the whole class is in the test split
+    return drawn.join(ends, of_class).where(earlier("__last")).withColumn(
+        name, F.when(earlier("__first"), "test").otherwise("train")).select(*df.columns, name)

@@ -6,10 +6,14 @@ position of its own, so counts are exact whatever the keys. Positions come from
 sort: range partitions hold consecutive slices, so position = rows in earlier slices + offset
 inside the slice. No slice depends on the number of distinct groups or keys, so a group or key
 holding a third of all rows is spread over as many tasks as any other rows.
+
+Where only a few positions matter (slices, splits, shards) nothing is sorted: the key at a position is
+selected by narrowing an interval of keys, and rows are labelled where they are by comparison with it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -95,21 +99,115 @@ class Border(NamedTuple):
     rows: int
 
 
+SMALL = 100_000     # rows of an interval whose keys are counted one by one
+SAMPLE = 20_000     # keys that narrow a larger interval
+MAX_CUTS = 256      # borders that a row is compared with
+
+
+def _sorts_after(df: DataFrame, order_by: list[str], row: Row | None) -> Column:
+    """True for rows that sort after ``row``; all rows do when it is None (before the start)."""
+    if row is None:
+        return F.lit(True)
+    values = [F.lit(row[c]).cast(df.schema[c].dataType) for c in order_by]
+    if len(order_by) == 1:
+        return F.col(order_by[0]).isNotNull() if row[order_by[0]] is None else F.col(order_by[0]) > values[0]
+    whole = F.struct(*order_by) > F.struct(*[v.alias(c) for c, v in zip(order_by, values)])
+    # the implied condition on the first key is one the file scan can use
+    return whole if row[order_by[0]] is None else (F.col(order_by[0]) >= values[0]) & whole
+
+
+class _Interval(NamedTuple):
+    """Keys between two others (both left out), the position of the first of them, and their number."""
+
+    low: Row | None
+    high: Row | None
+    first: int
+    rows: int
+
+
+def _select_exactly(keys: DataFrame, order_by: list[str], part: _Interval, wanted: list[int]) -> dict[int, Border]:
+    """The borders in an interval of at most ``SMALL`` rows."""
+    counted = keys.groupBy(*order_by).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = F.lit(False)
+    for p in wanted:
+        held = held | ((F.col("__upto") > p - part.first) & (F.col("__upto") - F.col("__n") <= p - part.first))
+    out = {}
+    for r in counted.withColumn("__upto", upto).where(held).collect():
+        first = part.first + r["__upto"] - r["__n"]
+        row = Row(*order_by)(*[r[c] for c in order_by])
+        out.update({p: Border(row, first, r["__n"]) for p in wanted if first <= p < first + r["__n"]})
+    return out
+
+
+def _narrow(keys: DataFrame, order_by: list[str], part: _Interval, wanted: list[int], seed: int) -> tuple[dict[int, Border], dict[_Interval, list[int]]]:
+    """Borders that are sampled keys, and a far smaller interval for each other position.
+
+    A sample tells about where a position is; one pass counts the rows around it exactly.
+    """
+    sampled = keys.sample(min(1.0, SAMPLE / part.rows), seed).groupBy(*order_by).agg(F.count(F.lit(1)).alias("__n"))
+    rows = sampled.orderBy(*order_by).collect()
+    if not rows:
+        return {}, {part: wanted}
+    total, upto = sum(r["__n"] for r in rows), []
+    for r in rows:
+        upto.append((upto[-1] if upto else 0) + r["__n"])
+    margin = 2 / SAMPLE ** 0.5  # four standard deviations
+    plain = [Row(*order_by)(*[r[c] for c in order_by]) for r in rows]
+    near = {}
+    for p in wanted:
+        share = (p - part.first) / part.rows
+        near[p] = tuple(plain[min(bisect_right(upto, max(0.0, share + side) * total), len(rows) - 1)] for side in (-margin, margin))
+    pivots = list(dict.fromkeys(k for pair in near.values() for k in pair))
+    counts = keys.agg(*[f for i, k in enumerate(pivots) for f in (
+        F.count(F.when(sorts_before(keys, order_by, k), 1)).alias(f"before{i}"), F.count(F.when(_same_keys(keys, order_by, k), 1)).alias(f"same{i}"))]).first()
+    place = {k: (part.first + counts[f"before{i}"], counts[f"same{i}"]) for i, k in enumerate(pivots)}
+    found: dict[int, Border] = {}
+    left: dict[_Interval, list[int]] = {}
+    for p, (low, high) in near.items():
+        (at_low, same_low), (at_high, same_high) = place[low], place[high]
+        if p < at_low:
+            inside = _Interval(part.low, low, part.first, at_low - part.first)
+        elif p < at_low + same_low:
+            found[p] = Border(low, at_low, same_low)
+            continue
+        elif p < at_high:
+            inside = _Interval(low, high, at_low + same_low, at_high - at_low - same_low)
+        elif p < at_high + same_high:
+            found[p] = Border(high, at_high, same_high)
+            continue
+        else:
+            inside = _Interval(high, part.high, at_high + same_high, part.first + part.rows - at_high - same_high)
+        left.setdefault(inside, []).append(p)
+    return found, left
+
+
 def keys_at(df: DataFrame, order_by: list[str], positions) -> tuple[int, dict[int, Border]]:
     """Row count, and the border at each of a few positions (a list, or a function of the count).
 
-    Only the key columns are sorted. Comparing other columns' rows with these keys then selects by
-    position without moving them.
+    Only the key columns are read, and nothing is sorted but a sample and an interval of ``SMALL`` rows: each pass
+    over the keys leaves about a thirtieth of them. A key of very many rows is one row of a count.
     """
-    keys = with_row_index(df.select(*order_by), order_by, "__idx")
+    keys = df.select(*order_by)
     total = keys.count()
     wanted = sorted({p for p in (positions(total) if callable(positions) else positions) if 0 <= p < total}) if total else []
-    found = {r["__idx"]: r for r in keys.where(F.col("__idx").isin(wanted)).collect()} if wanted else {}
-    if not found:
-        return total, {}
-    same = {p: _same_keys(df, order_by, row) for p, row in found.items()}
-    sizes = keys.agg(*[f(F.when(c, F.col("__idx"))).alias(f"{n}{p}") for p, c in same.items() for n, f in (("first", F.min), ("rows", F.count))]).first()
-    return total, {p: Border(row, sizes[f"first{p}"], sizes[f"rows{p}"]) for p, row in found.items()}
+    found: dict[int, Border] = {}
+    open_parts = {_Interval(None, None, 0, total): wanted} if wanted else {}
+    seed = 0
+    while open_parts:
+        further: dict[_Interval, list[int]] = {}
+        for part, inside in open_parts.items():
+            held = keys.where(_sorts_after(keys, order_by, part.low) & sorts_before(keys, order_by, part.high))
+            if part.rows <= SMALL:
+                found.update(_select_exactly(held, order_by, part, inside))
+            else:
+                seed += 1
+                more, left = _narrow(held, order_by, part, inside, seed)
+                found.update(more)
+                for interval, own in left.items():
+                    further[interval] = further.get(interval, []) + own
+        open_parts = further
+    return total, found
 
 
 def _same_keys(df: DataFrame, order_by: list[str], row: Row) -> Column:
@@ -119,10 +217,10 @@ def _same_keys(df: DataFrame, order_by: list[str], row: Row) -> Column:
     return same
 
 
-def with_tie_breaker(df: DataFrame) -> DataFrame:
-    """Rows with a hash of all columns that can be hashed: only repeated rows share keys and hash."""
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
     plain = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    return df.withColumn(_TIE, F.xxhash64(*plain))
+    return F.xxhash64(*plain)
 
 
 def _tie_index(rows: DataFrame, group: str, name: str) -> DataFrame:
@@ -139,25 +237,49 @@ def _tie_index(rows: DataFrame, group: str, name: str) -> DataFrame:
 def with_part(df: DataFrame, order_by: list[str], cuts, name: str, find=keys_at) -> tuple[DataFrame, int, dict[int, Border]]:
     """Append how many of ``cuts(total)`` lie at or before each row's position; also return the row count and the borders.
 
-    Rows are labelled in place by comparison with the keys at the cuts. Only rows that repeat a cut's row
-    exactly are numbered, to give each side its exact count.
+    Rows are labelled in place by comparison with the keys at the cuts, and only key columns are read to find these.
+    Where a cut falls between rows with the same keys, a hash of all columns tells these apart, and
+    rows that are repeated exactly are numbered.
     """
-    tied = with_tie_breaker(df)
-    order = [*order_by, _TIE]
-    total, borders = find(tied, order, lambda n: [c for c in cuts(n) if 0 < c < n])
+    total, borders = find(df, order_by, lambda n: [c for c in cuts(n) if 0 < c < n])
     if not total:
         return df.withColumn(name, F.lit(0)), 0, {}
     everywhere = sum(c <= 0 for c in cuts(total))
     inside = sorted(c for c in cuts(total) if 0 < c < total)
+    split: dict[int, list[int]] = {}  # first position of a key -> cuts between its rows
+    for c in inside:
+        if borders[c].first < c:
+            split.setdefault(borders[c].first, []).append(c)
+    # cuts at or before each tie, for rows of a split key; the same for rows repeated exactly
+    tie_part, repeated = {}, {}
+    for first, own in split.items():
+        tied = df.where(_same_keys(df, order_by, borders[own[0]].keys)).select(_row_hash(df).alias(_TIE))
+        _, hashes = keys_at(tied, [_TIE], [c - first for c in own])
+        part = F.lit(0)
+        for c in own:
+            h = hashes[c - first]
+            part = part + F.when(F.col(_TIE) < h.keys[_TIE], 0).otherwise(1)
+            if h.first < c - first:
+                repeated[first, h.keys[_TIE]] = first + h.first
+        tie_part[first] = part
     part = F.lit(everywhere)
     for c in inside:
-        part = part + F.when(sorts_before(tied, order, borders[c].keys), 0).otherwise(1)
-    repeated = {borders[c].first: borders[c] for c in inside if borders[c].rows > 1}
+        if c not in split.get(borders[c].first, ()):
+            part = part + F.when(sorts_before(df, order_by, borders[c].keys), 0).otherwise(1)
+    for first, own in split.items():
+        keys = borders[own[0]].keys
+        part = part + F.when(sorts_before(df, order_by, keys), 0).when(_same_keys(df, order_by, keys), tie_part[first]).otherwise(len(own))
+    if not split:
+        return df.withColumn(name, part), total, borders
+    some_key = F.lit(False)
+    for own in split.values():
+        some_key = some_key | _same_keys(df, order_by, borders[own[0]].keys)
+    tied = df.withColumn(_TIE, F.when(some_key, _row_hash(df)))
     if not repeated:
         return tied.withColumn(name, part).drop(_TIE), total, borders
     group = F.lit(None).cast("long")
-    for first, border in repeated.items():
-        group = F.when(_same_keys(tied, order, border.keys), F.lit(first).cast("long")).otherwise(group)
+    for (first, h), at in repeated.items():
+        group = F.when(_same_keys(df, order_by, borders[split[first][0]].keys) & (F.col(_TIE) == h), F.lit(at).cast("long")).otherwise(group)
     marked = tied.withColumn("__first", group)
     clear = marked.where("__first is null").withColumn(name, part)
     numbered = _tie_index(marked.where("__first is not null"), "__first", "__number")
@@ -220,6 +342,14 @@ def shard_of(row_idx: Column, total: Column | int, shards: int) -> Column:
 
 
 def shard_contiguous(df: DataFrame, order_by: list, shards: int, name: str = "shard") -> DataFrame:
+    """Append the number of the contiguous shard of each row.
+
+    With named keys and at most ``MAX_CUTS`` shards rows are labelled in place; else they are sorted and written once.
+    """
+    if shards <= MAX_CUTS and all(isinstance(c, str) for c in order_by):
+        starts = lambda total: [i * (total // shards) + min(i, total % shards) for i in range(1, shards)]
+        parted, _, _ = with_part(df, order_by, starts, name)
+        return parted.withColumn(name, F.col(name).cast("long"))
     indexed = with_row_index(df, order_by, "__idx")
     total = indexed.count()
     return indexed.withColumn(name, shard_of(F.col("__idx"), total, shards)).drop("__idx")
@@ -283,12 +413,15 @@ def getitem(df: DataFrame, order_by: list, key) -> DataFrame:
     if isinstance(key, slice) and key.step in (None, 1):
         return _slice_rows(df, order_by, lambda total: key.indices(total)[:2])
     if isinstance(key, slice):
+        # the positions are an arithmetic sequence between two ends; a negative step takes them from the last to the first
         indexed = with_row_index(df, order_by, "__idx")
-        start, stop, step = key.indices(indexed.count())
-        if step < 0:
-            raise ValueError("negative steps are not supported")
+        places = range(indexed.count())[key]
+        if not places:
+            return df.limit(0)
+        low, high, step = min(places), max(places), abs(places.step)
         idx = F.col("__idx")
-        return indexed.where((idx >= start) & (idx < stop) & ((idx - start) % step == 0)).drop("__idx")
+        picked = indexed.where((idx >= low) & (idx <= high) & ((idx - low) % step == 0))
+        return (picked.orderBy(idx.desc()) if places.step < 0 else picked).drop("__idx")
     wanted = [key] if isinstance(key, int) else list(key)
     spark = df.sparkSession
     picks = spark.createDataFrame(list(enumerate(wanted)), "__pos long, __want long")

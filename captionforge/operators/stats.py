@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from captionforge.operators.positions import with_group_index
 from captionforge.session import materialize
 
 ROWS_PER_CHUNK = 65536  # vectors one task sums for one class before merging
+HELD_SUMS = 1 << 22     # sums that a task holds for class means
+HELD_BYTES = 64 << 20   # moments of all classes that a task holds
+PARTIALS = 64           # partial sums that are merged at once
 
 
 def unique(df: DataFrame, name: str, order: str) -> DataFrame:
@@ -21,13 +25,56 @@ def unique(df: DataFrame, name: str, order: str) -> DataFrame:
     return df.groupBy(name).agg(F.min(order).alias("first_seen"))
 
 
+def _by_label(labels: pa.Array) -> tuple[list, np.ndarray]:
+    """The distinct labels of a batch (None is one) and each row's number among them."""
+    coded = labels.dictionary_encode(null_encoding="encode")
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
 def class_mean(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """(label, i, n, mean): mean vector per class, one row per dimension.
+    """(label, i, n, mean): mean vector per class, one row per dimension; null elements do not count.
 
-    Pre-aggregated per task to classes x dimensions rows before the shuffle.
+    Sums are filled where the vectors are read: a task passes on a row per class and dimension, or several where
+    classes times dimensions exceed ``HELD_SUMS``.
     """
-    long = df.select(label, F.posexplode(vector).alias("i", "x"))
-    return long.groupBy(label, "i").agg(F.count("x").alias("n"), F.avg(F.col("x").cast("double")).alias("mean"))
+    kind = df.schema[label].dataType.simpleString()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for name, (count, total) in held.items():
+                some = np.flatnonzero(count)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * len(some), schema.field(0).type), pa.array(some, pa.int32()), pa.array(count[some]), pa.array(total[some])], schema=schema)
+            held.clear()
+
+        schema = None
+        for batch in batches:
+            schema = schema or pa.schema([("label", batch.schema.field(0).type), ("i", pa.int32()), ("n", pa.int64()), ("total", pa.float64())])
+            sizes = batch.column(1).value_lengths().fill_null(0).to_numpy()
+            if not sizes.sum():
+                continue
+            width, x = int(sizes.max()), batch.column(1).flatten()
+            sound = x.is_valid().to_numpy(zero_copy_only=False)
+            place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            names, code = _by_label(batch.column(0))
+            cell = (np.repeat(code, sizes) * width + place)[sound]
+            count = np.bincount(cell, minlength=len(names) * width).reshape(-1, width)
+            total = np.bincount(cell, x.drop_null().to_numpy(zero_copy_only=False).astype(np.float64), len(names) * width).reshape(-1, width)
+            for name, n, t in zip(names, count, total):
+                if name in held:
+                    a, b = held[name]
+                    longer = max(len(a), width)
+                    held[name] = [np.pad(u, (0, longer - len(u))) + np.pad(v, (0, longer - width)) for u, v in ((a, n), (b, t))]
+                else:
+                    held[name] = [n, t]
+            if sum(len(a) for a, _ in held.values()) > HELD_SUMS:
+                yield from rows()
+        yield from rows()
+
+    sums = df.select(F.col(label).alias("label"), F.col(vector).alias("v")).mapInArrow(partial, f"label {kind}, i int, n bigint, total double")
+    return sums.groupBy(F.col("label").alias(label), "i").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
 
 
 def _chunked(df: DataFrame, label: str, key: list[str], rows_per_chunk: int) -> tuple[DataFrame, int]:
@@ -50,36 +97,89 @@ def _runs(keys: pd.DataFrame) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]).any(axis=1)])
 
 
-def _merge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Add up rows of equal (class, matrix row), which arrive next to each other."""
-    carry = None
-    for batch in batches:
-        if batch.empty:
-            continue
-        rows = batch if carry is None else pd.concat([carry, batch], ignore_index=True)
-        starts = _runs(rows[["__label", "i"]])
-        out = rows.iloc[starts][["__label", "i"]].reset_index(drop=True)
-        out["n"] = np.add.reduceat(rows["n"].to_numpy(), starts)
-        out["total"] = np.add.reduceat(rows["total"].to_numpy(), starts)
-        out["cross"] = list(np.add.reduceat(np.stack(rows["cross"].to_numpy()), starts, axis=0))
-        # the last run may go on in the next batch
-        yield out.iloc[:-1]
-        carry = out.iloc[-1:]
-    if carry is not None:
-        yield carry
-
-
-def class_moments(df: DataFrame, label: str, vector: str, key: list[str], shift: list[float],
-                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def _merge_rows(by: list[str]):
+    """Add up rows of equal keys (class, matrix row, ...), which arrive next to each other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry = None
+        for batch in batches:
+            if batch.empty:
+                continue
+            rows = batch[[*by, "n", "total", "cross"]]
+            rows = rows if carry is None else pd.concat([carry, rows], ignore_index=True)
+            starts = _runs(rows[by])
+            out = rows.iloc[starts][by].reset_index(drop=True)
+            out["n"] = np.add.reduceat(rows["n"].to_numpy(), starts)
+            out["total"] = np.add.reduceat(rows["total"].to_numpy(), starts)
+            out["cross"] = list(np.add.reduceat(np.stack(rows["cross"].to_numpy()), starts, axis=0))
+            # the last run may go on in the next batch
+            yield out.iloc[:-1]
+            carry = out.iloc[-1:]
+        if carry is not None:
+            yield carry
+
+    return run
+
+
+def class_moments(df: DataFrame, label: str, vector: str, key: list[str], shift: list[float], rows_per_chunk: int = ROWS_PER_CHUNK,
+                  held_bytes: int = HELD_BYTES) -> DataFrame:
     """(label, i, n, total, cross): shifted sums per class, one row per matrix row.
 
-    A class is cut into chunks, each summed in one pass over its Arrow batches; the partial
-    sums are then added per (class, matrix row). A class with most of the vectors only has more
-    chunks, and no task ever holds a class or merges a whole matrix. Shifting all
-    vectors by one common vector keeps the sums well conditioned and still additive.
+    Where the matrices of all classes fit into ``held_bytes``, every task fills them while it reads the vectors, and
+    only these sums are exchanged, and merged in two levels. With more classes or longer vectors a task would
+    pass on more numbers in matrices than it has read; then vectors are dealt by class instead, and a class is
+    cut into chunks of ``rows_per_chunk``. Either way no task holds a class or merges a whole matrix. Shifting
+    all vectors by one common vector keeps the sums well conditioned and still additive.
     """
-    centre = np.asarray(shift)
     width = len(shift)
+    each = 8 * width * (width + 1)
+    most = held_bytes // each if width else 0
+    classes = df.select(label).distinct().limit(most + 1).count()
+    if width and classes <= most:
+        return _moments_where_read(df, label, vector, np.asarray(shift)).withColumnRenamed("__label", label)
+    return _moments_by_class(df, label, vector, key, np.asarray(shift), rows_per_chunk).withColumnRenamed("__label", label)
+
+
+def _merged(partials: DataFrame, by: list[str]) -> DataFrame:
+    return partials.repartition(*by).sortWithinPartitions(*by).mapInPandas(_merge_rows(by), partials.select(*by, "n", "total", "cross").schema)
+
+
+def _moments_where_read(df: DataFrame, label: str, vector: str, centre: np.ndarray) -> DataFrame:
+    width = len(centre)
+    kind = df.schema[label].dataType.simpleString()
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, code = _by_label(batch.column(0))
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width) - centre
+            order = np.argsort(code, kind="stable")
+            cuts = np.searchsorted(code[order], np.arange(len(names) + 1))
+            for name, lo, hi in zip(names, cuts, cuts[1:]):
+                own = x[order[lo:hi]]
+                sums = [hi - lo, own.sum(axis=0), own.T @ own]
+                held[name] = [a + b for a, b in zip(held[name], sums)] if name in held else sums
+        task = TaskContext.get().partitionId()
+        for name, (n, total, cross) in held.items():
+            yield pa.RecordBatch.from_arrays([
+                pa.array([name] * width, batch.schema.field(0).type), pa.array(np.arange(width), pa.int32()), pa.array([n] * width, pa.int64()),
+                pa.array(total), pa.array(list(cross), pa.list_(pa.float64())), pa.array([task] * width, pa.int32())],
+                ["__label", "i", "n", "total", "cross", "task"])
+
+    # rows without a label are a class; a null vector is no vector
+    narrow = df.where(F.col(vector).isNotNull()).select(F.col(label).alias("__label"), F.col(vector).alias("__v"))
+    schema = f"__label {kind}, i int, n long, total double, cross array<double>, task int"
+    partials = narrow.mapInArrow(fill, schema).withColumn("part", F.floor(F.col("task") / PARTIALS))
+    # the sums of some tasks at a time, in case there are very many
+    return _merged(_merged(partials, ["__label", "i", "part"]), ["__label", "i"])
+
+
+def _moments_by_class(df: DataFrame, label: str, vector: str, key: list[str], centre: np.ndarray, rows_per_chunk: int) -> DataFrame:
+    width = len(centre)
     schema = f"__label {df.schema[label].dataType.simpleString()}, i int, n long, total double, cross array<double>"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,8 +213,8 @@ def class_moments(df: DataFrame, label: str, vector: str, key: list[str], shift:
         "__label", "__chunk").sortWithinPartitions("__label", "__chunk")
     partials = ordered.mapInPandas(partial, schema)
     if most > 1:
-        partials = partials.repartition("__label", "i").sortWithinPartitions("__label", "i").mapInPandas(_merge_rows, schema)
-    return partials.withColumnRenamed("__label", label)
+        partials = _merged(partials, ["__label", "i"])
+    return partials
 
 
 def _same(a: tuple, b: tuple) -> bool:
@@ -139,10 +239,11 @@ def pooled_mean(df: DataFrame, vector: str) -> list[float]:
     return [r["m"] for r in sorted(rows, key=lambda r: r["i"])]
 
 
-def class_stats(df: DataFrame, label: str, vector: str, key: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def class_stats(df: DataFrame, label: str, vector: str, key: list[str], rows_per_chunk: int = ROWS_PER_CHUNK,
+                held_bytes: int = HELD_BYTES) -> DataFrame:
     """(label, n, mu, sigma): mean vector and sample covariance matrix per class."""
     shift = pooled_mean(df, vector)
-    moments = class_moments(df, label, vector, key, shift, rows_per_chunk)
+    moments = class_moments(df, label, vector, key, shift, rows_per_chunk, held_bytes)
     # one class's matrix: width x width numbers, the size of the result itself
     rows = F.array_sort(F.collect_list(F.struct("i", "total", "cross")))
     grouped = moments.groupBy(label).agg(F.first("n").alias("n"), rows.alias("__rows"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -190,6 +192,29 @@ def udaf_merge(spark, sf_dir):
     return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
+_SMALLEST = 64
+
+
+@query("udaf_sketch", f"""WITH u AS (SELECT DISTINCT event_type, {S.uniform(23, 'user_id')} AS h FROM events),
+  r AS (SELECT event_type, h, row_number() OVER (PARTITION BY event_type ORDER BY h) AS i, count(*) OVER (PARTITION BY event_type) AS c FROM u)
+  SELECT event_type, CASE WHEN any_value(c) < {_SMALLEST} THEN any_value(c)::DOUBLE ELSE round(({_SMALLEST} - 1) / max(h) FILTER (i <= {_SMALLEST}), 4) END AS users,
+  least(any_value(c), {_SMALLEST}) AS kept FROM r GROUP BY event_type""")
+def udaf_sketch(spark, sf_dir):
+    """Distinct users per event type from the smallest hashes: a state that cannot be added up."""
+    def update(state, rows):
+        drawn = (int(hashlib.md5(f"23|{u}".encode()).hexdigest()[:13], 16) / 4503599627370496.0 for u in rows["user_id"].unique())
+        return merge(state or [], drawn)
+
+    def merge(a, b):
+        return sorted({*a, *b})[:_SMALLEST]
+
+    def finish(state):
+        return round((_SMALLEST - 1) / state[-1], 4) if len(state) == _SMALLEST else float(len(state)), len(state)
+
+    events = table(spark, sf_dir, "events").select("event_type", "user_id")
+    return M.aggregate_state(events, ["event_type"], update, merge, finish, "users double, kept long")
+
+
 @query("lazy_transform", "SELECT doc_id, upper(lang) AS lang, n_chars FROM documents WHERE n_chars > 400")
 def lazy_transform(spark, sf_dir):
     steps = M.lazy_transform(lambda d: d.where(F.col("n_chars") > 400), lambda d: d.withColumn("lang", F.upper("lang")))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from captionforge.operators import search
+from captionforge.operators import search, text_index
 from captionforge.operators.stats import class_mean
 from captionforge.registry import query, table
+from captionforge.session import scratch_path
 
 _CENTRES = """c AS MATERIALIZED (SELECT label, list(m ORDER BY i) AS q FROM (SELECT label, i, round(avg(embedding[i]::DOUBLE), 6) AS m
   FROM embeddings, range(1, 65) r(i) GROUP BY label, i) GROUP BY label)"""
@@ -55,7 +56,7 @@ def knn_search_every_vector(spark, sf_dir):
 _TOKENS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
-@query("text_search", f"""WITH d AS MATERIALIZED (SELECT doc_id, {_TOKENS.format('text')} AS toks FROM documents),
+_TEXT_SEARCH = f"""WITH d AS MATERIALIZED (SELECT doc_id, {_TOKENS.format('text')} AS toks FROM documents),
   z AS (SELECT count(*) AS n, avg(len(toks)) AS m FROM d),
   q AS (SELECT DISTINCT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark),
   t AS MATERIALIZED (SELECT doc_id, term, any_value(len) AS len, count(*) AS tf FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM d)
@@ -63,8 +64,19 @@ _TOKENS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), la
   f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
   s AS (SELECT item_id, doc_id, round(sum(ln(1 + (z.n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len / z.m))), 6) AS score
      FROM q JOIN f USING (term) JOIN t USING (term), z GROUP BY item_id, doc_id)
-  SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+  SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query("text_search", _TEXT_SEARCH)
 def text_search(spark, sf_dir):
     """Whole benchmark items as queries over whole documents."""
     return search.text_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("text", "wanted"),
                               10, "doc_id", "text", "item_id", "wanted")
+
+
+@query("text_index_search", _TEXT_SEARCH)
+def text_index_search(spark, sf_dir):
+    """The same search through a written index."""
+    path = scratch_path(spark, "text-index")
+    text_index.write_text_index(table(spark, sf_dir, "documents"), path, "doc_id", "text")
+    return text_index.search_text_index(spark, path, table(spark, sf_dir, "benchmark"), 10, "item_id", "text", "doc_id")

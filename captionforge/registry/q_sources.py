@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from captionforge.functions.captions import file_stem
 from captionforge.operators.positions import rows_per_file, with_row_index
+from captionforge.operators.splits import from_splits
 from captionforge.plans import publish
 from captionforge.registry import query, table
 from captionforge.session import scratch_path
@@ -205,6 +206,50 @@ def join_sidecar(spark, sf_dir):
     return publish.successful_pairs(pairs).select("key", "url", F.round("similarity", 6).alias("similarity"), F.decode("image", "UTF-8").alias("image"))
 
 
+@query("archive_pairs", """SELECT CAST(page_id AS VARCHAR) AS key, url, round(length(url) / 100, 6) AS similarity, html AS image FROM pages
+  WHERE length(url) % 6 <> 0 AND length(url) % 5 <> 0""")
+def archive_pairs(spark, sf_dir):
+    """The pairs of join_sidecar, made where an archive is unpacked."""
+    pairs = archives.archive_pairs(_archives(spark, sf_dir), "key string, url string, status string, similarity double")
+    return publish.successful_pairs(pairs).select("key", "url", F.round("similarity", 6).alias("similarity"), F.decode("image", "UTF-8").alias("image"))
+
+
+@query("src_tar_files", f"""SELECT p || '.tar' AS archive, page_id || '.' || ext AS member,
+    CASE ext WHEN 'png' THEN strlen(html) ELSE strlen({_META}) END AS n_bytes
+    FROM (SELECT *, (row_number() OVER (ORDER BY page_id) - 1) // 25 AS p FROM pages), (VALUES ('png'), ('json')) e(ext)
+    WHERE ext = 'png' OR length(url) % 6 <> 0""")
+def src_tar_files(spark, sf_dir):
+    """Archives written as files, then read by ranges of members."""
+    folder = scratch_path(spark, "tars")
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        system.create_dir(place, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                with system.open_output_stream(f"{place}/{path.rsplit('/', 1)[-1]}") as out:
+                    out.write(content)
+            yield batch[["path"]]
+
+    _archives(spark, sf_dir).mapInPandas(write, "path string").count()
+    members = archives.read_archives(spark, folder)
+    return members.select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "member", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@query("saved_splits", """SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'validation' ELSE 'train' END AS split,
+  doc_id, lang, text FROM documents""")
+def saved_splits(spark, sf_dir):
+    """Three splits saved as a second version, over a first one that held something else, and loaded."""
+    path = scratch_path(spark, "splits")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    name = F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "validation").otherwise("train")
+    W.save_splits({"train": docs.where("doc_id % 10 = 9")}, path, ["doc_id"], num_shards=2)
+    W.save_splits({s: docs.where(name == s) for s in ("train", "validation", "test")}, path, ["doc_id"], max_shard_size="1MB")
+    return from_splits(W.load_splits(spark, path)).select("split", "doc_id", "lang", "text")
+
+
 @query("src_image_folder", "SELECT 'n' || (page_id % 7) AS class, page_id || '.jpg' AS name, strlen(html) AS n_bytes FROM pages WHERE length(url) % 4 <> 0")
 def src_image_folder(spark, sf_dir):
     """Page bodies as files below class folders; some are no images by suffix."""

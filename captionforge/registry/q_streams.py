@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from captionforge.functions.rand import hash_uniform
 from captionforge.operators import buckets as B
 from captionforge.operators.schema import cast_column, remove_columns, rename_columns
 from captionforge.plans import training_set
@@ -60,6 +61,25 @@ def stream_shuffle(spark, sf_dir):
     return spark.read.parquet(out).select("event_id", F.round("place", 9).alias("place"))
 
 
+@query("stream_shuffle_reservoir", f"""SELECT event_id, round({S.uniform(9, 'event_id')}, 9) AS place,
+  CAST(floor({S.uniform(9, 'event_id', S.quote('stay'))} * 3) AS BIGINT) AS stays FROM events""")
+def stream_shuffle_reservoir(spark, sf_dir):
+    """A row may leave the shuffle up to two micro-batches after it came."""
+    out = scratch_path(spark, "stream")
+    events = table(spark, sf_dir, "events").select("event_id")
+    path = scratch_path(spark, "staged")
+    streams.stage_shards(events, ["event_id"], 6, path)
+    stream = streams.stream_files(spark, path, events.schema, files_per_trigger=1)
+    streams.shuffle_reservoir(stream, ["event_id"], 9, 3, out, scratch_path(spark, "progress"))
+    last = streams.last_epoch(spark, out)
+    streams.drain(spark, events.schema, out, last, ["event_id"])
+    rows = spark.read.parquet(f"{out}/rows")
+    # the last ones are drained before their time
+    stays = F.floor(hash_uniform(9, F.col("event_id"), F.lit("stay")) * 3)
+    due = F.least(F.col("came") + stays, F.lit(last + 1))
+    return rows.where(F.col("epoch") == due).select("event_id", F.round("place", 9).alias("place"), stays.cast("long").alias("stays"))
+
+
 @query("stream_incremental", "SELECT event_id, event_type FROM events UNION ALL SELECT doc_id, lang FROM documents")
 def stream_incremental(spark, sf_dir):
     """A run, a second run with nothing new, and a run after new files arrived."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -83,6 +84,16 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return table
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files behind DataFrames that nothing refers to any more.
+
+    Spark deletes them when the driver collects its garbage, which a driver with little to do rarely does by itself
+    (``spark.cleaner.periodicGC.interval``, half an hour by default). Jobs of several waves call this between them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote, when nothing that is still lazy reads them."""
     for table in tables:

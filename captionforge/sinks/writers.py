@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from captionforge.functions.captions import shard_file_name
-from captionforge.operators.positions import shard_of, with_row_index
+from captionforge.operators.positions import MAX_CUTS, shard_contiguous, shard_of, with_row_index
 
 UNITS = {"KB": 10**3, "MB": 10**6, "GB": 10**9, "TB": 10**12, "KIB": 2**10, "MIB": 2**20, "GIB": 2**30, "TIB": 2**40}
 
@@ -100,28 +102,33 @@ def save_sharded(df: DataFrame, order_by: list, path: str, num_shards: int | Non
                  max_shard_size: int | str | None = None, num_proc: int | None = None) -> DataFrame:
     """Save contiguous shards under ``path/data/shard=data-00000-of-00008/`` and return the manifest.
 
-    The sorted rows already lie in slices of consecutive positions, so a task holds a shard
-    or a piece of one and rows are not shuffled again; ``row_idx`` gives the order inside a shard.
-    The manifest, (shard, n_rows, n_bytes), is saved as ``path/manifest``.
+    With named keys, rows are labelled by the keys at the shards' borders and dealt and sorted once, a shard to a task. More
+    than ``MAX_CUTS`` shards, or an order by expressions, sorts and numbers the rows first. ``row_idx`` gives
+    the order inside a shard. The manifest, (shard, n_rows, n_bytes), is saved as ``path/manifest`` when the data are.
     """
     columns = df.columns
-    indexed = with_row_index(df, order_by, "__idx").withColumn("__bytes", row_bytes(df.schema))
-    total = indexed.agg(F.count(F.lit(1)).alias("n"), F.sum("__bytes").alias("b")).first()
-    shards = shard_count(total["b"] or 0, num_shards, max_shard_size, num_proc)
-    number = shard_of(F.col("__idx"), total["n"], shards)
-    named = indexed.withColumn("shard", shard_file_name("data", number, F.lit(shards)))
-    (
-        named.select("shard", F.col("__idx").alias("row_idx"), *columns).sortWithinPartitions("shard", "row_idx")
-        .write.mode("errorifexists").partitionBy("shard").parquet(f"{path}/data")
-    )
-    manifest = named.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("__bytes").alias("n_bytes"))
+    sized = df.withColumn("__bytes", row_bytes(df.schema))
+    total = sized.agg(F.count(F.lit(1)).alias("n"), F.sum("__bytes").alias("b")).first()
+    shards, n = shard_count(total["b"] or 0, num_shards, max_shard_size, num_proc), total["n"]
+    if shards <= MAX_CUTS and all(isinstance(c, str) for c in order_by):
+        number = F.col("__shard")
+        first = number * (n // shards) + F.least(number, F.lit(n % shards))
+        inside = F.row_number().over(Window.partitionBy("__shard").orderBy(*order_by)) - 1
+        named = shard_contiguous(df, order_by, shards, "__shard").withColumn("row_idx", first + inside)
+    else:
+        named = with_row_index(df, order_by, "row_idx").withColumn("__shard", shard_of(F.col("row_idx"), n, shards))
+    named = named.select(shard_file_name("data", F.col("__shard"), F.lit(shards)).alias("shard"), "row_idx", *columns)
+    named.sortWithinPartitions("shard", "row_idx").write.mode("errorifexists").partitionBy("shard").parquet(f"{path}/data")
+    written = df.sparkSession.read.schema(named.schema).parquet(f"{path}/data")
+    manifest = written.withColumn("__bytes", row_bytes(df.schema)).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("__bytes").alias("n_bytes"))
     manifest.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
     return df.sparkSession.read.parquet(f"{path}/manifest")
 
 
-def load_saved(spark: SparkSession, path: str) -> DataFrame:
-    """A saved dataset; raises when a shard's rows do not match the manifest."""
-    data = spark.read.parquet(f"{path}/data")
+def load_saved(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A saved dataset; raises when a shard's rows do not match the manifest. Without rows it needs its ``schema``."""
+    data = (spark.read.schema(schema) if schema else spark.read).parquet(f"{path}/data")
     manifest = spark.read.parquet(f"{path}/manifest")
     found = data.groupBy("shard").agg(F.count(F.lit(1)).alias("__found"))
     wrong = manifest.join(found, "shard", "left").where(F.coalesce("__found", F.lit(0)) != F.col("n_rows"))
@@ -130,6 +137,54 @@ def load_saved(spark: SparkSession, path: str) -> DataFrame:
     return data
 
 
+VERSION = "version string, split string, folder string, n_rows bigint, n_bytes bigint, schema string"
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The committed versions of a dataset of splits, oldest first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    names = [f.getPath().getName() for f in system.listStatus(place)]
+    done = [n for n in names if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{n}/_SUCCESS"))]
+    return sorted(int(n) for n in done if n.isdigit())
+
+
+def save_splits(splits: dict[str, DataFrame], path: str, order_by: list, num_shards: int | None = None,
+                max_shard_size: int | str | None = None) -> int:
+    """Save named splits, which have the same columns, as one new version, and return its number.
+
+    Every split is saved below a folder of this attempt. The last step writes the version's small table, which names
+    these folders; until then, and if anything fails, readers see the version before. Two savers at a time cannot commit
+    the same version: the second one fails.
+    """
+    if len({tuple((f.name, f.dataType) for f in df.schema) for df in splits.values()}) > 1:
+        raise ValueError("all splits must have the same columns and types")
+    if not splits:
+        raise ValueError("there is nothing to save")
+    spark = next(iter(splits.values())).sparkSession
+    number = max(versions(spark, path), default=0) + 1
+    attempt, rows = f"{number:05d}-{uuid.uuid4().hex}", []
+    for name, df in splits.items():
+        folder = f"files/{attempt}/{name}"
+        sums = save_sharded(df, order_by, f"{path}/{folder}", num_shards, max_shard_size).agg(F.sum("n_rows"), F.sum("n_bytes")).first()
+        saved = T.StructType([T.StructField("row_idx", T.LongType()), *df.schema.fields, T.StructField("shard", T.StringType())])
+        rows.append((str(number), name, folder, sums[0] or 0, sums[1] or 0, saved.json()))
+    spark.createDataFrame(rows, VERSION).coalesce(1).write.mode("errorifexists").parquet(f"{path}/versions/{number:05d}")
+    return number
+
+
+def load_splits(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The splits of a version (the last one committed), each checked against its manifest, without ``shard`` and ``row_idx``."""
+    known = versions(spark, path)
+    if not known or version is not None and version not in known:
+        raise ValueError(f"no version {version or ''} under {path}, only {known}")
+    table = spark.read.parquet(f"{path}/versions/{version or known[-1]:05d}")
+    schema = lambda r: T.StructType.fromJson(json.loads(r["schema"]))
+    return {r["split"]: load_saved(spark, f"{path}/{r['folder']}", schema(r)).drop("shard", "row_idx") for r in table.collect()}
+
+
 def publish_plan(spark: SparkSession, total_shards: int, per_push: int, done: int, split: str = "train",
                  ledger: DataFrame | None = None, compat_total: bool = False) -> DataFrame:
     """(push_group, shard_no, file_name) still to publish.

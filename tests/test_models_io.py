@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import struct
 import tarfile
 from collections import Counter
@@ -254,3 +255,116 @@ def test_scratch_folder_is_the_named_one(tmp_path):
         sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_root(cluster)
+
+
+def test_archives_are_read_by_ranges_of_members(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "RANGE_BYTES", 4000)
+    rng = random.Random(3)
+    bodies = {}
+    for name, members in (("a", 40), ("b", 1), ("none", 0)):
+        with tarfile.open(tmp_path / f"{name}.tar", "w", format=tarfile.PAX_FORMAT) as tar:
+            for i in range(members):
+                # long names need headers of their own
+                member = f"{'folder/' * (i % 30)}{i}.{'PNG' if i % 2 else 'json'}"
+                body = rng.randbytes(rng.choice([0, 10, 600, 9000]))
+                bodies[f"{name}.tar", member] = body
+                info = tarfile.TarInfo(member)
+                info.size = len(body)
+                tar.addfile(info, io.BytesIO(body))
+    whole = (tmp_path / "a.tar").read_bytes()
+    (tmp_path / "cut.tar").write_bytes(whole[:len(whole) // 2])
+    (tmp_path / "junk.tar").write_bytes(b"no archive" * 1000)
+    with tarfile.open(tmp_path / "packed.tar", "w:gz") as tar:
+        tar.addfile(tarfile.TarInfo("empty.txt"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(str(tmp_path)).select("path")
+    ranges = archives.archive_ranges(files).collect()
+    assert len([r for r in ranges if r.archive.endswith("/a.tar")]) > 5
+    rows = archives.read_archives(spark, str(tmp_path)).collect()
+    got = {(r.archive.rsplit("/", 1)[-1], r.member): bytes(r.content) for r in rows if r.member}
+    assert {k: v for k, v in got.items() if k[0] in ("a.tar", "b.tar", "none.tar")} == bodies
+    assert got["packed.tar", "empty.txt"] == b""
+    cut = {m: v for (a, m), v in got.items() if a == "cut.tar"}
+    assert len(cut) > 3 and all(bodies["a.tar", m] == v for m, v in cut.items())
+    assert {r.archive.rsplit("/", 1)[-1] for r in rows if r.error} == {"cut.tar", "junk.tar"}
+
+
+def test_pairs_of_an_archive_are_those_of_the_join(spark):
+    def tar_of(members):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for name, body in members:
+                info = tarfile.TarInfo(name)
+                info.size = len(body)
+                tar.addfile(info, io.BytesIO(body))
+        return out.getvalue()
+
+    good = tar_of([("d/a.png", b"1"), ("d/a.json", b'{"key":"a"}'), ("b.json", b'{"key":"b"}'), ("c.PNG", b"3"), ("x/c.json", b'{"key":"c"}'),
+                   ("e.f.png", b"5"), ("e.f.json", b'{"key":"e"}'), ("a.png", b"6"), ("g.png", b"7"), ("plain", b"8")])
+    df = spark.createDataFrame([("one", good), ("two", tar_of([])), ("three", b"junk")], "path string, content binary")
+    key = lambda r: (r.archive, r.stem, bytes(r.image), r.key)
+    paired = sorted(map(key, archives.archive_pairs(df, "key string").collect()))
+    assert paired == sorted(map(key, archives.join_sidecar(archives.tar_members(df), "key string").collect())) and len(paired) == 4
+
+
+def test_versions_of_splits(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ds")
+    rows = lambda n: spark.range(n).withColumn("text", F.concat(F.lit("row "), "id"))
+    assert W.versions(spark, path) == []
+    with pytest.raises(ValueError):
+        W.load_splits(spark, path)
+    assert W.save_splits({"train": rows(50), "test": rows(7)}, path, ["id"], num_shards=3) == 1
+    real = W.save_sharded
+
+    def fails_at_test(df, order_by, folder, *args):
+        if folder.endswith("/test"):
+            raise OSError("disk full")
+        return real(df, order_by, folder, *args)
+
+    monkeypatch.setattr(W, "save_sharded", fails_at_test)
+    with pytest.raises(OSError):
+        W.save_splits({"train": rows(99), "test": rows(1)}, path, ["id"])
+    # the old version is still the last one
+    assert W.versions(spark, path) == [1] and W.load_splits(spark, path)["train"].count() == 50
+    monkeypatch.setattr(W, "save_sharded", real)
+    assert W.save_splits({"train": rows(20), "test": rows(0), "extra": rows(3)}, path, ["id"], num_shards=2) == 2
+    now = W.load_splits(spark, path)
+    assert {s: df.count() for s, df in now.items()} == {"train": 20, "test": 0, "extra": 3} and now["train"].columns == ["id", "text"]
+    assert W.load_splits(spark, path, 1)["test"].count() == 7
+    with pytest.raises(ValueError):
+        W.load_splits(spark, path, 3)
+    with pytest.raises(ValueError):
+        W.save_splits({"a": rows(2), "b": spark.range(2)}, path, ["id"])
+
+
+def test_reservoir_holds_rows_across_batches_and_restarts(spark, tmp_path):
+    src, progress, out = (str(tmp_path / n) for n in ("src", "progress", "out"))
+    schema = "id long"
+
+    def run(lo, hi):
+        for at in range(lo, hi):
+            spark.range(at * 20, at * 20 + 20).coalesce(1).write.mode("append").parquet(src)
+        streams.shuffle_reservoir(streams.stream_files(spark, src, schema, files_per_trigger=1), ["id"], 4, 3, out, progress)
+
+    run(0, 4)
+    assert streams.last_epoch(spark, out) == 3
+    run(4, 7)  # a second run goes on with the rows held
+    last = streams.last_epoch(spark, out)
+    streams.drain(spark, schema, out, last, ["id"])
+    rows = spark.read.parquet(f"{out}/rows").collect()
+    assert sorted(r.id for r in rows) == list(range(140)) and last == 6
+    stays = [r.epoch - r.came for r in rows]
+    assert set(stays) == {0, 1, 2} and all(r.came <= r.epoch <= last + 1 for r in rows)
+
+
+def test_user_aggregates_merge_states(spark, monkeypatch):
+    monkeypatch.setattr(M, "HELD_STATES", 2)
+    monkeypatch.setattr(M, "MERGED_TASKS", 2)
+    df = spark.range(0, 600, 1, 7).select(F.when(F.col("id") % 7 > 0, (F.col("id") % 5).cast("string")).alias("k"), (F.col("id") % 3).alias("j"), F.col("id").alias("x"))
+    update = lambda state, rows: merge(state or (), rows["x"].tolist())
+    merge = lambda a, b: tuple(sorted({*a, *b})[-3:])
+    got = M.aggregate_state(df, ["k", "j"], update, merge, lambda s: (list(s), len(s)), "top array<bigint>, n int").collect()
+    want = {}
+    for i in range(600):
+        want.setdefault((str(i % 5) if i % 7 else None, i % 3), []).append(i)
+    assert {(r.k, r.j): (r.top, r.n) for r in got} == {k: (v[-3:], 3) for k, v in want.items()}
+    assert M.aggregate_state(df.limit(0), ["k"], update, merge, lambda s: (len(s),), "n int").count() == 0

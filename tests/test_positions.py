@@ -83,6 +83,41 @@ def test_tied_keys_splits(spark, shuffle):
     assert O.train_test_split_stratified(df.limit(0), "k", ["v"]).count() == 0
 
 
+@pytest.mark.parametrize("small, sample", [(10, 50), (400, 100)])
+def test_borders_by_narrowing(spark, monkeypatch, small, sample):
+    """Intervals are narrowed by samples until few rows are left; two thirds of the rows have one key."""
+    monkeypatch.setattr(P, "SMALL", small)
+    monkeypatch.setattr(P, "SAMPLE", sample)
+    df = tied(spark, 6000).withColumn("w", F.when(F.col("v") % 5 > 0, F.concat(F.lit("k"), F.col("v") % 90))).cache()
+    for order in (["k"], ["w", "k"]):
+        rows = sorted(((tuple((r[c] is not None, r[c] if r[c] is not None else 0) for c in order)) for r in df.collect()))
+        wanted = [0, 1, 700, 2999, 5300, 5999]
+        total, borders = P.keys_at(df, order, [*wanted, 6000, -1])
+        assert total == 6000 and set(borders) == set(wanted)
+        for p, b in borders.items():
+            key = tuple((b.keys[c] is not None, b.keys[c] if b.keys[c] is not None else 0) for c in order)
+            assert key == rows[p] and b.first == rows.index(key) and b.rows == rows.count(key)
+    assert P.keys_at(df.limit(0), ["k"], [0]) == (0, {})
+
+
+def test_positions_read_keys_only(spark, tmp_path):
+    spark.range(5000).select("id", F.repeat(F.lit("x"), 50).alias("wide")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for found in (P.skip(df, ["id"], 20), P.take(df, ["id"], 20), P.getitem(df, ["id"], slice(5, 9)), P.split_by_node(df, ["id"], 1, 3),
+                  P.shard_contiguous(df, ["id"], 4), O.train_test_split(df, ["id"], test_size=0.2), O.train_test_split_stratified(
+                      df.withColumn("c", F.col("id") % 2), "c", ["id"], test_size=0.2)):
+        plan = found.select("id")._jdf.queryExecution().executedPlan().toString()
+        reads = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema: " in line]
+        assert reads and not any("wide" in r for r in reads), plan
+
+
+def test_getitem_with_negative_steps(spark):
+    df = spark.range(10)
+    for key in (slice(None, None, -1), slice(8, 2, -3), slice(-2, None, -4), slice(2, 8, -1), slice(None, None, 4)):
+        got = [r["id"] for r in P.getitem(df, ["id"], key).collect()]
+        assert (got if key.step < 0 else sorted(got)) == list(range(10))[key]
+
+
 def test_shard_pick(spark):
     assert [r["id"] for r in P.shard(spark.range(10), ["id"], 3, 1).orderBy("id").collect()] == [4, 5, 6]
     assert [r["id"] for r in P.shard(spark.range(10), ["id"], 3, 1, contiguous=False).orderBy("id").collect()] == [1, 4, 7]

@@ -21,10 +21,11 @@ def vectors(spark):
     return spark.createDataFrame(rows, "id long, label int, v array<double>"), rows
 
 
-@pytest.mark.parametrize("per_chunk", [65536, 50, 7])
-def test_class_stats_match_numpy(spark, vectors, per_chunk):
+@pytest.mark.parametrize("per_chunk, held_bytes", [(65536, 0), (50, 0), (7, 0), (65536, 64 << 20)])
+def test_class_stats_match_numpy(spark, vectors, per_chunk, held_bytes):
+    """Vectors dealt by class in chunks, and sums filled where the vectors are read."""
     df, rows = vectors
-    found = {r["label"]: r for r in A.class_stats(df, "label", "v", ["id"], per_chunk).collect()}
+    found = {r["label"]: r for r in A.class_stats(df, "label", "v", ["id"], per_chunk, held_bytes).collect()}
     assert set(found) == {r[1] for r in rows}
     for label, r in found.items():
         x = np.array([v for _, l, v in rows if l == label])
@@ -33,6 +34,22 @@ def test_class_stats_match_numpy(spark, vectors, per_chunk):
         np.testing.assert_allclose(np.array(r["sigma"]), np.cov(x.T), rtol=1e-9, atol=1e-9)
 
 
+@pytest.mark.parametrize("held", [1 << 22, 3])
+def test_class_means_of_uneven_vectors(spark, monkeypatch, held):
+    monkeypatch.setattr(A, "HELD_SUMS", held)
+    rows = [(1, [1.0, 2.0]), (1, [3.0]), (1, None), (None, [5.0, None, 7.0]), (2, []), (1, [5.0, 4.0, 9.0]), (None, [1.0, 8.0])] * 3
+    df = spark.createDataFrame(rows, "label int, v array<double>").repartition(3)
+    got = {(r["label"], r["i"]): (r["n"], r["mean"]) for r in A.class_mean(df, "label", "v").collect()}
+    assert got == {(1, 0): (9, 3.0), (1, 1): (6, 3.0), (1, 2): (3, 9.0), (None, 0): (6, 3.0), (None, 1): (3, 8.0), (None, 2): (3, 7.0)}
+
+
+def test_moments_exchange_sums_only(spark, vectors):
+    df, _ = vectors
+    plan = A.class_moments(df, "label", "v", ["id"], [100.0] * 6)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Exchange" in line]
+    assert scans and all("i#" in line for line in scans)  # by matrix row: none by class or chunk
+
+
 def test_covariance_of_one_vector_is_null(spark):
     one = spark.createDataFrame([(1, 1, [1.0, 2.0])], "id long, label int, v array<double>")
     assert A.class_stats(one, "label", "v", ["id"]).first()["sigma"] == [[None, None], [None, None]]
