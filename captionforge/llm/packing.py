@@ -1,7 +1,8 @@
 """Packing tokenised documents into sequences by cutting-stock column generation.
 
 1. Documents become token ids and an end id. Every full ``SEQUENCE`` of a long document is a sequence of its
-   own; what is left of each document, shorter than that, is an item.
+   own; what is left of each document, shorter than that, is an item. Remainders below ``SHORT`` tokens are
+   laid end to end, in bundles of at most ``BUNDLE`` tokens, and a bundle is one item.
 2. The histogram of item lengths in units of ``GRID`` tokens (at most SEQUENCE / GRID classes, whatever the
    number of documents) goes to the driver. A linear program over patterns - how many items of each class
    fill one sequence - is solved by column generation: a revised simplex keeps the basis, and a knapsack
@@ -33,6 +34,8 @@ from captionforge.session import materialize, small_batches
 
 SEQUENCE = 2048
 GRID = 8
+SHORT = 64          # rounding to GRID would be a large part of shorter items
+BUNDLE = 512
 END_ID = 1
 GAP = 1e-3          # the linear program stops this close to its bound
 CACHED_WORDS = 500_000
@@ -127,11 +130,10 @@ class WordEncoder:
         flat = self.ids[np.repeat(begins - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
         cuts = np.append(0, total)[np.searchsorted(start, text_start)]
         out = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
-        for special in self.special:
-            for place in _occurrences(raw, special.encode()):
-                r = int(np.searchsorted(text_start, place, "right")) - 1
-                text = raw[text_start[r]:text_start[r + 1]].tobytes().decode("utf-8", "replace")
-                out[r] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        places = np.array([x for special in self.special for x in _occurrences(raw, special.encode())], np.int64)
+        for r in np.unique(np.searchsorted(text_start, places, "right") - 1):
+            text = raw[text_start[r]:text_start[r + 1]].tobytes().decode("utf-8", "replace")
+            out[r] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return out
 
 
@@ -142,12 +144,17 @@ def _occurrences(raw: np.ndarray, what: bytes) -> Iterator[int]:
 
 
 _CUT = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("number", pa.int64()), ("class", pa.int32()), ("rank", pa.int64()),
-                  ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-_CUT_DDL = "doc_id bigint, part int, number bigint, class int, rank bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
+                  ("inner", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+_CUT_DDL = "doc_id bigint, part int, number bigint, class int, rank bigint, inner bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
 
 
 def _tokenise(path: str, sequence: int, grid: int):
-    """Full sequences (class 0) and one remainder of each document, ranked by class inside the task."""
+    """Full sequences (class 0) and one remainder of each document, ranked by class inside the task.
+
+    The pieces of a bundle have its class and rank, and their places in it (``inner``).
+    """
+    bundle = min(BUNDLE, sequence // 4)
+    short = min(SHORT, bundle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -156,21 +163,42 @@ def _tokenise(path: str, sequence: int, grid: int):
         if held.get("encoder_path") != path:
             held["encoder_path"], held["encoder"] = path, WordEncoder(path)
         encoder, part = held["encoder"], TaskContext.get().partitionId()
-        ranks, number = np.zeros(-(-sequence // grid) + 1, np.int64), 0
+        ranks, number, waiting, size = np.zeros(-(-sequence // grid) + 1, np.int64), 0, [], 0
         end = np.array([END_ID], "<u4")
+
+        def item(pieces: list[tuple]) -> Iterator[tuple]:
+            nonlocal number
+            length = sum(p[2] for p in pieces)
+            kind, inner = 0 if length == sequence else -(-length // grid), 0
+            for key, start, own, total, ids in pieces:
+                yield key, part, number, kind, int(ranks[kind]), inner, start, own, total, ids
+                inner += own
+                number += 1
+            ranks[kind] += 1
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(_CUT)], schema=_CUT)
+
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            keys = batch.column(0).to_pylist()
             for first, encoded in encoder.encode(batch.column(1)):
                 out = []
                 for at, tokens in enumerate(encoded, first):
                     tokens = np.concatenate([tokens, end])
                     for start in range(0, len(tokens), sequence):
                         length = min(sequence, len(tokens) - start)
-                        kind = 0 if length == sequence else -(-length // grid)
-                        out.append((ids[at], part, number, kind, int(ranks[kind]), start, length, len(tokens), tokens[start:start + length].tobytes()))
-                        ranks[kind] += 1
-                        number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_CUT)], schema=_CUT)
+                        piece = keys[at], start, length, len(tokens), tokens[start:start + length].tobytes()
+                        if length >= short:
+                            out += item([piece])
+                            continue
+                        if waiting and size + length > bundle:
+                            out += item(waiting)
+                            waiting, size = [], 0
+                        waiting.append(piece)
+                        size += length
+                yield table(out)
+        if waiting:
+            yield table(list(item(waiting)))
 
     return run
 
@@ -299,7 +327,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = materialize(named.mapInArrow(lean(_tokenise(tokenizer or tokenizer_path(), sequence, grid)), _CUT_DDL), "tokens")
     # one row per task and class
-    counts = materialize(cut.groupBy("part", "class").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = materialize(cut.where("inner = 0").groupBy("part", "class").agg(F.count(F.lit(1)).alias("n")), "counts")
     earlier = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "class", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     demand = np.zeros(sequence // grid, np.int64)
@@ -325,7 +353,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     into = F.col("rank") - F.col("place.first")
     fit = fit.select("doc_id", "start", "length", "doc_tokens", "ids",
                      (F.floor(into / F.col("place.each")).cast("long") + F.col("place.sequence") + full).alias("sequence_id"),
-                     (F.col("place.offset") + into % F.col("place.each") * F.col("place.stride")).alias("offset"))
+                     (F.col("place.offset") + into % F.col("place.each") * F.col("place.stride") + F.col("inner")).alias("offset"))
     # grid steps leave gaps: the items of a sequence close up
     inside = Window.partitionBy("sequence_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     closed = fit.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))

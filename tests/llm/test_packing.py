@@ -71,6 +71,30 @@ def test_encoder_starts_its_table_anew(monkeypatch):
     assert got == [coder.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_short_texts_leave_no_padding(spark):
+    """Ten thousand ids in texts of no word or one, of which every length would round up to eight."""
+    rng = random.Random(6)
+    texts = [rng.choice([None, "", "a", "b", "the", "word"]) for _ in range(6000)]
+    rows, padding = check(spark, texts, sequence=2048)
+    total = sum(r.length for r in rows)
+    assert len({r.sequence_id for r in rows}) <= -(-total // 2048) + 1 and padding < 0.2
+    mixed = texts + [prose(rng, rng.randint(5, 300)) for _ in range(400)]
+    rows, padding = check(spark, mixed, sequence=2048)
+    assert padding < 0.03
+
+
+def test_many_special_strings_in_one_text():
+    text = "<|endoftext|> a " * 3000
+    coder, own = Tokenizer.from_file(P.tokenizer_path()), P.WordEncoder(P.tokenizer_path())
+    calls = []
+    encode = own.tokenizer.encode
+    own.tokenizer = type("Counting", (), {"encode": staticmethod(lambda t, **k: calls.append(t) or encode(t, **k))})
+    (_, (plain, special)), = own.encode(pa.array(["b c", text]))
+    assert special.tolist() == coder.encode(text, add_special_tokens=False).ids
+    assert len(calls) <= 2  # new words, and the text once
+    assert plain.tolist() == coder.encode("b c", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_linear_program_reaches_its_bound(seed):
     rng = np.random.default_rng(seed)
