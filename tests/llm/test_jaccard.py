@@ -119,7 +119,7 @@ def template_pairs(rng, groups, per_group, share, vocabulary=4000):
     return texts
 
 
-@pytest.mark.parametrize("share", [0.0, 0.4, 0.7, 0.8])
+@pytest.mark.parametrize("share", [0.4, 0.8])
 def test_recall_of_near_copies_in_dense_buckets(spark, monkeypatch, share):
     """Every large bucket holds a whole group; pairs are at 0.8 to 0.93 and all texts of a group share the passage."""
     monkeypatch.setattr(jaccard, "BUCKET", 16)
