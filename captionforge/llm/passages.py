@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from captionforge.llm.text import lean, mix, window_hashes, word_groups
-from captionforge.session import discard, materialize, small_batches
+from captionforge.session import discard, materialize, release_shuffles, small_batches
 
 KMER = 5
 WINDOW = 8         # of consecutive k-mers, at least one is a seed
@@ -40,9 +40,12 @@ IDENTITY = 0.8
 GAP_COST = 0.125   # words of score lost for each word of gap, both documents together
 FLANK = 64         # words that an end may be extended
 MAX_GAP = 64       # words between neighbouring blocks of a chain, in either document
-X_DROP = 12        # an extension stops so far below its best score
+X_DROP = 10        # an extension stops so far below its best score
 TILE = 64
 
+CONTEXT = 8        # words on each side of a seed that its context tells about
+UNLIKE = 1 << 31   # bit of a match's place: the contexts differ
+
 _KEY = ["doc_id", "salt"]
 _PLACES = "doc_id bigint, at bigint, r_doc bigint, r_at bigint"
 
@@ -57,8 +60,9 @@ def _packed(salt: str, pos: str) -> Column:
 
 
 def _unpacked(matches: DataFrame) -> DataFrame:
-    salt, pos = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    return matches.select("doc_id", salt("at").alias("salt"), pos("at").alias("pos"), "r_doc", salt("r_at").alias("r_salt"), pos("r_at").alias("r_pos"))
+    salt, pos = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit(UNLIKE - 1)).cast("int")
+    return matches.select("doc_id", salt("at").alias("salt"), pos("at").alias("pos"), "r_doc", salt("r_at").alias("r_salt"), pos("r_at").alias("r_pos"),
+                          (F.col("at").bitwiseAND(F.lit(UNLIKE)) != 0).alias("unlike"))
 
 
 def minimisers(hashes: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -88,22 +92,53 @@ def minimisers(hashes: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np
 
 
 _SEED = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("salt", pa.int32()), ("pos", pa.int32()),
-                   ("r_doc", pa.int64()), ("r_salt", pa.int32()), ("r_pos", pa.int32())])
+                   ("r_doc", pa.int64()), ("r_salt", pa.int32()), ("r_pos", pa.int32()), ("context", pa.int64()), ("unlike", pa.bool_())])
+_SEED_DDL = "h bigint, doc_id bigint, salt int, pos int, r_doc bigint, r_salt int, r_pos int, context bigint, unlike boolean"
+
+
+def contexts(hashes: np.ndarray, at: np.ndarray, kmer: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Four bits for each of the ``CONTEXT`` words before and after each k-mer, 0 beyond the text (words ``low`` to ``high``)."""
+    short = (hashes >> np.uint64(32)) % np.uint64(15) + np.uint64(1)
+    out = np.zeros(len(at), np.uint64)
+    for k in range(CONTEXT):
+        for place, shift in ((at - 1 - k, 4 * k), (at + kmer + k, 4 * (CONTEXT + k))):
+            inside = (place >= low) & (place < high)
+            out |= np.where(inside, short[np.where(inside, place, 0)], np.uint64(0)) << np.uint64(shift)
+    return out
 
 
-def _numbered(h: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unlike_contexts(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether no more than half of the words agree on either side, in place or moved by one word.
+
+    In a passage a side of each seed lies inside. Where a text ends within half a side, nothing is said.
+    """
+    alike = np.zeros(len(one), dtype=bool)
+    size = np.uint64(4 * CONTEXT)
+    for side in (np.uint64(0), size):
+        x, y = one >> side, other >> side
+        for moved, still in ((x, y), (x >> np.uint64(4), y), (x, y >> np.uint64(4))):
+            both, same = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+            for k in range(CONTEXT if moved is x and still is y else CONTEXT - 1):
+                a, b = moved >> np.uint64(4 * k) & np.uint64(15), still >> np.uint64(4 * k) & np.uint64(15)
+                both += (a != 0) & (b != 0)
+                same += (a != 0) & (a == b)
+            alike |= (2 * same > both) | (both < CONTEXT // 2)
+    return ~alike
+
+
+def _numbered(h: np.ndarray, row: np.ndarray, pos: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The seeds, and each later occurrence in a document once more as that occurrence's own seed.
 
     So the second occurrence in a copy is matched with the second one of the original too.
     """
     order = np.lexsort((pos, h, row))
-    h, row, pos = h[order], row[order], pos[order]
+    h, row, pos, context = h[order], row[order], pos[order], context[order]
     first = np.ones(len(h), dtype=bool)
     first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     number = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
     again = number > 0
     own = mix(h[again] + number[again].astype(np.uint64))
-    return np.concatenate([h, own]), np.concatenate([row, row[again]]), np.concatenate([pos, pos[again]])
+    return np.concatenate([h, own]), *(np.concatenate([x, x[again]]) for x in (row, pos, context))
 
 
 def _seeds(kmer: int, window: int):
@@ -123,17 +158,20 @@ def _seeds(kmer: int, window: int):
                 fresh[1:] = moved if key is known else fresh[1:] | moved
             rank = np.empty(len(order), np.int64)
             rank[order] = np.cumsum(fresh)
-            hs, rows, places = [], [], []
+            hs, rows, places, around = [], [], [], []
             for words in word_groups(batch.column(2)):
                 found, first = window_hashes(words, kmer)
                 row = words.row[first]
                 chosen = minimisers(found, row, window)
                 hs.append(found[chosen])
                 rows.append(row[chosen] + words.first_row)
-                places.append(first[chosen] - words.bounds()[row[chosen]])
-            h, row, pos = _numbered(np.concatenate(hs), np.concatenate(rows), np.concatenate(places))
+                bounds = words.bounds()
+                low, high = bounds[row[chosen]], bounds[row[chosen] + 1]
+                places.append(first[chosen] - low)
+                around.append(contexts(words.hash, first[chosen], kmer, low, high))
+            h, row, pos, context = _numbered(*map(np.concatenate, (hs, rows, places, around)))
             order = np.lexsort((pos, rank[row], h))
-            h, row, pos = h[order], row[order], pos[order]
+            h, row, pos, context = h[order], row[order], pos[order], context[order]
             lead = np.ones(len(h), dtype=bool)
             lead[1:] = h[1:] != h[:-1]
             leader = np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))
@@ -146,19 +184,24 @@ def _seeds(kmer: int, window: int):
             yield pa.RecordBatch.from_arrays([
                 null(h[at].view(np.int64), pa.int64(), other[at]),
                 ids.take(pa.array(row[at])), salts.take(pa.array(row[at])), pa.array(pos[at], pa.int32()),
-                ids.take(far_index), salts.take(far_index), null(pos[to], pa.int32(), lead[at])], schema=_SEED)
+                ids.take(far_index), salts.take(far_index), null(pos[to], pa.int32(), lead[at]), null(context[at].view(np.int64), pa.int64(), other[at]),
+                pa.array(unlike_contexts(context[at], context[to]))], schema=_SEED)
 
     return run
 
 
 def _match_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, document, place): each is matched with the first row of its seed; those without h are matched already."""
+    """Rows sorted by (h, document, place): each is matched with the first row of its seed; those without h are matched already.
+
+    Where rows have contexts, a match whose contexts differ is marked.
+    """
     carry = None
     names = ["doc_id", "at", "r_doc", "r_at"]
     for batch in batches:
         if batch.column("h").null_count:
             yield batch.filter(batch.column("h").is_null()).select(names)
-        batch = batch.filter(batch.column("h").is_valid()).select(["h", "doc_id", "at"])
+        marked = "context" in batch.schema.names
+        batch = batch.filter(batch.column("h").is_valid()).select(["h", "doc_id", "at", *["context"] * marked])
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch] if carry is None else [carry, batch]).combine_chunks()
@@ -169,20 +212,24 @@ def _match_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         at = np.flatnonzero(~lead)
         own, first = table.take(pa.array(at)), table.take(pa.array(leader[at]))
         columns = [x.column(c).combine_chunks() for x in (own, first) for c in ("doc_id", "at")]
+        if marked:
+            around = [x.column("context").to_numpy().view(np.uint64) for x in (own, first)]
+            columns[1] = pa.array(columns[1].to_numpy() | np.where(unlike_contexts(*around), UNLIKE, 0))
         out = pa.Table.from_arrays(columns, names=names)
         carry = table.slice(int(leader[-1]), 1).to_batches()[0]
         yield from out.to_batches()
 
 
-def merge_diagonals(d: np.ndarray, r: np.ndarray, kmer: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks (start, start in the other, words) of matches on one diagonal that lie within ``reach``."""
+def merge_diagonals(d: np.ndarray, r: np.ndarray, kmer: int, reach: int, unlike: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Blocks (start, start in the other, words, all contexts unlike) of matches on one diagonal that lie within ``reach``."""
     order = np.lexsort((d, d - r))
     d, r = d[order], r[order]
+    unlike = np.zeros(len(d), dtype=bool) if unlike is None else unlike[order]
     new = np.ones(len(d), dtype=bool)
     new[1:] = (d[1:] - r[1:] != d[:-1] - r[:-1]) | (d[1:] - d[:-1] > reach)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(d)) - 1
-    return d[first], r[first], d[last] + kmer - d[first]
+    return d[first], r[first], d[last] + kmer - d[first], np.logical_and.reduceat(unlike, first)
 
 
 def chains_of(d: np.ndarray, r: np.ndarray, n: np.ndarray, gap_cost: float = GAP_COST) -> list[list[int]]:
@@ -247,11 +294,29 @@ def first_wave(intervals: list[tuple[int, int, int]]) -> list[bool]:
     return out
 
 
+_STRETCH = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def stretches_of(blocks: list[tuple[int, int]], min_words: int, slack: int) -> list[dict]:
+    """Stretches that the matches (start, end) of a document cover, whatever documents they lead to, and that may hold a passage.
+
+    A passage begins and ends up to ``slack`` words beyond its seeds, and longer keys need two of these.
+    """
+    merged: list[list[int]] = []
+    for lo, hi in sorted(set(blocks)):
+        if merged and lo <= merged[-1][1] + FLANK // 2:
+            merged[-1][1] = max(hi, merged[-1][1])
+            merged[-1][2] += 1
+        else:
+            merged.append([lo, hi, 1])
+    return [{"start": max(0, lo - slack), "end": hi + slack} for lo, hi, n in merged if hi - lo + 2 * slack >= min_words and (n > 1 or hi - lo > 2 * KMER)]
+
+
 _BLOCKS = pa.list_(pa.struct([("d", pa.int32()), ("r", pa.int32()), ("n", pa.int32())]))
 _CHAIN = pa.schema([("doc_id", pa.int64()), ("salt", pa.int32()), ("chains", pa.list_(pa.struct(
-    [("r_doc", pa.int64()), ("r_salt", pa.int32()), ("blocks", _BLOCKS), ("best", pa.bool_())]))), ("tiles", pa.list_(pa.int32()))])
+    [("r_doc", pa.int64()), ("r_salt", pa.int32()), ("blocks", _BLOCKS), ("best", pa.bool_())]))), ("tiles", pa.list_(pa.int32())), ("stretches", _STRETCH)])
 _CHAIN_DDL = ("doc_id bigint, salt int, chains array<struct<r_doc:bigint,r_salt:int,blocks:array<struct<d:int,r:int,n:int>>,"
-              "best:boolean>>, tiles array<int>")
+              "best:boolean>>, tiles array<int>, stretches array<struct<start:int,end:int>>")
 
 
 def tiles_of(start: int, end: int) -> range:
@@ -269,34 +334,43 @@ def _changes(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
     return new
 
 
-def _chain(kmer: int, window: int):
+def _chain(kmer: int, window: int, min_words: int):
     """Matches sorted by (document, other document) to one row of chains per document, whose matches are held at a time.
 
-    Rows without chains name the tiles that the chains of a batch need of an earlier document, each once.
+    A chain of one or two seeds whose contexts are unlike is no passage by itself: it is left out, and counts in the
+    stretches for longer keys only. Rows without chains name the tiles that the chains of a batch need of an earlier
+    document, each once.
     """
+    slack = 2 * (kmer + window)
 
     def finish(table: pa.Table) -> pa.RecordBatch:
         pos, other = table.column("pos").to_numpy().astype(np.int64), table.column("r_pos").to_numpy().astype(np.int64)
         doc = _changes(table, ("doc_id", "salt"))
         pair = np.flatnonzero(doc | _changes(table, ("r_doc", "r_salt"))).tolist()
         others = table.select(["r_doc", "r_salt"]).take(pa.array([0, *pair])).to_pylist()
-        heads, out, own, spans, asked, far = [], [], [], [], [], {}
+        unlike = table.column("unlike").to_numpy()
+        heads, out, own, spans, asked, far, places, reach = [], [], [], [], [], {}, [], []
 
         def close() -> None:
             for chain, best in zip(own, first_wave(spans)):
                 chain["best"] = best
             out.append(list(own))
-            asked.append(sorted({t for a, b, _ in spans for t in tiles_of(a, b)}))
+            reach.append(stretches_of(places, min_words, slack))
+            asked.append(sorted({t for a, b, _ in spans for t in tiles_of(a, b)} | {t for x in reach[-1] for t in tiles_of(x["start"], x["end"])}))
             own.clear()
             spans.clear()
+            places.clear()
 
         for other_doc, lo, hi in zip(others, [0, *pair], [*pair, table.num_rows]):
             if doc[lo]:
                 close()
-            if not own:
+            if lo == 0 or doc[lo]:
                 heads.append(lo)
-            d, r, n = merge_diagonals(pos[lo:hi], other[lo:hi], kmer, kmer + window)
+            d, r, n, weak = merge_diagonals(pos[lo:hi], other[lo:hi], kmer, kmer + window, unlike[lo:hi])
+            places.extend(zip(pos[lo:hi].tolist(), (pos[lo:hi] + kmer).tolist()))
             for chain in chains_of(d, r, n) if len(d) > 1 else [[0]]:
+                if len(chain) == 1 and weak[chain[0]] and n[chain[0]] <= 2 * kmer:
+                    continue
                 own.append(other_doc | {"blocks": [{"d": int(d[i]), "r": int(r[i]), "n": int(n[i])} for i in chain]})
                 spans.append((int(d[chain[0]]), int(d[chain[-1]] + n[chain[-1]]), int(n[chain].sum())))
                 far.setdefault((other_doc["r_doc"], other_doc["r_salt"]), set()).update(tiles_of(int(r[chain[0]]), int(r[chain[-1]] + n[chain[-1]])))
@@ -304,7 +378,8 @@ def _chain(kmer: int, window: int):
         names = table.select(["doc_id", "salt"]).take(pa.array(heads, pa.int64())).to_pylist()
         return pa.RecordBatch.from_arrays([
             pa.array([x["doc_id"] for x in names] + [k for k, _ in far], pa.int64()), pa.array([x["salt"] for x in names] + [k for _, k in far], pa.int32()),
-            pa.array(out + [None] * len(far), _CHAIN.field(2).type), pa.array(asked + [sorted(t) for t in far.values()], _CHAIN.field(3).type)], schema=_CHAIN)
+            pa.array(out + [None] * len(far), _CHAIN.field(2).type), pa.array(asked + [sorted(t) for t in far.values()], _CHAIN.field(3).type),
+            pa.array(reach + [None] * len(far), _STRETCH)], schema=_CHAIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -335,31 +410,40 @@ def _tile_words(texts: pa.Array, wanted: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("tile", pa.int32()), ("words", pa.string())])))
 
 
-def _extend(a: list[str], b: list[str]) -> tuple[int, int, int]:
-    """Words to go on in ``a`` and in ``b``, and equal ones among them, by the best score before it drops too far.
+def _extend(a: list, b: list) -> list[tuple[int, int, int]]:
+    """Ways to go on in ``a`` and ``b``: (words of a, words of b, equal ones among them), each ending on an equal word; first none.
 
-    An equal word scores 1, another, missing or added one -2. A value is a score and, in its low byte, the equal words.
+    For each number of words of ``a`` the one with the most equal words for its length is kept. An equal word
+    scores 1, another, missing or added one -1, and the search ends where all scores are ``X_DROP`` below the best.
     """
-    low, step, drop = -(1 << 30), 2 << 8, X_DROP << 8
-    top, end = 0, (0, 0)
-    row = {j: -step * j for j in range(min(len(b), X_DROP // 2) + 1)}
+    low, step, drop, top = -(1 << 30), 1 << 12, X_DROP << 12, 0
+    row = {j: -step * j for j in range(min(len(b), X_DROP) + 1)}
+    out = [(0, 0, 0)]
     for i, word in enumerate(a, 1):
-        new, j, last = {}, min(row), max(row)
+        new, j, last, best = {}, min(row), max(row), (low, 0, 0)
         while j <= len(b):
             value = row.get(j, low) - step
             if j:
-                value = max(value, row.get(j - 1, low) + (257 if word == b[j - 1] else -step), new.get(j - 1, low) - step)
+                before = row.get(j - 1, low)
+                if word == b[j - 1]:
+                    # the low bits count equal words
+                    value = max(value, before + step + 1, new.get(j - 1, low) - step)
+                    if before + step + 1 == value and value > best[0]:
+                        best = value, j, value & 4095
+                else:
+                    value = max(value, before - step, new.get(j - 1, low) - step)
             if value >= top - drop:
                 new[j] = value
-                if value >> 8 > top >> 8:
-                    top, end = value, (i, j)
+                top = max(top, value)
             elif j > last:
                 break
             j += 1
         if not new:
             break
+        if best[0] >= top - drop:
+            out.append((i, best[1], best[2]))
         row = new
-    return *end, top & 255
+    return out
 
 
 def _common(a: list, b: list) -> int:
@@ -374,25 +458,58 @@ def _common(a: list, b: list) -> int:
     return row[-1]
 
 
-def align(blocks: list[dict], a: list[str], a_first: int, b: list[str], b_first: int) -> tuple[int, int, int, int, int]:
-    """(start, end, start in the other, end in the other, equal words) of an extended chain.
+def _best_end(ways: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """The way with the best score if unequal words cost 2."""
+    return max(ways, key=lambda w: (3 * w[2] - 2 * max(w[0], w[1]), -w[0]))
 
-    ``a`` and ``b`` hold the words of the two documents from ``a_first`` and ``b_first``.
+
+def _further(ways: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Ways no longer than the best one, and longer ones of whose further words at least half are equal."""
+    i, j, same = _best_end(ways)
+    return [w for w in ways if w[0] <= i or 2 * (w[2] - same) >= max(w[0], w[1]) - max(i, j)]
+
+
+def align(blocks: list[dict], a: list, a_first: int, b: list, b_first: int, min_words: int = MIN_WORDS,
+          identity: float = IDENTITY) -> tuple[int, int, int, int, int]:
+    """(start, end, start in the other, end in the other, equal words) of a chain, extended at its ends.
+
+    ``a`` and ``b`` hold the words of the two documents from ``a_first`` and ``b_first``. The ends are those with the best
+    scores. If the chain is too short or too unlike then, every start and end (of its blocks and beyond) is tried, and
+    of the stretches that are a passage the one with the most equal words above ``identity`` is returned.
     """
     equal_run = lambda d, r, n: sum(x == y for x, y in zip(a[d - a_first:d - a_first + n], b[r - b_first:r - b_first + n]))
-    same = equal_run(blocks[0]["d"], blocks[0]["r"], blocks[0]["n"])
-    for x, y in zip(blocks, blocks[1:]):
-        d, r = x["d"] + x["n"], x["r"] + x["n"]
-        same += _common(a[d - a_first:y["d"] - a_first], b[r - b_first:y["r"] - b_first])
-        same += equal_run(y["d"], y["r"], y["n"])
-    start, other = blocks[0]["d"], blocks[0]["r"]
-    end, other_end = blocks[-1]["d"] + blocks[-1]["n"], blocks[-1]["r"] + blocks[-1]["n"]
-    head, other_head = start - a_first, other - b_first
-    more, other_more, equal = _extend(a[max(0, head - FLANK):head][::-1], b[max(0, other_head - FLANK):other_head][::-1])
-    start, other, same = start - more, other - other_more, same + equal
-    tail, other_tail = end - a_first, other_end - b_first
-    more, other_more, equal = _extend(a[tail:tail + FLANK], b[other_tail:other_tail + FLANK])
-    return start, end + more, other, other_end + other_more, same + equal
+    starts, ends, same = [], [], 0
+    for k, x in enumerate(blocks):
+        if k:
+            y = blocks[k - 1]
+            d, r = y["d"] + y["n"], y["r"] + y["n"]
+            same += _common(a[d - a_first:x["d"] - a_first], b[r - b_first:x["r"] - b_first])
+        starts.append((x["d"], x["r"], same))
+        same += equal_run(x["d"], x["r"], x["n"])
+        ends.append((x["d"] + x["n"], x["r"] + x["n"], same))
+    (start, other, _), (end, other_end, _) = starts[0], ends[-1]
+    head, other_head, tail, other_tail = start - a_first, other - b_first, end - a_first, other_end - b_first
+    left = _extend(a[max(0, head - FLANK):head][::-1], b[max(0, other_head - FLANK):other_head][::-1])
+    right = _extend(a[tail:tail + FLANK], b[other_tail:other_tail + FLANK])
+    (i, j, more), (u, v, also) = _best_end(left), _best_end(right)
+    whole = start - i, end + u, other - j, other_end + v, same + more + also
+    if _is_passage(*whole, min_words, identity):
+        return whole
+    starts += [(start - i, other - j, -more) for i, j, more in _further(left)]
+    ends += [(end + i, other_end + j, same + more) for i, j, more in _further(right)]
+    x, y = np.array(starts)[:, None, :], np.array(ends)[None, :, :]
+    span, far, equal = (y - x).transpose(2, 0, 1)
+    surplus = equal - identity * np.maximum(span, far)
+    surplus[(span < min_words) | (far <= 0) | (surplus < 0)] = -1
+    at = np.unravel_index(surplus.argmax(), surplus.shape)
+    if surplus[at] < 0:
+        return whole
+    (s, o, before), (e, oe, upto) = starts[at[0]], ends[at[1]]
+    return s, e, o, oe, upto - before
+
+
+def _is_passage(start: int, end: int, other: int, other_end: int, same: int, min_words: int, identity: float) -> bool:
+    return end - start >= min_words and same >= identity * max(end - start, other_end - other)
 
 
 _PASSAGE = pa.schema([("doc_id", pa.int64()), ("salt", pa.int32()), ("start_word", pa.int32()), ("n_words", pa.int32()),
@@ -410,8 +527,8 @@ def _align_all(min_words: int, identity: float):
         def finish() -> list[tuple]:
             if head is None or not (sides[0][1] and sides[1][1]):
                 return []
-            s, e, o, oe, same = align(head["blocks"], sides[0][1], sides[0][0] * TILE, sides[1][1], sides[1][0] * TILE)
-            if e - s < min_words or same < identity * max(e - s, oe - o):
+            s, e, o, oe, same = align(head["blocks"], sides[0][1], sides[0][0] * TILE, sides[1][1], sides[1][0] * TILE, min_words, identity)
+            if not _is_passage(s, e, o, oe, same, min_words, identity):
                 return []
             return [(head["doc_id"], head["salt"], s, e - s, head["r_doc"], head["r_salt"], o, same)]
 
@@ -441,29 +558,6 @@ def _same_doc(a: str, a_salt: str, b: str, b_salt: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b)) & (F.col(a_salt) == F.col(b_salt))
 
 
-_STRETCH = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-
-def _stretches(min_words: int, kmer: int, window: int):
-    """Of each document's chains, stretches that are theirs together and that may hold a passage."""
-
-    def run(chains: pa.Array) -> pa.Array:
-        out = []
-        for own in chains.to_pylist():
-            merged = []
-            for lo, hi in sorted((b["d"], b["d"] + b["n"]) for c in own for b in c["blocks"]):
-                if merged and lo <= merged[-1][1] + FLANK // 2:
-                    merged[-1][1] = max(hi, merged[-1][1])
-                else:
-                    merged.append([lo, hi])
-            # a passage begins and ends up to a window, and some edits, beyond its seeds
-            slack = 2 * (kmer + window)
-            out.append([{"start": max(0, lo - slack), "end": hi + slack} for lo, hi in merged if hi - lo + 2 * slack >= min_words])
-        return pa.array(out, _STRETCH)
-
-    return run
-
-
 def _longer_keys(min_words: int, kmer: int, window: int):
     """(doc_id, salt, tiles, stretches, spans) to keys of several seeds: two, four and eight in a row, and ``min_words`` words from a seed.
 
@@ -519,62 +613,54 @@ def _by_document(matches: DataFrame) -> DataFrame:
     return matches.where(other).repartition("doc_id", salt("at"))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                      identity: float = IDENTITY, kmer: int = KMER, window: int = WINDOW) -> DataFrame:
-    """One row per passage of a document that an earlier document has: places in words, the earlier document, equal words."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), _salt(text_col).alias("salt"), F.col(text_col).alias("text"))
-    seeds = docs.mapInArrow(
-        lean(_seeds(kmer, window)), "h bigint, doc_id bigint, salt int, pos int, r_doc bigint, r_salt int, r_pos int")
+def _all_chains(docs: DataFrame, kmer: int, window: int, min_words: int) -> DataFrame:
+    """Written chains of every document's matches, and the tiles they need."""
+    seeds = docs.mapInArrow(lean(_seeds(kmer, window)), _SEED_DDL)
+    mark = F.when(F.col("h").isNull() & F.col("unlike"), F.lit(UNLIKE)).otherwise(F.lit(0)).cast("long")
     # narrow rows, dealt once and not written: those matched in their batch go along to the task of their document
-    seeds = seeds.select("h", "doc_id", _packed("salt", "pos").alias("at"), "r_doc", _packed("r_salt", "r_pos").alias("r_at"))
+    seeds = seeds.select("h", "doc_id", _packed("salt", "pos").bitwiseOR(mark).alias("at"), "r_doc", _packed("r_salt", "r_pos").alias("r_at"), "context")
     dealt = seeds.repartition(F.coalesce("h", F.xxhash64("doc_id", "at"))).sortWithinPartitions("h", "doc_id", "at")
     matches = _unpacked(_by_document(dealt.mapInArrow(lean(_match_firsts), _PLACES)))
     dealt = matches.sortWithinPartitions(*_KEY, "r_doc", "r_salt", "pos", "r_pos")
-    all_chains = materialize(dealt.mapInArrow(lean(_chain(kmer, window)), _CHAIN_DDL), "chains")
-    # the texts are dealt once, for the tiles of all chains
-    wanted = all_chains.select(*_KEY, F.explode("tiles").alias("tile")).groupBy(*_KEY, "tile").agg(F.lit(1))
+    return materialize(dealt.mapInArrow(lean(_chain(kmer, window, min_words)), _CHAIN_DDL), "chains")
+
+
+def _all_tiles(docs: DataFrame, chains: DataFrame) -> DataFrame:
+    """Written tiles (w_doc, w_salt, w_tile, words), each once for all chains: the texts are dealt once."""
+    wanted = chains.select(*_KEY, F.explode("tiles").alias("tile")).groupBy(*_KEY, "tile").agg(F.lit(1))
     wanted = wanted.groupBy(*_KEY).agg(F.collect_list("tile").alias("tiles")).withColumnsRenamed({"doc_id": "w_doc", "salt": "w_salt"})
     # dealt alike at every size
     held = docs.join(wanted.hint("merge"), _same_doc("doc_id", "salt", "w_doc", "w_salt"))
     cut = F.arrow_udf(lean(_tile_words), "array<struct<tile:int,words:string>>")
     held = held.select("w_doc", "w_salt", F.explode(cut("text", "tiles")).alias("t")).select(
         "w_doc", "w_salt", F.col("t.tile").alias("w_tile"), F.col("t.words").alias("words"))
-    # rows equal in id and text give the same tiles
-    tiles = materialize(held, "tiles")
-    held = tiles.dropDuplicates(["w_doc", "w_salt", "w_tile"])
-    chains = all_chains.where("chains is not null").drop("tiles")
+    return materialize(held, "tiles")
+
+
+def _aligned(some: DataFrame, held: DataFrame, min_words: int, identity: float, label: str) -> DataFrame:
+    """Written passages of the chains of ``some`` (a row per document) with the words of ``held``."""
+    single = some.select(*_KEY, F.explode("chains").alias("c")).select(*_KEY, "c.r_doc", "c.r_salt", "c.blocks")
+    single = materialize(single.withColumn("cid", F.monotonically_increasing_id()), "single")
+    filled = _pieces(single).join(held, _same_doc("doc_id", "salt", "w_doc", "w_salt") & (F.col("tile") == F.col("w_tile")))
+    heads = single.select("cid", F.lit(-1).alias("side"), F.lit(0).alias("tile"), F.lit("").alias("words"), *_KEY, "r_doc", "r_salt", "blocks")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in heads.schema.fields[4:]]
+    filled = heads.union(filled.select("cid", "side", "tile", "words", *none))
+    dealt = filled.repartition("cid").sortWithinPartitions("cid", "side", "tile")
+    out = materialize(dealt.mapInArrow(lean(_align_all(min_words, identity)), _PASSAGE_DDL), label)
+    discard(single)
+    return out
 
-    def aligned(some: DataFrame, label: str) -> DataFrame:
-        single = some.select(*_KEY, F.explode("chains").alias("c")).select(*_KEY, "c.r_doc", "c.r_salt", "c.blocks")
-        single = materialize(single.withColumn("cid", F.monotonically_increasing_id()), "single")
-        filled = _pieces(single).join(held, _same_doc("doc_id", "salt", "w_doc", "w_salt") & (F.col("tile") == F.col("w_tile")))
-        heads = single.select("cid", F.lit(-1).alias("side"), F.lit(0).alias("tile"), F.lit("").alias("words"), *_KEY, "r_doc", "r_salt", "blocks")
-        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in heads.schema.fields[4:]]
-        filled = heads.union(filled.select("cid", "side", "tile", "words", *none))
-        dealt = filled.repartition("cid").sortWithinPartitions("cid", "side", "tile")
-        out = materialize(dealt.mapInArrow(lean(_align_all(min_words, identity)), _PASSAGE_DDL), label)
-        discard(single)
-        return out
-
-    def with_spans(some: DataFrame, found: DataFrame) -> DataFrame:
-        spans = found.groupBy(*_KEY).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
-        spans = spans.withColumnsRenamed({"doc_id": "s_doc", "salt": "s_salt"})
-        more = some.join(spans, _same_doc("doc_id", "salt", "s_doc", "s_salt"), "left").drop("s_doc", "s_salt")
-        return more.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start_word:int,n_words:int>>")))
-
-    found = aligned(chains.withColumn("chains", F.filter("chains", lambda c: c["best"])), "passages")
-    def open_still(c: Column) -> Column:
-        first, last = c["blocks"][0], F.element_at(c["blocks"], -1)
-        return ~c["best"] & ~F.exists("spans", lambda s: (s["start_word"] <= first["d"]) & (
-            last["d"] + last["n"] <= s["start_word"] + s["n_words"]))
 
-    more = with_spans(chains, found)
-    more = materialize(more.withColumn("chains", F.filter("chains", open_still)).where(F.size("chains") > 0).select(*_KEY, "chains"), "others")
-    also = aligned(more, "further-passages")
-    # where every seed has an earlier owner, but no two owners the same: longer keys, of the stretches alone
-    reach = F.arrow_udf(_stretches(min_words, kmer, window), "array<struct<start:int,end:int>>")
-    wide = with_spans(chains.withColumn("stretches", reach("chains")).where(F.size("stretches") > 0).drop("chains"), found.union(also))
+def _with_spans(some: DataFrame, found: DataFrame) -> DataFrame:
+    spans = found.groupBy(*_KEY).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
+    spans = spans.withColumnsRenamed({"doc_id": "s_doc", "salt": "s_salt"})
+    more = some.join(spans, _same_doc("doc_id", "salt", "s_doc", "s_salt"), "left").drop("s_doc", "s_salt")
+    return more.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start_word:int,n_words:int>>")))
+
+
+def _longer_chains(chains: DataFrame, found: DataFrame, held: DataFrame, min_words: int, kmer: int, window: int) -> DataFrame:
+    """Written chains of longer keys, of stretches where every seed has an earlier owner but no two owners the same."""
+    wide = _with_spans(chains.where(F.size("stretches") > 0).drop("chains"), found)
     texts = held.groupBy("w_doc", "w_salt").agg(F.collect_list(F.struct(F.col("w_tile").alias("tile"), "words")).alias("tiles"))
     wide = wide.join(texts, _same_doc("doc_id", "salt", "w_doc", "w_salt")).select(*_KEY, "tiles", "stretches", "spans")
     keys = wide.mapInArrow(lean(_longer_keys(min_words, kmer, window)), "h bigint, doc_id bigint, at bigint")
@@ -583,9 +669,43 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = _by_document(keys.mapInArrow(lean(_match_firsts), _PLACES).where(F.col("at").bitwiseAND(F.lit(1 << 31)) == 0))
     links = _unpacked(links.withColumn("r_at", F.col("r_at").bitwiseAND(F.lit(~(1 << 31)))))
     links = links.sortWithinPartitions(*_KEY, "r_doc", "r_salt", "pos", "r_pos")
-    again = materialize(links.mapInArrow(lean(_chain(kmer, window)), _CHAIN_DDL).where("chains is not null").drop("tiles"), "further-chains")
-    third = aligned(again, "longer-passages")
-    discard(all_chains, tiles, more, again)
+    return materialize(links.mapInArrow(lean(_chain(kmer, window, min_words)), _CHAIN_DDL).where("chains is not null").drop("tiles", "stretches"), "further-chains")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                      identity: float = IDENTITY, kmer: int = KMER, window: int = WINDOW) -> DataFrame:
+    """One row per passage of a document that an earlier document has: places in words, the earlier document, equal words.
+
+    Works in waves; what a wave has dealt is let go before the next one.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), _salt(text_col).alias("salt"), F.col(text_col).alias("text"))
+    all_chains = _all_chains(docs, kmer, window, min_words)
+    release_shuffles(spark)
+    tiles = _all_tiles(docs, all_chains)
+    release_shuffles(spark)
+    # rows equal in id and text give the same tiles
+    held = tiles.dropDuplicates(["w_doc", "w_salt", "w_tile"])
+    chains = all_chains.where("chains is not null").drop("tiles")
+    found = _aligned(chains.withColumn("chains", F.filter("chains", lambda c: c["best"])), held, min_words, identity, "passages")
+    release_shuffles(spark)
+
+    def open_still(c: Column) -> Column:
+        first, last = c["blocks"][0], F.element_at(c["blocks"], -1)
+        return ~c["best"] & ~F.exists("spans", lambda s: (s["start_word"] <= first["d"]) & (
+            last["d"] + last["n"] <= s["start_word"] + s["n_words"]))
+
+    more = _with_spans(chains, found)
+    more = materialize(more.withColumn("chains", F.filter("chains", open_still)).where(F.size("chains") > 0).select(*_KEY, "chains"), "others")
+    also = _aligned(more, held, min_words, identity, "further-passages")
+    discard(more)
+    release_shuffles(spark)
+    again = _longer_chains(chains, found.union(also), held, min_words, kmer, window)
+    release_shuffles(spark)
+    third = _aligned(again, held, min_words, identity, "longer-passages")
+    discard(all_chains, tiles, again)
+    release_shuffles(spark)
     return found.union(also).union(third)
 
 

@@ -126,3 +126,55 @@ def test_passages_whose_seeds_belong_to_several_documents(spark):
     found = covered(rows)
     assert all(set(range(20, 80)) <= found.get(i, set()) for i in want)
     assert set(found) == set(want)
+
+
+def edited_words(rng, passage, identity, indels, fresh):
+    """Exactly ``1 - identity`` of the words are replaced, or replaced, left out or followed by another."""
+    at, out = set(rng.sample(range(len(passage)), round((1 - identity) * len(passage)))), []
+    for i, w in enumerate(passage):
+        kind = rng.randrange(3) if indels else 0
+        if i not in at:
+            out.append(w)
+        elif kind == 0:
+            out.append(fresh())
+        elif kind == 2:
+            out += [w, fresh()]
+    return out
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Planted passages of 50 to 70 words, of which 0.8 to 0.9 are equal, at random places of other texts."""
+    rng = random.Random(10)
+    fresh = lambda: f"w{rng.randrange(20000)}"
+    plain = lambda n: [fresh() for _ in range(n)]
+    texts, cases = [], []
+    for identity in (0.8, 0.85, 0.9):
+        for indels in (False, True):
+            for _ in range(120):
+                passage = plain(rng.randint(50, 70))
+                other = edited_words(rng, passage, identity, indels, fresh)
+                before = rng.randint(0, 80)
+                texts.append(" ".join(plain(rng.randint(0, 80)) + passage + plain(60)))
+                texts.append(" ".join(plain(before) + other + plain(60)))
+                cases.append((identity, indels, len(texts) - 1, before, before + len(other)))
+    found = covered(P.repeated_passages(docs(spark, texts)).collect())
+    caught, total, beyond = {}, {}, 0
+    for identity, indels, doc, lo, hi in cases:
+        key, own = (identity, indels), found.get(doc, set())
+        total[key] = total.get(key, 0) + 1
+        # most of the passage, and not its surroundings
+        caught[key] = caught.get(key, 0) + (len(own & set(range(lo, hi))) >= 0.9 * min(50, hi - lo))
+        beyond += len(own - set(range(lo, hi)))
+    assert all(caught[k] >= 0.9 * total[k] for k in total), {k: caught[k] / total[k] for k in total}
+    assert beyond <= len(cases) and set(found) <= {doc for _, _, doc, _, _ in cases}
+
+
+def test_a_shorter_passage_is_not_stretched(spark):
+    """Forty equal words are no passage, whatever stands around them."""
+    rng = random.Random(11)
+    plain = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for _ in range(60):
+        passage = plain(40)
+        texts += [" ".join(plain(40) + passage + plain(40)) for _ in range(2)]
+    assert P.repeated_passages(docs(spark, texts)).count() == 0
