@@ -45,6 +45,7 @@ TILE = 64
 
 CONTEXT = 8        # words on each side of a seed that its context tells about
 UNLIKE = 1 << 31   # bit of a match's place: the contexts differ
+KEYS_HELD = 1 << 19  # longer keys that a task holds at once, and those of one more batch
 
 _KEY = ["doc_id", "salt"]
 _PLACES = "doc_id bigint, at bigint, r_doc bigint, r_at bigint"
@@ -193,7 +194,8 @@ def _seeds(kmer: int, window: int):
 def _match_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (h, document, place): each is matched with the first row of its seed; those without h are matched already.
 
-    Where rows have contexts, a match whose contexts differ is marked.
+    Where rows have contexts, a match whose contexts differ is marked. Where they have none, a place with bit 31 set is an
+    owner only: others are matched with it, it is matched with none.
     """
     carry = None
     names = ["doc_id", "at", "r_doc", "r_at"]
@@ -209,7 +211,10 @@ def _match_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         lead = np.ones(len(h), dtype=bool)
         lead[1:] = h[1:] != h[:-1]
         leader = np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))
-        at = np.flatnonzero(~lead)
+        matched = ~lead
+        if not marked:
+            matched &= table.column("at").to_numpy() & UNLIKE == 0
+        at = np.flatnonzero(matched)
         own, first = table.take(pa.array(at)), table.take(pa.array(leader[at]))
         columns = [x.column(c).combine_chunks() for x in (own, first) for c in ("doc_id", "at")]
         if marked:
@@ -558,19 +563,38 @@ def _same_doc(a: str, a_salt: str, b: str, b_salt: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b)) & (F.col(a_salt) == F.col(b_salt))
 
 
+def open_or_first(keys: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (h, doc_id, at) without owners that cannot be the first of their key, because another row here comes before them."""
+    ids = keys.column(1)
+    known, number = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+    h, at = keys.column(0).to_numpy(), keys.column(2).to_numpy()
+    order = np.lexsort((at, number, known, h))
+    kept = np.ones(len(order), dtype=bool)
+    kept[1:] = (h[order][1:] != h[order][:-1]) | (at[order][1:] & UNLIKE == 0)
+    return keys.take(pa.array(order[kept]))
+
+
 def _longer_keys(min_words: int, kmer: int, window: int):
     """(doc_id, salt, tiles, stretches, spans) to keys of several seeds: two, four and eight in a row, and ``min_words`` words from a seed.
 
     The first document with a key of ``min_words`` words has that passage whole. A place inside a span that is found
-    already counts as an owner only: bit 31 of it is set.
+    already counts as an owner only: bit 31 of it is set. Of the owners of a key, ``KEYS_HELD`` rows or a batch pass on
+    the first one, so a passage of many documents is not a row of each.
     """
     names = ["h", "doc_id", "at"]
 
+    def passed_on(keys: list, ids: list, places: list) -> pa.RecordBatch:
+        return open_or_first(pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids, pa.int64()), pa.array(np.concatenate(places))], names=names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, places = [], [], []
         for batch in batches:
-            keys, ids, places = [], [], []
+            if len(ids) >= KEYS_HELD:
+                yield passed_on(keys, ids, places)
+                keys, ids, places = [], [], []
             for row in batch.to_pylist():
-                held = sorted((t["tile"], t["words"]) for t in row["tiles"])
+                # rows equal in id and text give the same tiles
+                held = sorted({t["tile"]: t["words"] for t in row["tiles"]}.items())
                 pieces = []
                 for tile, text in held:
                     if pieces and pieces[-1][2] == tile - 1:
@@ -600,8 +624,8 @@ def _longer_keys(min_words: int, kmer: int, window: int):
                         keys.append(h[inside].view(np.int64))
                         places.append(((row["salt"] << 32) | at).astype(np.int64))
                         ids += [row["doc_id"]] * len(at)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids, pa.int64()), pa.array(np.concatenate(places))], names=names)
+        if keys:
+            yield passed_on(keys, ids, places)
 
     return run
 
@@ -626,7 +650,10 @@ def _all_chains(docs: DataFrame, kmer: int, window: int, min_words: int) -> Data
 
 
 def _all_tiles(docs: DataFrame, chains: DataFrame) -> DataFrame:
-    """Written tiles (w_doc, w_salt, w_tile, words), each once for all chains: the texts are dealt once."""
+    """Written tiles (w_doc, w_salt, w_tile, words), each once for all chains: the texts are dealt once.
+
+    Rows equal in id and text give the same tiles; they are one here, so that no reader deals the tiles for that.
+    """
     wanted = chains.select(*_KEY, F.explode("tiles").alias("tile")).groupBy(*_KEY, "tile").agg(F.lit(1))
     wanted = wanted.groupBy(*_KEY).agg(F.collect_list("tile").alias("tiles")).withColumnsRenamed({"doc_id": "w_doc", "salt": "w_salt"})
     # dealt alike at every size
@@ -634,7 +661,7 @@ def _all_tiles(docs: DataFrame, chains: DataFrame) -> DataFrame:
     cut = F.arrow_udf(lean(_tile_words), "array<struct<tile:int,words:string>>")
     held = held.select("w_doc", "w_salt", F.explode(cut("text", "tiles")).alias("t")).select(
         "w_doc", "w_salt", F.col("t.tile").alias("w_tile"), F.col("t.words").alias("words"))
-    return materialize(held, "tiles")
+    return materialize(held.dropDuplicates(["w_doc", "w_salt", "w_tile"]), "tiles")
 
 
 def _aligned(some: DataFrame, held: DataFrame, min_words: int, identity: float, label: str) -> DataFrame:
@@ -661,12 +688,17 @@ def _with_spans(some: DataFrame, found: DataFrame) -> DataFrame:
 def _longer_chains(chains: DataFrame, found: DataFrame, held: DataFrame, min_words: int, kmer: int, window: int) -> DataFrame:
     """Written chains of longer keys, of stretches where every seed has an earlier owner but no two owners the same."""
     wide = _with_spans(chains.where(F.size("stretches") > 0).drop("chains"), found)
-    texts = held.groupBy("w_doc", "w_salt").agg(F.collect_list(F.struct(F.col("w_tile").alias("tile"), "words")).alias("tiles"))
-    wide = wide.join(texts, _same_doc("doc_id", "salt", "w_doc", "w_salt")).select(*_KEY, "tiles", "stretches", "spans")
+    # the tiles are dealt once, with the stretches of their document
+    tile = F.struct(F.col("w_tile").alias("tile"), "words")
+    parts = held.select(F.col("w_doc").alias("doc_id"), F.col("w_salt").alias("salt"), tile.alias("tile"), *[
+        F.lit(None).cast(wide.schema[c].dataType).alias(c) for c in ("stretches", "spans")])
+    parts = parts.union(wide.select(*_KEY, F.lit(None).cast(parts.schema["tile"].dataType).alias("tile"), "stretches", "spans"))
+    wide = parts.groupBy(*_KEY).agg(F.collect_list("tile").alias("tiles"), *[F.first(c, True).alias(c) for c in ("stretches", "spans")])
+    wide = wide.where(F.col("stretches").isNotNull())
     keys = wide.mapInArrow(lean(_longer_keys(min_words, kmer, window)), "h bigint, doc_id bigint, at bigint")
     # a covered place has bit 31 set, so that it sorts after open ones of the document
     keys = keys.repartition("h").sortWithinPartitions("h", "doc_id", "at")
-    links = _by_document(keys.mapInArrow(lean(_match_firsts), _PLACES).where(F.col("at").bitwiseAND(F.lit(1 << 31)) == 0))
+    links = _by_document(keys.mapInArrow(lean(_match_firsts), _PLACES))
     links = _unpacked(links.withColumn("r_at", F.col("r_at").bitwiseAND(F.lit(~(1 << 31)))))
     links = links.sortWithinPartitions(*_KEY, "r_doc", "r_salt", "pos", "r_pos")
     return materialize(links.mapInArrow(lean(_chain(kmer, window, min_words)), _CHAIN_DDL).where("chains is not null").drop("tiles", "stretches"), "further-chains")
@@ -685,10 +717,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     release_shuffles(spark)
     tiles = _all_tiles(docs, all_chains)
     release_shuffles(spark)
-    # rows equal in id and text give the same tiles
-    held = tiles.dropDuplicates(["w_doc", "w_salt", "w_tile"])
     chains = all_chains.where("chains is not null").drop("tiles")
-    found = _aligned(chains.withColumn("chains", F.filter("chains", lambda c: c["best"])), held, min_words, identity, "passages")
+    found = _aligned(chains.withColumn("chains", F.filter("chains", lambda c: c["best"])), tiles, min_words, identity, "passages")
     release_shuffles(spark)
 
     def open_still(c: Column) -> Column:
@@ -698,12 +728,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     more = _with_spans(chains, found)
     more = materialize(more.withColumn("chains", F.filter("chains", open_still)).where(F.size("chains") > 0).select(*_KEY, "chains"), "others")
-    also = _aligned(more, held, min_words, identity, "further-passages")
+    also = _aligned(more, tiles, min_words, identity, "further-passages")
     discard(more)
     release_shuffles(spark)
-    again = _longer_chains(chains, found.union(also), held, min_words, kmer, window)
+    again = _longer_chains(chains, found.union(also), tiles, min_words, kmer, window)
     release_shuffles(spark)
-    third = _aligned(again, held, min_words, identity, "longer-passages")
+    third = _aligned(again, tiles, min_words, identity, "longer-passages")
     discard(all_chains, tiles, again)
     release_shuffles(spark)
     return found.union(also).union(third)

@@ -178,3 +178,16 @@ def test_a_shorter_passage_is_not_stretched(spark):
         passage = plain(40)
         texts += [" ".join(plain(40) + passage + plain(40)) for _ in range(2)]
     assert P.repeated_passages(docs(spark, texts)).count() == 0
+
+
+def test_found_places_are_owners_only():
+    rows = lambda *x: P.pa.RecordBatch.from_arrays([P.pa.array([r[i] for r in x], P.pa.int64()) for i in range(3)], names=["h", "doc_id", "at"])
+    found = lambda pos: pos | P.UNLIKE
+    # a passage that is found in many documents: none of them is matched, and one of them is the owner of the open place
+    batch = rows((7, None, found(3)), *[(7, d, found(3)) for d in range(50)], (7, 60, 5), (8, 1, 2), (8, 2, found(2)), (8, 3, 4))
+    kept = P.open_or_first(batch).to_pydict()
+    assert kept == {"h": [7, 7, 8, 8], "doc_id": [None, 60, 1, 3], "at": [found(3), 5, 2, 4]}
+    for seen in (batch, P.open_or_first(batch)):
+        for split in (1, 2, seen.num_rows):
+            out = P.pa.Table.from_batches(P._match_firsts(seen.slice(lo, split) for lo in range(0, seen.num_rows, split))).to_pylist()
+            assert [tuple(r.values()) for r in out] == [(60, 5, None, found(3)), (3, 4, 1, 2)]
