@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionforge.operators.positions import with_row_index
-from captionforge.session import materialize, scratch_path
+from captionforge.operators.text_index import K1, B, SLACK, analyse, count_words
+from captionforge.session import materialize, scratch_path, small_batches
 
 QUERY_BLOCK_BYTES = 32 << 20  # vectors of one query block, as doubles, sent to every task
 SCORE_CELLS = 1 << 22  # query x base scores a task holds at once
 SCORE_PAIRS = 1 << 14  # candidate pairs scored exactly at once
-K1, B = 1.2, 0.75  # BM25 constants of the standard similarity
 
 
 def _top_k(scored: DataFrame, query_id: str, k: int, order: list, rank: str = "rank") -> DataFrame:
@@ -129,42 +132,79 @@ def knn_search(base: DataFrame, queries: DataFrame, k: int, base_id: str, base_v
     return spark.read.parquet(path)
 
 
-WORD = r"[\p{L}\p{N}]+"
-
-
-def analyse(text):
-    """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+def _scored(counted: DataFrame, asked: pa.Table, mean_len: float, k: int, doc_kind: str, query_id: str, doc_id: str, query_kind: str) -> DataFrame:
+    """(query, doc, score) of the documents that can be among the k best, from rows (doc, len, terms, counts) where they are read."""
+    ids, vocabulary = asked.column("query").combine_chunks(), asked.column("term").combine_chunks()
+    # numbers of the queries, also where an id is null
+    coded, terms = ids.dictionary_encode(null_encoding="encode"), vocabulary.dictionary_encode()
+    weights = np.zeros((len(terms.dictionary), len(coded.dictionary)))
+    np.add.at(weights, (terms.indices.to_numpy(), coded.indices.to_numpy()), asked.column("idf").to_numpy())
+    shared = counted.sparkSession.sparkContext.broadcast((coded.dictionary, terms.dictionary, weights))
+
+    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, words, idf = shared.value
+        v, q = idf.shape
+        step = max(SCORE_CELLS // (4 * max(v, q)), 1)  # a few such matrices are held
+        best = np.full((q, k), -np.inf)
+        for batch in (whole.slice(lo, step) for whole in batches for lo in range(0, whole.num_rows, step)):
+            n, held = batch.num_rows, batch.column(2)
+            at = pc.index_in(held.flatten(), value_set=words)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[known]
+            # rows of one document are one here: its counts of a term are added
+            tf = np.bincount(row * v + at.drop_null().to_numpy(), batch.column(3).flatten().to_numpy()[known], n * v).reshape(n, v)
+            norm = K1 * (1.0 - B + B * batch.column(1).fill_null(0).to_numpy() / mean_len)
+            score = (tf * (K1 + 1.0) / (tf + norm[:, None])) @ idf
+            best = -np.partition(-np.concatenate([best, score.T], axis=1), k - 1, axis=1)[:, :k]
+            doc, query = np.nonzero((score > 0) & (score >= best.min(axis=1) - SLACK))
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(query)), batch.column(0).take(pa.array(doc)), pa.array(score[doc, query])], [query_id, doc_id, "score"])
+
+    found = counted.select("doc", "len", "terms", "counts").mapInArrow(best_of, f"{query_id} {query_kind}, {doc_id} {doc_kind}, score double")
+    return found.withColumn("score", F.round("score", 6))
 
 
 def text_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, text: str, query_id: str,
                 query_text: str) -> DataFrame:
     """(query, doc, score, rank): BM25 top k over whole texts.
 
-    Documents are reduced to the terms some query uses before anything is shuffled, and
-    occurrences are counted where the document is read, so a frequent word costs one row per document.
+    Words are counted where a document is read, and its counts dealt once, a row per document. A block of queries is
+    scored as a product of matrices where the counts are read, and k rows a query of each task go on: no pair of a
+    document and a query is shuffled. The block's size is bounded in bytes; more queries make more passes over the counts.
     """
-    asked = queries.select(query_id, F.explode(F.array_distinct(analyse(F.col(query_text)))).alias("term"))
-    # written, because generated ids must not change between the two uses
-    vocabulary = materialize(
-        asked.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "vocabulary")
-    tokens = docs.select(doc_id, analyse(F.col(text)).alias("__tokens"))
-    words = F.regexp_count(F.lower(F.col(text)), F.lit(WORD))
-    sizes = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(words).alias("mean_len")).first()
-    n_docs, mean_len = sizes["n"], sizes["mean_len"]
-    # written once: read for the document frequencies and again for the scores
-    postings = materialize(
-        tokens.select(doc_id, F.size("__tokens").alias("len"), F.explode("__tokens").alias("term"))
-        .join(vocabulary, "term").select(doc_id, "len", "term_id")
-        # counted in the task that reads the document: one shuffled row per (document, term)
-        .groupBy(doc_id, "term_id").agg(F.first("len").alias("len"), F.count(F.lit(1)).alias("tf")),
-        "postings",
-    )
-    df = postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = materialize(
-        asked.join(vocabulary, "term").join(df, "term_id").select(query_id, "term_id", idf.alias("idf")), "weights")
-    tf = F.col("tf").cast("double")
-    score = F.col("idf") * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * F.col("len") / F.lit(mean_len)))
-    scored = postings.join(weighted, "term_id").groupBy(query_id, doc_id).agg(F.round(F.sum(score), 6).alias("score"))
-    return _top_k(scored, query_id, k, [F.col("score").desc(), doc_id])
+    spark = docs.sparkSession
+    small_batches(spark)
+    asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(analyse(F.col(query_text)))).alias("term"))
+    doc_kind, query_kind = docs.schema[doc_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    split = docs.select(F.col(doc_id).alias("doc"), analyse(F.col(text)).alias("words"))
+    rows = materialize(split.mapInArrow(count_words, f"doc {doc_kind}, len bigint, terms array<string>, counts array<bigint>"), "counts")
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len")).first()
+    # only ids that occur more than once are dealt: their rows are one document
+    several = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc").alias("again"))
+    several = materialize(several, "repeated-ids")
+    same = F.col("doc").eqNullSafe(F.col("again"))
+    joined = rows.join(several, same, "left_semi").groupBy("doc").agg(F.first("len").alias("len"), *[
+        F.flatten(F.collect_list(c)).alias(c) for c in ("terms", "counts")])
+    counted = rows.join(several, same, "left_anti").unionByName(joined)
+    terms = counted.select(F.explode(F.array_distinct("terms")).alias("term"))
+    df = terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1.0 + (F.lit(sizes["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = materialize(asked.join(df, "term").select("query", "term", idf.alias("idf")), "weights")
+    lengths = weighted.groupBy("query").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("queries"), F.max("n").alias("terms")).first()
+    if not lengths["queries"]:
+        return spark.createDataFrame([], f"{query_id} {query_kind}, {doc_id} {doc_kind}, score double, rank int")
+    per_block = max(math.isqrt(QUERY_BLOCK_BYTES // (8 * lengths["terms"])), 1)
+    blocks = -(-2 * lengths["queries"] // per_block) if lengths["queries"] > per_block else 1
+    order = [F.col("score").desc(), doc_id]
+
+    def run(block: DataFrame) -> DataFrame:
+        scored = _scored(counted, block.toArrow(), sizes["mean_len"], k, doc_kind, query_id, doc_id, query_kind)
+        return _top_k(scored, query_id, k, order)
+
+    if blocks == 1:
+        return run(weighted)
+    path = scratch_path(spark, "found")
+    for b in range(blocks):
+        block = weighted.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        if not block.isEmpty():
+            run(block).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
