@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captionforge.functions.rand import hash_uniform
-from captionforge.session import materialize
+from captionforge.session import materialize, small_batches
 
 PER_CELL = 64               # sampled vectors per centre
 ROUNDS = 8
@@ -31,6 +31,8 @@ CENTRE_BYTES = 64 << 20
 BLOCK = 1024                # vectors in a row of the index
 ROWS_PER_TASK = 1 << 18     # vectors of a cell that one task writes
 QUERY_BLOCK = 256           # queries compared at once with a row of the index
+VISIT_BYTES = 8 << 20       # of queries, once for each cell they may visit, passed on at once
+SCORE_PAIRS = 1 << 14       # pairs scored exactly at once
 MARGIN = 1e-9               # relative rounding error allowed for
 
 
@@ -142,7 +144,7 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _pair_best(x: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of all pairs that can be among the k best of a query, scored exactly."""
+    """(query, vector, score) of the k best vectors of each query, scored exactly; the first of equal ones."""
     if metric == "l2":
         squares = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)
         cost, error = squares - 2.0 * (q @ x.T), MARGIN * squares.max(axis=1)
@@ -151,11 +153,20 @@ def _pair_best(x: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.nd
         error = MARGIN * np.sqrt((q**2).sum(axis=1) * (x**2).sum(axis=1).max())
     limit = np.partition(cost, k - 1, axis=1)[:, k - 1] if x.shape[0] > k else np.full(len(q), np.inf)
     qi, xi = np.nonzero(cost <= (limit + 2 * error)[:, None])
-    return qi, xi, _scores(x[xi], q[qi], metric)
+    score = np.empty(len(qi))
+    for lo in range(0, len(qi), SCORE_PAIRS):
+        part = slice(lo, lo + SCORE_PAIRS)
+        score[part] = _scores(x[xi[part]], q[qi[part]], metric)
+    # many equal vectors give no more than k rows a query
+    order = np.lexsort((xi, score if metric == "l2" else -score, qi))
+    qi, xi, score = qi[order], xi[order], score[order]
+    kept = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return qi[kept], xi[kept], score[kept]
 
 
 def _compare(pairs: DataFrame, k: int, metric: str, query_id: str, base_id: str, q_kind: str, kind: str) -> DataFrame:
-    """k rows per query from each row (keys, vectors, query ids, query vectors)."""
+    """k rows per query from each row (keys, vectors, query ids, query vectors), of which a task holds a few."""
+    small_batches(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,9 +206,8 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, que
     def visits(second: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers, centres, radius = held.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            step = max(1, VISIT_BYTES // max(1, centres.nbytes))
+            for batch in (whole.slice(lo, step) for whole in batches for lo in range(0, whole.num_rows, step)):
                 x = _matrix(batch.column(1))
                 if metric == "l2":
                     rank = np.sqrt(_squares(x, centres))

@@ -18,6 +18,26 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_equal_vectors_give_k_rows_a_query():
+    x, q = np.ones((1000, 4)), np.ones((3, 4))
+    for metric in ("l2", "inner_product"):
+        qi, xi, score = V._pair_best(x, q, 5, metric)
+        assert qi.tolist() == [0] * 5 + [1] * 5 + [2] * 5 and xi.tolist() == [0, 1, 2, 3, 4] * 3
+        assert set(score.tolist()) == ({0.0} if metric == "l2" else {4.0})
+
+
+def test_queries_are_passed_on_in_small_pieces(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)))], "id long, v array<double>").repartition(2)
+    V.write_index(df, f"{tmp_path}/i", "id", "v", cells=8)
+    asked = df.select(F.col("id").alias("q"), "v")
+    monkeypatch.setattr(V, "VISIT_BYTES", 1000)
+    rows = lambda found: sorted((r["q"], r["rank"], r["id"], r["score"]) for r in found.collect())
+    for metric in ("l2", "inner_product"):
+        got = V.search_index(spark, f"{tmp_path}/i", asked, 3, "q", "v", "id", 2, metric, exact=True)
+        assert rows(got) == rows(search.knn_search(df, asked, 3, "id", "v", "q", "v", metric))
+
+
 def test_pairs_of_documents_and_queries_are_not_shuffled(spark, monkeypatch):
     docs = ["a cat sat", "The cat, the CAT!", "dogs & cats", "", None, "cat " * 50, "sat sat dog", "sat sat dog", "a cat"]
     ids = [0, 1, 2, 3, 4, 5, 6, 6, None]
