@@ -235,7 +235,8 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, que
         dealt = wanted.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")))
         grouped = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("q", "v")).alias("rows"))
         grouped = grouped.select("cell", F.col("rows.q").alias("asked"), F.col("rows.v").alias("wanted"))
-        return _compare(blocks.where(F.col("cell").isin(read)).join(grouped, "cell"), k, metric, query_id, base_id, q_kind, kind)
+        # the index does not pass through the driver, whatever its size
+        return _compare(blocks.where(F.col("cell").isin(read)).join(grouped.hint("merge"), "cell"), k, metric, query_id, base_id, q_kind, kind)
 
     found = _top(visit(asked, False), k, metric, query_id, base_id)
     if not exact:

@@ -38,6 +38,14 @@ def test_queries_are_passed_on_in_small_pieces(spark, tmp_path, monkeypatch):
         assert rows(got) == rows(search.knn_search(df, asked, 3, "id", "v", "q", "v", metric))
 
 
+def test_an_index_does_not_pass_through_the_driver(spark, tmp_path):
+    df = spark.range(200).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    V.write_index(df, f"{tmp_path}/i", "id", "v", cells=4)
+    plan = plan_of(V.search_index(spark, f"{tmp_path}/i", df.select(F.col("id").alias("q"), "v"), 3, "q", "v", "id", 2))
+    # other joins with cells are those of the queries with their counts
+    assert plan.count("SortMergeJoin [cell") == 1
+
+
 def test_pairs_of_documents_and_queries_are_not_shuffled(spark, monkeypatch):
     docs = ["a cat sat", "The cat, the CAT!", "dogs & cats", "", None, "cat " * 50, "sat sat dog", "sat sat dog", "a cat"]
     ids = [0, 1, 2, 3, 4, 5, 6, 6, None]
