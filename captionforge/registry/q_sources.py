@@ -22,7 +22,8 @@ from captionforge.sources import archives, readers as R
 @query("src_parquet", "SELECT l_orderkey, l_linenumber, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def src_parquet(spark, sf_dir):
     path = scratch_path(spark, "parquet")
-    table(spark, sf_dir, "lineitem").repartition(4).write.parquet(path)
+    # a file for each task that reads the table
+    W.write_parquet(table(spark, sf_dir, "lineitem"), path)
     lines = R.read_parquet(spark, path, columns=["l_orderkey", "l_linenumber", "l_quantity"])
     return lines.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 

@@ -18,6 +18,16 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_written_table_has_a_file_per_reading_task(spark, tmp_path):
+    for i in range(7):
+        rows = spark.range(20).select(F.lit(i).cast("long").alias("l_orderkey"), F.col("id").cast("int").alias("l_linenumber"), F.lit(1.5).alias("l_quantity"))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    before = set(glob.glob(f"{scratch_root(spark).removeprefix('file:')}/parquet-*"))
+    assert q_sources.src_parquet(spark, str(tmp_path)).count() == 140
+    (path,) = set(glob.glob(f"{scratch_root(spark).removeprefix('file:')}/parquet-*")) - before
+    assert len(glob.glob(f"{path}/*.parquet")) == 7
+
+
 def test_equal_vectors_give_k_rows_a_query():
     x, q = np.ones((1000, 4)), np.ones((3, 4))
     for metric in ("l2", "inner_product"):
