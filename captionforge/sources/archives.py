@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionforge.functions.captions import file_extension, file_stem
+from captionforge.session import small_batches
 
 MEMBER_SCHEMA = "archive string, member string, content binary, error string"
 MEMBERS_PER_BLOCK = 64
@@ -65,7 +66,8 @@ def _named(members: DataFrame) -> DataFrame:
 
 
 def tar_members(archives: DataFrame) -> DataFrame:
-    """(archive, member, stem, ext, content, error) from (path, content) rows."""
+    """(archive, member, stem, ext, content, error) from (path, content) rows; a task holds few archives at a time."""
+    small_batches(archives.sparkSession)
     return _named(archives.select("path", "content").mapInPandas(_unpack, MEMBER_SCHEMA))
 
 
@@ -206,6 +208,7 @@ def archive_pairs(archives: DataFrame, metadata_schema: str, image_ext: str = "p
                     except _BROKEN:
                         pass  # what stands before the break counts
 
+    small_batches(archives.sparkSession)
     rows = archives.select("path", "content").mapInPandas(run, "archive string, stem string, image binary, meta string")
     return rows.withColumn("__meta", F.from_json("meta", metadata_schema)).where(F.col("__meta").isNotNull()).select(
         "archive", "stem", "image", "__meta.*")

@@ -28,6 +28,18 @@ def test_written_table_has_a_file_per_reading_task(spark, tmp_path):
     assert len(glob.glob(f"{path}/*.parquet")) == 7
 
 
+def test_a_task_holds_few_archives(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"archive": ["a"], "member": [str(len(batch))], "content": [b""], "error": [None]})
+
+    monkeypatch.setattr(archives, "_unpack", sizes)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    rows = spark.range(6).coalesce(1).select(F.col("id").cast("string").alias("path"), F.encode(F.repeat(F.lit("x"), 3 << 20), "UTF-8").alias("content"))
+    held = [int(r.member) for r in archives.tar_members(rows).collect()]
+    assert sum(held) == 6 and max(held) <= 3
+
+
 def test_equal_vectors_give_k_rows_a_query():
     x, q = np.ones((1000, 4)), np.ones((3, 4))
     for metric in ("l2", "inner_product"):
