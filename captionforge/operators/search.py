@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionforge.operators.positions import with_row_index
-from captionforge.operators.text_index import K1, B, SLACK, analyse, count_words
+from captionforge.operators.text_index import K1, B, SLACK, analyse, count_words, in_block, query_blocks, still_best, term_weights
 from captionforge.session import materialize, scratch_path, small_batches
 
 QUERY_BLOCK_BYTES = 32 << 20  # vectors of one query block, as doubles, sent to every task
@@ -134,12 +133,10 @@ def knn_search(base: DataFrame, queries: DataFrame, k: int, base_id: str, base_v
 
 def _scored(counted: DataFrame, asked: pa.Table, mean_len: float, k: int, doc_kind: str, query_id: str, doc_id: str, query_kind: str) -> DataFrame:
     """(query, doc, score) of the documents that can be among the k best, from rows (doc, len, terms, counts) where they are read."""
-    ids, vocabulary = asked.column("query").combine_chunks(), asked.column("term").combine_chunks()
-    # numbers of the queries, also where an id is null
-    coded, terms = ids.dictionary_encode(null_encoding="encode"), vocabulary.dictionary_encode()
-    weights = np.zeros((len(terms.dictionary), len(coded.dictionary)))
-    np.add.at(weights, (terms.indices.to_numpy(), coded.indices.to_numpy()), asked.column("idf").to_numpy())
-    shared = counted.sparkSession.sparkContext.broadcast((coded.dictionary, terms.dictionary, weights))
+    ids, terms, term, query = term_weights(asked)
+    weights = np.zeros((len(terms), len(ids)))
+    np.add.at(weights, (term, query), asked.column("idf").to_numpy())
+    shared = counted.sparkSession.sparkContext.broadcast((ids, terms, weights))
 
     def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, words, idf = shared.value
@@ -155,8 +152,8 @@ def _scored(counted: DataFrame, asked: pa.Table, mean_len: float, k: int, doc_ki
             tf = np.bincount(row * v + at.drop_null().to_numpy(), batch.column(3).flatten().to_numpy()[known], n * v).reshape(n, v)
             norm = K1 * (1.0 - B + B * batch.column(1).fill_null(0).to_numpy() / mean_len)
             score = (tf * (K1 + 1.0) / (tf + norm[:, None])) @ idf
-            best = -np.partition(-np.concatenate([best, score.T], axis=1), k - 1, axis=1)[:, :k]
-            doc, query = np.nonzero((score > 0) & (score >= best.min(axis=1) - SLACK))
+            best, kept = still_best(best, score)
+            doc, query = np.nonzero(kept)
             yield pa.RecordBatch.from_arrays([queries.take(pa.array(query)), batch.column(0).take(pa.array(doc)), pa.array(score[doc, query])], [query_id, doc_id, "score"])
 
     found = counted.select("doc", "len", "terms", "counts").mapInArrow(best_of, f"{query_id} {query_kind}, {doc_id} {doc_kind}, score double")
@@ -189,11 +186,9 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, text:
     df = terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (F.lit(sizes["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = materialize(asked.join(df, "term").select("query", "term", idf.alias("idf")), "weights")
-    lengths = weighted.groupBy("query").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("queries"), F.max("n").alias("terms")).first()
-    if not lengths["queries"]:
+    blocks = query_blocks(weighted, QUERY_BLOCK_BYTES)
+    if not blocks:
         return spark.createDataFrame([], f"{query_id} {query_kind}, {doc_id} {doc_kind}, score double, rank int")
-    per_block = max(math.isqrt(QUERY_BLOCK_BYTES // (8 * lengths["terms"])), 1)
-    blocks = -(-2 * lengths["queries"] // per_block) if lengths["queries"] > per_block else 1
     order = [F.col("score").desc(), doc_id]
 
     def run(block: DataFrame) -> DataFrame:
@@ -204,7 +199,7 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, text:
         return run(weighted)
     path = scratch_path(spark, "found")
     for b in range(blocks):
-        block = weighted.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        block = weighted.where(in_block(b, blocks))
         if not block.isEmpty():
             run(block).write.mode("append").parquet(path)
     return spark.read.parquet(path)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from captionforge.operators import search, vector_index as V
+from captionforge.operators import search, text_index, vector_index as V
 from captionforge.registry import q_sources
 from captionforge.session import scratch_root
 from captionforge.sources import archives
@@ -95,3 +95,21 @@ def test_pairs_of_documents_and_queries_are_not_shuffled(spark, monkeypatch):
     for block in (8 * 2 * 2, 8):
         monkeypatch.setattr(search, "QUERY_BLOCK_BYTES", block)
         assert got(search.text_search(df, qf, 2, "d", "t", "q", "w")) == want
+
+
+def test_a_written_index_deals_no_pair_of_document_and_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK_DOCS", 16)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.5, size=30) % 200) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "d long, t string").repartition(3)
+    asked = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts[::10])], "q long, w string")
+    text_index.write_text_index(df, f"{tmp_path}/i", "d", "t")
+    rows = lambda found: sorted(map(str, found.select("q", "rank", "d").collect()))
+    want = rows(search.text_search(df, asked, 4, "d", "t", "q", "w"))
+    assert len(want) == 80 and rows(text_index.search_text_index(spark, f"{tmp_path}/i", asked, 4, "q", "w", "d")) == want
+    # a document's postings are in one shard, so one task sums them
+    postings = spark.read.parquet(f"{tmp_path}/i/postings").select("shard", F.explode("docs").alias("d"))
+    assert postings.groupBy("d").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
+    assert postings.select("shard").distinct().count() > 5
+    monkeypatch.setattr(text_index, "QUERY_BLOCK_BYTES", 8 * 40 * 40)
+    assert rows(text_index.search_text_index(spark, f"{tmp_path}/i", asked, 4, "q", "w", "d")) == want
