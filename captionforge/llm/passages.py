@@ -22,16 +22,18 @@ Repeats inside one document are left alone.
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionforge.llm.text import lean, mix, window_hashes, word_groups
-from captionforge.session import discard, materialize, release_shuffles, small_batches
+from captionforge.llm.text import GROUP_BYTES, IN_WORD, lean, mix, window_hashes, word_groups
+from captionforge.session import discard, materialize, shuffles_dropped, small_batches
 
 KMER = 5
 WINDOW = 8         # of consecutive k-mers, at least one is a seed
@@ -70,8 +72,7 @@ def minimisers(hashes: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np
     """Indices of the smallest hash of every ``window`` neighbours of one row (fewer at a row's ends)."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    _, rank = np.unique(rows, return_inverse=True)
-    place = np.arange(len(hashes)) + (rank + 1) * (window - 1)
+    place = np.arange(len(hashes)) + (np.cumsum(np.append(0, rows[1:] != rows[:-1])) + 1) * (window - 1)
     n = int(place[-1]) + window
     value = np.full(n + window, np.iinfo(np.uint64).max, np.uint64)
     value[place] = hashes
@@ -83,7 +84,9 @@ def minimisers(hashes: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np
         span += step
     back = np.full(n + window, -1, np.int64)
     back[place] = np.arange(len(hashes))
-    chosen = np.unique(back[np.unique(best)])
+    taken = np.zeros(n + window, dtype=bool)
+    taken[best] = True
+    chosen = back[taken]
     chosen = chosen[chosen >= 0]
     # in a run of one k-mer every place would be the smallest: keep one in ``window``
     fresh = np.ones(len(hashes), dtype=bool)
@@ -128,11 +131,11 @@ def unlike_contexts(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def _numbered(h: np.ndarray, row: np.ndarray, pos: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The seeds, and each later occurrence in a document once more as that occurrence's own seed.
+    """The seeds (sorted by row and place), and each later occurrence in a document once more as that occurrence's own seed.
 
     So the second occurrence in a copy is matched with the second one of the original too.
     """
-    order = np.lexsort((pos, h, row))
+    order = np.argsort(h, kind="stable")
     h, row, pos, context = h[order], row[order], pos[order], context[order]
     first = np.ones(len(h), dtype=bool)
     first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
@@ -171,7 +174,8 @@ def _seeds(kmer: int, window: int):
                 places.append(first[chosen] - low)
                 around.append(contexts(words.hash, first[chosen], kmer, low, high))
             h, row, pos, context = _numbered(*map(np.concatenate, (hs, rows, places, around)))
-            order = np.lexsort((pos, rank[row], h))
+            # where the rows are in order, so are the occurrences of each seed
+            order = np.argsort(h, kind="stable") if (rank[1:] >= rank[:-1]).all() else np.lexsort((pos, rank[row], h))
             h, row, pos, context = h[order], row[order], pos[order], context[order]
             lead = np.ones(len(h), dtype=bool)
             lead[1:] = h[1:] != h[:-1]
@@ -180,13 +184,15 @@ def _seeds(kmer: int, window: int):
             kept = lead | other
             at, to = np.flatnonzero(kept), leader[kept]
             null = lambda values, kind, mask: pa.array(values, kind, mask=mask)
+            unlike = np.zeros(len(at), dtype=bool)
+            unlike[other[at]] = unlike_contexts(context[at[other[at]]], context[to[other[at]]])
             far = np.where(lead[kept], -1, row[to])
             far_index = pa.array(far, pa.int64(), mask=far < 0)
             yield pa.RecordBatch.from_arrays([
                 null(h[at].view(np.int64), pa.int64(), other[at]),
                 ids.take(pa.array(row[at])), salts.take(pa.array(row[at])), pa.array(pos[at], pa.int32()),
                 ids.take(far_index), salts.take(far_index), null(pos[to], pa.int32(), lead[at]), null(context[at].view(np.int64), pa.int64(), other[at]),
-                pa.array(unlike_contexts(context[at], context[to]))], schema=_SEED)
+                pa.array(unlike)], schema=_SEED)
 
     return run
 
@@ -225,16 +231,15 @@ def _match_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from out.to_batches()
 
 
-def merge_diagonals(d: np.ndarray, r: np.ndarray, kmer: int, reach: int, unlike: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Blocks (start, start in the other, words, all contexts unlike) of matches on one diagonal that lie within ``reach``."""
-    order = np.lexsort((d, d - r))
-    d, r = d[order], r[order]
-    unlike = np.zeros(len(d), dtype=bool) if unlike is None else unlike[order]
+def merge_diagonals(pair: np.ndarray, d: np.ndarray, r: np.ndarray, kmer: int, reach: int, unlike: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks (pair, start, start in the other, words, all contexts unlike) of a pair's matches on one diagonal that lie within ``reach``."""
+    order = np.lexsort((d, d - r, pair))
+    pair, d, r, unlike = pair[order], d[order], r[order], unlike[order]
     new = np.ones(len(d), dtype=bool)
-    new[1:] = (d[1:] - r[1:] != d[:-1] - r[:-1]) | (d[1:] - d[:-1] > reach)
+    new[1:] = (pair[1:] != pair[:-1]) | (d[1:] - r[1:] != d[:-1] - r[:-1]) | (d[1:] - d[:-1] > reach)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(d)) - 1
-    return d[first], r[first], d[last] + kmer - d[first], np.logical_and.reduceat(unlike, first)
+    return pair[first], d[first], r[first], d[last] + kmer - d[first], np.logical_and.reduceat(unlike, first)
 
 
 def chains_of(d: np.ndarray, r: np.ndarray, n: np.ndarray, gap_cost: float = GAP_COST) -> list[list[int]]:
@@ -302,19 +307,19 @@ def first_wave(intervals: list[tuple[int, int, int]]) -> list[bool]:
 _STRETCH = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def stretches_of(blocks: list[tuple[int, int]], min_words: int, slack: int) -> list[dict]:
-    """Stretches that the matches (start, end) of a document cover, whatever documents they lead to, and that may hold a passage.
+def stretches_of(doc: np.ndarray, pos: np.ndarray, kmer: int, min_words: int, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (document, start, end) that the matches of documents cover, whatever documents they lead to, and that may hold a passage.
 
     A passage begins and ends up to ``slack`` words beyond its seeds, and longer keys need two of these.
     """
-    merged: list[list[int]] = []
-    for lo, hi in sorted(set(blocks)):
-        if merged and lo <= merged[-1][1] + FLANK // 2:
-            merged[-1][1] = max(hi, merged[-1][1])
-            merged[-1][2] += 1
-        else:
-            merged.append([lo, hi, 1])
-    return [{"start": max(0, lo - slack), "end": hi + slack} for lo, hi, n in merged if hi - lo + 2 * slack >= min_words and (n > 1 or hi - lo > 2 * KMER)]
+    doc, pos = np.divmod(np.unique((doc << 32) + pos), 1 << 32)
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > kmer + FLANK // 2)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    lo, hi = pos[first], pos[last] + kmer
+    kept = (hi - lo + 2 * slack >= min_words) & ((last > first) | (hi - lo > 2 * KMER))
+    return doc[first][kept], np.maximum(0, lo - slack)[kept], (hi + slack)[kept]
 
 
 _BLOCKS = pa.list_(pa.struct([("d", pa.int32()), ("r", pa.int32()), ("n", pa.int32())]))
@@ -324,9 +329,17 @@ _CHAIN_DDL = ("doc_id bigint, salt int, chains array<struct<r_doc:bigint,r_salt:
               "best:boolean>>, tiles array<int>, stretches array<struct<start:int,end:int>>")
 
 
-def tiles_of(start: int, end: int) -> range:
-    """Tiles that the words from ``start`` to ``end`` and their flanks lie in."""
-    return range(max(0, start - FLANK) // TILE, (end + FLANK) // TILE + 1)
+def tiles_of(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tiles that the words of each owner from ``start`` to ``end`` and their flanks lie in: (owner, tile), sorted, each once."""
+    first = np.maximum(0, start - FLANK) // TILE
+    n = (end + FLANK) // TILE + 1 - first
+    tile = np.arange(int(n.sum())) + np.repeat(first - np.cumsum(n) + n, n)
+    return np.divmod(np.unique((np.repeat(owner, n) << 32) + tile), 1 << 32)
+
+
+def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """A list for each of ``n`` owners of the values, which are sorted by ``owner``."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
 
 
 def _changes(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
@@ -350,41 +363,64 @@ def _chain(kmer: int, window: int, min_words: int):
 
     def finish(table: pa.Table) -> pa.RecordBatch:
         pos, other = table.column("pos").to_numpy().astype(np.int64), table.column("r_pos").to_numpy().astype(np.int64)
-        doc = _changes(table, ("doc_id", "salt"))
-        pair = np.flatnonzero(doc | _changes(table, ("r_doc", "r_salt"))).tolist()
-        others = table.select(["r_doc", "r_salt"]).take(pa.array([0, *pair])).to_pylist()
-        unlike = table.column("unlike").to_numpy()
-        heads, out, own, spans, asked, far, places, reach = [], [], [], [], [], {}, [], []
-
-        def close() -> None:
-            for chain, best in zip(own, first_wave(spans)):
-                chain["best"] = best
-            out.append(list(own))
-            reach.append(stretches_of(places, min_words, slack))
-            asked.append(sorted({t for a, b, _ in spans for t in tiles_of(a, b)} | {t for x in reach[-1] for t in tiles_of(x["start"], x["end"])}))
-            own.clear()
-            spans.clear()
-            places.clear()
-
-        for other_doc, lo, hi in zip(others, [0, *pair], [*pair, table.num_rows]):
-            if doc[lo]:
-                close()
-            if lo == 0 or doc[lo]:
-                heads.append(lo)
-            d, r, n, weak = merge_diagonals(pos[lo:hi], other[lo:hi], kmer, kmer + window, unlike[lo:hi])
-            places.extend(zip(pos[lo:hi].tolist(), (pos[lo:hi] + kmer).tolist()))
-            for chain in chains_of(d, r, n) if len(d) > 1 else [[0]]:
-                if len(chain) == 1 and weak[chain[0]] and n[chain[0]] <= 2 * kmer:
-                    continue
-                own.append(other_doc | {"blocks": [{"d": int(d[i]), "r": int(r[i]), "n": int(n[i])} for i in chain]})
-                spans.append((int(d[chain[0]]), int(d[chain[-1]] + n[chain[-1]]), int(n[chain].sum())))
-                far.setdefault((other_doc["r_doc"], other_doc["r_salt"]), set()).update(tiles_of(int(r[chain[0]]), int(r[chain[-1]] + n[chain[-1]])))
-        close()
-        names = table.select(["doc_id", "salt"]).take(pa.array(heads, pa.int64())).to_pylist()
+        fresh = _changes(table, ("doc_id", "salt"))
+        moved = fresh | _changes(table, ("r_doc", "r_salt"))
+        moved[0] = fresh[0] = True
+        heads, pairs = np.flatnonzero(fresh), np.flatnonzero(moved)
+        doc_of = (np.cumsum(fresh) - 1)[pairs]  # of each pair
+        pair, d, r, n, weak = merge_diagonals(np.cumsum(moved) - 1, pos, other, kmer, kmer + window, table.column("unlike").to_numpy())
+        weak = weak & (n <= 2 * kmer)
+        begin = np.searchsorted(pair, np.arange(len(pairs) + 1))
+        alone = np.diff(begin) == 1
+        lone = np.flatnonzero(alone)
+        lone = lone[~weak[begin[lone]]]
+        owner, sizes, members = [], [], []
+        for k in np.flatnonzero(~alone).tolist():
+            lo, hi = begin[k], begin[k + 1]
+            for chain in chains_of(d[lo:hi], r[lo:hi], n[lo:hi]):
+                if len(chain) > 1 or not weak[lo + chain[0]]:
+                    owner.append(k)
+                    sizes.append(len(chain))
+                    members += [lo + x for x in chain]
+        # chains (pair, blocks), sorted by pair
+        owner, sizes = np.concatenate([lone, np.array(owner, np.int64)]), np.concatenate([np.ones(len(lone), np.int64), np.array(sizes, np.int64)])
+        members, before = np.concatenate([begin[lone], np.array(members, np.int64)]), np.cumsum(sizes) - sizes
+        order = np.argsort(owner, kind="stable")
+        owner, sizes, before = owner[order], sizes[order], before[order]
+        first = np.cumsum(sizes) - sizes
+        members = members[np.arange(len(members)) + np.repeat(before - first, sizes)]
+        head, tail = members[first], members[first + sizes - 1]
+        doc, start, end = doc_of[owner], d[head], d[tail] + n[tail]
+        best = np.ones(len(owner), dtype=bool)
+        if len(owner):
+            bounds, score = np.searchsorted(doc, np.arange(len(heads) + 1)), np.add.reduceat(n[members], first)
+            for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
+                some = slice(bounds[k], bounds[k + 1])
+                best[some] = first_wave(list(zip(start[some].tolist(), end[some].tolist(), score[some].tolist())))
+        reach, lo, hi = stretches_of((np.cumsum(fresh) - 1), pos, kmer, min_words, slack)
+        asked, tile = tiles_of(np.concatenate([doc, reach]), np.concatenate([start, lo]), np.concatenate([end, hi]))
+        # each earlier document once
+        others = table.select(["r_doc", "r_salt"]).take(pa.array(pairs[owner])).combine_chunks()
+        known, salt = others.column("r_doc").is_valid().to_numpy(), others.column("r_salt").to_numpy()
+        number = others.column("r_doc").fill_null(0).to_numpy()
+        order = np.lexsort((salt, number, known))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (salt[order][1:] != salt[order][:-1]) | (number[order][1:] != number[order][:-1]) | (known[order][1:] != known[order][:-1])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        far = others.take(pa.array(order[new]))
+        wanted, far_tile = tiles_of(which, r[head], r[tail] + n[tail])
+        struct = lambda names, *columns: pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int32()) for x in columns], names)
+        one = lambda t, c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
+        blocks = _lists(np.repeat(np.arange(len(owner)), sizes), len(owner), struct(["d", "r", "n"], d[members], r[members], n[members]))
+        chains = struct(["r_doc", "r_salt", "blocks", "best"], one(others, "r_doc"), one(others, "r_salt"), blocks, pa.array(best))
+        rows = table.select(["doc_id", "salt"]).take(pa.array(heads))
+        none = lambda kind: pa.nulls(far.num_rows, kind)
         return pa.RecordBatch.from_arrays([
-            pa.array([x["doc_id"] for x in names] + [k for k, _ in far], pa.int64()), pa.array([x["salt"] for x in names] + [k for _, k in far], pa.int32()),
-            pa.array(out + [None] * len(far), _CHAIN.field(2).type), pa.array(asked + [sorted(t) for t in far.values()], _CHAIN.field(3).type),
-            pa.array(reach + [None] * len(far), _STRETCH)], schema=_CHAIN)
+            pa.concat_arrays([one(rows, "doc_id"), one(far, "r_doc")]), pa.concat_arrays([one(rows, "salt"), one(far, "r_salt")]),
+            pa.concat_arrays([_lists(doc, len(heads), chains).cast(_CHAIN.field(2).type), none(_CHAIN.field(2).type)]),
+            pa.concat_arrays([_lists(asked, len(heads), pa.array(tile, pa.int32())), _lists(wanted, far.num_rows, pa.array(far_tile, pa.int32()))]).cast(_CHAIN.field(3).type),
+            pa.concat_arrays([_lists(reach, len(heads), struct(["start", "end"], lo, hi)).cast(_STRETCH), none(_STRETCH)])], schema=_CHAIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -403,64 +439,104 @@ def _chain(kmer: int, window: int, min_words: int):
     return run
 
 
-def _tile_words(texts: pa.Array, wanted: pa.Array) -> pa.Array:
-    out = []
-    asked = wanted.to_pylist()
-    for words in word_groups(texts):
-        bounds = words.bounds().tolist()
-        for r in range(words.n_rows):
-            lo, hi = bounds[r], bounds[r + 1]
-            tiles = [t for t in asked[words.first_row + r] if 0 <= t * TILE < hi - lo]
-            out.append([{"tile": t, "words": words.phrase(lo + t * TILE, min(TILE, hi - lo - t * TILE)).decode("utf-8", "replace")} for t in tiles])
-    return pa.array(out, pa.list_(pa.struct([("tile", pa.int32()), ("words", pa.string())])))
+def _owners(lists: pa.ListArray) -> np.ndarray:
+    """The row of each value of a list column."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
 
 
-def _extend(a: list, b: list) -> list[tuple[int, int, int]]:
-    """Ways to go on in ``a`` and ``b``: (words of a, words of b, equal ones among them), each ending on an equal word; first none.
-
-    For each number of words of ``a`` the one with the most equal words for its length is kept. An equal word
-    scores 1, another, missing or added one -1, and the search ends where all scores are ``X_DROP`` below the best.
+def _tile_words(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+    counts, tiles, asked = np.zeros(len(texts), np.int64), [], wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    parent, out = _owners(wanted), []
+    for words in word_groups(texts, hashed=False):
+        size = words.end - words.start
+        # the bytes of all words, a space after each
+        joined = np.full(int(size.sum()) + len(size), 32, np.uint8)
+        inside = IN_WORD[words.lower]
+        joined[np.arange(len(joined) - len(size)) + np.repeat(np.arange(len(size)), size)] = words.lower[inside]
+        at, held, bounds = np.concatenate([[0], np.cumsum(size + 1)]), joined.tobytes(), words.bounds()
+        some = slice(*np.searchsorted(parent, [words.first_row, words.first_row + words.n_rows]))
+        row, tile = parent[some] - words.first_row, asked[some]
+        first = bounds[row] + tile * TILE
+        real = (tile >= 0) & (first < bounds[row + 1])
+        row, tile, first = row[real], tile[real], first[real]
+        upto = np.minimum(first + TILE, bounds[row + 1])
+        counts[words.first_row:words.first_row + words.n_rows] = np.bincount(row, minlength=words.n_rows)
+        tiles.append(tile)
+        out += [held[a:b].decode("utf-8", "replace") for a, b in zip(at[first].tolist(), (at[upto] - 1).tolist())]
+    tiles = pa.array(np.concatenate([np.zeros(0, np.int64), *tiles]), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()),
+                                    pa.StructArray.from_arrays([tiles, pa.array(out, pa.string())], ["tile", "words"]))
+
+
+def _extend(a: np.ndarray, a_words: np.ndarray, b: np.ndarray, b_words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ways to go on in the rows of ``a`` and ``b`` (numbers of words, the first ``a_words`` and ``b_words`` of a row).
+
+    (row, words of a, words of b, equal ones among them), sorted by the first two, each way ending on an equal word; a row's
+    first way has none. For each number of words of ``a`` the one with the most equal words for its length is kept. An equal
+    word scores 1, another, missing or added one -1, and the search ends where all scores are ``X_DROP`` below the best.
+    All rows of ``a`` and ``b`` go on together, a word of ``a`` at a time.
     """
-    low, step, drop, top = -(1 << 30), 1 << 12, X_DROP << 12, 0
-    row = {j: -step * j for j in range(min(len(b), X_DROP) + 1)}
-    out = [(0, 0, 0)]
-    for i, word in enumerate(a, 1):
-        new, j, last, best = {}, min(row), max(row), (low, 0, 0)
-        while j <= len(b):
-            value = row.get(j, low) - step
-            if j:
-                before = row.get(j - 1, low)
-                if word == b[j - 1]:
-                    # the low bits count equal words
-                    value = max(value, before + step + 1, new.get(j - 1, low) - step)
-                    if before + step + 1 == value and value > best[0]:
-                        best = value, j, value & 4095
-                else:
-                    value = max(value, before - step, new.get(j - 1, low) - step)
-            if value >= top - drop:
-                new[j] = value
-                top = max(top, value)
-            elif j > last:
-                break
-            j += 1
-        if not new:
+    low, step, drop = -(1 << 29), 1 << 12, X_DROP << 12  # the low bits of a score count equal words
+    wide = b.shape[1]
+    cost = np.arange(wide + 1, dtype=np.int32) * np.int32(step)
+    line = np.where(np.arange(wide + 1) <= np.minimum(b_words, X_DROP)[:, None], -cost, np.int32(low)).astype(np.int32)
+    which, top = np.arange(len(a)), np.zeros(len(a), np.int32)
+    none = np.zeros(len(a), np.int64)
+    out, lo, hi = [(which, none, none, none)], 0, min(wide, X_DROP)
+    for i in range(1, a.shape[1] + 1):
+        still = a_words[which] >= i
+        if not still.all():
+            which, top, line = which[still], top[still], line[still]
+        if not len(which):
             break
-        if best[0] >= top - drop:
-            out.append((i, best[1], best[2]))
-        row = new
-    return out
+        # no score is held outside lo to hi; from there at most X_DROP added words follow a next one
+        end = min(wide, hi + X_DROP + 1)
+        old, spent = line[:, lo:end + 1], cost[lo:end + 1]
+        same = a[which, i - 1][:, None] == b[which, lo:end]
+        slope = old[:, :-1] + np.where(same, np.int32(step + 1), np.int32(-step))
+        score = old - np.int32(step)
+        np.maximum(score[:, 1:], slope, out=score[:, 1:])
+        score = np.maximum.accumulate(score + spent, axis=1) - spent
+        score[np.arange(lo, end + 1) > b_words[which][:, None]] = low
+        best = np.where(same & (score[:, 1:] == slope), slope, np.int32(low))
+        highest = np.maximum(np.maximum.accumulate(score, axis=1), top[:, None])
+        held = score >= highest - np.int32(drop)
+        top = highest[:, -1]
+        alive = held.any(axis=1)
+        place = best.argmax(axis=1) if end > lo else np.zeros(len(which), np.int64)
+        value = best[np.arange(len(which)), place] if end > lo else np.full(len(which), low, np.int32)
+        found = np.flatnonzero(alive & (value >= top - drop))
+        out.append((which[found], np.full(len(found), i), place[found] + lo + 1, value[found].astype(np.int64) & (step - 1)))
+        columns = np.flatnonzero(held.any(axis=0))
+        if not len(columns):
+            break
+        line = np.full((int(alive.sum()), wide + 1), low, np.int32)
+        line[:, lo:end + 1] = np.where(held, score, np.int32(low))[alive]
+        which, top = which[alive], top[alive]
+        lo, hi = int(columns[0]) + lo, int(columns[-1]) + lo
+    out = [np.concatenate(x) for x in zip(*out)]
+    order = np.argsort(out[0], kind="stable")
+    return tuple(x[order] for x in out)
+
+
+def _flanks(codes: np.ndarray, first: np.ndarray, words: np.ndarray, back: bool) -> np.ndarray:
+    """A row of the words that follow ``first``, or go back from it, for each; -1 beyond ``words``."""
+    k = np.arange(FLANK)
+    at = first[:, None] - k if back else first[:, None] + k
+    inside = k < words[:, None]
+    return np.where(inside, codes[np.where(inside, at, 0)], -1) if len(codes) else np.full(at.shape, -1)
 
 
 def _common(a: list, b: list) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(row[j], row[j - 1])
-            left = up
-    return row[-1]
+    """Length of the longest common subsequence: a bit for each word of ``a``, unset where the length grows."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = row = (1 << len(a)) - 1
+    for y in b:
+        same = row & places.get(y, 0)
+        row = (row + same | row - same) & whole
+    return len(a) - row.bit_count()
 
 
 def _best_end(ways: list[tuple[int, int, int]]) -> tuple[int, int, int]:
@@ -476,11 +552,44 @@ def _further(ways: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def align(blocks: list[dict], a: list, a_first: int, b: list, b_first: int, min_words: int = MIN_WORDS,
           identity: float = IDENTITY) -> tuple[int, int, int, int, int]:
-    """(start, end, start in the other, end in the other, equal words) of a chain, extended at its ends.
+    """(start, end, start in the other, end in the other, equal words) of one chain, extended at its ends.
 
-    ``a`` and ``b`` hold the words of the two documents from ``a_first`` and ``b_first``. The ends are those with the best
-    scores. If the chain is too short or too unlike then, every start and end (of its blocks and beyond) is tried, and
-    of the stretches that are a passage the one with the most equal words above ``identity`` is returned.
+    ``a`` and ``b`` hold the words of the two documents from ``a_first`` and ``b_first``.
+    """
+    number: dict = {}
+    codes = np.array([number.setdefault(x, len(number)) for x in [*a, *b]], np.int64)
+    one = lambda x: np.array([x], np.int64)
+    parts = [[one(x[c]) for x in (blocks[0], blocks[-1])] for c in ("d", "r", "n")]
+    left, right = _both_ends(codes, one(0), one(len(a)), one(a_first), one(len(a)), one(len(codes)), one(b_first), *parts)
+    ways = [list(zip(*(x.tolist() for x in side[1:]))) for side in (left, right)]
+    return _placed(blocks, codes[:len(a)].tolist(), a_first, codes[len(a):].tolist(), b_first, *ways, min_words, identity)
+
+
+def _both_ends(codes: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, a_first: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray, b_first: np.ndarray,
+               d: list[np.ndarray], r: list[np.ndarray], n: list[np.ndarray]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Ways (as of ``_extend``) before the first and after the last block of each chain.
+
+    A chain's words are ``codes[a_lo:a_hi]`` and ``codes[b_lo:b_hi]``, from words ``a_first`` and ``b_first`` of the documents;
+    ``d``, ``r`` and ``n`` hold the first blocks and the last ones.
+    """
+    sides = []
+    for back in (True, False):
+        flanks = []
+        for lo, hi, first, place in ((a_lo, a_hi, a_first, d), (b_lo, b_hi, b_first, r)):
+            at = lo - first + (place[0] if back else place[1] + n[1])
+            words = np.minimum(at - lo, FLANK) - np.maximum(at - hi, 0) if back else np.minimum(hi - at, FLANK)
+            words = np.maximum(words, 0)
+            flanks += [_flanks(codes, np.minimum(at, hi) - 1 if back else at, words, back), words]
+        sides.append(_extend(*flanks))
+    return tuple(sides)
+
+
+def _placed(blocks: list[dict], a: list, a_first: int, b: list, b_first: int, left: list[tuple[int, int, int]],
+            right: list[tuple[int, int, int]], min_words: int, identity: float) -> tuple[int, int, int, int, int]:
+    """A chain's place, given the ways to go on at its ends.
+
+    The ends are those with the best scores. If the chain is too short or too unlike then, every start and end (of its blocks
+    and beyond) is tried, and of the stretches that are a passage the one with the most equal words above ``identity`` is returned.
     """
     equal_run = lambda d, r, n: sum(x == y for x, y in zip(a[d - a_first:d - a_first + n], b[r - b_first:r - b_first + n]))
     starts, ends, same = [], [], 0
@@ -493,9 +602,6 @@ def align(blocks: list[dict], a: list, a_first: int, b: list, b_first: int, min_
         same += equal_run(x["d"], x["r"], x["n"])
         ends.append((x["d"] + x["n"], x["r"] + x["n"], same))
     (start, other, _), (end, other_end, _) = starts[0], ends[-1]
-    head, other_head, tail, other_tail = start - a_first, other - b_first, end - a_first, other_end - b_first
-    left = _extend(a[max(0, head - FLANK):head][::-1], b[max(0, other_head - FLANK):other_head][::-1])
-    right = _extend(a[tail:tail + FLANK], b[other_tail:other_tail + FLANK])
     (i, j, more), (u, v, also) = _best_end(left), _best_end(right)
     whole = start - i, end + u, other - j, other_end + v, same + more + also
     if _is_passage(*whole, min_words, identity):
@@ -524,37 +630,55 @@ _PASSAGE_DDL = ("doc_id bigint, salt int, start_word int, n_words int, match_doc
 
 
 def _align_all(min_words: int, identity: float):
-    """Rows sorted by (cid, side, tile), first a chain's own row (side -1), then its tiles; one chain is held at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, sides = None, None
-
-        def finish() -> list[tuple]:
-            if head is None or not (sides[0][1] and sides[1][1]):
-                return []
-            s, e, o, oe, same = align(head["blocks"], sides[0][1], sides[0][0] * TILE, sides[1][1], sides[1][0] * TILE, min_words, identity)
-            if not _is_passage(s, e, o, oe, same, min_words, identity):
-                return []
-            return [(head["doc_id"], head["salt"], s, e - s, head["r_doc"], head["r_salt"], o, same)]
+    """Rows sorted by (cid, side, tile), first a chain's own row (side -1), then its tiles; the chains of a batch are held at a time."""
 
-        def packed(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_PASSAGE)], schema=_PASSAGE)
+    def finish(table: pa.Table) -> pa.RecordBatch:
+        side = table.column("side").to_numpy()
+        heads, body = table.filter(pa.array(side < 0)), table.filter(pa.array(side >= 0))
+        number = (np.cumsum(side < 0) - 1)[side >= 0] * 2 + side[side >= 0]
+        tile = np.append(body.column("tile").to_numpy(), 0).astype(np.int64)
+        split = pc.split_pattern(body.column("words").combine_chunks(), " ")
+        at, codes = split.offsets.to_numpy(), split.flatten().dictionary_encode().indices.to_numpy()
+        at = (at - at[0]).astype(np.int64)
+        bounds = np.searchsorted(number, np.arange(2 * heads.num_rows + 1))
+        # words of both sides of each chain, and the place of the first one in its document
+        (a_lo, b_lo), (a_hi, b_hi) = at[bounds[:-1]].reshape(-1, 2).T, at[bounds[1:]].reshape(-1, 2).T
+        a_first, b_first = (tile[bounds[:-1]] * TILE).reshape(-1, 2).T
+        lists = heads.column("blocks").combine_chunks()
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        parts = [lists.flatten().field(c).to_numpy().astype(np.int64) for c in ("d", "r", "n")]
+        d, r, n = ([x[first[:-1]], x[first[1:] - 1]] for x in parts)
+        left, right = _both_ends(codes, a_lo, a_hi, a_first, b_lo, b_hi, b_first, d, r, n)
+        reach = [[np.maximum.reduceat(x, np.searchsorted(way[0], np.arange(heads.num_rows))) for x in (way[1], way[3])] for way in (left, right)]
+        span, far = d[1] + n[1] - d[0], r[1] + n[1] - r[0]
+        # no other chain can have enough words, or enough equal ones
+        able = (span + reach[0][0] + reach[1][0] >= min_words) & (np.minimum(span, far) + reach[0][1] + reach[1][1] >= identity * min_words)
+        out, kept = [], np.flatnonzero(able & (a_lo < a_hi) & (b_lo < b_hi))
+        ways = [(np.searchsorted(way[0], np.arange(heads.num_rows + 1)), way) for way in (left, right)]
+        for k in kept.tolist():
+            blocks = [dict(zip("drn", x)) for x in zip(*(x[first[k]:first[k + 1]].tolist() for x in parts))]
+            on = [list(zip(*(x[cut[k]:cut[k + 1]].tolist() for x in way[1:]))) for cut, way in ways]
+            a, b = codes[a_lo[k]:a_hi[k]].tolist(), codes[b_lo[k]:b_hi[k]].tolist()
+            s, e, o, oe, same = _placed(blocks, a, int(a_first[k]), b, int(b_first[k]), *on, min_words, identity)
+            if _is_passage(s, e, o, oe, same, min_words, identity):
+                out.append((k, s, e - s, o, same))
+        k, s, words, o, same = zip(*out) if out else [()] * 5
+        own = heads.select(["doc_id", "salt", "r_doc", "r_salt"]).take(pa.array(k, pa.int64())).combine_chunks()
+        doc, salt, other, other_salt = (c.combine_chunks() for c in own.columns)
+        return pa.RecordBatch.from_arrays([doc, salt, pa.array(s, pa.int32()), pa.array(words, pa.int32()), other, other_salt,
+                                           pa.array(o, pa.int32()), pa.array(same, pa.int32())], schema=_PASSAGE)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
         for batch in batches:
-            out = []
-            kinds, tiles, words = (batch.column(batch.schema.get_field_index(c)) for c in ("side", "tile", "words"))
-            for i, (kind, tile) in enumerate(zip(kinds.to_pylist(), tiles.to_pylist())):
-                if kind < 0:
-                    out += finish()
-                    head = {c: batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("doc_id", "salt", "r_doc", "r_salt", "blocks")}
-                    sides = [[None, []], [None, []]]
-                    continue
-                side = sides[kind]
-                if side[0] is None:
-                    side[0] = tile
-                side[1].extend(words[i].as_py().split(" "))
-            yield packed(out)
-        yield packed(finish())
+            heads = np.flatnonzero(batch.column(batch.schema.get_field_index("side")).to_numpy() < 0)
+            rest.append(batch)
+            if len(heads):
+                if len(rest) > 1 or heads[-1]:
+                    yield finish(pa.Table.from_batches([*rest[:-1], batch.slice(0, int(heads[-1]))]))
+                rest = [batch.slice(int(heads[-1]))]
+        if any(batch.num_rows for batch in rest):
+            yield finish(pa.Table.from_batches(rest))
 
     return run
 
@@ -584,46 +708,85 @@ def _longer_keys(min_words: int, kmer: int, window: int):
     names = ["h", "doc_id", "at"]
 
     def passed_on(keys: list, ids: list, places: list) -> pa.RecordBatch:
-        return open_or_first(pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids, pa.int64()), pa.array(np.concatenate(places))], names=names))
+        return open_or_first(pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays(ids), pa.array(np.concatenate(places))], names=names))
+
+    def grouped(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+        """(rows, tiles) of about ``GROUP_BYTES`` of words; every row is in one group."""
+        size = pc.list_value_length(batch.column("tiles")).to_numpy(zero_copy_only=False).astype(np.int64)
+        tiles = batch.column("tiles").flatten()
+        words = pc.binary_length(tiles.field("words")).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        used = np.concatenate([[0], np.cumsum(words)])[ends]
+        row = 0
+        while row < batch.num_rows:
+            upto = max(row + 1, int(np.searchsorted(used, used[row] + GROUP_BYTES, "right")) - 1)
+            yield batch.slice(row, upto - row), tiles.slice(int(ends[row]), int(ends[upto] - ends[row]))
+            row = upto
+
+    def within(row: np.ndarray, at: np.ndarray, lists: pa.ListArray, ends: str | None) -> np.ndarray:
+        """Whether the k-mer at a place of a row lies in one of the row's spans (start and ``end``, or start and words)."""
+        owner, spans = _owners(lists), lists.flatten()
+        start = spans.field("start" if ends else "start_word").to_numpy(zero_copy_only=False).astype(np.int64)
+        end = spans.field(ends).to_numpy(zero_copy_only=False).astype(np.int64) if ends else start + spans.field("n_words").to_numpy(zero_copy_only=False)
+        if not len(start):
+            return np.zeros(len(at), dtype=bool)
+        order = np.lexsort((start, owner))
+        start, furthest = ((owner << 32) + start)[order], np.maximum.accumulate(((owner << 32) + end)[order])
+        before = np.searchsorted(start, (row << 32) + at, "right") - 1
+        return (before >= 0) & (furthest[before] >= (row << 32) + at + kmer)
+
+    def keys_of(rows: pa.RecordBatch, tiles: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, row, place) of the longer keys inside the stretches of some rows."""
+        owner = _owners(rows.column("tiles"))
+        tile = tiles.field("tile").to_numpy(zero_copy_only=False).astype(np.int64)
+        # rows equal in id and text give the same tiles
+        order = np.lexsort((tile, owner))
+        owner, tile = owner[order], tile[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (tile[1:] != tile[:-1])
+        order, owner, tile = order[new], owner[new], tile[new]
+        # neighbouring tiles are one piece
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (tile[1:] != tile[:-1] + 1)
+        piece = np.cumsum(first) - 1
+        out = []
+        for words in word_groups(tiles.field("words").take(pa.array(order)), sys.maxsize):
+            words.row = piece[words.row]
+            short, at = window_hashes(words, kmer)
+            seeds = minimisers(short, words.row[at], window)
+            value, pos = short[seeds], at[seeds]
+            whole, begin = window_hashes(words, min_words)
+            where = np.searchsorted(begin, pos)
+            has = np.append(begin, -1)[where] == pos
+            found = [(mix(whole[where[has]] ^ np.uint64(0x5DEECE66D)), pos[has])]
+            for n in (2, 4, 8):
+                total = np.full(max(0, len(value) - n + 1), n, np.uint64)
+                for j in range(n):
+                    total = mix(total * np.uint64(31) + value[j:j + len(total)])
+                one = words.row[pos[:len(total)]] == words.row[pos[n - 1:n - 1 + len(total)]]
+                found.append((total[one], pos[:len(total)][one]))
+            h, pos = (np.concatenate(x) for x in zip(*found))
+            heads = np.flatnonzero(first)
+            at = pos - np.searchsorted(words.row, words.row[pos]) + tile[heads][words.row[pos]] * TILE
+            row = owner[heads][words.row[pos]]
+            inside = within(row, at, rows.column("stretches"), "end")
+            h, row, at = h[inside], row[inside], at[inside]
+            covered = within(row, at, rows.column("spans"), None)
+            out.append((h.view(np.int64), row, np.where(covered, at | UNLIKE, at)))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, places = [], [], []
+        keys, ids, places, held = [], [], [], 0
         for batch in batches:
-            if len(ids) >= KEYS_HELD:
+            if held >= KEYS_HELD:
                 yield passed_on(keys, ids, places)
-                keys, ids, places = [], [], []
-            for row in batch.to_pylist():
-                # rows equal in id and text give the same tiles
-                held = sorted({t["tile"]: t["words"] for t in row["tiles"]}.items())
-                pieces = []
-                for tile, text in held:
-                    if pieces and pieces[-1][2] == tile - 1:
-                        pieces[-1][1].append(text)
-                        pieces[-1][2] = tile
-                    else:
-                        pieces.append([tile * TILE, [text], tile])
-                for base, texts, _ in pieces:
-                    for words in word_groups(pa.array([" ".join(texts)])):
-                        short, first = window_hashes(words, kmer)
-                        seeds = minimisers(short, words.row[first], window)
-                        value, pos = short[seeds], first[seeds]
-                        long = window_hashes(words, min_words)[0]
-                        found = [(mix(long[pos[pos < len(long)]] ^ np.uint64(0x5DEECE66D)), pos[pos < len(long)])]
-                        for n in (2, 4, 8):
-                            total = np.full(max(0, len(value) - n + 1), n, np.uint64)
-                            for j in range(n):
-                                total = mix(total * np.uint64(31) + value[j:j + len(total)])
-                            found.append((total, pos[:len(total)]))
-                        h, at = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]) + base
-                        inside, covered = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
-                        for x in row["stretches"]:
-                            inside |= (at >= x["start"]) & (at + kmer <= x["end"])
-                        for x in row["spans"]:
-                            covered |= (at >= x["start_word"]) & (at + kmer <= x["start_word"] + x["n_words"])
-                        at = np.where(covered, at | (1 << 31), at)[inside]
-                        keys.append(h[inside].view(np.int64))
-                        places.append(((row["salt"] << 32) | at).astype(np.int64))
-                        ids += [row["doc_id"]] * len(at)
+                keys, ids, places, held = [], [], [], 0
+            for rows, tiles in grouped(batch):
+                h, row, at = keys_of(rows, tiles)
+                keys.append(h)
+                places.append(rows.column("salt").to_numpy().astype(np.int64)[row] << 32 | at)
+                ids.append(rows.column("doc_id").take(pa.array(row)))
+                held += len(h)
         if keys:
             yield passed_on(keys, ids, places)
 
@@ -710,16 +873,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Works in waves; what a wave has dealt is let go before the next one.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), _salt(text_col).alias("salt"), F.col(text_col).alias("text"))
+    with shuffles_dropped(docs.sparkSession):
+        return _in_waves(docs, min_words, identity, kmer, window)
+
+
+def _in_waves(docs: DataFrame, min_words: int, identity: float, kmer: int, window: int) -> DataFrame:
     all_chains = _all_chains(docs, kmer, window, min_words)
-    release_shuffles(spark)
     tiles = _all_tiles(docs, all_chains)
-    release_shuffles(spark)
     chains = all_chains.where("chains is not null").drop("tiles")
     found = _aligned(chains.withColumn("chains", F.filter("chains", lambda c: c["best"])), tiles, min_words, identity, "passages")
-    release_shuffles(spark)
 
     def open_still(c: Column) -> Column:
         first, last = c["blocks"][0], F.element_at(c["blocks"], -1)
@@ -730,12 +894,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     more = materialize(more.withColumn("chains", F.filter("chains", open_still)).where(F.size("chains") > 0).select(*_KEY, "chains"), "others")
     also = _aligned(more, tiles, min_words, identity, "further-passages")
     discard(more)
-    release_shuffles(spark)
     again = _longer_chains(chains, found.union(also), tiles, min_words, kmer, window)
-    release_shuffles(spark)
     third = _aligned(again, tiles, min_words, identity, "longer-passages")
     discard(all_chains, tiles, again)
-    release_shuffles(spark)
     return found.union(also).union(third)
 
 

@@ -133,8 +133,8 @@ def word_hashes(lower: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return out
 
 
-def word_groups(texts: pa.Array, group_bytes: int = GROUP_BYTES) -> Iterator[Words]:
-    """The words of a column, by groups of rows of about ``group_bytes``; every row is in one group."""
+def word_groups(texts: pa.Array, group_bytes: int = GROUP_BYTES, hashed: bool = True) -> Iterator[Words]:
+    """The words of a column, by groups of rows of about ``group_bytes``; every row is in one group. Hashes may be left out."""
     raw, at = text_bytes(texts)
     row, n = 0, len(at) - 1
     while row < n:
@@ -152,7 +152,7 @@ def word_groups(texts: pa.Array, group_bytes: int = GROUP_BYTES) -> Iterator[Wor
         tail[cuts[cuts >= 0]] = True
         ends = np.flatnonzero(inside & tail) + 1
         rows = np.searchsorted(text_start, begins, "right") - 1
-        yield Words(row, upto - row, lower, begins, ends, rows, word_hashes(lower, begins, ends), text_start)
+        yield Words(row, upto - row, lower, begins, ends, rows, word_hashes(lower, begins, ends) if hashed else np.zeros(0, np.uint64), text_start)
         row = upto
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -191,3 +192,121 @@ def test_found_places_are_owners_only():
         for split in (1, 2, seen.num_rows):
             out = P.pa.Table.from_batches(P._match_firsts(seen.slice(lo, split) for lo in range(0, seen.num_rows, split))).to_pylist()
             assert [tuple(r.values()) for r in out] == [(60, 5, None, found(3)), (3, 4, 1, 2)]
+
+
+def plain_extend(a, b):
+    """The ways to go on in two lists of words, a cell at a time."""
+    low, step, drop, top = -(1 << 30), 1 << 12, P.X_DROP << 12, 0
+    row = {j: -step * j for j in range(min(len(b), P.X_DROP) + 1)}
+    out = [(0, 0, 0)]
+    for i, word in enumerate(a, 1):
+        new, best = {}, (low, 0, 0)
+        for j in range(len(b) + 1):
+            value = max(row.get(j, low), new.get(j - 1, low)) - step
+            if j:
+                slope = row.get(j - 1, low) + (step + 1 if word == b[j - 1] else -step)
+                value = max(value, slope)
+                if word == b[j - 1] and slope == value and value > best[0]:
+                    best = value, j, value & 4095
+            if value >= top - drop:
+                new[j] = value
+                top = max(top, value)
+        if not new:
+            break
+        if best[0] >= top - drop:
+            out.append((i, best[1], best[2]))
+        row = new
+    return out
+
+
+def test_ends_of_many_chains_are_extended_as_one_by_one():
+    rng, pairs = random.Random(12), []
+    for _ in range(300):
+        several = rng.choice([3, 10, 50, 500])
+        a = [rng.randrange(several) for _ in range(rng.choice([0, 1, 5, 30, 64, 64]))]
+        rate, b = rng.choice([0.05, 0.2, 0.3, 1]), []
+        for x in a:
+            kind = rng.randrange(3) if rng.random() < rate else 3
+            b += [[], [x, rng.randrange(several)], [rng.randrange(several)], [x]][kind]
+        pairs.append((a, b[:P.FLANK]))
+    filled = lambda side: np.array([p[side] + [-1] * (P.FLANK - len(p[side])) for p in pairs])
+    size = lambda side: np.array([len(p[side]) for p in pairs])
+    got = [[] for _ in pairs]
+    for row, *way in zip(*(x.tolist() for x in P._extend(filled(0), size(0), filled(1), size(1)))):
+        got[row].append(tuple(way))
+    assert got == [plain_extend(a, b) for a, b in pairs]
+
+
+def chain_rows(rng, passage, around):
+    """One chain of a seed, with the tiles of its two documents, and whether it is a passage."""
+    sides = [[f"w{rng.randrange(5000)}" for _ in range(around)] + passage + [f"w{rng.randrange(5000)}" for _ in range(around)] for _ in range(2)]
+    return [[" ".join(w[lo:lo + P.TILE]) for lo in range(0, len(w), P.TILE)] for w in sides], [{"d": around, "r": around, "n": 5}]
+
+
+def test_chains_that_cannot_be_passages_are_not_placed(monkeypatch):
+    """They are nine in ten; a batch of them is extended at once, and no border between batches matters."""
+    rng, rows, want = random.Random(13), [], []
+    for cid in range(200):
+        words = 60 if cid % 10 == 0 else 5
+        sides, blocks = chain_rows(rng, [f"p{cid}-{i}" for i in range(words)], 100)
+        rows.append({"cid": cid, "side": -1, "tile": 0, "words": "", "doc_id": None if cid == 10 else cid, "salt": 1, "r_doc": 0, "r_salt": 2, "blocks": blocks})
+        rows += [{"cid": cid, "side": s, "tile": t, "words": w} for s in range(2) for t, w in enumerate(sides[s])]
+        if words == 60:
+            want.append((rows[-len(sides[0]) - len(sides[1]) - 1]["doc_id"], 100, 60, 0, 100, 60))
+    schema = P.pa.schema([("cid", P.pa.int64()), ("side", P.pa.int32()), ("tile", P.pa.int32()), ("words", P.pa.string()), ("doc_id", P.pa.int64()), ("salt", P.pa.int32()),
+                          ("r_doc", P.pa.int64()), ("r_salt", P.pa.int32()), ("blocks", P._BLOCKS)])
+    whole, placed, own = P.pa.RecordBatch.from_pylist(rows, schema=schema), [], P._placed
+    monkeypatch.setattr(P, "_placed", lambda *x: placed.append(1) or own(*x))
+    for size in (len(rows), 7, 1):
+        placed.clear()
+        out = P.pa.Table.from_batches(P._align_all(P.MIN_WORDS, P.IDENTITY)(whole.slice(lo, size) for lo in range(0, len(rows), size))).to_pylist()
+        assert [(x["doc_id"], x["start_word"], x["n_words"], x["match_doc_id"], x["match_start_word"], x["equal_words"]) for x in out] == want
+        assert len(placed) == len(want)
+
+
+def test_longer_keys_do_not_depend_on_batches():
+    rng, rows = random.Random(14), []
+    for doc in range(30):
+        tiles = [{"tile": t, "words": " ".join(f"w{rng.randrange(300)}" for _ in range(P.TILE))} for t in rng.sample(range(12), 6)]
+        rows.append({"doc_id": doc or None, "salt": -doc, "tiles": tiles + tiles[:1], "stretches": [{"start": 40, "end": 300}, {"start": 290, "end": 500}],
+                     "spans": [{"start_word": 200, "n_words": 100}, {"start_word": 60, "n_words": 20}][:doc % 3]})
+    span = lambda *names: P.pa.list_(P.pa.struct([(n, P.pa.int32()) for n in names]))
+    schema = P.pa.schema([("doc_id", P.pa.int64()), ("salt", P.pa.int32()), ("tiles", P.pa.list_(P.pa.struct([("tile", P.pa.int32()), ("words", P.pa.string())]))),
+                          ("stretches", span("start", "end")), ("spans", span("start_word", "n_words"))])
+    whole = P.pa.RecordBatch.from_pylist(rows, schema=schema)
+    seen = []
+    for size in (30, 4, 1):
+        found = P.pa.Table.from_batches(P._longer_keys(P.MIN_WORDS, P.KMER, P.WINDOW)(whole.slice(lo, size) for lo in range(0, 30, size))).to_pylist()
+        seen.append(sorted((x["doc_id"] or -1, x["at"], x["h"]) for x in found))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 1000
+    covered = lambda doc, pos: any(x["start_word"] <= pos and pos + P.KMER <= x["start_word"] + x["n_words"] for x in rows[max(0, doc)]["spans"])
+    for doc, at, _ in seen[0]:
+        pos = at & P.UNLIKE - 1
+        assert (at & P.UNLIKE != 0) == covered(doc, pos) and 40 <= pos and pos + P.KMER <= 500 and at >> 32 == -max(0, doc)
+
+
+def test_waves_let_go_of_their_shuffles(spark, monkeypatch):
+    """What a wave has dealt is gone when the next one begins, without a collection of the driver's garbage."""
+    monkeypatch.setattr(P, "release_shuffles", lambda spark: None, raising=False)
+    local, held, own = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), [], P.materialize
+
+    def shuffles():
+        names = (path.rsplit("/", 1)[-1] for path in local.getAllFiles().mkString(";").split(";"))
+        return {name.split("_")[1] for name in names if name.startswith("shuffle_")}
+
+    before = shuffles()
+
+    def counted(*args, **kwargs):
+        table = own(*args, **kwargs)
+        end = time.time() + 10
+        while shuffles() - before and time.time() < end:
+            time.sleep(0.1)
+        held.append(len(shuffles() - before))
+        return table
+
+    monkeypatch.setattr(P, "materialize", counted)
+    rng = random.Random(15)
+    passage = prose(rng, 80)
+    assert P.repeated_passages(docs(spark, [f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(20)])).count() == 19
+    assert len(held) > 5 and not any(held)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
