@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from captionforge.llm.graph import connected_components
 from captionforge.llm.text import lean, mix, window_hashes, word_groups
-from captionforge.session import discard, materialize, small_batches
+from captionforge.session import discard, in_tasks, materialize, small_batches
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -47,6 +47,7 @@ DEPTH = 6
 # distance of sketches its partners at 0.8 then resemble the centre by about 0.55 or more, and join its cluster.
 CENTRE_TAKES = 0.75
 CENTRE_LINKS = 0.25
+BUCKET_ROWS = 1 << 14   # of small buckets, compared by one task
 BLOCK_RECORDS = 2048
 BLOCK_TOKENS = 1 << 19
 
@@ -242,16 +243,24 @@ def _children(wanted: float):
     return run
 
 
-def _forest(buckets: DataFrame, by: list[str], threshold: float) -> DataFrame:
+def _forest(buckets: DataFrame, by: list[str], threshold: float, rows: int | None = None) -> DataFrame:
+    """Links of each group; ``rows`` of them, if it is known, in tasks of ``BUCKET_ROWS``."""
     members = buckets.groupBy(*by).agg(F.collect_list(F.struct("rid", "size", "sketch")).alias("members"))
+    if rows is not None:
+        members = in_tasks(members, rows, BUCKET_ROWS)
     return members.select(F.explode(_bucket_links(threshold)("members")).alias("link")).select("link.*")
 
 
-def _small_buckets(shared: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
+def _small_buckets(shared: DataFrame, records: DataFrame, threshold: float, n: int) -> DataFrame:
     """Links of buckets of a bounded size: those with the same members are compared once."""
     members = shared.groupBy("path").agg(F.sort_array(F.collect_list("rid")).alias("rids")).select("rids").distinct()
     rows = members.select(F.xxhash64("rids").alias("h"), F.get("rids", F.lit(0)).alias("first"), F.explode("rids").alias("rid"))
-    return _forest(rows.join(records.select("rid", "size", "sketch"), "rid"), ["h", "first"], threshold)
+    return _forest(rows.join(records.select("rid", "size", "sketch"), "rid"), ["h", "first"], threshold, n)
+
+
+def _rows_by_size(paths: DataFrame) -> tuple[int, int]:
+    """Rows in small and in large buckets."""
+    return tuple(paths.agg(F.count_if(F.col("n") <= BUCKET), F.count_if(F.col("n") > BUCKET)).first())
 
 
 def _size_class(threshold: float) -> Column:
@@ -283,7 +292,8 @@ def candidate_links(records: DataFrame, threshold: float = THRESHOLD) -> DataFra
     paths = records.select("rid", F.explode("paths").alias("path"))
     counts = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = kept(paths.join(counts, "path"), "shared")
-    links.append(kept(_small_buckets(shared.where(F.col("n") <= BUCKET), records, threshold), "links"))
+    small, _ = _rows_by_size(shared)
+    links.append(kept(_small_buckets(shared.where(F.col("n") <= BUCKET), records, threshold, small), "links"))
     # a record with most of its paths in small buckets, or alone, needs no large one
     dense = shared.where(F.col("n") > BUCKET)
     crowded = dense.groupBy("rid").agg(F.count(F.lit(1)).alias("dense"), F.sort_array(F.collect_list("path")).alias("own"))
@@ -295,12 +305,14 @@ def candidate_links(records: DataFrame, threshold: float = THRESHOLD) -> DataFra
     while True:
         counts = at.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         at = kept(at.join(counts, "path"), "counted")
-        links.append(kept(_forest(at.where(F.col("n") <= BUCKET), ["path"], threshold), "links"))
-        large = at.where(F.col("n") > BUCKET)
-        if large.isEmpty():
+        small, wide = _rows_by_size(at)
+        if small:
+            links.append(kept(_forest(at.where(F.col("n") <= BUCKET), ["path"], threshold, small), "links"))
+        if not wide:
             break
+        large = at.where(F.col("n") > BUCKET)
         sampled = large.where(F.pmod(F.xxhash64("path", "rid", "depth"), F.col("n")) < CENTRE_OF)
-        centres = sampled.groupBy("path").agg(F.collect_list("sketch").alias("own"))
+        centres = in_tasks(sampled.groupBy("path").agg(F.collect_list("sketch").alias("own")), wide, BUCKET_ROWS)
         centres = kept(centres.select("path", F.arrow_udf(_centres, "binary")("own").alias("centre")), "centres")
         # every path has a centre of its own; without one (no record sampled) nothing is close to it
         met = large.join(centres, "path", "left").withColumn("centre", F.coalesce("centre", F.lit(bytes(BINS))))

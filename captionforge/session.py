@@ -86,6 +86,18 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return table
 
 
+ROWS_PER_TASK = 1 << 18
+
+
+def in_tasks(df: DataFrame, rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``df``, made of about ``rows`` narrow rows, in as many tasks as these need, if it has more.
+
+    A job of many short steps otherwise starts a task, and writes a file, for each shuffle partition in each step,
+    unless adaptive execution merges them. Tasks grow in number with the rows.
+    """
+    return df.coalesce(max(1, -(-int(rows) // rows_per_task)))
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files behind DataFrames that nothing refers to any more.
 

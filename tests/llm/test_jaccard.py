@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from captionforge.llm import jaccard
+from captionforge.llm import graph, jaccard
 from captionforge.llm.graph import connected_components
 
 from .helpers import docs, prose, words
@@ -104,6 +104,23 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("edges, tables", [([(9, 1), (8, 1), (7, 2)], 1), ([(9, 1), (9, 2), (5, 1)], 5)])
+def test_components_end_at_stars_in_tasks_for_the_links(spark, monkeypatch, edges, tables):
+    """No round on what is one star per component, and no file per shuffle partition for a few links."""
+    made = []
+    write = graph.materialize
+
+    def kept(df, label):
+        made.append((df.rdd.getNumPartitions(), write(df, label)))
+        return made[-1][1]
+
+    monkeypatch.setattr(graph, "materialize", kept)
+    components = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert dict(map(tuple, components.collect())) == ({9: 1, 8: 1, 1: 1, 7: 2, 2: 2} if tables == 1 else {9: 1, 2: 1, 5: 1, 1: 1})
+    assert len(made) == tables
+    assert all(tasks == 1 for tasks, _ in made[1:])
+
+
 def template_pairs(rng, groups, per_group, share, vocabulary=4000):
     """Near copies in groups of texts that share a long passage; about ``share`` of a text is the passage of its group."""
     word = [f"w{i}" for i in range(vocabulary)]
