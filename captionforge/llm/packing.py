@@ -20,17 +20,17 @@ gives no piece; further columns are left out; a null id stays null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from captionforge.llm.text import LOWER, lean, text_bytes, word_hashes, worker_cache
-from captionforge.session import materialize, small_batches
+from captionforge.session import in_tasks, materialize, small_batches, small_columns
 
 SEQUENCE = 2048
 GRID = 8
@@ -316,18 +316,22 @@ _PIECE = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "i
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, sequence: int = SEQUENCE,
-         grid: int = GRID) -> DataFrame:
+         grid: int = GRID, of: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32 bit).
 
     Sequences are numbered without order; the ids of one, by offset, are a training sequence to be padded
-    to ``sequence``.
+    to ``sequence``. ``of`` makes of the ids of a piece what then stands in their column, such as a digest:
+    pieces meet in their sequences without their ids, which are nearly all of what is shuffled and sorted.
     """
+    of = of or (lambda ids: ids)
     spark = docs.sparkSession
     small_batches(spark)
+    small_columns(spark)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = materialize(named.mapInArrow(lean(_tokenise(tokenizer or tokenizer_path(), sequence, grid)), _CUT_DDL), "tokens")
     # one row per task and class
-    counts = materialize(cut.where("inner = 0").groupBy("part", "class").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = cut.where("inner = 0").groupBy("part", "class").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(in_tasks(counts, len(cut.inputFiles()) * (sequence // grid + 1)), "counts")
     earlier = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "class", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     demand = np.zeros(sequence // grid, np.int64)
@@ -341,7 +345,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     first = lambda kind: F.get(F.lit([0, *placed.tolist()]), kind)
     items = cut.join(bases, ["part", "class"]).withColumn("rank", F.col("rank") + F.col("base"))
     whole = items.where("class = 0").select(
-        "doc_id", "start", "length", "doc_tokens", F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
+        "doc_id", "start", "length", "doc_tokens", F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), of(F.col("ids")).alias("ids"))
     # the places of a class, at most one per pattern, found by a search over their first ranks
     by_class: dict[int, list[tuple]] = {}
     for kind, *place in rows:
@@ -351,7 +355,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     fit = items.where((F.col("class") > 0) & (F.col("rank") < first(F.col("class")))).join(known, "class")
     fit = fit.withColumn("place", F.filter("places", lambda p: (p["first"] <= F.col("rank")) & (F.col("rank") < p["upto"]))[0])
     into = F.col("rank") - F.col("place.first")
-    fit = fit.select("doc_id", "start", "length", "doc_tokens", "ids",
+    fit = fit.select("doc_id", "start", "length", "doc_tokens", of(F.col("ids")).alias("ids"),
                      (F.floor(into / F.col("place.each")).cast("long") + F.col("place.sequence") + full).alias("sequence_id"),
                      (F.col("place.offset") + into % F.col("place.each") * F.col("place.stride") + F.col("inner")).alias("offset"))
     # grid steps leave gaps: the items of a sequence close up
@@ -369,5 +373,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     laid = laid.select(
         "doc_id", (F.col("start") + lo - F.col("begin")).alias("start"), (hi - lo).alias("length"), "doc_tokens",
         (F.col("slot") + full + filled).alias("sequence_id"), (lo - F.col("slot") * sequence).alias("offset"),
-        F.substring("ids", (4 * (lo - F.col("begin")) + 1).cast("int"), (4 * (hi - lo)).cast("int")).alias("ids"))
+        of(F.substring("ids", (4 * (lo - F.col("begin")) + 1).cast("int"), (4 * (hi - lo)).cast("int"))).alias("ids"))
     return whole.select(_PIECE).union(closed.select(_PIECE)).union(laid.select(_PIECE))

@@ -65,6 +65,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 
+COLUMN_BATCH_ROWS = 512
+
+
+def small_columns(spark: SparkSession) -> None:
+    """Column batches of at most ``COLUMN_BATCH_ROWS`` rows from Parquet, for tables of some kilobytes a row.
+
+    A reader keeps the largest batch it has met, and twice that while it grows, in the JVM of the executor, for each running task.
+    """
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key)) > COLUMN_BATCH_ROWS:
+        spark.conf.set(key, str(COLUMN_BATCH_ROWS))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
