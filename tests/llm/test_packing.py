@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from captionforge.llm import packing as P
+from captionforge.llm.queries import op5_pack
 
 from .helpers import docs, prose
 
@@ -52,19 +53,18 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert P.pack(docs(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_digests_meet_in_sequences_without_their_ids(spark):
+def test_digests_meet_in_sequences_without_their_ids(spark, tmp_path):
     rng = random.Random(11)
     texts = [prose(rng, rng.randint(1, 300)) for _ in range(200)] + [None, prose(rng, 900)]
     frame = docs(spark, texts)
     rows = P.pack(frame, sequence=256).collect()
     digests = P.pack(frame, sequence=256, of=F.crc32)
     assert sorted(tuple(r) for r in digests.collect()) == sorted((*r[:-1], zlib.crc32(r.ids)) for r in rows)
-    # nothing of binary type is dealt out or sorted after the lengths are known, but for what rounding leaves
-    from captionforge.llm.queries import op5_pack
-    plan = op5_pack(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    window = next(x for x in plan.splitlines() if "Window" in x and "sequence_id" in x)
-    below = plan.splitlines()[plan.splitlines().index(window) + 1]
-    assert "crc32" in below
+    # the query digests the ids below the window over a sequence
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = op5_pack(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Window" in line and "sequence_id" in line)
+    assert "crc32" in plan[at + 1]
     assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
 
 
